@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, urls
+from . import fingerprints, lines, minhash, mixing, packing, urls
 from .scratch import written
 
 
@@ -33,6 +33,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on four-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated lines."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length buckets and batches of all documents."""
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,10 +54,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
+    "op4_minhash": op4_minhash,
+    "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE: dict[str, str] = {
+    "op4_minhash": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id,
+  s.doc_id = least(s.doc_id, coalesce(c.low, s.doc_id)) AS kept
+FROM s LEFT JOIN c ON c.a = s.doc_id
+""",
+    "op7_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), k AS (SELECT *, {_LOWER.format(f"trim(line, {_ENDS})")} AS key FROM l
+), rep AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {lines.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}
+), m AS (SELECT k.*, coalesce(rep.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN rep USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""",
     "op1_mix_sources": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0) AS n_chars, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
