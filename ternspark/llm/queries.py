@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, minhash, mixing, packing, urls
+from . import embeddings, fingerprints, langid, licenses, lines, minhash, mixing, packing, urls
 from .scratch import written
 
 
@@ -38,6 +38,23 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train = docs.where(~langid.is_held_out())
+    return langid.fit(train).predict(docs.select("doc_id", "text")).select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notice of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,7 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
     "op4_minhash": op4_minhash,
+    "op5_language_id": op5_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
@@ -78,6 +98,20 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id,
   s.doc_id = least(s.doc_id, coalesce(c.low, s.doc_id)) AS kept
 FROM s LEFT JOIN c ON c.a = s.doc_id
+""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), n AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM v WHERE v IS NOT NULL AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)))
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (SELECT a, min(b) AS low FROM r GROUP BY a
+), l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.low, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN l ON l.a = vec_id
 """,
     "op7_line_dedup": f"""
 WITH l AS (
