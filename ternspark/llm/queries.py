@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, langid, licenses, lines, minhash, mixing, packing, urls
+from . import embeddings, fingerprints, langid, licenses, lines, minhash, mixing, packing, suffix, urls
 from .scratch import written
 
 
@@ -50,6 +50,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that smaller documents hold."""
+    spans = suffix.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license notice of every document."""
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
