@@ -16,6 +16,10 @@ from .scratch import written
 WORDS, PERCENT, KEEP = 5, 80, 64
 #: Estimated similarity under which a pair isn't verified: 0.8 less six standard errors of a full sketch.
 ESTIMATE = 0.5
+#: Retained values that two full sketches of similar sets share at least: 51 of 64 less six standard errors.
+OVERLAP = 32
+#: Longest list whose pairs are rows; classes in longer ones are compared in blocks of this many.
+SHORT, BLOCK = 32, 128
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Bytes of text hashed at once (a longer text is hashed alone).
@@ -119,30 +123,34 @@ def sketches(docs: DataFrame, words: int, keep: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(digest, full) from (doc, text)."""
+def full_sets(docs: DataFrame, words: int, ids: bool = False) -> DataFrame:
+    """(digest, full) from (doc, text); with ``ids`` (doc, full)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 sets = list(shingler.sets(_bodies(batch.column(1).slice(start, 256))))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["digest", "full"])
+                first = batch.column(0).slice(start, 256) if ids else pa.array([_digest(s) for s in sets], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([first, pa.array(sets, type=pa.list_(pa.int64()))], names=["doc" if ids else "digest", "full"])
 
-    return docs.mapInArrow(run, "digest binary, full array<long>")
+    return docs.mapInArrow(run, "doc long, full array<long>" if ids else "digest binary, full array<long>")
 
 
-def _runs(sketch: str, n: str) -> Column:
-    """Keys of the inverted lists: hashes of three neighbouring retained values.
+def _lists(classes: DataFrame, keep: int) -> DataFrame:
+    """Inverted lists of retained values that can decide a pair: (key, head, n, shared).
 
-    Two sets with similarity 0.8 or more share such a run in full (of m values in their union at most m / 5
-    are not common, so for m of 6 or more three common ones stand together); in sketches of 64 values they
-    miss all of them about once in 10**8. Unions of five may split into pairs, so sets of four or five give
-    pairs too; smaller similar sets are equal.
+    Two sets with similarity 0.8 or more have c = min(ceil(0.8 n), `OVERLAP`) retained values in common (sets
+    under 64 surely; larger ones, of 64 values each, fail it about once in 10**8). Ordered by the number of
+    classes that hold them, rare ones first, the first common value is then among the first m - c + 1 of either
+    set's m values that several classes hold. So the most common values, such as those of a passage that many
+    documents share, give no list unless they are most of a sketch. ``shared`` is m.
     """
-    runs = F.expr(f"transform(sequence(0, greatest(size({sketch}) - 3, 0)), i -> xxhash64(3, get({sketch}, i), get({sketch}, i + 1), get({sketch}, i + 2)))")
-    pairs = F.expr(f"transform(sequence(0, greatest(size({sketch}) - 2, 0)), i -> xxhash64(2, get({sketch}, i), get({sketch}, i + 1)))")
-    none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(F.when(F.col(n) >= 4, runs).otherwise(none), F.when(F.col(n).between(4, 5), pairs).otherwise(none)))
+    values = classes.select("head", "n", F.explode("sketch").alias("key"))
+    counted = values.withColumn("f", F.count("*").over(Window.partitionBy("key"))).where("f > 1")
+    own = Window.partitionBy("head")
+    ranked = counted.withColumn("shared", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("f", "key")))
+    least = F.least(F.ceil(F.col("n") * 4 / 5), F.lit(OVERLAP))
+    return ranked.where(F.col("at") <= F.col("shared") - least + 1).select("key", "head", "n", "shared")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, keep: int) -> DataFrame:
@@ -162,13 +170,69 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return written(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "confirmed")
 
 
+def _in_blocks(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside long lists, without a row for every pair.
+
+    Classes are dealt to blocks of about `BLOCK` by their longest list; every two blocks that share a list are
+    compared in one task, which returns a spanning set of the links it finds.
+    """
+    own = lists.groupBy("head").agg(F.max_by(F.struct("key", "size"), F.struct("size", "key")).alias("p"), F.first("component").alias("component"))
+    part = F.pmod(F.xxhash64("head"), F.ceil(F.col("p.size") / BLOCK)).cast("int")
+    own = written(own.select("head", "component", F.struct(F.col("p.key").alias("list"), part.alias("part")).alias("block")), "own")
+    touched = lists.select("key", "head").join(own, "head").select("key", "block").distinct()
+    pairs = touched.select("key", F.col("block").alias("p")).join(touched.select("key", F.col("block").alias("q")), "key").where("p <= q").select("p", "q").distinct()
+    pairs = written(pairs, "blocks")
+    heads = own.select(F.col("head").alias("doc"))
+    small = F.broadcast(heads) if own.count() <= BROADCAST_IDS else heads
+    wanted = docs.join(small, "doc", "left_semi")
+    full = full_sets(wanted, words, ids=True).dropDuplicates(["doc"])
+    sets = written(own.join(full, F.col("head") == F.col("doc")).select("head", "component", "block", "full"), "sets")
+    dealt = pairs.withColumn("block", F.explode(F.array_distinct(F.array("p", "q")))).join(sets, "block")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        heads, part = table.column("head").to_numpy(), table.column("component").to_numpy()
+        column = table.column("full").combine_chunks()
+        n = column.value_lengths().to_numpy()
+        _, token = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        often = np.bincount(token)[token] > 1
+        _, token = np.unique(token[often], return_inverse=True)
+        row = row[often]
+        common = np.zeros((len(n), len(n)), dtype=np.float32)
+        width = 4096
+        for start in range(0, int(token.max()) + 1 if len(token) else 0, width):
+            own = (token >= start) & (token < start + width)
+            x = np.zeros((len(n), width), dtype=np.float32)
+            x[row[own], token[own] - start] = 1
+            common += x @ x.T
+        union = n[:, None] + n[None, :] - common
+        a, b = np.nonzero((100 * common >= percent * union) & (part[:, None] != part[None, :]) & (heads[:, None] < heads[None, :]))
+        seen: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while seen.get(k, k) != k:
+                k = seen[k]
+            return k
+
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = root(int(part[i])), root(int(part[j]))
+            if u != v:
+                seen[max(u, v)] = min(u, v)
+                out.append((i, j))
+        return pa.table({"a": pa.array([int(heads[i]) for i, _ in out], type=pa.int64()), "b": pa.array([int(heads[j]) for _, j in out], type=pa.int64())})
+
+    return written(dealt.select("p", "q", "head", "component", "full").groupBy("p", "q").applyInArrow(run, "a long, b long"), "blocklinks")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: int = KEEP, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Two documents are linked if 100 |intersection| >= ``percent`` |union| of their sets of word shingles.
-    Documents with equal sets form a class, represented by its smallest id. Inverted lists of runs of retained
-    values gather classes; each class is first compared with the head of its lists that it shares most runs
-    with, then, in lists that still hold several components, all pairs across components are compared.
+    Documents with equal sets form a class, represented by its smallest id. Inverted lists of retained values
+    gather classes; each class is first compared with the head that most of its lists have, then, in lists that
+    still hold several components, all pairs across components are compared: as rows in short lists, in blocks
+    inside tasks in long ones.
     A pair's similarity is estimated on the sketch of the union and confirmed on the full sets.
 
     Texts without words have an empty set and link with nothing. Rows that share an id are one document.
@@ -178,23 +242,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     signed = written(sketches(source, words, keep), "sketches")
     known = signed.where("doc is not null and n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    by_key = Window.partitionBy("key")
-    keys = classes.select("head", "n", F.explode(_runs("sketch", "n")).alias("key"))
-    lists = keys.select("key", "head", "n", F.min("head").over(by_key).alias("low"), F.max("head").over(by_key).alias("high"))
-    lists = written(lists.where("low <> high").select("key", "head", "n", "low"), "lists")
-
+    lists = written(_lists(classes, keep), "lists")
+    # the head of a list is the class that shares most values with others: the original of a group of copies
+    heads = lists.groupBy("key").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("low"), F.count("*").alias("size")).where("size > 1")
+    lists = written(lists.join(heads, "key").select("key", "head", "n", "low"), "headed")
     best = lists.where("head <> low").groupBy("head", "low").count().groupBy("head").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("a"))
     links = _confirmed(best.select("a", F.col("head").alias("b")), classes, source, words, percent, keep)
     found = components(links)
 
     named = lists.join(found.withColumnRenamed("node", "head"), "head", "left").withColumn("component", F.coalesce("component", "head"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component", True).alias("c0")).where("c1 <> c2").select("key", "c0")
-    open_lists = written(named.join(mixed, "key").select("key", "head", "n", "component", "c0"), "open")
-    x = open_lists.where("component <> c0").select("key", F.col("head").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = open_lists.select("key", F.col("head").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "c0")
+    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component", True).alias("c0"), F.count("*").alias("size")).where("c1 <> c2").select("key", "c0", "size")
+    open_lists = written(named.join(mixed, "key").select("key", "head", "n", "component", "c0", "size"), "open")
+    short = open_lists.where(f"size <= {SHORT}")
+    x = short.where("component <> c0").select("key", F.col("head").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    y = short.select("key", F.col("head").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "c0")
     across = x.join(y, "key").where(f"c_a <> c_b and (c_b = c0 or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(across, classes, source, words, percent, keep)
+    more = more.union(_in_blocks(open_lists.where(f"size > {SHORT}"), source, words, percent))
     if not more.isEmpty():
         found = components(links.union(more))
 
