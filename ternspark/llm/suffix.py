@@ -18,6 +18,8 @@ LENGTH, GRAM, CHUNK = 50, 16, 128
 PIECE, FILTER_HASHES = 1 << 20, 4_000_000
 #: Contexts with one least hash beyond which they are dealt out string by string, and bytes of a suffix array.
 HOT, SHARD_BYTES = 2_000, 1 << 19
+#: Bytes of a list that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Stands for a missing id: larger than all others.
 NO_ID = (1 << 63) - 1
 
@@ -254,21 +256,64 @@ def _chunk_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "th", "text").mapInArrow(run, "hi long, lo long, doc long, th long, number int")
 
 
-def _hash_rows(base: DataFrame) -> DataFrame:
-    """(h, low, high, n): least hashes of the strings of fresh chunks with their smallest and largest document."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
+    """(h, n): least hashes that strings of fresh chunks of several documents have, and how many runs of them.
+
+    A batch packs its hashes by their low bits, each with its document (the smallest and the largest where a
+    batch has more), so a bucket is a few arrays, and a very common hash has two entries per batch.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
             repeated = batch.column(3).to_pylist()
+            hs, ds = [], []
             for at, text in _pieces(_bodies(batch.column(2))):
                 h, own, _, _ = _runs(text, _fresh(text, repeated[at : at + len(text.sizes)]))
-                by = np.argsort(h, kind="stable")
-                h, d = h[by], doc[own + at][by]
-                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(np.minimum.reduceat(d, new)), pa.array(np.maximum.reduceat(d, new)), pa.array(np.diff(np.append(new, len(h))))], names=["h", "low", "high", "n"])
-
-    return base.mapInArrow(run, "h long, low long, high long, n long")
+                hs.append(h)
+                ds.append(doc[own + at])
+            if not hs:
+                continue
+            h, d = np.concatenate(hs), np.concatenate(ds)
+            by = np.lexsort((d, h))
+            h, d = h[by], d[by]
+            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
+            begin = np.flatnonzero(new)
+            n = np.diff(np.append(begin, len(h)))
+            end = begin + n - 1
+            twice = d[begin] != d[end]
+            # a hash with more than one document stands twice, its runs counted once
+            h2 = np.concatenate([h[begin], h[end][twice]])
+            d2 = np.concatenate([d[begin], d[end][twice]])
+            n2 = np.concatenate([n, np.zeros(int(twice.sum()), dtype=np.int64)])
+            bucket = h2 & (buckets - 1)
+            by = np.lexsort((d2, bucket))
+            h2, d2, n2, bucket = h2[by], d2[by], n2[by], bucket[by]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
+            rows = [[], [], [], []]
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+                odd = np.flatnonzero(n2[x:y] != 1)
+                rows[0].append(int(bucket[x]))
+                rows[1].append(h2[x:y].tobytes())
+                rows[2].append(np.diff(d2[x:y], prepend=0).tobytes())
+                rows[3].append(np.stack([odd, n2[x:y][odd]]).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], type=pa.int64()), *[pa.array(r, type=pa.binary()) for r in rows[1:]]], names=["bucket", "h", "d", "n"])
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("h").to_pylist()])
+        d = np.concatenate([np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in table.column("d").to_pylist()])
+        n = np.ones(len(h), dtype=np.int64)
+        at = 0
+        for x, odd in zip(table.column("h").to_pylist(), table.column("n").to_pylist(), strict=True):
+            where, value = np.frombuffer(odd, dtype=np.int64).reshape(2, -1)
+            n[at + where] = value
+            at += len(x) // 8
+        by = np.argsort(h, kind="stable")
+        h, d, n = h[by], d[by], n[by]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
+        return pa.table({"h": h[begin][several], "n": np.add.reduceat(n, begin)[several]})
+
+    return base.mapInArrow(pack, "bucket long, h binary, d binary, n binary").groupBy("bucket").applyInArrow(count, "h long, n long")
 
 
 def _context_rows(base: DataFrame, wanted: np.ndarray | None, hot: np.ndarray) -> DataFrame:
@@ -333,6 +378,27 @@ def smaller_holders(stretches: list[bytes], docs: list[int]) -> list[np.ndarray]
     return np.split(out, np.cumsum([len(s) - LENGTH + 1 for s in stretches])[:-1])
 
 
+def _holders(stretches: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """`smaller_holders` of different stretches; strings whose hash only one of them has are its own document's."""
+    text = Text(stretches)
+    starts = _ranges(text.begins, text.begins + text.starts())
+    own = np.searchsorted(text.ends, starts, side="right")
+    _, kind, n = np.unique(text.strings(starts), return_inverse=True, return_counts=True)
+    out = docs[own]
+    s = np.flatnonzero((n > 1)[kind])
+    if len(s):
+        new = np.flatnonzero(np.concatenate([[True], (starts[s][1:] != starts[s][:-1] + 1) | (own[s][1:] != own[s][:-1])]))
+        size = np.diff(np.append(new, len(s)))
+        bodies = [text.raw[a : a + k + LENGTH - 1] for a, k in zip(starts[s][new].tolist(), size.tolist(), strict=True)]
+        first: dict[bytes, int] = {}
+        for b, d in zip(bodies, docs[own[s][new]].tolist(), strict=True):
+            if first.get(b, NO_ID) >= d:
+                first[b] = d
+        found = dict(zip(first, smaller_holders(list(first), list(first.values())), strict=True))
+        out[s] = np.concatenate([found[b] for b in bodies])
+    return np.split(out, np.cumsum(text.starts())[:-1])
+
+
 def _compare(contexts: list[bytes], low: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context, held first by document ``low``, the ranges of its strings that a smaller document's holds.
 
@@ -359,7 +425,7 @@ def _compare(contexts: list[bytes], low: np.ndarray) -> list[list[tuple[int, int
     for b, d in zip(bodies, low[owner].tolist(), strict=True):
         if first.get(b, NO_ID) >= d:
             first[b] = d
-    holders = dict(zip(first, smaller_holders(list(first), list(first.values())), strict=True))
+    holders = dict(zip(first, _holders(list(first), np.array(list(first.values()), dtype=np.int64)), strict=True))
     for b, a, k in zip(bodies, begin, owner.tolist(), strict=True):
         hit = np.flatnonzero(np.diff(np.concatenate([[0], holders[b] < low[k], [0]])))
         base = a - int(text.begins[k])
@@ -399,13 +465,18 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """
     source = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.withColumn("th", F.xxhash64("text"))
-    chunks = written(_chunk_rows(source), "chunks")
+    chunks = written(_chunk_rows(source), "chunks", "zstd")
     several = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
     again = chunks.join(several, ["hi", "lo"]).where("doc > low").select("doc", "th", "number").distinct().groupBy("doc", "th").agg(F.collect_list("number").alias("again"))
-    base = written(source.join(again, ["doc", "th"], "left").select("doc", "th", "text", "again"), "base")
-
-    hashes = _hash_rows(base).groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    hashes = written(hashes.where("low < high").select("h", (F.col("n") > HOT).alias("hot")), "hashes")
+    again = written(again, "again", "zstd")
+    n_again = again.agg(F.sum(F.size("again") + 4)).first()[0] or 0
+    # four bytes for each repeated chunk: small lists go to all executors, longer ones meet the texts in a shuffle
+    base = source.join(F.broadcast(again) if n_again * 4 <= BROADCAST_BYTES else again, ["doc", "th"], "left").select("doc", "th", "text", "again")
+
+    buckets = 256
+    while buckets < 65_536 and buckets * 100_000 < chunks.count() * CHUNK / 18:
+        buckets *= 2
+    hashes = written(_shared_hashes(base, buckets).select("h", (F.col("n") > HOT).alias("hot")), "hashes")
     n_hot, n = hashes.agg(F.count_if("hot"), F.count("*")).first()
     few = n <= FILTER_HASHES
     hot = np.sort(np.array([r.h for r in hashes.where("hot").collect()], dtype=np.int64))  # a hash for every HOT contexts
@@ -414,7 +485,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     if not few:
         strings = F.col("n") == 1
         contexts = contexts.join(hashes.select(F.col("h").alias("key")), "key", "left_semi").union(contexts.where(strings).join(hashes.select(F.col("h").alias("key")), "key", "left_anti")) if n_hot else contexts.join(hashes.select(F.col("h").alias("key")), "key", "left_semi")
-    contexts = written(contexts, "contexts")
+    contexts = written(contexts, "contexts", "zstd")
     answers = written(_answers(contexts), "answers")
     held = contexts.select("key", "ch", "doc", "th", "start", "n").join(answers, ["key", "ch"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
