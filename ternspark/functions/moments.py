@@ -80,7 +80,7 @@ def correlation_table(df: DataFrame, names: Sequence[str], pairwise: bool = Fals
             a, b = (F.when(both, F.col(f"x{k}")) if pairwise else F.col(f"x{k}") for k in (i, j))
             aggs += [F.covar_samp(a, b).alias(f"c{i}_{j}"), F.stddev_samp(a).alias(f"a{i}_{j}"), F.stddev_samp(b).alias(f"b{i}_{j}"), F.count(F.when(both, 1)).alias(f"n{i}_{j}")]
             r = F.try_divide(c(f"c{i}_{j}"), c(f"a{i}_{j}") * c(f"b{i}_{j}"))
-            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+            r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
             for u, v in {(i, j), (j, i)}:
                 entries[f"{u},{v}"] = {"var1": F.lit(names[u]), "var2": F.lit(names[v]), "r": r, "n": f"n{i}_{j}"}
     return tidy(rows.agg(*aggs), [], entries, "pair").drop("pair")

@@ -43,7 +43,9 @@ def _bracketed(df: DataFrame, names: Sequence[str], probs: Sequence[float], by:
     long = tidy(brackets, by, {n: {"n": f"n{k}", "ends": f"e{k}"} for k, n in enumerate(names)})
     spec = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(at[max(0.0, p - BRACKET)]).alias("lo_at"), F.lit(at[min(1.0, p + BRACKET)]).alias("hi_at")) for p in probs]))
     wanted = long.withColumn("s", spec).select(*keys, "column", "n", "s.prob", F.expr("get(ends, s.lo_at)").alias("lo"), F.expr("get(ends, s.hi_at)").alias("hi"))
-    first, last = F.col("prob") == 0, F.col("prob") == 1
+    # ten ranks of margin at least; small groups are counted whole
+    few = F.col("n") * BRACKET < 10
+    first, last = few | (F.col("prob") == 0), few | (F.col("prob") == 1)
     wanted = wanted.withColumn("lo", F.when(first, F.lit(float("-inf"))).otherwise(F.col("lo"))).withColumn("hi", F.when(last, F.lit(float("inf"))).otherwise(F.col("hi")))
     values = tidy(df.select(*keys, *[num(n).alias(n) for n in names]), by, {n: {"x": n} for n in names}).where("x is not null")
     same = _same(values, wanted, [*by, "column"])
