@@ -21,8 +21,12 @@ ORDER = 3
 SAMPLE_DOCS, CALIBRATION = 1_000, 0.25
 #: Letters told apart; others count as one.
 LETTERS = 62
-#: A text is rejected if its cross-entropy lies this many calibrated deviations over the language's mean.
+#: A text is rejected if its cross-entropy lies this many times as far over the language's mean as that of any
+#: document of the calibration sample.
 TOLERANCE = 1.5
+#: Nats per symbol over the mean up to which no text is rejected, however long: long texts drift more than the
+#: deviation per symbol says.
+SLACK = 0.5
 #: Characters scored at once (a longer text is scored alone).
 CHUNK = 1 << 20
 
@@ -207,7 +211,7 @@ class _Scorer:
         share = 1.0 / np.exp(-10.0 * (entropy - lowest[:, None])).sum(axis=1)
         models = [self.known.models[x] for x in self.names]
         mean, deviation, limit = (np.array([getattr(m, f) for m in models])[best] for f in ("mean", "deviation", "limit"))
-        rejected = (n == 0) | ((lowest - mean) * np.sqrt(np.maximum(n, 1)) > limit * TOLERANCE * deviation)
+        rejected = (n == 0) | (lowest - mean > np.maximum(SLACK, limit * TOLERANCE * deviation / np.sqrt(np.maximum(n, 1))))
         names = np.array(self.names, dtype=object)[best]
         names[n == 0] = UNKNOWN
         return [pa.array(names.tolist(), type=pa.string()), pa.array(np.where(n == 0, 0.0, share)), pa.array(lowest, mask=n == 0), pa.array(rejected)]

@@ -271,7 +271,7 @@ def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
                 h, own, _, _ = _runs(text, _fresh(text, repeated[at : at + len(text.sizes)]))
                 hs.append(h)
                 ds.append(doc[own + at])
-            if not hs:
+            if not sum(map(len, hs)):
                 continue
             h, d = np.concatenate(hs), np.concatenate(ds)
             by = np.lexsort((d, h))
