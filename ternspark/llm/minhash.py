@@ -19,11 +19,11 @@ ESTIMATE = 0.5
 #: Retained values that two full sketches of similar sets share at least: 51 of 64 less six standard errors.
 OVERLAP = 32
 #: Longest list whose pairs are rows; classes in longer ones are compared in blocks of this many.
-SHORT, BLOCK = 32, 128
+SHORT, BLOCK = 32, 256
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Bytes of text hashed at once (a longer text is hashed alone).
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
