@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Ranges of ids in which neighbours are found.
-RANGES = 64
+#: Rows in a range of ids in which neighbours are found, and the fewest and most ranges.
+RANGE_ROWS, FEWEST, MOST = 4_000, 64, 1 << 16
 #: Rows of a key table that may be broadcast (16 to 60 bytes each); larger ones are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -75,7 +75,23 @@ def exact_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     return marked.join(first, "fingerprint").select(id, "fingerprint", "class_id")
 
 
-def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: int = RANGES) -> DataFrame:
+def _cell(x: Column, bounds: list[int]) -> Column:
+    """The number of ascending bounds up to ``x``: first among every k-th bound, then among the k after it."""
+    if not bounds:
+        return F.lit(0)
+    k = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + k] for i in range(0, len(bounds), k)]
+
+    def longs(values: list[int]) -> Column:
+        return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+    fine = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    coarse = F.size(F.filter(longs([g[0] for g in groups]), lambda b: b <= x))
+    inside = F.size(F.filter(F.get(fine, coarse - 1), lambda b: b <= x))
+    return F.when(coarse > 0, (coarse - 1) * k + inside).otherwise(F.lit(0))
+
+
+def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """(id, text, digest, next_id, next_text, next_digest): beside each row the next one in descending id
     (after the last: the first), with the digests of both canonical texts.
 
@@ -84,18 +100,18 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: i
     come last; equal ids follow each other by descending text. Null texts count as empty.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = sorted({int(x) for x in rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.002)})
-    cell = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("cell", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(cell))
+    ranges = ranges or min(MOST, max(FEWEST, rows.count() // RANGE_ROWS))
+    bounds = sorted({int(x) for x in rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 1 / (8 * ranges))})
+    rows = rows.withColumn("cell", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(_cell(F.col("id"), bounds)))
     tops = {r.cell: r.top for r in rows.groupBy("cell").agg(F.max("id").alias("top")).collect()}  # a row per range
     order = sorted(tops, reverse=True)
-    above = dict(zip([*order[1:], *order[:1]], order, strict=True))  # the range that a range's first row follows
+    above = list(zip([*order[1:], *order[:1]], order, strict=True))  # a range, and the one that its first row follows
     rows = rows.withColumn("guard", F.lit(0))
     if above:
-        firsts = [F.col("id").eqNullSafe(F.lit(tops[c]).cast("long")) for c in order]
-        to = F.element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("cell"))
-        guards = rows.where(reduce(lambda x, y: x | y, firsts)).groupBy("cell", "id").agg(F.max("text").alias("text"))
-        rows = rows.unionByName(guards.select("id", "text", to.alias("cell"), F.lit(1).alias("guard")))
+        firsts = F.col("id").isin([t for t in tops.values() if t is not None]) | F.col("id").isNull()
+        guards = rows.where(firsts).groupBy("cell", "id").agg(F.max("text").alias("text"))
+        to = F.broadcast(docs.sparkSession.createDataFrame(above, "cell int, to int"))
+        rows = rows.unionByName(guards.join(to, "cell").select("id", "text", F.col("to").alias("cell"), F.lit(1).alias("guard")))
     rows = rows.withColumn("digest", wide_digest(canonical("text")))
     line = Window.partitionBy("cell").orderBy("guard", F.desc_nulls_last("id"), F.desc("text"))
     for c in ("id", "text", "digest"):
