@@ -17,7 +17,7 @@ LENGTH, GRAM, CHUNK = 50, 16, 128
 #: Bytes of text hashed at once (a longer text is hashed alone), hashes that a filter for them may have.
 PIECE, FILTER_HASHES = 1 << 20, 4_000_000
 #: Contexts with one least hash beyond which they are dealt out string by string, and bytes of a suffix array.
-HOT, SHARD_BYTES = 2_000, 1 << 19
+HOT, SHARD_BYTES = 4_000, 1 << 19
 #: Bytes of a list that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing id: larger than all others.
@@ -492,10 +492,34 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     runs = held.select("doc", "th", "start", F.explode(F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("runs"))).alias("r"))
     runs = runs.select("doc", "th", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
     marks = runs.groupBy("doc", "th").agg(F.collect_list("r").alias("runs"))  # bounded by the document's length
+    marks = written(_joined_up(marks), "marks", "zstd")
+    n_marks = marks.agg(F.sum(F.size("runs") + 4)).first()[0] or 0
+    marks = F.broadcast(marks) if n_marks * 16 <= BROADCAST_BYTES else marks
     out = _cut(base.join(marks, ["doc", "th"], "left").select("doc", "text", "again", "runs"))
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
+def _joined_up(marks: DataFrame) -> DataFrame:
+    """(doc, th, runs) with ranges that meet or overlap as one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(2)
+            flat, row = runs.flatten(), np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy())
+            a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            wide = int(b.max(initial=0)) + 2  # keeps rows apart
+            by = np.lexsort((a, row))
+            a, b, row = a[by] + row[by] * wide, b[by] + row[by] * wide, row[by]
+            top = np.maximum.accumulate(b)
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > top[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+            last = np.append(new[1:], len(a)) - 1
+            shift = row[new] * wide
+            pairs = pa.StructArray.from_arrays([pa.array(a[new] - shift), pa.array(top[last] - shift)], names=["a", "b"])
+            offsets = np.searchsorted(row[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["doc", "th", "runs"])
+
+    return marks.select("doc", "th", "runs").mapInArrow(run, "doc long, th long, runs array<struct<a:long,b:long>>")
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
