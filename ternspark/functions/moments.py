@@ -13,6 +13,8 @@ from .cols import c, num, tidy
 
 #: Columns up to which a covariance matrix is written out as expressions; more are summed as matrices.
 EXPRESSION_COLUMNS = 30
+#: Distinct values that one task may number.
+ONE_RANGE = 200_000
 
 
 def complete(names: Sequence[str]) -> Column:
@@ -86,13 +88,16 @@ def correlation_table(df: DataFrame, names: Sequence[str], pairwise: bool = Fals
     return tidy(rows.agg(*aggs), [], entries, "pair").drop("pair")
 
 
-def average_ranks(df: DataFrame, name: str, out: str) -> DataFrame:
-    """``df`` with the rank of a column among all its values, ties averaged, without a global sort in one task.
+def average_ranks(df: DataFrame, name: str, out: str, source: DataFrame | None = None) -> DataFrame:
+    """``df`` with the rank of a column among all its values (of ``source``, if ``df`` is derived from it), ties
+    averaged, without a global sort in one task.
 
-    Values are counted, dealt into ranges, numbered inside their range, and ranges' totals are added up.
+    Values are counted; many are dealt into ranges, numbered inside their range, and ranges' totals added up.
     """
-    counts = df.where(num(name).isNotNull()).groupBy(num(name).alias("__x")).count()
-    edges = counts.approxQuantile("__x", [k / 64 for k in range(1, 64)], 0.005)
+    source = df if source is None else source
+    counts = source.where(num(name).isNotNull()).groupBy(num(name).alias("__x")).count()
+    many = counts.limit(ONE_RANGE + 1).count() > ONE_RANGE
+    edges = counts.approxQuantile("__x", [k / 256 for k in range(1, 256)], 0.001) if many else []
     cell = F.lit(0)
     for e in sorted(set(edges)):
         cell = cell + F.when(F.col("__x") >= e, 1).otherwise(0)

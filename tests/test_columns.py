@@ -77,3 +77,11 @@ def test_tails():
     assert tails.chi_square_upper(3.0, 2) == pytest.approx(math.exp(-1.5))
     w, p = tails.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
     assert w == pytest.approx(0.79, abs=0.01) and p < 0.05
+
+
+def test_ranks_in_ranges(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") * 7919 % 501).cast("double").alias("x"))
+    one = sorted(map(tuple, moments.average_ranks(df, "x", "r").collect()))
+    monkeypatch.setattr(moments, "ONE_RANGE", 10)
+    assert sorted(map(tuple, moments.average_ranks(df, "x", "r").collect())) == one
+    assert one[0][1] == pytest.approx((1 + sum(1 for v in one if v[0] == 0)) / 2)
