@@ -170,6 +170,21 @@ WITH u AS (
 SELECT p.page_id, p.host, p.path, m.best.rule AS rule,
   coalesce(m.best.verdict, CASE WHEN EXISTS (SELECT 1 FROM l WHERE p.host = l.h OR ends_with(p.host, '.' || l.h)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)
+""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)
+), c AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS low FROM w) WHERE low < doc_id
+), r AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c)
+), s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, b AS f, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS t FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id
+), kept AS (SELECT doc_id, string_agg(substr(x, 2 * f + 1, 2 * (coalesce(t, length(x) // 2) - f)), '' ORDER BY f) AS y FROM k JOIN d USING (doc_id) GROUP BY doc_id
+), n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
     "op10_packing": f"""
 WITH RECURSIVE d AS (
