@@ -16,8 +16,9 @@ from .scratch import written
 LENGTH, GRAM, CHUNK = 50, 16, 128
 #: Bytes of text hashed at once (a longer text is hashed alone), hashes that a filter for them may have.
 PIECE, FILTER_HASHES = 1 << 20, 4_000_000
-#: Contexts with one least hash beyond which they are dealt out string by string, and bytes of a suffix array.
-HOT, SHARD_BYTES = 4_000, 1 << 19
+#: Contexts with one least hash beyond which they are dealt out string by string: a two-thousandth of all, within
+#: these limits (so a group is never over some 8 MB). Bytes of a suffix array.
+HOT, HOT_MOST, SHARD_BYTES = 4_000, 100_000, 1 << 19
 #: Bytes of a list that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing id: larger than all others.
@@ -473,10 +474,12 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     # four bytes for each repeated chunk: small lists go to all executors, longer ones meet the texts in a shuffle
     base = source.join(F.broadcast(again) if n_again * 4 <= BROADCAST_BYTES else again, ["doc", "th"], "left").select("doc", "th", "text", "again")
 
+    runs = chunks.count() * CHUNK // 18  # about as many as least hashes
     buckets = 256
-    while buckets < 65_536 and buckets * 100_000 < chunks.count() * CHUNK / 18:
+    while buckets < 65_536 and buckets * 100_000 < runs:
         buckets *= 2
-    hashes = written(_shared_hashes(base, buckets).select("h", (F.col("n") > HOT).alias("hot")), "hashes")
+    most = max(HOT, min(HOT_MOST, runs // 2_000))
+    hashes = written(_shared_hashes(base, buckets).select("h", (F.col("n") > most).alias("hot")), "hashes")
     n_hot, n = hashes.agg(F.count_if("hot"), F.count("*")).first()
     few = n <= FILTER_HASHES
     hot = np.sort(np.array([r.h for r in hashes.where("hot").collect()], dtype=np.int64))  # a hash for every HOT contexts
