@@ -35,8 +35,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's length bucket, batch and place in it."""
-    return packing.pack(docs.select("doc_id", "text"))
+    """Every document's length bucket, batch and place in it; batches are filled in the order of the mix.
+
+    That order is the one of the files that the mixing stage wrote (names ascend, longer ones come later) and
+    of the rows in them.
+    """
+    name = F.col("_metadata.file_name")
+    return packing.pack(docs, place=(F.struct(F.length(name), name), F.col("_metadata.row_index")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

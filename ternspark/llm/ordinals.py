@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the key's MD5 that name a cell: a group is numbered in up to 16**3 pieces.
 CELL_DIGITS = 3
+#: Places of a run in a cell, where rows have a place.
+CELL_PLACES = 4096
 
 
 def shuffled_key(key: str) -> Column:
@@ -14,14 +16,18 @@ def shuffled_key(key: str) -> Column:
     return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
-def running_totals(df: DataFrame, group: str, key: str, size: str, out: str, total: str | None = None) -> DataFrame:
+def running_totals(df: DataFrame, group: str, key: str, size: str, out: str, total: str | None = None, place: tuple[str, str] | None = None) -> DataFrame:
     """Add ``out``: the sum of ``size`` over the rows before this one in its ``group``, in `shuffled_key` order.
 
     Each group is cut into cells by hash; cells are summed first (partial aggregation), then rows are
     numbered inside their cell, so no task holds a group. ``total`` names a column for the group's sum.
-    Rows with equal key and size are interchangeable.
+    Rows with equal key and size are interchangeable. ``place`` names two columns whose order counts instead
+    of the hash: runs of rows, and a row's place (from 0) in its run; a run is cut into cells by place.
     """
-    cells = df.withColumn("__h", shuffled_key(key)).withColumn("__cell", F.substring("__h", 1, CELL_DIGITS))
+    if place is None:
+        cells = df.withColumn("__h", shuffled_key(key)).withColumn("__cell", F.substring("__h", 1, CELL_DIGITS))
+    else:
+        cells = df.withColumn("__h", F.col(place[1])).withColumn("__cell", F.struct(F.col(place[0]).alias("run"), F.floor(F.col(place[1]) / CELL_PLACES).alias("piece")))
     in_group = Window.partitionBy(group)
     offsets = (
         cells.groupBy(group, "__cell").agg(F.sum(size).alias("__sum"))

@@ -50,16 +50,19 @@ def boundaries(cells: list[int], counts: list[int], sums: list[int], width: int,
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, id: str = "doc_id", text: str = "text",
+         place: tuple[Column, Column] | None = None) -> DataFrame:
     """Batches of documents of similar length: (id, n_tokens, bucket, padded_len, batch, place).
 
     ``length`` counts a row's tokens (default: UTF-8 bytes, the tokens of a byte-level model; null is 0).
     Bucket bounds come from the histogram of all rows; inside a bucket, batches take
-    max(1, budget // padded_len) rows each in a fixed hash order of the id. A text longer than the budget is
+    max(1, budget // padded_len) rows each in a fixed hash order of the id, or in the order of ``place``: a run
+    of rows, and the row's place in it. A text longer than the budget is
     a batch of its own and stays whole. Rows without tokens go to the first bucket. Equal rows are
     interchangeable; an empty table gives an empty table.
     """
-    rows = docs.select(F.col(id), F.coalesce(length if length is not None else F.octet_length(text), F.lit(0)).cast("long").alias("n_tokens"))
+    placed = [] if place is None else [place[0].alias("__run"), place[1].alias("__place")]
+    rows = docs.select(F.col(id), F.coalesce(length if length is not None else F.octet_length(text), F.lit(0)).cast("long").alias("n_tokens"), *placed)
     longest = rows.agg(F.max("n_tokens")).first()[0] or 0
     width = grain(longest)
     cell = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / width)).cast("long")
@@ -69,6 +72,6 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     for k in reversed(range(len(bounds) - 1)):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket.cast("long")).withColumn("padded_len", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), (F.col("bucket") + 1).cast("int")))
-    rows = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), "bucket", id, "__one", "__rank")
+    rows = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), "bucket", id, "__one", "__rank", place=("__run", "__place") if placed else None)
     each = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget}L div padded_len"))
     return rows.select(id, "n_tokens", "bucket", "padded_len", F.floor(F.col("__rank") / each).cast("long").alias("batch"), (F.col("__rank") % each).cast("long").alias("place"))

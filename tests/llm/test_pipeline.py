@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_llm import DOCS, corpus
+from ternspark.llm import mixing
 from ternspark.llm.queries import ORACLE, QUERIES
 
 
@@ -26,5 +27,18 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == sizes[-1]
 
 
+def test_weights_decide_which_documents_share_a_batch(spark, tmp_path):
+    rows = [(i, chr(97 + i % 26) * 2000, "aa", "ab"[i % 2], 2000) for i in range(400)]
+    docs, batches = spark.createDataFrame(rows, DOCS), []
+    for k, weights in enumerate([{"a": 0.5, "b": 0.5}, {"a": 0.9, "b": 0.1}]):
+        mixing.in_mix_order(docs, weights).write.parquet(f"{tmp_path}/{k}")
+        slots = {r.doc_id: r.slot for r in mixing.mix(docs, weights).collect()}
+        got = corpus_pipeline.pack_batches(spark, spark.read.parquet(f"{tmp_path}/{k}"), "").orderBy("bucket", "batch", "place").collect()
+        assert [slots[r.doc_id] for r in got] == sorted(slots.values())  # one bucket, filled slot by slot
+        assert [(r.batch, r.place) for r in got] == [divmod(j, 32) for j in range(400)]
+        batches.append({frozenset(r.doc_id for r in got if r.batch == b) for b in range(13)})
+    assert batches[0] != batches[1]
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE) <= set(QUERIES)
