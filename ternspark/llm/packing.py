@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from .ordinals import running_totals
 BUCKETS = 12
 #: Tokens in a batch, padding included.
 TOKEN_BUDGET = 65_536
-#: Cells of the length histogram at most: the driver's dynamic programme works on these alone.
+#: Cells of equal width that the registered query's SQL states. Elsewhere every distinct length is a cell.
 CELLS = 1024
 
 
@@ -24,25 +26,21 @@ def grain(longest: int, cells: int = CELLS) -> int:
     return g
 
 
-def boundaries(cells: list[int], counts: list[int], sums: list[int], width: int, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of the buckets that minimise the total padding, by dynamic programming.
+def boundaries(cells: Sequence[int], counts: Sequence[int], sums: Sequence[int], width: int, buckets: int = BUCKETS) -> list[int]:
+    """Upper bounds of the buckets that minimise the total padding, by dynamic programming (divide and conquer).
 
     ``cells`` are the occupied histogram cells (a cell c holds lengths in ((c - 1) width, c width]), with the
     rows and the sum of lengths of each. All buckets are used where there are cells enough. Among equal costs
     the last bucket that starts earliest wins.
     """
-    m = len(cells)
-    top = np.asarray(cells, dtype=np.float64) * width
-    n = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.float64))])
-    s = np.concatenate([[0], np.cumsum(np.asarray(sums, dtype=np.float64))])
-    # pad[i, j]: padding of one bucket over cells i..j
-    pad = top[None, :] * (n[None, 1:] - n[:-1, None]) - (s[None, 1:] - s[:-1, None])
-    pad[np.tril_indices(m, -1)] = np.inf
-    best, starts = pad[0], [np.zeros(m, dtype=int)]
-    for _ in range(min(buckets, m) - 1):
-        whole = np.concatenate([[np.inf], best[:-1]])[:, None] + pad  # the last bucket starts at cell i
-        starts.append(whole.argmin(axis=0))
-        best = whole.min(axis=0)
+    top = np.asarray(cells, dtype=np.int64) * width
+    n = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))])
+    s = np.concatenate([[0], np.cumsum(np.asarray(sums, dtype=np.int64))])
+    m = len(top)
+    best, starts = top * n[1:] - s[1:], [np.zeros(m, dtype=np.int64)]
+    for k in range(1, min(buckets, m)):
+        best, start = _next_bucket(best, k, top, n, s)
+        starts.append(start)
     bounds, j = [], m - 1
     for start in reversed(starts):
         bounds.append(int(top[j]))
@@ -50,12 +48,41 @@ def boundaries(cells: list[int], counts: list[int], sums: list[int], width: int,
     return bounds[::-1]
 
 
+def _next_bucket(best: np.ndarray, k: int, top: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of cells 0..j in k + 1 buckets, and the cell at which the last of them starts, from ``best`` of k.
+
+    The padding of one bucket over cells i..j satisfies the quadrangle inequality, so the earliest best start
+    never falls as j rises: the middle of a range is solved first and bounds the starts of both halves. All
+    ranges of a depth are solved at once, in O(m) numbers.
+    """
+    m = len(top)
+    out, start = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    low, high, first, last = (np.array([x]) for x in (k, m - 1, k, m - 1))  # cells low..high start within first..last
+    while len(low):
+        mid = (low + high) // 2
+        size = np.minimum(last, mid) - first + 1
+        begin = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(mid)), size)
+        i = first[own] + np.arange(len(own)) - begin[own]
+        cost = best[i - 1] + top[mid][own] * (n[mid + 1][own] - n[i]) - (s[mid + 1][own] - s[i])
+        least = np.minimum.reduceat(cost, begin)
+        hits = np.flatnonzero(cost == least[own])
+        at = i[hits[np.searchsorted(hits, begin)]]  # the earliest of equals
+        out[mid], start[mid] = least, at
+        low, high, first, last = (np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, at), (at, last)))
+        some = low <= high
+        low, high, first, last = low[some], high[some], first[some], last[some]
+    return out, start
+
+
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, id: str = "doc_id", text: str = "text",
-         place: tuple[Column, Column] | None = None) -> DataFrame:
+         place: tuple[Column, Column] | None = None, cells: int | None = None) -> DataFrame:
     """Batches of documents of similar length: (id, n_tokens, bucket, padded_len, batch, place).
 
     ``length`` counts a row's tokens (default: UTF-8 bytes, the tokens of a byte-level model; null is 0).
-    Bucket bounds come from the histogram of all rows; inside a bucket, batches take
+    Bucket bounds minimise the padding over all rows: every distinct length may be a bound. There are at most
+    sqrt(2 x tokens) of them (some 245,000 for 30 GB), which the driver takes as arrays. With ``cells``, bounds
+    are multiples of the `grain` for so many cells, which the longest text sets for all. Inside a bucket, batches take
     max(1, budget // padded_len) rows each in a fixed hash order of the id, or in the order of ``place``: a run
     of rows, and the row's place in it. A text longer than the budget is
     a batch of its own and stays whole. Rows without tokens go to the first bucket. Equal rows are
@@ -63,11 +90,10 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     """
     placed = [] if place is None else [place[0].alias("__run"), place[1].alias("__place")]
     rows = docs.select(F.col(id), F.coalesce(length if length is not None else F.octet_length(text), F.lit(0)).cast("long").alias("n_tokens"), *placed)
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    width = grain(longest)
+    width = 1 if cells is None else grain(rows.agg(F.max("n_tokens")).first()[0] or 0, cells)
     cell = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / width)).cast("long")
-    histogram = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("cell").collect()  # CELLS rows at most
-    bounds = boundaries([r.cell for r in histogram], [r.n for r in histogram], [r.s for r in histogram], width, buckets) if histogram else [width]
+    histogram = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).toArrow().sort_by("cell")
+    bounds = boundaries(*(histogram.column(c).to_numpy() for c in ("cell", "n", "s")), width, buckets) if histogram.num_rows else [width]
     bucket = F.lit(len(bounds) - 1)
     for k in reversed(range(len(bounds) - 1)):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)

@@ -81,6 +81,33 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_a_long_text_does_not_coarsen_the_bounds_of_short_ones(spark):
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 3000) for _ in range(300)] + [4_000_000]
+    got = packing.pack(spark.createDataFrame([(k, "x" * n) for k, n in enumerate(lengths)], "doc_id long, text string"), buckets=5).collect()
+    cells = sorted(set(lengths))
+    best = {c: (c * sum(n <= c for n in lengths) - sum(n for n in lengths if n <= c)) for c in cells}
+    for _ in range(4):
+        best = {c: min(best[b] + sum(c - n for n in lengths if b < n <= c) for b in cells if b < c and b in best) for c in cells if any(b < c for b in best)}
+    assert sum(r.padded_len - r.n_tokens for r in got) == best[4_000_000]
+
+
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(7)
+    cells = np.unique(rng.integers(1, 10**7, 150_000))
+    counts = rng.integers(1, 100, len(cells))
+    bounds = np.array(packing.boundaries(cells, counts, cells * counts, 1, 12))
+    pad = int(((bounds[np.searchsorted(bounds, cells)] - cells) * counts).sum())
+    n = np.linspace(0, len(cells) - 1, 13)[1:].astype(int)  # near the best for even lengths
+    even = int(((cells[n][np.searchsorted(cells[n], cells)] - cells) * counts).sum())
+    assert len(bounds) == 12 and bounds[-1] == cells[-1] and pad <= even
+    for k in range(11):  # no bound is better one cell off
+        for step in (-1, 1):
+            other = bounds.copy()
+            other[k] = cells[np.searchsorted(cells, other[k]) + step]
+            assert int(((other[np.searchsorted(other, cells)] - cells) * counts).sum()) >= pad
+
+
 def test_boundaries_are_optimal():
     from itertools import combinations
 
