@@ -431,6 +431,26 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_relatives_and_copies(spark):
+    t = licenses.TEMPLATES
+    gnu = "This work is licensed under the GNU {} Public License, version {}."
+    want = {
+        "Released under the BSD License.": ["BSD"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"], "Licensed under CC BY-NC 3.0.": [],
+        gnu.format("General", "2"): ["GPL-2.0"], gnu.format("General", "3.0"): ["GPL-3.0"], gnu.format("Lesser General", "3"): ["LGPL-3.0"], gnu.format("Foo General", "3"): [],
+        "This work is licensed under the GNU General Public License v3": ["GPL-3.0"], gnu.format("General", "2") + " See 3 files": ["GPL-2.0"],
+        "the foo Released under the MIT License. Released under the MIT License. See the docs": ["MIT", "MIT"],
+        "Licensed under the Apache License, Version 2.0 or the MIT License": ["Apache-2.0", "MIT"],
+        "Licensed under CC BY 4.0 or CC BY-SA 4.0": ["CC-BY-4.0", "CC-BY-SA-4.0"],
+        **{t[x] + " end": [x] for x in t},
+        t["BSD-3-Clause"] + " word" * 30 + " " + t["MIT-text"]: ["BSD-3-Clause", "MIT-text"], "copy " + t["MIT-text"] + " " + t["MIT-text"]: ["MIT-text", "MIT-text"],
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert {text: [x.license for x in r.notices] for text, r in zip(want, got, strict=True)} == want
+    assert [(x.first_word, x.last_word, x.coverage) for x in got[9].notices] == [(2, 7, 1.0), (7, 12, 1.0)]
+    scanner = licenses.Scanner()
+    assert all(len(scanner.keys[x]) == len(scanner.required[x][0]) for x in t)
+
+
 def test_patience():
     a, b = "a x b c d y e".split(), "a b c z d e".split()
     assert [a[i] for i, _ in licenses.patience(a, b)] == ["a", "b", "c", "d", "e"]
