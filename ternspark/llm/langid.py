@@ -19,8 +19,8 @@ ORDER = 3
 #: The bounded sample of labelled documents that the models are fitted on: documents per language (a hash of
 #: the id picks them) and, of those, the share kept apart for calibration.
 SAMPLE_DOCS, CALIBRATION = 1_000, 0.25
-#: Letters told apart; others count as one.
-LETTERS = 62
+#: Grams are counted in a dense array up to this number, sorted beyond it.
+DENSE = 1 << 22
 #: A text is rejected if its cross-entropy lies this many times as far over the language's mean as that of any
 #: document of the calibration sample.
 TOLERANCE = 1.5
@@ -31,7 +31,7 @@ SLACK = 0.5
 CHUNK = 1 << 20
 
 UNKNOWN = "und"
-GAP, OTHER = 0, 1  # symbols: not a letter; a letter that isn't told apart
+GAP, OTHER = 0, 1  # symbols: not a letter; a letter that no labelled text of the sample has
 
 
 @dataclass
@@ -99,12 +99,12 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int, size: int) ->
 
 
 class Alphabet:
-    """Symbols of code points: the letters told apart, other letters, everything else."""
+    """Symbols of code points: the letters of the sample, other letters, everything else."""
 
     def __init__(self, letters: list[str]):
         self.size = len(letters) + 2
         number = {c: k + 2 for k, c in enumerate(letters)}
-        self.table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        self.table = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         for cp in range(sys.maxunicode + 1):
             c = chr(cp)
             if c.isalpha():
@@ -125,7 +125,9 @@ class Alphabet:
 
 
 def grams_of(symbols: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The gram that ends at each symbol; before the first symbol stand gaps."""
+    """The gram that ends at each symbol, as one number; before the first symbol stand gaps."""
+    if size**order > np.iinfo(np.int64).max:  # three of any code points fit
+        raise ValueError(f"{order} symbols of {size} don't fit in 64 bits")
     padded = np.concatenate([np.zeros(order - 1, dtype=np.int64), symbols.astype(np.int64)])
     out = np.zeros(len(symbols), dtype=np.int64)
     for k in range(order):
@@ -178,10 +180,13 @@ class _Scorer:
         for k in range(1, order):  # a text doesn't see the one before it
             at = begins[n >= k] + k - 1
             grams[at] %= size**k
-        kinds = np.flatnonzero(np.bincount(grams, minlength=1))
-        slot = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, dtype=np.int32)
-        slot[kinds] = np.arange(len(kinds))
-        at = slot[grams]
+        if size**order <= DENSE:
+            kinds = np.flatnonzero(np.bincount(grams, minlength=1))
+            slot = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, dtype=np.int32)
+            slot[kinds] = np.arange(len(kinds))
+            at = slot[grams]
+        else:
+            kinds, at = np.unique(grams, return_inverse=True)
         out = np.zeros((len(texts), len(self.names)))
         full = n > 0
         for k, name in enumerate(self.names):
@@ -263,7 +268,7 @@ def _letters(sample: DataFrame) -> DataFrame:
                         seen[c] = seen.get(c, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["c", "n"])
 
-    return sample.select("text").mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
+    return sample.select("text").mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c")
 
 
 def _calibrate(found: Identifier, sample: DataFrame) -> None:

@@ -276,6 +276,21 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", None, None, None)], DOCS)).collect()} == {"und"}
 
 
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(8)
+    letters = {"la": range(97, 123), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4EC8), "ja": [*range(0x3041, 0x3091), *range(0x5000, 0x5064)], "ko": range(0xAC00, 0xAC80), "new": range(0x905, 0x939)}
+    rows = []
+    for lang, points in letters.items():
+        own = [chr(p) for p in points]
+        words = ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(80)]
+        rows += [(len(rows) + k, " ".join(rng.choice(words) for _ in range(40)), lang, None, None) for k in range(60 if lang != "la" else 200)]
+    known = langid.fit(spark.createDataFrame([r for r in rows if r[2] != "new" and r[0] % 3], DOCS))
+    assert len(known.letters) > 400
+    got = known.predict(spark.createDataFrame([r for r in rows if r[2] == "new" or not r[0] % 3], DOCS)).collect()
+    assert all(r.rejected if r.lang == "new" else r.lang_pred == r.lang and not r.rejected for r in got)
+    assert {r.lang for r in got} == set(letters)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     size = 5
