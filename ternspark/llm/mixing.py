@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +15,7 @@ from .ordinals import running_totals, shuffled_key
 
 #: Characters in a block, the unit that is scheduled.
 BLOCK_CHARS = 65_536
-#: Shares of the heaviest source; weights are rounded to whole shares, one at least.
+#: Shares of the heaviest source where weights are rounded to whole shares, one at least (as the registered query's SQL states).
 RESOLUTION = 100
 
 # One period of the schedule: q holds each source's shares, n their sum. In every slot t the source whose
@@ -26,7 +32,7 @@ aggregate(
 """
 
 
-def shares(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", size: str = "__size") -> DataFrame:
+def shares(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", size: str = "__size", resolution: int = RESOLUTION) -> DataFrame:
     """Whole shares of each source: (source, q). Without weights a source weighs the square root of its size."""
     sizes = docs.groupBy(source).agg(F.sum(size).alias("w"))
     if weights is not None:
@@ -35,7 +41,7 @@ def shares(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     else:
         sizes = sizes.withColumn("w", F.sqrt(F.col("w").cast("double")))
     top = sizes.agg(F.max("w").alias("top"))
-    q = F.floor(F.lit(float(RESOLUTION)) * F.coalesce(F.try_divide("w", "top"), F.lit(1.0)) + F.lit(0.5))
+    q = F.floor(F.lit(float(resolution)) * F.coalesce(F.try_divide("w", "top"), F.lit(1.0)) + F.lit(0.5))
     return sizes.crossJoin(top).select(source, F.greatest(F.lit(1), q).cast("long").alias("q"))
 
 
@@ -53,8 +59,48 @@ def schedule(table: DataFrame, source: str = "source") -> DataFrame:
     return slots.withColumn("i", order)
 
 
+def exact_slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block, by earliest deadline first over exact weights.
+
+    Sources that have run out leave their slots empty or to others. Sources of weight 0 claim nothing: they
+    follow in equal parts when all others are placed.
+    """
+    if any(not math.isfinite(w) or w < 0 for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    end = 0
+    for tier in ([k for k, w in enumerate(weights) if w > 0], [k for k, w in enumerate(weights) if w == 0]):
+        begin, total = end, sum(Fraction(weights[k] or 1) for k in tier)
+        every = {k: total / Fraction(weights[k] or 1) for k in tier}  # slots from one block to the next
+        window = {k: (lambda i, n=f.numerator, d=f.denominator: (i * n // d, -(-(i + 1) * n // d))) for k, f in every.items()}
+        waiting = [(0, k, 0) for k in tier if blocks[k]]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int, int]] = []
+        t = 0
+        while waiting or ready:
+            if not ready:
+                t = max(t, waiting[0][0])
+            while waiting and waiting[0][0] <= t:
+                release, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (window[k](i)[1], k, i, release))
+            deadline, k, i, release = heapq.heappop(ready)
+            yield k, i, begin + t, begin + release, begin + deadline
+            if i + 1 < blocks[k]:
+                heapq.heappush(waiting, (window[k](i + 1)[0], k, i + 1))
+            t += 1
+        end = begin + t
+
+
+def _exact(rows: DataFrame, weights: dict[str, float] | None, source: str, block_chars: int) -> DataFrame:
+    """(source, block, slot, release, deadline) of all blocks; a row per source comes to the driver, and the blocks are its heap's."""
+    sizes = rows.groupBy(source).agg(F.sum("__size").alias("size")).orderBy(source).collect()
+    w = [math.sqrt(r["size"]) if weights is None else float(weights.get(r[source], 0.0)) for r in sizes]
+    made = list(exact_slots(w, [r["size"] // block_chars + 1 for r in sizes]))  # the last may hold no row
+    columns = [pa.array([sizes[x[0]][source] for x in made], type=pa.string()), *(pa.array([x[k] for x in made], type=pa.int64()) for k in range(1, 5))]
+    return rows.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=[source, "block", "slot", "release", "deadline"]))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS,
-        id: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
+        id: str = "doc_id", source: str = "source", size: Column | None = None, resolution: int | None = RESOLUTION) -> DataFrame:
     """Every row of ``docs`` once, with its place in the weighted interleaving.
 
     Adds ``n_chars`` (code points), ``block`` (of its source, from 0), ``slot`` (global, from 0), ``release``
@@ -65,11 +111,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     ``size`` counts a row's characters (default: those of ``text``). A block holds a source's documents whose running total of characters, in a fixed hash order, starts in
     the same ``block_chars``. A null source counts as the source "", null text as empty; equal rows are
     interchangeable; an empty table gives an empty table. Sources without a weight get one share.
+
+    Without ``resolution``, weights aren't rounded and no period is repeated: with w a source's part of all
+    weights, block k runs in [floor(k / w), ceil((k + 1) / w)). Sources without a weight, or of weight 0, follow
+    all others. The driver makes the slots of all blocks, some 460,000 for 30 GB.
     """
     rows = docs.withColumn(source, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__size", F.coalesce(F.char_length("text") if size is None else size, F.lit(0)).cast("long"))
     rows = rows.drop("n_chars", "block", "slot", "release", "deadline")
     light = rows.select(source, "__size")
-    period = schedule(shares(light, weights, source), source)
+    if resolution is None:
+        placed = running_totals(rows, source, id, "__size", "__before").withColumn("block", F.floor(F.col("__before") / block_chars).cast("long"))
+        return placed.join(_exact(light, weights, source, block_chars), [source, "block"]).withColumnRenamed("__size", "n_chars").drop("__before")
+    period = schedule(shares(light, weights, source, resolution=resolution), source)
     per_source = period.groupBy(source).agg(F.max("q").alias("__q"), F.max("n").alias("__n"))
     placed = running_totals(rows, source, id, "__size", "__before").join(F.broadcast(per_source), source)
     placed = placed.withColumn("block", F.floor(F.col("__before") / block_chars).cast("long")).withColumn("__i", F.col("block") % F.col("__q"))
@@ -85,8 +138,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, rows laid out in the order of the mix: ranges of slots, sorted inside."""
+    """The columns of ``docs``, rows laid out in the order of the mix of exact weights: ranges of slots, sorted inside."""
     columns = docs.columns
-    placed = mix(docs.withColumn("__kept_source", F.col("source")).withColumn("__kept_n", F.col("n_chars")), weights)
+    placed = mix(docs.withColumn("__kept_source", F.col("source")).withColumn("__kept_n", F.col("n_chars")), weights, id=id, resolution=None)
     placed = placed.withColumn("source", F.col("__kept_source")).withColumn("n_chars", F.col("__kept_n"))
     return placed.withColumn("__h", shuffled_key(id)).repartitionByRange("slot", "__h").sortWithinPartitions("slot", "__h").select(columns)

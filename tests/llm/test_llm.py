@@ -61,6 +61,25 @@ def test_mix_keeps_every_row_within_a_block(spark):
             assert abs(done - w * (t + 1)) < 1
 
 
+def test_exact_mix_keeps_to_the_given_weights(spark):
+    for given in ([0.999, 0.001], [0.6, 0.3, 0.1], [1.0, 1e-4, 0.37, 0.0]):
+        blocks = [int(6000 * w / sum(given)) or 5 for w in given]
+        made = list(mixing.exact_slots(given, blocks))
+        assert sorted((k, i) for k, i, *_ in made) == sorted((k, i) for k, n in enumerate(blocks) for i in range(n))
+        assert len({slot for _, _, slot, _, _ in made}) == len(made) and all(r <= slot < d for _, _, slot, r, d in made)
+        source = {slot: k for k, _, slot, _, _ in made}
+        done = [0] * len(given)
+        for t in range(5000):  # nobody has run out yet but those of less than a block
+            if t in source:
+                done[source[t]] += 1
+            assert all(abs(n - (t + 1) * w / sum(given)) < 1 for n, w, b in zip(done, given, blocks, strict=True) if n < b)
+    rows = [(k, "x" * 10, None, "ab"[k % 100 == 0], None) for k in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 999, "b": 1}, block_chars=10, resolution=None).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and sorted(r.slot // 1000 for r in got if r.source == "b") == list(range(10))
+    last = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 1.0, "b": 0.0}, block_chars=10, resolution=None).collect()
+    assert max(r.slot for r in last if r.source == "a") < min(r.slot for r in last if r.source == "b")
+
+
 def test_mix_edges(spark, empty):
     assert mixing.mix(empty).count() == 0
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "abc", None, "a", 7)]

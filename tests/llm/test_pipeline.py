@@ -32,7 +32,7 @@ def test_weights_decide_which_documents_share_a_batch(spark, tmp_path):
     docs, batches = spark.createDataFrame(rows, DOCS), []
     for k, weights in enumerate([{"a": 0.5, "b": 0.5}, {"a": 0.9, "b": 0.1}]):
         mixing.in_mix_order(docs, weights).write.parquet(f"{tmp_path}/{k}")
-        slots = {r.doc_id: r.slot for r in mixing.mix(docs, weights).collect()}
+        slots = {r.doc_id: r.slot for r in mixing.mix(docs, weights, resolution=None).collect()}
         got = corpus_pipeline.pack_batches(spark, spark.read.parquet(f"{tmp_path}/{k}"), "").orderBy("bucket", "batch", "place").collect()
         assert [slots[r.doc_id] for r in got] == sorted(slots.values())  # one bucket, filled slot by slot
         assert [(r.batch, r.place) for r in got] == [divmod(j, 32) for j in range(400)]
