@@ -2,144 +2,172 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Mapping
+from dataclasses import dataclass
 from fractions import Fraction
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordinals import running_totals, shuffled_key
 
 #: Characters in a block, the unit that is scheduled.
 BLOCK_CHARS = 65_536
-#: Shares of the heaviest source where weights are rounded to whole shares, one at least (as the registered query's SQL states).
-RESOLUTION = 100
-
-# One period of the schedule: q holds each source's shares, n their sum. In every slot t the source whose
-# next block is released (floor(c n / q) <= t) and has the earliest deadline (ceil((c + 1) n / q)) runs.
-_PERIOD = """
-aggregate(
-  sequence(0L, n - 1L),
-  named_struct('c', transform(q, x -> 0L), 'p', cast(array() as array<bigint>)),
-  (a, t) -> transform(
-    array(array_min(transform(q, (w, i) ->
-      if((a.c[i] * n) div w <= t, struct(((a.c[i] + 1L) * n + w - 1L) div w as d, cast(i as bigint) as i), null)))),
-    m -> named_struct('c', transform(a.c, (x, i) -> if(i = m.i, x + 1L, x)), 'p', concat(a.p, array(m.i))))[0],
-  a -> a.p)
-"""
-
-
-def shares(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", size: str = "__size", resolution: int = RESOLUTION) -> DataFrame:
-    """Whole shares of each source: (source, q). Without weights a source weighs the square root of its size."""
-    sizes = docs.groupBy(source).agg(F.sum(size).alias("w"))
-    if weights is not None:
-        pairs = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
-        sizes = docs.select(source).distinct().withColumn("w", F.coalesce(pairs[F.col(source)], F.lit(0.0)) if weights else F.lit(1.0))
-    else:
-        sizes = sizes.withColumn("w", F.sqrt(F.col("w").cast("double")))
-    top = sizes.agg(F.max("w").alias("top"))
-    q = F.floor(F.lit(float(resolution)) * F.coalesce(F.try_divide("w", "top"), F.lit(1.0)) + F.lit(0.5))
-    return sizes.crossJoin(top).select(source, F.greatest(F.lit(1), q).cast("long").alias("q"))
-
-
-def schedule(table: DataFrame, source: str = "source") -> DataFrame:
-    """Slots of one period: (source, i, q, n, slot0), i counting a source's blocks from 0.
-
-    The schedule depends on the weights only and repeats every n slots, so its size follows the number of
-    sources (a configuration), not the corpus.
-    """
-    one = table.agg(F.array_sort(F.collect_list(F.struct(F.col(source).alias("s"), "q"))).alias("all")).where("size(all) > 0")
-    one = one.selectExpr("all", "transform(all, x -> x.q) as q", "aggregate(all, 0L, (a, x) -> a + x.q) as n")
-    slots = one.select("all", "n", F.posexplode(F.expr(_PERIOD)).alias("slot0", "pick"))
-    slots = slots.select(F.expr("all[int(pick)].s").alias(source), F.expr("all[int(pick)].q").alias("q"), "n", F.col("slot0").cast("long"))
-    order = F.expr(f"row_number() over (partition by {source} order by slot0)").cast("long") - 1
-    return slots.withColumn("i", order)
+#: Parts into which the default weights divide the whole.
+PARTS = 10_000
+#: Slots that one row of the schedule's table unfolds to, and slots of a table that may be broadcast.
+SEGMENT, BROADCAST_SLOTS = 256, 200_000
 
 
-def exact_slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of every block, by earliest deadline first over exact weights.
+@dataclass(frozen=True)
+class Rates:
+    """Whole weights q (in lowest terms), their sum n, and the blocks to place, by source; the first have weight."""
 
-    Sources that have run out leave their slots empty or to others. Sources of weight 0 claim nothing: they
-    follow in equal parts when all others are placed.
-    """
-    if any(not math.isfinite(w) or w < 0 for w in weights):
+    names: list[str]
+    q: list[int]
+    blocks: list[int]
+
+    @property
+    def n(self) -> int:
+        return sum(self.q)
+
+    @property
+    def weighted(self) -> int:
+        """The number of sources that have a weight; the others follow them."""
+        return sum(x > 0 for x in self.q)
+
+    @property
+    def repeats(self) -> bool:
+        """Whether the schedule's period, n slots, is shorter than the blocks to place."""
+        return self.n <= sum(b for b, x in zip(self.blocks, self.q, strict=True) if x)
+
+    @property
+    def steps(self) -> int:
+        return self.n if self.repeats else sum(b for b, x in zip(self.blocks, self.q, strict=True) if x)
+
+    @property
+    def end(self) -> int:
+        """The slot after the last deadline."""
+        return max([-(-b * self.n // x) for b, x in zip(self.blocks, self.q, strict=True) if x], default=0)
+
+
+def default_weights(sizes: Mapping[str, int]) -> dict[str, int]:
+    """Ten-thousandths of the whole (at least one) in proportion to the square roots of the sources' sizes."""
+    total = sum(math.sqrt(s) for s in sizes.values())
+    return {k: max(1, math.floor(PARTS * math.sqrt(s) / total + 0.5)) if total else 1 for k, s in sizes.items()}
+
+
+def rates(sizes: Mapping[str, int], weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS) -> Rates:
+    """The exact rates of the sources in ``sizes``: a weight counts as the decimal number that it is written as."""
+    given = default_weights(sizes) if weights is None else weights
+    if any(not math.isfinite(w) or w < 0 for w in given.values()):
         raise ValueError("weights must be finite and not negative")
-    end = 0
-    for tier in ([k for k, w in enumerate(weights) if w > 0], [k for k, w in enumerate(weights) if w == 0]):
-        begin, total = end, sum(Fraction(weights[k] or 1) for k in tier)
-        every = {k: total / Fraction(weights[k] or 1) for k in tier}  # slots from one block to the next
-        window = {k: (lambda i, n=f.numerator, d=f.denominator: (i * n // d, -(-(i + 1) * n // d))) for k, f in every.items()}
-        waiting = [(0, k, 0) for k in tier if blocks[k]]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, int, int, int]] = []
-        t = 0
-        while waiting or ready:
-            if not ready:
-                t = max(t, waiting[0][0])
-            while waiting and waiting[0][0] <= t:
-                release, k, i = heapq.heappop(waiting)
-                heapq.heappush(ready, (window[k](i)[1], k, i, release))
-            deadline, k, i, release = heapq.heappop(ready)
-            yield k, i, begin + t, begin + release, begin + deadline
-            if i + 1 < blocks[k]:
-                heapq.heappush(waiting, (window[k](i + 1)[0], k, i + 1))
-            t += 1
-        end = begin + t
-
-
-def _exact(rows: DataFrame, weights: dict[str, float] | None, source: str, block_chars: int) -> DataFrame:
-    """(source, block, slot, release, deadline) of all blocks; a row per source comes to the driver, and the blocks are its heap's."""
-    sizes = rows.groupBy(source).agg(F.sum("__size").alias("size")).orderBy(source).collect()
-    w = [math.sqrt(r["size"]) if weights is None else float(weights.get(r[source], 0.0)) for r in sizes]
-    made = list(exact_slots(w, [r["size"] // block_chars + 1 for r in sizes]))  # the last may hold no row
-    columns = [pa.array([sizes[x[0]][source] for x in made], type=pa.string()), *(pa.array([x[k] for x in made], type=pa.int64()) for k in range(1, 5))]
-    return rows.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=[source, "block", "slot", "release", "deadline"]))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS,
-        id: str = "doc_id", source: str = "source", size: Column | None = None, resolution: int | None = RESOLUTION) -> DataFrame:
-    """Every row of ``docs`` once, with its place in the weighted interleaving.
+    exact = {k: Fraction(str(given.get(k, 0))) for k in sizes}
+    names = sorted(exact, key=lambda k: (exact[k] == 0, k))
+    scale = math.lcm(*[w.denominator for w in exact.values()]) if exact else 1
+    whole = [int(exact[k] * scale) for k in names]
+    common = math.gcd(*whole) or 1
+    made = Rates(names, [w // common for w in whole], [sizes[k] // block_chars + 1 for k in names])  # the last block may hold no row
+    if max(made.n, made.end) >= 1 << 62:
+        raise ValueError("slots exceed 64 bits: give weights fewer digits")
+    return made
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Adds ``n_chars`` (code points), ``block`` (of its source, from 0), ``slot`` (global, from 0), ``release``
-    and ``deadline``, which replace columns of those names. Block k of a source with share q of n runs in a
-    slot in [floor(k n / q), ceil((k + 1) n / q)), so at every slot a source's blocks differ from its weight's
-    claim by less than one, until a source runs out; its later slots stay empty and the order stands.
 
-    ``size`` counts a row's characters (default: those of ``text``). A block holds a source's documents whose running total of characters, in a fixed hash order, starts in
-    the same ``block_chars``. A null source counts as the source "", null text as empty; equal rows are
-    interchangeable; an empty table gives an empty table. Sources without a weight get one share.
+def schedule(spark: SparkSession, r: Rates) -> DataFrame:
+    """(source, k, slot0) of the blocks k of every source with weight: of one period, or of all blocks if that is shorter.
 
-    Without ``resolution``, weights aren't rounded and no period is repeated: with w a source's part of all
-    weights, block k runs in [floor(k / w), ceil((k + 1) / w)). Sources without a weight, or of weight 0, follow
-    all others. The driver makes the slots of all blocks, some 460,000 for 30 GB.
+    In each step the block with the earliest deadline (ceil((k + 1) n / q)) of those released (floor(k n / q) <=
+    slot) takes the slot; without one, slots up to the next release stay empty. A fold over the steps keeps
+    what every source has done at each `SEGMENT`-th slot; the segments are unfolded in parallel from there. A step
+    looks at every source, so the fold takes (sources x steps), in one task; the steps are at most n.
+    """
+    q, limit = r.q[: r.weighted], (r.q if r.repeats else r.blocks)[: r.weighted]
+    kind = "bigint" if (max(limit, default=0) + 1) * r.n < 1 << 62 else "decimal(38,0)"
+
+    def numbers(x: list[int]) -> str:
+        return f"array({', '.join(f'cast({v} as {kind})' for v in x)})"
+
+    n, one = f"cast({r.n} as {kind})", f"cast(1 as {kind})"
+    windows = (f"transform(a.c, (x, i) -> if(x < {numbers(limit)}[i], named_struct('r', x * {n} div {numbers(q)}[i], "
+               f"'d', ((x + {one}) * {n} + {numbers(q)}[i] - {one}) div {numbers(q)}[i], 'i', cast(i as int)), null))")
+    pick = "array_min(transform(w, y -> if(y.r <= now, named_struct('d', y.d, 'i', y.i), null))).i"
+    done = f"named_struct('c', transform(a.c, (x, j) -> if(j = p, cast(x + {one} as {kind}), x)), 't', now + 1L)"
+    state = f"struct<c: array<{kind}>, t: bigint>"
+    sources = f"transform({numbers(q)}, x -> cast(0 as {kind}))"
+
+    def step(body: str) -> str:
+        """``body`` sees the state a, the slot now and the source p (null at the end)."""
+        return _let("w", windows, _let("now", "greatest(a.t, array_min(transform(w, y -> y.r)))", _let("p", pick, body)))
+
+    if not q:
+        return spark.createDataFrame([], "source string, k bigint, slot0 bigint")
+    last = -(-r.steps // SEGMENT) - 1
+    fold = (f"aggregate(sequence(0, {last}), named_struct('a', cast(named_struct('c', {sources}, 't', id) as {state}), 's', cast(array() as array<{state}>)), "
+            f"(z, s) -> named_struct('a', aggregate(sequence(1, {SEGMENT}), z.a, (a, u) -> {step(f'if(p is null, a, {done})')}), 's', concat(z.s, array(z.a))), z -> z.s)")
+    chosen = "named_struct('i', p, 'k', cast(a.c[p] as bigint), 'slot0', now)"
+    out = "struct<i: int, k: bigint, slot0: bigint>"
+    one_more = step(f"if(p is null, z, named_struct('a', {done}, 'o', concat(z.o, array({chosen}))))")
+    unfold = (f"aggregate(sequence(1, {SEGMENT}), named_struct('a', a, 'o', cast(array() as array<{out}>)), "
+              f"(z, u) -> {_let('a', 'z.a', one_more)}, z -> z.o)")
+    segments = spark.range(1).select(F.explode(F.expr(fold)).alias("a"))
+    slots = segments.repartition(min(last + 1, 256)).select(F.explode(F.expr(unfold)).alias("x"))
+    names = F.array(*[F.lit(x) for x in r.names[: r.weighted]])
+    return slots.select(F.get(names, F.col("x.i")).alias("source"), "x.k", "x.slot0")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS,
+        id: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
+    """Every row of ``docs`` once, with its place in the weighted interleaving.
+
+    Adds ``n_chars`` (code points), ``block`` (of its source, from 0), ``slot`` (global, from 0), ``release``
+    and ``deadline``, which replace columns of those names. Block k of a source with the part w of all weights
+    runs in a slot in [floor(k / w), ceil((k + 1) / w)), so at every slot a source's blocks differ from its
+    weight's claim by less than one, until a source runs out. Weights are exact: decimal numbers as they are
+    written; without weights, `default_weights` of the sources' sizes. The schedule repeats after as many slots as
+    the weights have whole parts; if those are more than the blocks, it is made for the blocks alone.
+    Sources without a weight, or of weight 0, follow all others in equal parts.
+
+    ``size`` counts a row's characters (default: those of ``text``). A block holds a source's documents whose
+    running total of characters, in a fixed hash order of id and size, starts in the same ``block_chars``. A null
+    source counts as the source "", null text as empty; rows of one id and size are interchangeable; an empty
+    table gives an empty table. A row per source reaches the driver: name, size and weight.
     """
     rows = docs.withColumn(source, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__size", F.coalesce(F.char_length("text") if size is None else size, F.lit(0)).cast("long"))
     rows = rows.drop("n_chars", "block", "slot", "release", "deadline")
-    light = rows.select(source, "__size")
-    if resolution is None:
-        placed = running_totals(rows, source, id, "__size", "__before").withColumn("block", F.floor(F.col("__before") / block_chars).cast("long"))
-        return placed.join(_exact(light, weights, source, block_chars), [source, "block"]).withColumnRenamed("__size", "n_chars").drop("__before")
-    period = schedule(shares(light, weights, source, resolution=resolution), source)
-    per_source = period.groupBy(source).agg(F.max("q").alias("__q"), F.max("n").alias("__n"))
-    placed = running_totals(rows, source, id, "__size", "__before").join(F.broadcast(per_source), source)
-    placed = placed.withColumn("block", F.floor(F.col("__before") / block_chars).cast("long")).withColumn("__i", F.col("block") % F.col("__q"))
-    slots = period.select(source, F.col("i").alias("__i"), "slot0")
+    sizes = {r[source]: r["w"] for r in rows.groupBy(source).agg(F.sum("__size").alias("w")).collect()}
+    r = rates(sizes, weights, block_chars)
+    last = r.weighted
+    placed = running_totals(rows, source, id, "__size", "__before").withColumn("block", F.floor(F.col("__before") / block_chars).cast("long")).drop("__before")
+    # a source's whole weight, the blocks after which its slots repeat, and its number among those without weight
+    facts = {k: F.struct(F.lit(x).cast("long").alias("q"), F.lit(x if r.repeats and x else b).cast("long").alias("turn"), F.lit(i - last).cast("long").alias("after"))
+             for i, (k, x, b) in enumerate(zip(r.names, r.q, r.blocks, strict=True))}
+    fact = F.create_map(*[y for k, v in facts.items() for y in (F.lit(k), v)])[F.col(source)] if facts else F.lit(None).cast("struct<q: bigint, turn: bigint, after: bigint>")
+    placed = placed.withColumn("__f", fact).withColumn("__k", F.col("block") % F.col("__f.turn"))
+    slots = schedule(docs.sparkSession, r).select(F.col("source").alias(source), F.col("k").alias("__k"), "slot0")
+    slots = F.broadcast(slots) if r.steps <= BROADCAST_SLOTS else slots
+    n, others = r.n, len(r.names) - last
+    wide = "decimal(38,0)" if (max(r.blocks, default=0) + 1) * n >= 1 << 62 else "bigint"
+    # sources without weight have no row among the slots: they take turns after the end
+    follow = f"{r.end}L + block * {others}L"
     return (
-        placed.join(F.broadcast(slots), [source, "__i"])
-        .withColumn("slot", F.expr("block div __q") * F.col("__n") + F.col("slot0"))
-        .withColumn("release", F.expr("(block * __n) div __q"))
-        .withColumn("deadline", F.expr("((block + 1) * __n + __q - 1) div __q"))
-        .withColumnRenamed("__size", "n_chars")
-        .drop("__before", "__i", "__q", "__n", "slot0")
+        placed.join(slots, [source, "__k"], "left")
+        .withColumns({
+            "slot": F.expr(f"if(__f.q > 0, (block div __f.turn) * {n}L + slot0, {follow} + __f.after)"),
+            "release": F.expr(f"if(__f.q > 0, cast(block as {wide}) * {n}L div __f.q, {follow})"),
+            "deadline": F.expr(f"if(__f.q > 0, (cast(block + 1L as {wide}) * {n}L + __f.q - 1L) div __f.q, {follow} + {others}L)"),
+        })
+        .withColumnRenamed("__size", "n_chars").drop("__k", "__f", "slot0")
     )
 
 
-def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, id: str = "doc_id") -> DataFrame:
-    """The columns of ``docs``, rows laid out in the order of the mix of exact weights: ranges of slots, sorted inside."""
+def in_mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, id: str = "doc_id") -> DataFrame:
+    """The columns of ``docs``, rows laid out in the order of the mix: ranges of slots, sorted inside."""
     columns = docs.columns
-    placed = mix(docs.withColumn("__kept_source", F.col("source")).withColumn("__kept_n", F.col("n_chars")), weights, id=id, resolution=None)
+    placed = mix(docs.withColumn("__kept_source", F.col("source")).withColumn("__kept_n", F.col("n_chars")), weights, id=id)
     placed = placed.withColumn("source", F.col("__kept_source")).withColumn("n_chars", F.col("__kept_n"))
     return placed.withColumn("__h", shuffled_key(id)).repartitionByRange("slot", "__h").sortWithinPartitions("slot", "__h").select(columns)

@@ -14,28 +14,18 @@ from .ordinals import running_totals
 BUCKETS = 12
 #: Tokens in a batch, padding included.
 TOKEN_BUDGET = 65_536
-#: Cells of equal width that the registered query's SQL states. Elsewhere every distinct length is a cell.
-CELLS = 1024
 
 
-def grain(longest: int, cells: int = CELLS) -> int:
-    """Width of a histogram cell: the smallest power of two that covers ``longest`` with ``cells`` cells."""
-    g = 1
-    while -(-max(longest, 1) // g) > cells:
-        g *= 2
-    return g
-
-
-def boundaries(cells: Sequence[int], counts: Sequence[int], sums: Sequence[int], width: int, buckets: int = BUCKETS) -> list[int]:
+def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of the buckets that minimise the total padding, by dynamic programming (divide and conquer).
 
-    ``cells`` are the occupied histogram cells (a cell c holds lengths in ((c - 1) width, c width]), with the
-    rows and the sum of lengths of each. All buckets are used where there are cells enough. Among equal costs
-    the last bucket that starts earliest wins.
+    ``lengths`` are the distinct lengths, ascending, with the rows of each. All buckets are used where there are
+    lengths enough. Among equal costs the last bucket that starts earliest wins.
     """
-    top = np.asarray(cells, dtype=np.int64) * width
-    n = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))])
-    s = np.concatenate([[0], np.cumsum(np.asarray(sums, dtype=np.int64))])
+    top = np.asarray(lengths, dtype=np.int64)
+    count = np.asarray(counts, dtype=np.int64)
+    n = np.concatenate([[0], np.cumsum(count)])
+    s = np.concatenate([[0], np.cumsum(count * top)])
     m = len(top)
     best, starts = top * n[1:] - s[1:], [np.zeros(m, dtype=np.int64)]
     for k in range(1, min(buckets, m)):
@@ -76,28 +66,28 @@ def _next_bucket(best: np.ndarray, k: int, top: np.ndarray, n: np.ndarray, s: np
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, id: str = "doc_id", text: str = "text",
-         place: tuple[Column, Column] | None = None, cells: int | None = None) -> DataFrame:
+         place: tuple[Column, Column] | None = None) -> DataFrame:
     """Batches of documents of similar length: (id, n_tokens, bucket, padded_len, batch, place).
 
     ``length`` counts a row's tokens (default: UTF-8 bytes, the tokens of a byte-level model; null is 0).
-    Bucket bounds minimise the padding over all rows: every distinct length may be a bound. There are at most
-    sqrt(2 x tokens) of them (some 245,000 for 30 GB), which the driver takes as arrays. With ``cells``, bounds
-    are multiples of the `grain` for so many cells, which the longest text sets for all. Inside a bucket, batches take
-    max(1, budget // padded_len) rows each in a fixed hash order of the id, or in the order of ``place``: a run
-    of rows, and the row's place in it. A text longer than the budget is
-    a batch of its own and stays whole. Rows without tokens go to the first bucket. Equal rows are
-    interchangeable; an empty table gives an empty table.
+    Bucket bounds minimise the padding over all rows: every distinct length may be a bound, whatever the longest
+    text. The driver takes the histogram as arrays: at most sqrt(2 x tokens) lengths (some 245,000 for 30 GB, 14
+    million, or 2 GB with the choices of 12 buckets, for 100 TB). Inside a bucket, batches take max(1, budget //
+    padded_len) rows each in a fixed hash order of id and length, or in the order of ``place``: a run of rows, and
+    the row's place in it. A text longer than the budget is a batch of its own and stays whole. Rows without tokens
+    go to the first bucket. Equal rows are interchangeable; an empty table gives an empty table.
     """
     placed = [] if place is None else [place[0].alias("__run"), place[1].alias("__place")]
     rows = docs.select(F.col(id), F.coalesce(length if length is not None else F.octet_length(text), F.lit(0)).cast("long").alias("n_tokens"), *placed)
-    width = 1 if cells is None else grain(rows.agg(F.max("n_tokens")).first()[0] or 0, cells)
-    cell = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / width)).cast("long")
-    histogram = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).toArrow().sort_by("cell")
-    bounds = boundaries(*(histogram.column(c).to_numpy() for c in ("cell", "n", "s")), width, buckets) if histogram.num_rows else [width]
+    histogram = rows.groupBy(F.greatest(F.lit(1), F.col("n_tokens")).cast("long").alias("length")).count()
+    parts = histogram.groupBy((F.col("length") / 65_536).cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("length", "count"))).alias("all"))
+    parts = parts.select("part", F.col("all.length").alias("lengths"), F.col("all.count").alias("counts")).orderBy("part").collect()
+    lengths, counts = (np.concatenate([np.array(r[c], dtype=np.int64) for r in parts] or [np.ones(1, dtype=np.int64)]) for c in ("lengths", "counts"))
+    bounds = boundaries(lengths, counts, buckets)
     bucket = F.lit(len(bounds) - 1)
     for k in reversed(range(len(bounds) - 1)):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket.cast("long")).withColumn("padded_len", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), (F.col("bucket") + 1).cast("int")))
-    rows = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), "bucket", id, "__one", "__rank", place=("__run", "__place") if placed else None)
+    rows = running_totals(rows.withColumn("__one", F.lit(1).cast("long")), "bucket", id, "__one", "__rank", place=("__run", "__place") if placed else None, tie="n_tokens")
     each = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget}L div padded_len"))
     return rows.select(id, "n_tokens", "bucket", "padded_len", F.floor(F.col("__rank") / each).cast("long").alias("batch"), (F.col("__rank") % each).cast("long").alias("place"))

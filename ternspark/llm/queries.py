@@ -69,8 +69,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all documents (bounds on the cells that the SQL states)."""
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), cells=packing.CELLS)
+    """Length buckets and batches of all documents."""
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -132,28 +132,31 @@ FROM m GROUP BY doc_id
 """,
     "op1_mix_sources": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0) AS n_chars, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
-), w AS (
-  SELECT source, sqrt(sum(n_chars)::DOUBLE) AS w FROM d GROUP BY source
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0) AS n_chars, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(length(text), 0)::VARCHAR) AS h FROM documents
+), z AS (
+  SELECT source, sum(n_chars) AS size FROM d GROUP BY source
+), raw AS (
+  SELECT source, greatest(1, floor({mixing.PARTS} * sqrt(size::DOUBLE) / (SELECT sum(sqrt(size::DOUBLE)) FROM z) + 0.5))::BIGINT AS w, (size // {mixing.BLOCK_CHARS} + 1)::BIGINT AS blocks FROM z
 ), s AS (
-  SELECT source, greatest(1, floor({mixing.RESOLUTION}.0 * coalesce(w / nullif((SELECT max(w) FROM w), 0), 1.0) + 0.5))::BIGINT AS q FROM w
-), a AS (
-  SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS q, sum(q)::BIGINT AS n FROM s
-), e(t, c, i) AS (
-  SELECT -1::BIGINT, list_transform(q, lambda x: 0::BIGINT), 0::BIGINT FROM a
+  SELECT source, w // (SELECT list_reduce(list(w), lambda x, y: greatest_common_divisor(x, y)) FROM raw) AS q, blocks FROM raw
+), m AS (
+  SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS q, sum(q)::BIGINT AS n,
+    CASE WHEN sum(q) <= sum(blocks) THEN list(q ORDER BY source) ELSE list(blocks ORDER BY source) END AS turn FROM s
+), e(slot, c, pick, done) AS (
+  SELECT -1::BIGINT, list_transform(q, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM m
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(c) + 1), lambda j: c[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), pick
-  FROM (SELECT e.t, e.c, list_min(list_transform(range(1, len(a.q) + 1), lambda j: CASE WHEN (e.c[j] * a.n) // a.q[j] <= e.t + 1
-          THEN (((e.c[j] + 1) * a.n + a.q[j] - 1) // a.q[j]) * 100000 + j END)) % 100000 AS pick
-        FROM e, a WHERE e.t + 1 < a.n)
+  SELECT now, list_transform(range(1, len(c) + 1), lambda j: c[j] + CASE WHEN j = best THEN 1 ELSE 0 END), best, done + 1
+  FROM (SELECT now, c, done, list_min(list_transform(range(1, len(q) + 1), lambda j: CASE WHEN c[j] < turn[j] AND (c[j] * n) // q[j] <= now THEN (((c[j] + 1) * n + q[j] - 1) // q[j]) * 100000 + j END)) % 100000 AS best
+        FROM (SELECT e.c, e.done, m.*, greatest(e.slot + 1, list_min(list_transform(range(1, len(m.q) + 1), lambda j: CASE WHEN e.c[j] < m.turn[j] THEN (e.c[j] * m.n) // m.q[j] END))) AS now
+              FROM e, m WHERE e.done < list_sum(m.turn)))
 ), slots AS (
-  SELECT a.names[e.i] AS source, a.q[e.i] AS q, a.n, e.t AS slot0, row_number() OVER (PARTITION BY e.i ORDER BY e.t) - 1 AS i FROM e, a WHERE e.t >= 0
+  SELECT m.names[e.pick] AS source, m.q[e.pick] AS q, m.turn[e.pick] AS turn, m.n, e.slot AS slot0, row_number() OVER (PARTITION BY e.pick ORDER BY e.slot) - 1 AS k FROM e, m WHERE e.pick > 0
 ), b AS (
   SELECT doc_id, source, n_chars, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY h, doc_id, n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {mixing.BLOCK_CHARS})::BIGINT AS block FROM d
-), share AS (SELECT source, any_value(q) AS q, any_value(n) AS n FROM slots GROUP BY source)
-SELECT b.doc_id, b.source, b.n_chars::BIGINT AS n_chars, b.block, ((b.block // share.q) * share.n + slots.slot0)::BIGINT AS slot,
+), share AS (SELECT source, any_value(q) AS q, any_value(turn) AS turn, any_value(n) AS n FROM slots GROUP BY source)
+SELECT b.doc_id, b.source, b.n_chars::BIGINT AS n_chars, b.block, ((b.block // share.turn) * share.n + slots.slot0)::BIGINT AS slot,
   ((b.block * share.n) // share.q)::BIGINT AS release, (((b.block + 1) * share.n + share.q - 1) // share.q)::BIGINT AS deadline
-FROM b JOIN share USING (source) JOIN slots ON slots.source = b.source AND slots.i = b.block % share.q
+FROM b JOIN share USING (source) JOIN slots ON slots.source = b.source AND slots.k = b.block % share.turn
 """,
     "op3_url_filter": """
 WITH u AS (
@@ -188,14 +191,11 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
     "op10_packing": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_tokens, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
-), g AS (
-  SELECT pow(2, greatest(0, ceil(log2(greatest(max(n_tokens), 1)::DOUBLE / {packing.CELLS}))))::BIGINT AS width FROM d
-), cells AS (
-  SELECT cell, row_number() OVER (ORDER BY cell) AS j, count(*) AS n, sum(n_tokens) AS s
-  FROM (SELECT greatest(1, ceil(n_tokens / width))::BIGINT AS cell, n_tokens FROM d, g) GROUP BY cell
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_tokens, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(strlen(text), 0)::VARCHAR) AS h FROM documents
+), lengths AS (
+  SELECT greatest(1, n_tokens) AS len, row_number() OVER (ORDER BY greatest(1, n_tokens)) AS j, count(*) AS n FROM d GROUP BY 1
 ), c AS (
-  SELECT j, (cell * width)::DOUBLE AS top, (sum(n) OVER (ORDER BY j))::DOUBLE AS n, (sum(s) OVER (ORDER BY j))::DOUBLE AS s FROM cells, g
+  SELECT j, len::DOUBLE AS top, (sum(n) OVER (ORDER BY j))::DOUBLE AS n, (sum(n * len) OVER (ORDER BY j))::DOUBLE AS s FROM lengths
 ), pad AS (
   SELECT l.j AS i, r.j AS j, r.top * (r.n - coalesce(p.n, 0)) - (r.s - coalesce(p.s, 0)) AS cost
   FROM c l JOIN c r ON l.j <= r.j LEFT JOIN c p ON p.j = l.j - 1

@@ -44,40 +44,50 @@ def empty(spark):
 
 # ---- 1 and 10 ------------------------------------------------------------------------------------------------
 
-def test_mix_keeps_every_row_within_a_block(spark):
-    rng = random.Random(1)
-    rows = [(k, "x" * rng.randint(0, 40), None, rng.choice(["a", "a", "a", "b", "c"]), None) for k in range(600)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 0.6, "b": 0.3, "c": 0.1}, block_chars=50).collect()
-    assert sorted(r.doc_id for r in got) == list(range(600))
+def placed_within_a_block(got, weights):
+    """Every block has a slot of its own in its window; deviation stays under one block while nobody has run out."""
     assert all(r.release <= r.slot < r.deadline for r in got)
     slots = {}
     for r in got:
         assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
-    run_out = min(max(s for s, (x, _) in slots.items() if x == source) for source in "abc")
-    share = {"a": 100 / 167, "b": 50 / 167, "c": 17 / 167}
+    run_out = min(max(s for s, (x, _) in slots.items() if x == source) for source, w in weights.items() if w)
+    done = dict.fromkeys(weights, 0)
     for t in range(run_out):
-        for source, w in share.items():
-            done = sum(1 for s in range(t + 1) if slots.get(s, ("", 0))[0] == source)
-            assert abs(done - w * (t + 1)) < 1
-
-
-def test_exact_mix_keeps_to_the_given_weights(spark):
-    for given in ([0.999, 0.001], [0.6, 0.3, 0.1], [1.0, 1e-4, 0.37, 0.0]):
-        blocks = [int(6000 * w / sum(given)) or 5 for w in given]
-        made = list(mixing.exact_slots(given, blocks))
-        assert sorted((k, i) for k, i, *_ in made) == sorted((k, i) for k, n in enumerate(blocks) for i in range(n))
-        assert len({slot for _, _, slot, _, _ in made}) == len(made) and all(r <= slot < d for _, _, slot, r, d in made)
-        source = {slot: k for k, _, slot, _, _ in made}
-        done = [0] * len(given)
-        for t in range(5000):  # nobody has run out yet but those of less than a block
-            if t in source:
-                done[source[t]] += 1
-            assert all(abs(n - (t + 1) * w / sum(given)) < 1 for n, w, b in zip(done, given, blocks, strict=True) if n < b)
-    rows = [(k, "x" * 10, None, "ab"[k % 100 == 0], None) for k in range(1000)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 999, "b": 1}, block_chars=10, resolution=None).collect()
-    assert sorted(r.doc_id for r in got) == list(range(1000)) and sorted(r.slot // 1000 for r in got if r.source == "b") == list(range(10))
-    last = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 1.0, "b": 0.0}, block_chars=10, resolution=None).collect()
-    assert max(r.slot for r in last if r.source == "a") < min(r.slot for r in last if r.source == "b")
+        if t in slots:
+            done[slots[t][0]] += 1
+        assert all(abs(done[k] - (t + 1) * w / sum(weights.values())) < 1 for k, w in weights.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.61803, "b": 0.27, "c": 0.11197}, {"a": 1 / 3, "b": 0.5, "c": 1 / 7}])
+def test_mix_keeps_every_row_within_a_block(spark, weights):
+    rng = random.Random(1)
+    rows = [(k, "x" * rng.randint(0, 40), None, rng.choice(["a", "a", "a", "b", "c"]), None) for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), weights, block_chars=50).collect()
+    assert sorted(r.doc_id for r in got) == list(range(900))
+    placed_within_a_block(got, weights)
+
+
+@pytest.mark.parametrize(("weights", "blocks"), [({"a": 0.999, "b": 0.001}, (3000, 4)), ({"a": 3, "b": 2, "c": 1}, (40, 900, 500)), ({"a": 1.0, "b": 1e-4, "c": 0.37}, (700, 2, 300)), ({"a": 5, "b": 5}, (0, 0))])
+def test_schedule_is_exact(spark, weights, blocks):
+    r = mixing.rates(dict(zip(weights, [100 * b for b in blocks], strict=True)), weights, block_chars=100)
+    assert [q / r.n for q in r.q] == pytest.approx([weights[k] / sum(weights.values()) for k in r.names])
+    made = mixing.schedule(spark, r).collect()
+    limit = dict(zip(r.names, r.q if r.repeats else r.blocks, strict=True))
+    assert sorted((x.source, x.k) for x in made) == sorted((k, i) for k, n in limit.items() for i in range(n))
+    rate = {k: (q, r.n) for k, q in zip(r.names, r.q, strict=True)}
+    assert len({x.slot0 for x in made}) == len(made) == r.steps
+    assert all(x.k * rate[x.source][1] // rate[x.source][0] <= x.slot0 < -(-(x.k + 1) * rate[x.source][1] // rate[x.source][0]) for x in made)
+
+
+def test_sources_without_weight_follow(spark):
+    rows = [(k, "x" * 10, None, "abcd"[k % 4], None) for k in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), {"a": 2, "b": 1, "c": 0}, block_chars=10).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400)) and all(r.release <= r.slot < r.deadline for r in got)
+    last = max(r.slot for r in got if r.source in "ab")
+    rest = sorted((r.slot, r.source) for r in got if r.source in "cd")
+    assert rest[0][0] > last and [x for _, x in rest] == ["c", "d"] * 100
+    with pytest.raises(ValueError):
+        mixing.rates({"a": 5}, {"a": float("nan")})
 
 
 def test_mix_edges(spark, empty):
@@ -111,11 +121,19 @@ def test_a_long_text_does_not_coarsen_the_bounds_of_short_ones(spark):
     assert sum(r.padded_len - r.n_tokens for r in got) == best[4_000_000]
 
 
+def test_one_huge_text_leaves_the_padding_of_a_real_table(spark):
+    sizes = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("n")).cache()
+    huge = sizes.union(spark.createDataFrame([(-1, 18_000_000)], "doc_id long, n long"))
+    plain, other = (packing.pack(x, length=F.col("n")).where("doc_id >= 0").agg(F.sum("padded_len")).first()[0] for x in (sizes, huge))
+    assert other <= 1.05 * plain
+    sizes.unpersist()
+
+
 def test_boundaries_of_many_lengths():
     rng = np.random.default_rng(7)
     cells = np.unique(rng.integers(1, 10**7, 150_000))
     counts = rng.integers(1, 100, len(cells))
-    bounds = np.array(packing.boundaries(cells, counts, cells * counts, 1, 12))
+    bounds = np.array(packing.boundaries(cells, counts, 12))
     pad = int(((bounds[np.searchsorted(bounds, cells)] - cells) * counts).sum())
     n = np.linspace(0, len(cells) - 1, 13)[1:].astype(int)  # near the best for even lengths
     even = int(((cells[n][np.searchsorted(cells[n], cells)] - cells) * counts).sum())
@@ -134,15 +152,14 @@ def test_boundaries_are_optimal():
     for _ in range(50):
         cells = sorted(rng.sample(range(1, 30), 7))
         counts = [rng.randint(1, 9) for _ in cells]
-        sums = [c * n for c, n in zip(cells, counts, strict=True)]
 
         def cost(bounds, cells=cells, counts=counts):
             return sum(n * (min(b for b in bounds if b >= c) - c) for c, n in zip(cells, counts, strict=True))
 
-        got = packing.boundaries(cells, counts, sums, 1, 3)
+        got = packing.boundaries(cells, counts, 3)
         best = min(cost([*x, cells[-1]]) for x in combinations(cells[:-1], 2))
         assert cost(got) == best and len(got) == 3
-    assert packing.boundaries([5], [3], [15], 1, 12) == [5]
+    assert packing.boundaries([5], [3], 12) == [5]
 
 
 # ---- 2 -------------------------------------------------------------------------------------------------------
