@@ -202,6 +202,33 @@ def test_edits(docs, spark, empty):
     assert twice.count() == 3
 
 
+def test_edits_of_many_rows_without_ids(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1000).cast("string")).alias("text"))
+    more = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("five "), (F.col("id") % 300).cast("string")).alias("text"))
+    got = fingerprints.edits(rows.union(more).union(spark.range(50).select("id", F.lit("once").alias("text")))).cache()
+    assert got.count() == 120_050
+    # all but one of equal rows are followed by their like
+    assert got.where("doc_id is null and near_next = 1").count() == 99_000 and got.where("doc_id = 5 and near_next = 1").count() == 19_700
+    assert got.select("fingerprint").distinct().count() == 1301
+    got.unpersist()
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_texts_that_share_a_digest_are_told_apart(docs, spark, digits):
+    docs = docs.union(spark.createDataFrame([(1000, "ONE", None, None, None), (1001, "a  b", None, None, None), (1002, "A b", None, None, None)], DOCS))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.edits(docs, digits=digits).collect()}
+    names = {}
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert got[i].near_edited == float(canon(e) == canon(t)) and got[i].near_next == float(canon(nxt) == canon(t))
+        assert names.setdefault(got[i].fingerprint, canon(t)) == canon(t) and names.setdefault(got[i].edited_fingerprint, canon(e)) == canon(e)
+    assert len(set(names.values())) == len(names) and any("-" in x for x in names)
+    marked = fingerprints.fingerprint(docs.select("doc_id", "text"), digits=digits).collect()
+    assert len({r.fingerprint for r in marked}) == len({canon(t) for _, t in rows})
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------
 
 def test_url_rules(spark):
