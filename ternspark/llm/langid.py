@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,133 +15,159 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 #: Characters in an n-gram.
-ORDER = 3
-#: The bounded sample of labelled documents that the models are fitted on: documents per language (a hash of
-#: the id picks them) and, of those, the share kept apart for calibration.
-SAMPLE_DOCS, CALIBRATION = 1_000, 0.25
-#: Grams are counted in a dense array up to this number, sorted beyond it.
-DENSE = 1 << 22
-#: A text is rejected if its cross-entropy lies this many times as far over the language's mean as that of any
-#: document of the calibration sample.
-TOLERANCE = 1.5
-#: Nats per symbol over the mean up to which no text is rejected, however long: long texts drift more than the
-#: deviation per symbol says.
-SLACK = 0.5
+ORDER = 5
+#: The bounded sample of labelled documents that the models are fitted on: documents and characters per language (a
+#: hash of the id picks documents, which count whole) and, of those, the share kept apart for calibration.
+SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION = 1_000, 2_000_000, 0.25
+#: Share of the documents of the known languages that calibration lets be rejected, and nats per symbol over its
+#: language's mean up to which no text is (a long text that repeats itself lies off the mean, but not that far).
+REJECTED, SLACK = 0.002, 0.25
 #: Characters scored at once (a longer text is scored alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 UNKNOWN = "und"
-GAP, OTHER = 0, 1  # symbols: not a letter; a letter that no labelled text of the sample has
+GAP = 0  # the symbol of what isn't a letter; letters are their lower-cased code points
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The symbol of every code point."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
+    for cp in range(sys.maxunicode + 1):
+        c = chr(cp)
+        if c.isalpha():
+            low = c.lower()
+            table[cp] = ord(low) if len(low) == 1 else cp
+    return table
+
+
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, runs of gaps as one and a gap after each text that has letters; and each text's bounds."""
+    points = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    raw = _letters()[np.minimum(points, sys.maxunicode)]
+    keep = raw != GAP
+    keep[1:] |= raw[:-1] != GAP
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return raw[keep], np.concatenate([[0], kept[ends]]) if texts else np.zeros(1, dtype=np.int64)
+
+
+def padded(symbols: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with ``order`` gaps before each text, and the place of each symbol."""
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.arange(len(symbols)) + order * (own + 1)
+    out = np.zeros(len(symbols) + order * (len(bounds) - 1), dtype=np.uint32)
+    out[place] = symbols
+    return out, place
+
+
+def gram_hashes(symbols: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k of 0..order, the 64-bit hash of the k symbols that end at each place (of k - 1 before it: its context)."""
+    value = _mixed((symbols.astype(np.uint64) + np.uint64(1)) * _ODD)
+    out = [np.zeros(len(symbols), dtype=np.uint64)]
+    for _ in range(order):
+        longer = value.copy()
+        longer[1:] += out[-1][:-1] * _ODD
+        out.append(_mixed(longer))
+    return out
 
 
 @dataclass
 class Model:
     """Sorted n-gram hashes and log probabilities of one language, one pair of arrays for each order.
 
-    ``keys[k]`` holds the (k + 1)-grams seen, ``logp[k]`` their interpolated log probabilities; ``back[k]`` the
-    log weight with which the context of an unseen (k + 1)-gram hands over to the k-gram.
+    ``keys[k]`` holds the hashes of the (k + 1)-grams seen, ``logp[k]`` their interpolated log probabilities; ``back[k]``
+    the log weight with which a context hands over what it hasn't seen to the shorter one; ``base`` is the log
+    probability of any symbol. ``mean`` is the cross-entropy of the documents kept apart.
     """
 
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    back: list[np.ndarray]
-    mean: float = 0.0
-    deviation: float = 1.0
-    limit: float = 0.0
-
-    def score(self, grams: np.ndarray, size: int) -> np.ndarray:
-        """Log probability of the last symbol of each gram of `ORDER` symbols, given those before it."""
-        order = len(self.keys)
-        out = np.full(len(grams), -np.log(size))
-        for k in range(order):  # from the shortest context to the longest
-            gram = grams % size ** (k + 1)
-            out = out + _lookup(self.contexts[k], self.back[k], gram // size, 0.0)
-            at = np.minimum(np.searchsorted(self.keys[k], gram), max(len(self.keys[k]) - 1, 0))
-            if len(self.keys[k]):
-                seen = self.keys[k][at] == gram
-                out[seen] = self.logp[k][at[seen]]
+    keys: list[np.ndarray] = field(default_factory=list)
+    logp: list[np.ndarray] = field(default_factory=list)
+    contexts: list[np.ndarray] = field(default_factory=list)
+    back: list[np.ndarray] = field(default_factory=list)
+    base: float = 0.0
+    mean: float = float("inf")
+
+    def score(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of symbols; grams[k] and contexts[k] are the hashes of the k + 1 and the k symbols that count."""
+        out = np.zeros(len(grams[0]))
+        left = np.arange(len(out))
+        for k in range(len(self.keys) - 1, -1, -1):
+            value, seen = _lookup(self.keys[k], self.logp[k], grams[k][left])
+            out[left[seen]] += value[seen]
+            left = left[~seen]
+            out[left] += _lookup(self.contexts[k], self.back[k], contexts[k][left])[0]
+        out[left] += self.base
         return out
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the sorted keys wanted (0 where there is none), and which of them there are."""
+    if not len(keys) or not len(wanted):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+    seen = keys[at] == wanted
+    return np.where(seen, values[at], 0.0), seen
 
 
-def kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int, size: int) -> Model:
-    """Interpolated Kneser-Ney from the counts of n-grams of the highest order.
+def kneser_ney(grams: np.ndarray, counts: np.ndarray, size: int) -> Model:
+    """Interpolated Kneser-Ney from the distinct n-grams of the highest order (rows of symbols) and their counts.
 
-    Lower orders count the distinct symbols that precede a gram; each order discounts by n1 / (n1 + 2 n2).
+    Lower orders count the distinct symbols that precede a gram; each order discounts by n1 / (n1 + 2 n2). ``size`` is
+    the number of symbols that the base distribution knows.
     """
-    levels = [(grams, counts.astype(np.float64))]
-    for k in range(order - 1, 0, -1):
-        shorter, n = np.unique(levels[0][0] % size ** k, return_counts=True)  # each kind of gram counts once
-        levels.insert(0, (shorter, n.astype(np.float64)))
-    keys, logp, contexts, back = [], [], [], []
-    lower = None
-    for k, (gram, count) in enumerate(levels):
-        n1, n2 = float((count == 1).sum()), float((count == 2).sum())
+    order = grams.shape[1]
+    table = []  # (hash of the last k symbols, of those before the last one, of the last k - 1, count) for k of order..1
+    count = counts.astype(np.float64)
+    for k in range(order, 0, -1):
+        h = _row_hashes(grams[:, order - k :])
+        key, first, where = np.unique(h, return_index=True, return_inverse=True)
+        count = np.bincount(where, weights=count if k == order else np.ones(len(h)), minlength=len(key))
+        grams = grams[first]
+        table.append((key, _row_hashes(grams[:, order - k : -1]), _row_hashes(grams[:, order - k + 1 :]), count))
+    model = Model(base=-np.log(size))
+    below: tuple[np.ndarray, np.ndarray] | None = None
+    for key, context, shorter, n in reversed(table):
+        n1, n2 = float((n == 1).sum()), float((n == 2).sum())
         discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + n2 else 0.5
-        context, where, kinds = np.unique(gram // size, return_inverse=True, return_counts=True)
-        total = np.bincount(where, weights=count, minlength=len(context))
+        contexts, where, kinds = np.unique(context, return_inverse=True, return_counts=True)
+        total = np.bincount(where, weights=n, minlength=len(contexts))
         weight = discount * kinds / total
-        below = np.full(len(gram), 1.0 / size) if k == 0 else np.exp(lower.score(gram % size ** k, size))
-        p = (count - discount) / total[where] + weight[where] * below
-        keys.append(gram)
-        logp.append(np.log(p))
-        contexts.append(context)
-        back.append(np.log(weight))
-        lower = Model(keys, logp, contexts, back)
-    return lower
-
-
-class Alphabet:
-    """Symbols of code points: the letters of the sample, other letters, everything else."""
-
-    def __init__(self, letters: list[str]):
-        self.size = len(letters) + 2
-        number = {c: k + 2 for k, c in enumerate(letters)}
-        self.table = np.zeros(sys.maxunicode + 1, dtype=np.int32)
-        for cp in range(sys.maxunicode + 1):
-            c = chr(cp)
-            if c.isalpha():
-                self.table[cp] = number.get(c.lower() if len(c.lower()) == 1 else c, OTHER)
-
-    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, gaps collapsed, a gap before and after each text; and each text's bounds."""
-        joined = ("\n".join(texts)).encode("utf-32-le", "surrogatepass")
-        points = np.frombuffer(joined, dtype="<u4")
-        raw = self.table[np.minimum(points, sys.maxunicode)]
-        ends = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1  # the line feeds between texts
-        keep = np.ones(len(raw), dtype=bool)
-        keep[1:] = (raw[1:] != GAP) | (raw[:-1] != GAP)
-        keep[ends] = True
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        bounds = np.concatenate([[0], kept[ends + 1], [kept[-1]]])
-        return raw[keep], bounds
-
-
-def grams_of(symbols: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The gram that ends at each symbol, as one number; before the first symbol stand gaps."""
-    if size**order > np.iinfo(np.int64).max:  # three of any code points fit
-        raise ValueError(f"{order} symbols of {size} don't fit in 64 bits")
-    padded = np.concatenate([np.zeros(order - 1, dtype=np.int64), symbols.astype(np.int64)])
-    out = np.zeros(len(symbols), dtype=np.int64)
-    for k in range(order):
-        out = out * size + padded[k : k + len(symbols)]
-    return out
+        lower = np.full(len(key), 1.0 / size) if below is None else below[1][np.searchsorted(below[0], shorter)]
+        p = (n - discount) / total[where] + weight[where] * lower
+        below = key, p
+        model.keys.append(key)
+        model.logp.append(np.log(p))
+        model.contexts.append(contexts)
+        model.back.append(np.log(weight))
+    return model
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """The hash that `gram_hashes` gives the symbols of each row."""
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        h = _mixed(_mixed((rows[:, k].astype(np.uint64) + np.uint64(1)) * _ODD) + h * _ODD)
+    return h
 
 
 @dataclass
 class Identifier:
-    """Fitted models by language, in alphabetical order, and the letters they tell apart."""
+    """Fitted models by language, in alphabetical order, and how far over its mean a text may lie: ``limit`` standard
+    deviations, of variance ``within`` / symbols + ``between``."""
 
     models: dict[str, Model]
-    letters: list[str]
-    order: int
+    order: int = ORDER
+    within: float = 1.0
+    between: float = 0.0
+    limit: float = float("inf")
 
     def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected`` to every row.
@@ -149,151 +175,151 @@ class Identifier:
         ``lang_pred`` is the language of lowest cross-entropy per symbol (the alphabetically first of equals),
         ``und`` for texts that are null or have no letter, which are rejected with score 0. ``score`` is the
         language's share of the likelihood of ten symbols of average surprise. A text that has letters is
-        rejected if no language finds it likely; it keeps its prediction. Columns of those names are replaced.
+        rejected if its cross-entropy lies farther over the mean of its language than all but a share of `REJECTED`
+        of the calibration documents do (and by over `SLACK`); it keeps its prediction. Bytes that aren't UTF-8 are no letters. Columns
+        of those names are replaced.
         """
         columns = [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
-        rows, body, known = docs.select(*columns), columns.index(text), self  # the models' size is bounded by order and letters
+        rows, body = docs.select(*columns, F.col(text).cast("binary").alias("__body")), len(columns)
+        shared = docs.sparkSession.sparkContext.broadcast(self)  # bounded by the sample
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = _Scorer(known)
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
-                    made = scorer.score([x or "" for x in part.column(body).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*columns, "lang_pred", "score", "cross_entropy", "rejected"])
+                    made = shared.value.score(_decoded(part.column(body)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:body], *made], names=[*columns, "lang_pred", "score", "cross_entropy", "rejected"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
-
-
-class _Scorer:
-    def __init__(self, known: Identifier):
-        self.known, self.alphabet = known, Alphabet(known.letters)
-        self.names = list(known.models)
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+        return rows.mapInArrow(run, f"{schema}lang_pred string, score double, cross_entropy double, rejected boolean")
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (text x language) and symbols of each text; 0 symbols if it has no letter."""
-        symbols, bounds = self.alphabet.symbols(texts)
-        size, order = self.alphabet.size, self.known.order
-        grams = grams_of(symbols, order, size)
-        begins, n = bounds[:-1], np.diff(bounds)
-        for k in range(1, order):  # a text doesn't see the one before it
-            at = begins[n >= k] + k - 1
-            grams[at] %= size**k
-        if size**order <= DENSE:
-            kinds = np.flatnonzero(np.bincount(grams, minlength=1))
-            slot = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, dtype=np.int32)
-            slot[kinds] = np.arange(len(kinds))
-            at = slot[grams]
-        else:
-            kinds, at = np.unique(grams, return_inverse=True)
-        out = np.zeros((len(texts), len(self.names)))
-        full = n > 0
-        for k, name in enumerate(self.names):
-            logp = self.known.models[name].score(kinds, size)
-            if full.any():
-                out[full, k] = -np.add.reduceat(logp[at], begins[full]) / n[full]
-        lettered = np.zeros(len(texts), dtype=bool)
-        if full.any():
-            lettered[full] = np.add.reduceat((symbols != GAP).astype(np.int64), begins[full]) > 0
-        return out, np.where(lettered, n, 0)
-
-    def score(self, texts: list[str]) -> list[pa.Array]:
         parts, at = [], 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) < CHUNK):
                 size += len(texts[end])
                 end += 1
-            parts.append(self.entropies(texts[at:end]))
+            parts.append(self._entropies(texts[at:end]))
             at = end
-        entropy, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        if not self.names:
-            nothing = len(texts)
-            return [pa.array([UNKNOWN] * nothing), pa.array([0.0] * nothing), pa.array([None] * nothing, type=pa.float64()), pa.array([True] * nothing)]
+        if not parts:
+            return np.zeros((0, len(self.models))), np.zeros(0, dtype=np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        symbols, bounds = symbols_of(texts)
+        every, place = padded(symbols, bounds, self.order)
+        hashes = gram_hashes(every, self.order)
+        _, first, kind = np.unique(hashes[-1][place], return_index=True, return_inverse=True)
+        at = place[first]
+        grams, contexts = [h[at] for h in hashes[1:]], [h[at - 1] for h in hashes[:-1]]
+        n = np.diff(bounds)
+        out = np.zeros((len(texts), len(self.models)))
+        full = n > 0
+        if full.any():
+            for k, model in enumerate(self.models.values()):
+                out[full, k] = -np.add.reduceat(model.score(grams, contexts)[kind], bounds[:-1][full]) / n[full]
+        return out, n
+
+    def score(self, texts: list[str]) -> list[pa.Array]:
+        entropy, n = self.entropies(texts)
+        names = list(self.models)
+        if not names:
+            return [pa.array([UNKNOWN] * len(texts)), pa.array([0.0] * len(texts)), pa.array([None] * len(texts), type=pa.float64()), pa.array([True] * len(texts))]
         best = entropy.argmin(axis=1)
         lowest = entropy[np.arange(len(best)), best]
         share = 1.0 / np.exp(-10.0 * (entropy - lowest[:, None])).sum(axis=1)
-        models = [self.known.models[x] for x in self.names]
-        mean, deviation, limit = (np.array([getattr(m, f) for m in models])[best] for f in ("mean", "deviation", "limit"))
-        rejected = (n == 0) | (lowest - mean > np.maximum(SLACK, limit * TOLERANCE * deviation / np.sqrt(np.maximum(n, 1))))
-        names = np.array(self.names, dtype=object)[best]
-        names[n == 0] = UNKNOWN
-        return [pa.array(names.tolist(), type=pa.string()), pa.array(np.where(n == 0, 0.0, share)), pa.array(lowest, mask=n == 0), pa.array(rejected)]
+        mean = np.array([m.mean for m in self.models.values()])[best]
+        over = lowest - mean
+        rejected = (n == 0) | (over > SLACK) & (self.distance(over, n) > self.limit)
+        picked = np.array(names, dtype=object)[best]
+        picked[n == 0] = UNKNOWN
+        return [pa.array(picked.tolist(), type=pa.string()), pa.array(np.where(n == 0, 0.0, share)), pa.array(lowest, mask=n == 0), pa.array(rejected)]
 
+    def distance(self, over: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Standard deviations by which texts of n symbols lie over their language's mean."""
+        return over / np.sqrt(self.within / np.maximum(n, 1) + self.between)
 
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Identifier:
+
+def _decoded(column: pa.Array) -> list[str]:
+    return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
+
+
+def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
+        sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, rejected: float = REJECTED) -> Identifier:
     """Models of every language of ``labelled`` (rows with a null language or text don't count).
 
-    About ``sample_docs`` documents per language, picked by a hash of the id, are the bounded sample; n-grams
-    are counted by Spark, so the driver sees at most letters**order of them for each language.
+    About ``sample_docs`` documents per language, but not over ``sample_chars`` characters, picked by a hash of the id,
+    are the bounded sample; n-grams are counted by Spark, and the driver takes those of the sample: at most
+    ``sample_chars`` for each language.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}  # a row per language
+    sizes = known.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.char_length(text)).alias("chars")).collect()  # a row per language
+    rates = {r[lang]: min(1.0, sample_docs / r["n"], sample_chars / max(1, r["chars"])) for r in sizes}
     place = F.pmod(F.xxhash64(F.lit(7), F.col(id)), F.lit(1_000_000))
-    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_docs / n))])[F.col(lang)] if sizes else F.lit(0.0)
-    sample = written(known.where(place < rate * 1_000_000).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(8), F.col(id)), F.lit(1000)) < int(1000 * CALIBRATION)).alias("apart")), "sample")
-    letters = [r.c for r in _letters(sample).collect()]
-    alphabet = Alphabet(letters)
+    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col(lang)] if rates else F.lit(0.0)
+    apart = F.pmod(F.xxhash64(F.lit(8), F.col(id)), F.lit(1000)) < int(1000 * CALIBRATION)
+    sample = written(known.where(place < rate * 1_000_000).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), apart.alias("apart")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Alphabet(letters)
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                symbols, _ = counter.symbols([body])
-                gram, n = np.unique(grams_of(symbols, order, counter.size), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), type=pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    counted = sample.where("not apart").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    models: dict[str, Model] = {}
-    names = np.array(counted.column("lang").to_pylist(), dtype=object)
-    for name in sorted(set(names)):
-        own = np.flatnonzero(names == name)
-        gram, n = counted.column("gram").to_numpy()[own], counted.column("n").to_numpy()[own]
-        by = np.argsort(gram)
-        models[name] = kneser_ney(gram[by], n[by], order, alphabet.size)
-    found = Identifier(models, letters, order)
-    _calibrate(found, sample)
-    return found
+            for name, body in zip(batch.column(0).to_pylist(), _decoded(batch.column(1)), strict=True):
+                every, place = padded(*symbols_of([body]), order)
+                _, first, n = np.unique(gram_hashes(every, order)[-1][place], return_index=True, return_counts=True)
+                rows = np.lib.stride_tricks.sliding_window_view(every, order)[place[first] - order + 1] if len(place) else np.zeros((0, order), dtype=np.uint32)
+                grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * order), len(rows), [None, pa.py_buffer(rows.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), type=pa.string()), grams.cast(pa.binary()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    counted = sample.where("not apart").select("lang", "text").mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = counted.column("lang").to_pandas().to_numpy()
+    grams = np.frombuffer(b"".join(counted.column("gram").to_pylist()), dtype="<u4").reshape(-1, order)
+    n = counted.column("n").to_numpy()
+    size = len(np.unique(grams)) + 1 if len(grams) else 1  # the symbols of the sample and one for all others
+    found = Identifier({name: kneser_ney(grams[names == name], n[names == name], size) for name in sorted(set(names))}, order)
+    return _calibrated(found, sample, rejected)
+
+
+def _calibrated(found: Identifier, sample: DataFrame, rejected: float) -> Identifier:
+    """Means, variance and limit from the documents kept apart; all but a share ``rejected`` of them lie inside."""
+    shared = sample.sparkSession.sparkContext.broadcast(found)
 
-
-def _letters(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, int] = {}
-            for body in batch.column(0).to_pylist():
-                points, n = np.unique(np.frombuffer(body.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_counts=True)
-                for c, k in zip(map(chr, points), n.tolist(), strict=True):
-                    if unicodedata.category(c)[0] == "L":
-                        seen[c] = seen.get(c, 0) + k
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["c", "n"])
-
-    return sample.select("text").mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c")
-
-
-def _calibrate(found: Identifier, sample: DataFrame) -> None:
-    """Mean cross-entropy of each language on the documents kept apart, its deviation per symbol, and how many
-    deviations the farthest of them lies above the mean."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(found)
-        for batch in batches:
-            entropy, n = scorer.entropies(batch.column(1).to_pylist())
-            own = [scorer.names.index(x) if x in scorer.names else -1 for x in batch.column(0).to_pylist()]
+            names = list(shared.value.models)
+            entropy, n = shared.value.entropies(_decoded(batch.column(1)))
+            own = [names.index(x) if x in names else -1 for x in batch.column(0).to_pylist()]
             mine = np.array([entropy[k, j] if j >= 0 else 0.0 for k, j in enumerate(own)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
     rows = sample.where("apart").select("lang", "text").mapInArrow(run, "lang string, h double, n long").where("n > 0").toArrow()  # bounded by the sample
-    names = np.array(rows.column("lang").to_pylist(), dtype=object)
+    names, h, n = np.array(rows.column("lang").to_pylist(), dtype=object), rows.column("h").to_numpy(), rows.column("n").to_numpy().astype(float)
+    over = np.zeros(len(h))
     for name, model in found.models.items():
-        own = np.flatnonzero(names == name)
-        if not len(own):
-            model.mean, model.deviation, model.limit = 0.0, 1.0, np.inf
-            continue
-        h, n = rows.column("h").to_numpy()[own], rows.column("n").to_numpy()[own].astype(float)
-        model.mean = float(np.average(h, weights=n))
-        away = (h - model.mean) * np.sqrt(n)
-        model.deviation = float(np.sqrt(np.mean(away**2))) or 1.0
-        model.limit = max(3.0, float(away.max()) / model.deviation)
+        own = names == name
+        if own.any():
+            model.mean = float(np.average(h[own], weights=n[own]))  # a language without such documents rejects nothing
+            over[own] = h[own] - model.mean
+    use = np.isin(names, list(found.models))
+    over, n = over[use], n[use]
+    if len(over):
+        # squared distances from the mean fall with length towards what documents differ by
+        found.within, found.between = (float(x) for x in _not_negative(np.stack([1 / n, np.ones(len(n))], axis=1), over**2))
+        found.limit = float(np.quantile(found.distance(over, n), 1 - rejected, method="higher"))
+    return found
+
+
+def _not_negative(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares with two coefficients of at least (nearly) 0, rows weighted against their own size."""
+    w = 1 / np.maximum(x[:, 0], 1e-9)[:, None] ** 0.5
+    fits = [np.linalg.lstsq(x * w, y * w[:, 0], rcond=None)[0]]
+    for keep in (0, 1):
+        one = np.zeros(2)
+        one[keep] = np.linalg.lstsq((x * w)[:, [keep]], y * w[:, 0], rcond=None)[0][0]
+        fits.append(one)
+    good = [f for f in fits if (f >= 0).all()] or [np.abs(fits[0])]
+    best = min(good, key=lambda f: float((((x * w) @ f - y * w[:, 0]) ** 2).sum()))
+    return np.maximum(best, [1e-6, 1e-6])
 
 
 def is_held_out(id: str = "doc_id") -> Column:

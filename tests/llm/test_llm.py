@@ -348,19 +348,74 @@ def test_languages_of_many_scripts(spark):
         words = ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(80)]
         rows += [(len(rows) + k, " ".join(rng.choice(words) for _ in range(40)), lang, None, None) for k in range(60 if lang != "la" else 200)]
     known = langid.fit(spark.createDataFrame([r for r in rows if r[2] != "new" and r[0] % 3], DOCS))
-    assert len(known.letters) > 400
     got = known.predict(spark.createDataFrame([r for r in rows if r[2] == "new" or not r[0] % 3], DOCS)).collect()
     assert all(r.rejected if r.lang == "new" else r.lang_pred == r.lang and not r.rejected for r in got)
     assert {r.lang for r in got} == set(letters)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    size = 5
-    grams, n = np.unique(langid.grams_of(rng.integers(0, size, 400), 3, size), return_counts=True)
-    model = langid.kneser_ney(grams, n, 3, size)
-    every = np.arange(size**3)
-    assert np.exp(model.score(every, size)).reshape(-1, size).sum(axis=1) == pytest.approx(np.ones(size**2))
+def plain_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney straight from its formula: probability of a symbol after a tuple of symbols."""
+    from collections import Counter
+
+    grams = {order: Counter(tuple(t[i - order : i]) for t in texts for i in range(order, len(t) + 1))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    size = len({x for g in grams[order] for x in g}) + 1
+
+    def p(symbol, context):
+        k = len(context) + 1
+        if k == 0 or not grams.get(k):
+            return 1 / size
+        lower = p(symbol, context[1:]) if k > 1 else 1 / size
+        total = sum(n for g, n in grams[k].items() if g[:-1] == context)
+        if not total:
+            return lower
+        n1, n2 = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + n2 else 0.5
+        kinds = sum(g[:-1] == context for g in grams[k])
+        return max(grams[k][(*context, symbol)] - d, 0) / total + d * kinds / total * lower
+
+    return p, size
+
+
+def test_kneser_ney_is_that_of_the_formula():
+    rng = random.Random(0)
+    order = 3
+    texts = ["".join(rng.choice("aaabbcde ") for _ in range(rng.randint(5, 60))) for _ in range(6)]
+    every, place = langid.padded(*langid.symbols_of(texts), order)
+    rows = np.lib.stride_tricks.sliding_window_view(every, order)[place - order + 1]
+    grams, n = np.unique(rows, axis=0, return_counts=True)
+    # the symbols as the model sees them: letters, gaps as one, a gap at the end, gaps before the beginning
+    plain = [[0] * order + [ord(c) if c != " " else 0 for c in re.sub(" +", " ", t.strip(" ") + " ")] for t in texts]
+    p, size = plain_kneser_ney([x[1:] for x in plain], order)
+    assert size == len(np.unique(grams)) + 1
+    model = langid.kneser_ney(grams.astype(np.uint32), n, size)
+    symbols = [0, *map(ord, "abcdez")]
+    for a in symbols:
+        for b in symbols:
+            row = np.array([a, b], dtype=np.uint32)
+            got = []
+            for c in symbols:
+                full = np.array([[*row, c]], dtype=np.uint32)
+                hashes = [langid._row_hashes(full[:, order - k :]) for k in range(1, order + 1)]
+                contexts = [langid._row_hashes(full[:, order - k : -1]) for k in range(1, order + 1)]
+                got.append(float(np.exp(model.score(hashes, contexts))[0]))
+            assert got == pytest.approx([p(c, (a, b)) for c in symbols])
+            assert sum(got) == pytest.approx(1)  # of six known symbols and one that stands for all others
+
+
+def test_held_out_accuracy_and_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    known = langid.fit(docs.where(~langid.is_held_out()))
+    held = known.predict(docs.where(langid.is_held_out())).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.avg(F.col("rejected").cast("double"))).first()
+    assert held[0] > 0.998 and held[1] < 3 * langid.REJECTED
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.randint(60, 400))) for _ in range(200)]
+    junk += ["".join(chr(rng.randint(0x430, 0x44F)) for _ in range(40)) for _ in range(20)]
+    bad = spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string")
+    assert known.predict(bad).where("rejected").count() >= 0.99 * len(junk)
+    broken = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('FFFE41C328') as string)").alias("text"))
+    assert known.predict(broken).count() == 3
 
 
 # ---- 6 -------------------------------------------------------------------------------------------------------
