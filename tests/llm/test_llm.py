@@ -471,15 +471,39 @@ def test_line_dedup(spark, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
-def test_line_index_is_reversible(spark):
-    a = spark.createDataFrame([(k, "a line that is long enough\nanother line, also long enough") for k in range(3)], "doc_id long, text string")
-    b = spark.createDataFrame([(k, "a line that is long enough") for k in range(5, 8)], "doc_id long, text string")
-    index = lines.postings(a)
-    table = lambda d: sorted(map(tuple, lines.reference_counts(d).collect()))
-    before = table(index)
+def index_state(index):
+    filters = {r.shard: lines.CuckooFilter.read(r.filter) for r in index.filters.collect()}
+    return sorted(map(tuple, index.counts.collect())), sorted(map(tuple, index.postings.collect())), {k: f.entries() for k, f in filters.items() if f.entries()}
+
+
+def test_line_index_is_reversible(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 4)
+    rng = random.Random(3)
+    pool = [f"a line that is long enough, number {k}" for k in range(60)]
+    texts = lambda n, first: spark.createDataFrame([(first + k, "\n".join(rng.sample(pool, rng.randint(1, 12)))) for k in range(n)], "doc_id long, text string")
+    a, b = texts(30, 0).cache(), texts(25, 100).cache()
+    index = lines.build(a)
+    assert index.shards > 1
+    before = index_state(index)
     both = lines.insert(index, b)
-    assert {r[2:] for r in table(both)} == {(6, 7), (3, 2)}
-    assert table(lines.remove(both, b)) == before
+    fresh = lines.build(a.union(b))
+    assert index_state(both)[:2] == index_state(fresh)[:2] and index_state(both)[2] != before[2]
+    keys = lambda i: {(r.hi, r.lo) for r in lines.probe(i, i.postings).collect()}
+    assert {(r.hi, r.lo) for r in both.repeated().collect()} <= keys(both)
+    kept = lambda df, i: sorted(map(tuple, lines.drop_repeated_lines(df, i).collect()))
+    assert kept(b, both) == sorted(t for t in kept(a.union(b), None) if t[0] >= 100)
+    assert index_state(lines.remove(both, b)) == before
+    assert index_state(lines.insert(lines.remove(index, a.where("doc_id < 10")), a.where("doc_id < 10"))) == before
+
+
+def test_probing_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PROBE_ROWS", 7)
+    rows = [(k, f"the line that everybody has\nand another line, number {k % 9}") for k in range(80)] + [(None, "the line that everybody has")] * 20 + [(3, "the line that everybody has")]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.text == "the line that everybody has" and not r.n_dropped for r in got if r.doc_id is None)
+    assert [r.doc_id for r in got if r.doc_id is not None and "everybody" in r.text] == [79]
+    odd = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("cast(unhex(concat(repeat('FF41', 15), '0A', repeat('C3', 25))) as string)").alias("text"))
+    assert sorted(r.n_dropped for r in lines.drop_repeated_lines(odd).select("n_dropped").collect()) == [0, 2, 2, 2]
 
 
 def test_cuckoo_filter():
