@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Rules of the query: host and path, longest wins.
 RULES = {
     "com/": "allow",
@@ -19,9 +24,10 @@ RULES = {
 BLOCKED_HOSTS = tuple(f"{name}.example.{tld}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits for each key of a level, and the most bits that a level may take: levels are constants of the plan.
-BITS_PER_KEY, MAX_BITS = 10, 1 << 26
-HASHES = 4
+#: Bits for each key of a level but the first, and hashes of a key.
+BITS_PER_KEY, HASHES = 10, 4
+#: The first level lets about as many other keys of the universe through as this times the listed ones.
+PASSED = 1.0
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -34,60 +40,64 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: the words of its bit set, as a constant array."""
+    """One Bloom filter: the words of its bit set, as a constant array, and the number of its hashes."""
 
     bits: int
     words: str  # 64-bit words, comma-separated
     salt: int
+    hashes: int
 
     def holds(self, key: Column) -> Column:
         words = F.expr(f"cast(split('{self.words}', ',') as array<bigint>)")
-        found = F.lit(True)
-        for p in positions(key, self.bits, self.salt):
-            found = found & (F.shiftright(F.get(words, F.expr("0") + (p / 64).cast("int")), 0).bitwiseAND(_bit(p)) != 0)
-        return found
+        return F.forall(positions(key, self.bits, self.salt, self.hashes), lambda p: F.shiftright(F.get(words, (p / 64).cast("int")), 0).bitwiseAND(_bit(p)) != 0)
 
 
 def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (position % 64).cast("int"))
 
 
-def positions(key: Column, bits: int, salt: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(salt * HASHES + k), key), F.lit(bits)) for k in range(HASHES)]
+def positions(key: Column, bits: int, salt: int, hashes: int) -> Column:
+    """The places of a key in a filter."""
+    return F.array(*[F.pmod(F.xxhash64(F.lit(salt * 64 + k), key), F.lit(bits)) for k in range(hashes)])
 
 
-def bloom(keys: DataFrame, salt: int, bits_per_key: int = BITS_PER_KEY) -> Level:
-    """A filter of the column ``key``; only its bit set, of a checked size, reaches the driver."""
-    n = keys.count()
-    bits = 64
-    while bits < n * bits_per_key:
-        bits *= 2
-    if bits > MAX_BITS:
-        raise ValueError(f"a level of {n} keys takes {bits} bits, over {MAX_BITS}: raise bits_per_key of the levels before it")
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, salt))).alias("p"))
+def bloom(keys: DataFrame, salt: int, n: int, bits_per_key: float = BITS_PER_KEY) -> Level:
+    """A filter of the n keys of the column ``key``; only its bit set reaches the driver."""
+    bits = 64 * max(1, math.ceil(n * bits_per_key / 64))
+    hashes = max(1, min(40, round(bits_per_key * math.log(2)))) if n else 1
+    at = keys.select(F.explode(positions(F.col("key"), bits, salt, hashes)).alias("p"))
     rows = at.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(_bit(F.col("p"))).alias("m")).collect()
     words = [0] * (bits // 64)
     for r in rows:
         words[r.w] = r.m
-    return Level(bits, ",".join(map(str, words)), salt)
+    return Level(bits, ",".join(map(str, words)), salt, hashes)
+
+
+def listed_keys(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
+    """A table of the distinct keys, made in the plan."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(set(keys)))), "array<string>")).alias("key"))
 
 
-def cascade(universe: DataFrame, listed: list[str], bits_per_key: int = BITS_PER_KEY) -> list[Level]:
+def cascade(universe: DataFrame, listed: list[str], bits_per_key: float = BITS_PER_KEY) -> list[Level]:
     """Levels that tell exactly, for every key of ``universe`` (column ``key``, distinct), whether it is listed.
 
     Level 0 encodes the listed keys, level 1 the other keys of the universe that level 0 lets through, level 2
-    the listed keys that level 1 lets through, and so on until no key is wrong.
+    the listed keys that level 1 lets through, and so on until no key is wrong. Level 0 has log2(universe / listed) /
+    ln 2 bits and more for a key, so what it lets through is about as many as are listed: all levels together follow the
+    list (which the caller holds), and the universe by its logarithm only. It is read once, for level 0.
     """
     spark = universe.sparkSession
     if not listed:
         return []
-    inside = spark.createDataFrame([(x,) for x in sorted(set(listed))], "key string")
-    outside = universe.where(~F.col("key").isin(sorted(set(listed)))) if len(listed) <= 1000 else universe.join(inside, "key", "left_anti")
-    levels, encoded, other = [], inside, outside
+    inside = written(listed_keys(spark, listed), "listed")
+    n, size = inside.count(), universe.count()
+    levels, encoded, other = [], inside, universe.join(F.broadcast(inside), "key", "left_anti")  # as large as the caller's list
+    bits = max(bits_per_key, math.log2(max(2.0, size / (PASSED * n))) / math.log(2))
     while True:
-        levels.append(bloom(encoded, len(levels), bits_per_key))
-        wrong = other.where(levels[-1].holds(F.col("key")))
-        if wrong.isEmpty():
+        levels.append(bloom(encoded, len(levels), n, bits))
+        wrong = written(other.where(levels[-1].holds(F.col("key"))), "wrong")
+        n, bits = wrong.count(), bits_per_key
+        if not n:
             return levels
         encoded, other = wrong, encoded
 
@@ -126,8 +136,8 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, blocked_hosts: tuple[
     lengths = F.array(*[F.lit(n) for n in prefixes]) if prefixes else F.array().cast("array<int>")
     keys = F.expr("flatten(transform(__suffixes, s -> transform(filter(__lengths, n -> n <= char_length(__path)), n -> concat(s, substring(__path, 1, n)))))")
     rows = rows.withColumn("__suffixes", F.when(F.col("__host") != "", suffixes).otherwise(F.array().cast("array<string>"))).withColumn("__lengths", lengths).withColumn("__keys", keys)
-    universe = rows.select(F.explode("__keys").alias("key")).distinct()
-    hosts = rows.select(F.explode("__suffixes").alias("key")).distinct()
+    universe = written(rows.select(F.explode("__keys").alias("key")).distinct(), "universe")
+    hosts = written(rows.select(F.explode("__suffixes").alias("key")).distinct(), "hosts")
     blocks = cascade(universe, [r for r, v in rules.items() if v == "block"])
     allows = cascade(universe, [r for r, v in rules.items() if v != "block"])
     listed = cascade(hosts, list(blocked_hosts))

@@ -247,14 +247,25 @@ def test_url_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_cascade_is_exact_with_tiny_filters(spark):
+def test_cascade_is_exact_with_tiny_filters(spark, monkeypatch):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 3000, 17)] + ["elsewhere"]
+    monkeypatch.setattr(urls, "PASSED", 1000.0)
     levels = urls.cascade(universe, listed, bits_per_key=2)
     assert len(levels) > 2
     assert {r.key for r in universe.where(urls.member(F.col("key"), levels)).collect()} == set(listed) - {"elsewhere"}
 
 
+def test_cascade_of_a_long_list_and_a_large_universe(spark):
+    universe = spark.range(300_000).select(F.concat(F.lit("h"), "id", F.lit(".example.org")).alias("key"))
+    few = urls.cascade(universe, [f"h{k}.example.org" for k in range(18)])
+    assert sum(x.bits for x in few) < 18 * 64 * 3  # some 20 bits a listed key, not 10 a key of the universe
+    listed = [f"h{k}.example.org" for k in range(0, 300_000, 75)]
+    levels = urls.cascade(universe, listed)
+    assert sum(x.bits for x in levels) < 40 * len(listed)
+    assert universe.where(urls.member(F.col("key"), levels)).count() == len(listed) == universe.where(urls.member(F.col("key"), levels) & F.col("key").isin(listed)).count()
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------
 
 def shingles(t, n):
