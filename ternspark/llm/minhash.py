@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,10 @@ from .scratch import written
 
 #: Words in a shingle, least similarity in percent, and values kept of a set.
 WORDS, PERCENT, KEEP = 5, 80, 64
-#: Estimated similarity under which a pair isn't verified: 0.8 less six standard errors of a full sketch.
-ESTIMATE = 0.5
-#: Retained values that two full sketches of similar sets share at least: 51 of 64 less six standard errors.
-OVERLAP = 32
-#: Longest list whose pairs are rows; classes in longer ones are compared in blocks of this many.
-SHORT, BLOCK = 32, 256
+#: Standard errors of a sketch that estimates may be off.
+ERRORS = 6
+#: Longest list whose pairs are rows; classes in longer ones are compared in blocks of about so many and so many bytes.
+SHORT, BLOCK, BLOCK_BYTES = 32, 256, 32 << 20
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Bytes of text hashed at once (a longer text is hashed alone).
@@ -37,6 +36,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_estimate(percent: int, keep: int) -> float:
+    """Estimated similarity under which a pair isn't verified: the bound less `ERRORS` standard errors of a full sketch."""
+    j = percent / 100
+    return max(0.0, j - ERRORS * math.sqrt(j * (1 - j) / keep))
+
+
+def least_overlap(percent: int, keep: int) -> int:
+    """Retained values that two full sketches of similar sets share at least (32 of 64 at 80 percent)."""
+    return max(1, math.floor(keep * least_estimate(percent, keep)))
+
+
 class Shingler:
     """Sets of word shingles of many texts at once, as 64-bit hashes.
 
@@ -123,90 +133,115 @@ def sketches(docs: DataFrame, words: int, keep: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, words: int, ids: bool = False) -> DataFrame:
-    """(digest, full) from (doc, text); with ``ids`` (doc, full)."""
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(digest, full) from (doc, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 sets = list(shingler.sets(_bodies(batch.column(1).slice(start, 256))))
-                first = batch.column(0).slice(start, 256) if ids else pa.array([_digest(s) for s in sets], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([first, pa.array(sets, type=pa.list_(pa.int64()))], names=["doc" if ids else "digest", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["digest", "full"])
 
-    return docs.mapInArrow(run, "doc long, full array<long>" if ids else "digest binary, full array<long>")
+    return docs.mapInArrow(run, "digest binary, full array<long>").dropDuplicates(["digest"])
 
 
-def _lists(classes: DataFrame, keep: int) -> DataFrame:
-    """Inverted lists of retained values that can decide a pair: (key, head, n, shared).
+def _lists(classes: DataFrame, percent: int, keep: int) -> DataFrame:
+    """Inverted lists of retained values that can decide a pair: (key, cls, n, shared).
 
-    Two sets with similarity 0.8 or more have c = min(ceil(0.8 n), `OVERLAP`) retained values in common (sets
-    under 64 surely; larger ones, of 64 values each, fail it about once in 10**8). Ordered by the number of
-    classes that hold them, rare ones first, the first common value is then among the first m - c + 1 of either
-    set's m values that several classes hold. So the most common values, such as those of a passage that many
+    Two sets that are similar enough have c = min(ceil(percent n / 100), `least_overlap`) retained values in common (at
+    80 percent, sets under 64 surely; larger ones, of 64 values each, fail it about once in 10**8). Ordered by the
+    number of classes that hold them, rare ones first, the first common value is then among the first m - c + 1 of
+    either set's m values that several classes hold. So the most common values, such as those of a passage that many
     documents share, give no list unless they are most of a sketch. ``shared`` is m.
     """
-    values = classes.select("head", "n", F.explode("sketch").alias("key"))
-    counted = values.withColumn("f", F.count("*").over(Window.partitionBy("key"))).where("f > 1")
-    own = Window.partitionBy("head")
+    values = classes.select("cls", "n", F.explode("sketch").alias("key"))
+    # counted before they meet again: a value that very many classes hold is one row, whose join Spark splits
+    counted = values.join(values.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "key")
+    own = Window.partitionBy("cls")
     ranked = counted.withColumn("shared", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("f", "key")))
-    least = F.least(F.ceil(F.col("n") * 4 / 5), F.lit(OVERLAP))
-    return ranked.where(F.col("at") <= F.col("shared") - least + 1).select("key", "head", "n", "shared")
+    least = F.least(F.ceil(F.col("n") * percent / 100), F.lit(least_overlap(percent, keep)))
+    return ranked.where(F.col("at") <= F.col("shared") - least + 1).select("key", "cls", "n", "shared")
+
+
+def _fetched(heads: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The full sets of the documents ``heads`` (doc)."""
+    heads = written(heads.distinct(), "heads")
+    small = F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads
+    return written(full_sets(docs.join(small, "doc", "left_semi"), words), "full")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, keep: int) -> DataFrame:
-    """The pairs (a, b) of class heads whose full sets are similar enough."""
-    left = classes.select(F.col("head").alias("a"), F.col("n").alias("n_a"), F.col("digest").alias("d_a"), F.col("sketch").alias("s_a"))
-    right = classes.select(F.col("head").alias("b"), F.col("n").alias("n_b"), F.col("digest").alias("d_b"), F.col("sketch").alias("s_b"))
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("digest").alias("d_a"), F.col("sketch").alias("s_a"), F.col("head").alias("h_a"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("digest").alias("d_b"), F.col("sketch").alias("s_b"), F.col("head").alias("h_b"))
     near = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     union = F.expr(f"slice(array_sort(array_union(s_a, s_b)), 1, {keep})")
     shared = F.size(F.array_intersect(F.array_intersect(union, "s_a"), "s_b"))
-    near = written(near.where(shared >= F.lit(ESTIMATE) * F.size(union)).select("a", "b", "n_a", "n_b", "d_a", "d_b"), "near")
-    heads = written(near.select(F.col("a").alias("doc")).union(near.select("b")).distinct(), "heads")
-    small = F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads
-    full = full_sets(docs.join(small, "doc", "left_semi"), words).dropDuplicates(["digest"])
-    full = written(full, "full")
+    near = written(near.where(shared >= F.lit(least_estimate(percent, keep)) * F.size(union)).select("a", "b", "n_a", "n_b", "d_a", "d_b", "h_a", "h_b"), "near")
+    full = _fetched(near.select(F.col("h_a").alias("doc")).union(near.select("h_b")), docs, words)
     both = near.join(full.select(F.col("digest").alias("d_a"), F.col("full").alias("f_a")), "d_a").join(full.select(F.col("digest").alias("d_b"), F.col("full").alias("f_b")), "d_b")
     common = F.size(F.array_intersect("f_a", "f_b"))
     return written(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "confirmed")
 
 
-def _in_blocks(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _candidates(sets: list[np.ndarray], percent: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of sorted sets of which the sketch of the union says that they may be similar enough."""
+    n = np.array([len(s) for s in sets])
+    none = np.iinfo(np.int64).max
+    sketch = np.full((len(sets), keep), none)
+    for k, s in enumerate(sets):
+        sketch[k, : min(len(s), keep)] = s[:keep]
+    value, token = np.unique(sketch, return_inverse=True)
+    token = token.reshape(sketch.shape)
+    often = (np.bincount(token.ravel(), minlength=len(value)) > 1) & (value != none)
+    column = np.cumsum(often) - 1
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    row, at = np.nonzero(often[token])
+    at = column[token[row, at]]
+    for start in range(0, int(often.sum()), 4096):
+        own = (at >= start) & (at < start + 4096)
+        x = np.zeros((len(sets), 4096), dtype=np.float32)
+        x[row[own], at[own] - start] = 1
+        common += x @ x.T
+    least = np.minimum(np.ceil(n * percent / 100), least_overlap(percent, keep))
+    fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    i, j = np.nonzero(np.triu((common >= np.minimum(least[:, None], least[None, :])) & fits, 1))
+    good = np.zeros(len(i), dtype=bool)
+    for k in range(0, len(i), 16_384):
+        part = slice(k, k + 16_384)
+        both = np.sort(np.concatenate([sketch[i[part]], sketch[j[part]]], axis=1), axis=1)
+        again = np.concatenate([np.zeros((len(both), 1), dtype=bool), both[:, 1:] == both[:, :-1]], axis=1)
+        again &= both != none
+        place = np.cumsum(~again & (both != none), axis=1)  # of a value among the distinct ones
+        in_union = place <= keep
+        size = np.minimum(place[:, -1], keep)
+        good[part] = (again & in_union).sum(axis=1) >= least_estimate(percent, keep) * size
+    return i[good], j[good]
+
+
+def _in_blocks(lists: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, keep: int) -> DataFrame:
     """Links (a, b) that join components inside long lists, without a row for every pair.
 
-    Classes are dealt to blocks of about `BLOCK` by their longest list; every two blocks that share a list are
-    compared in one task, which returns a spanning set of the links it finds.
+    Classes are dealt to blocks by their longest list, of about `BLOCK` classes and at most about `BLOCK_BYTES` (or one
+    set); every two blocks that share a list are compared in one task: sketches estimate first, full sets of what is left
+    confirm, and a spanning set of the links found is returned. Tasks grow as the square of a list's blocks.
     """
-    own = lists.groupBy("head").agg(F.max_by(F.struct("key", "size"), F.struct("size", "key")).alias("p"), F.first("component").alias("component"))
-    part = F.pmod(F.xxhash64("head"), F.ceil(F.col("p.size") / BLOCK)).cast("int")
-    own = written(own.select("head", "component", F.struct(F.col("p.key").alias("list"), part.alias("part")).alias("block")), "own")
-    touched = lists.select("key", "head").join(own, "head").select("key", "block").distinct()
+    own = lists.groupBy("cls").agg(F.max_by(F.struct("key", "size", "total"), F.struct("size", "key")).alias("p"), F.first("component").alias("component"))
+    parts = F.ceil(F.greatest(F.col("p.size") / BLOCK, 8 * F.col("p.total") / BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    own = written(own.select("cls", "component", F.struct(F.col("p.key").alias("list"), part.alias("part")).alias("block")), "own")
+    touched = lists.select("key", "cls").join(own, "cls").select("key", "block").distinct()
     pairs = touched.select("key", F.col("block").alias("p")).join(touched.select("key", F.col("block").alias("q")), "key").where("p <= q").select("p", "q").distinct()
     pairs = written(pairs, "blocks")
-    heads = own.select(F.col("head").alias("doc"))
-    small = F.broadcast(heads) if own.count() <= BROADCAST_IDS else heads
-    wanted = docs.join(small, "doc", "left_semi")
-    full = full_sets(wanted, words, ids=True).dropDuplicates(["doc"])
-    sets = written(own.join(full, F.col("head") == F.col("doc")).select("head", "component", "block", "full"), "sets")
+    facts = written(own.join(classes.select("cls", "head", "digest"), "cls"), "facts")
+    full = _fetched(facts.select(F.col("head").alias("doc")), docs, words)
+    sets = written(facts.join(full, "digest").select("cls", "component", "block", "full"), "sets")
     dealt = pairs.withColumn("block", F.explode(F.array_distinct(F.array("p", "q")))).join(sets, "block")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        heads, part = table.column("head").to_numpy(), table.column("component").to_numpy()
+        heads, part = table.column("cls").to_numpy(), table.column("component").to_numpy()
         column = table.column("full").combine_chunks()
-        n = column.value_lengths().to_numpy()
-        _, token = np.unique(column.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(n)), n)
-        often = np.bincount(token)[token] > 1
-        _, token = np.unique(token[often], return_inverse=True)
-        row = row[often]
-        common = np.zeros((len(n), len(n)), dtype=np.float32)
-        width = 4096
-        for start in range(0, int(token.max()) + 1 if len(token) else 0, width):
-            own = (token >= start) & (token < start + width)
-            x = np.zeros((len(n), width), dtype=np.float32)
-            x[row[own], token[own] - start] = 1
-            common += x @ x.T
-        union = n[:, None] + n[None, :] - common
-        a, b = np.nonzero((100 * common >= percent * union) & (part[:, None] != part[None, :]) & (heads[:, None] < heads[None, :]))
+        sets = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
         seen: dict[int, int] = {}
 
         def root(k: int) -> int:
@@ -214,15 +249,18 @@ def _in_blocks(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 k = seen[k]
             return k
 
-        out = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        a, b = [], []
+        for i, j in zip(*(x.tolist() for x in _candidates(sets, percent, keep)), strict=True):
             u, v = root(int(part[i])), root(int(part[j]))
             if u != v:
-                seen[max(u, v)] = min(u, v)
-                out.append((i, j))
-        return pa.table({"a": pa.array([int(heads[i]) for i, _ in out], type=pa.int64()), "b": pa.array([int(heads[j]) for _, j in out], type=pa.int64())})
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    seen[max(u, v)] = min(u, v)
+                    a.append(int(heads[i]))
+                    b.append(int(heads[j]))
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
-    return written(dealt.select("p", "q", "head", "component", "full").groupBy("p", "q").applyInArrow(run, "a long, b long"), "blocklinks")
+    return written(dealt.select("p", "q", "cls", "component", "full").groupBy("p", "q").applyInArrow(run, "a long, b long"), "blocklinks")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: int = KEEP, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,38 +271,52 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     gather classes; each class is first compared with the head that most of its lists have, then, in lists that
     still hold several components, all pairs across components are compared: as rows in short lists, in blocks
     inside tasks in long ones.
-    A pair's similarity is estimated on the sketch of the union and confirmed on the full sets.
+    A pair's similarity is estimated on the sketch of the union and confirmed on the full sets. Sets hold 64-bit hashes
+    of shingles (whole ones, all of them); classes are told apart by 128 bits and the size.
 
-    Texts without words have an empty set and link with nothing. Rows that share an id are one document.
+    Texts without words have an empty set and link with nothing. Rows that share an id are one document: their texts
+    are compared alone and their components are one.
     Rows without an id link with nothing and have no component; they are kept. Extra columns are ignored.
     """
     source = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = written(sketches(source, words, keep), "sketches")
     known = signed.where("doc is not null and n > 0")
-    classes = written(known.groupBy("digest").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = written(_lists(classes, keep), "lists")
-    # the head of a list is the class that shares most values with others: the original of a group of copies
-    heads = lists.groupBy("key").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("low"), F.count("*").alias("size")).where("size > 1")
-    lists = written(lists.join(heads, "key").select("key", "head", "n", "low"), "headed")
-    best = lists.where("head <> low").groupBy("head", "low").count().groupBy("head").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("a"))
-    links = _confirmed(best.select("a", F.col("head").alias("b")), classes, source, words, percent, keep)
+    classes = known.groupBy("digest").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    lists = written(_lists(classes, percent, keep), "lists")
+    # the low of a list is the class that shares most values with others: the original of a group of copies
+    heads = lists.groupBy("key").agg(F.max_by("cls", F.struct("shared", -F.col("cls"))).alias("low"), F.count("*").alias("size")).where("size > 1")
+    lists = written(lists.join(heads, "key").select("key", "cls", "n", "low"), "headed")
+    best = lists.where("cls <> low").groupBy("cls", "low").count().groupBy("cls").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("a"))
+    links = _confirmed(best.select("a", F.col("cls").alias("b")), classes, source, words, percent, keep).union(_same_id(known, classes))
     found = components(links)
 
-    named = lists.join(found.withColumnRenamed("node", "head"), "head", "left").withColumn("component", F.coalesce("component", "head"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component", True).alias("c0"), F.count("*").alias("size")).where("c1 <> c2").select("key", "c0", "size")
-    open_lists = written(named.join(mixed, "key").select("key", "head", "n", "component", "c0", "size"), "open")
+    named = lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component", True).alias("c0"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    open_lists = written(named.join(mixed.where("c1 <> c2").select("key", "c0", "size", "total"), "key").select("key", "cls", "n", "component", "c0", "size", "total"), "open")
     short = open_lists.where(f"size <= {SHORT}")
-    x = short.where("component <> c0").select("key", F.col("head").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = short.select("key", F.col("head").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "c0")
+    x = short.where("component <> c0").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    y = short.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "c0")
     across = x.join(y, "key").where(f"c_a <> c_b and (c_b = c0 or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(across, classes, source, words, percent, keep)
-    more = more.union(_in_blocks(open_lists.where(f"size > {SHORT}"), source, words, percent))
+    more = more.union(_in_blocks(open_lists.where(f"size > {SHORT}"), classes, source, words, percent, keep))
     if not more.isEmpty():
         found = components(links.union(more))
 
-    heads = classes.select("digest", "head").join(found.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component_id"))
+    linked = found.withColumnRenamed("node", "cls").join(classes.select("cls", "digest", "head"), "cls")
+    smallest = linked.groupBy("component").agg(F.min("head").alias("component_id"))
+    linked = linked.join(smallest, "component").select("digest", "component_id")
+    heads = classes.select("digest", "head").join(linked, "digest", "left").select("digest", F.coalesce("component_id", "head").alias("component_id"))
     rows = signed.select("doc", "n", "digest").join(heads, "digest", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     component = F.when(F.col("n") > 0, component).otherwise(F.col("doc"))
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _same_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that hold texts of one id."""
+    several = known.groupBy("doc").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc", "one")
+    other = known.join(several, "doc").where("digest <> one").select("one", "digest").distinct()
+    one = classes.select(F.col("digest").alias("one"), F.col("cls").alias("a"))
+    return other.join(one, "one").join(classes.select("digest", F.col("cls").alias("b")), "digest").select("a", "b")

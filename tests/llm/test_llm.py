@@ -324,6 +324,41 @@ def test_near_duplicates_of_small_sets_and_long_lists(spark, monkeypatch):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    word = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, word(1)), (1, word(2)), (2, word(2) + " end"), (3, word(3)), (4, word(1) + " end"), (5, word(3)), (5, word(5)), (6, word(5) + " more")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 3, 6: 3}
+
+
+@pytest.mark.parametrize("percent", [60, 95])
+def test_near_duplicates_of_other_bounds(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "SHORT", 4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    rng = random.Random(percent)
+    base = [[f"b{g}w{k}" for k in range(rng.choice([30, 90, 300]))] for g in range(4)]
+    rows = []
+    for k in range(80):
+        w = [x if rng.random() > 0.2 * rng.random() else f"r{rng.randrange(10**6)}" for x in rng.choice(base)]
+        rows.append((k, " ".join(w)))
+    sets = {i: shingles(t, 1) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=percent).collect()}
+    assert got == groups_of(sets, lambda a, b: 100 * len(a & b) >= percent * len(a | b))
+
+
+def test_estimates_let_no_similar_pair_go():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(10, 900)))
+        for _ in range(10):
+            keep = rng.random(len(base)) > 0.12 * rng.random()
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 1 + len(base) // 10))])))
+    near = set(zip(*(x.tolist() for x in minhash._candidates(sets, 80, 64)), strict=True))
+    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert true and true <= near and len(near) < len(sets) * 8
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
