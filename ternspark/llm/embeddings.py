@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from .scratch import written
 COSINE, MISS, BUCKET = 0.95, 1e-6, 128
 #: Vectors of a block; pairs of blocks of the same bucket are compared in one task.
 BLOCK = 512
+#: Bits of the signature that go with a vector's number to its buckets, and rows of buckets that may be broadcast.
+SKETCH, BROADCAST_BUCKETS = 128, 200_000
 SEED = 20_240_601
 
 
@@ -28,15 +29,33 @@ def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-together)))
 
 
-def _normal(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def farthest(cosine: float = COSINE, bits: int = SKETCH, miss: float = MISS) -> int:
+    """Signature bits of ``bits`` in which a pair at ``cosine`` differs at most, but with a probability of a tenth of ``miss``."""
+    p, above = math.acos(max(-1.0, min(1.0, cosine))) / math.pi, 1.0
+    for k in range(bits):
+        above -= math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if above <= miss / 10:
+            return k
+    return bits
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that squares of very large or small components stay numbers."""
+    x = x / np.abs(x).max(axis=1, initial=1e-320)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def _signatures(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each vector in each table, and the first `SKETCH` bits of all tables."""
     planes = np.random.default_rng(SEED).standard_normal((x.shape[1], bits * tables))
-    signs = (x @ planes >= 0).reshape(len(x), tables, bits)
-    return (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
+    signs = x @ planes >= 0
+    first = np.zeros((len(x), SKETCH), dtype=bool)
+    first[:, : min(SKETCH, signs.shape[1])] = signs[:, :SKETCH]
+    return (signs.reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2).astype(np.int32), np.packbits(first, axis=1, bitorder="little")
 
 
 def _valid(vector: str) -> Column:
@@ -59,79 +78,116 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Two vectors are linked if they meet in a bucket of some table and their cosine, in double precision, is at
-    least ``cosine``; a pair at that cosine is missed with probability ``miss`` at most. Equal vectors form a
-    class that is compared once. Buckets are cut into blocks, so a bucket with a third of all rows is many
-    tasks; tasks return counts and a spanning set of links, not pairs.
+    least ``cosine``; a pair at that cosine is missed with probability ``miss`` or little more at most. Equal vectors form
+    a class that is compared once. Numbers and `SKETCH` signature bits go to the buckets, which name the vectors that
+    differ in few bits from another; these alone are fetched and compared. Buckets are cut into blocks, so a bucket with
+    a third of all rows is many tasks (its vectors' links have to be counted, so work grows as the square of it); tasks
+    return counts and a spanning set of links, not pairs.
 
     Null vectors and those that are zero or hold null, NaN or infinite components link with nothing; so do
     vectors of different lengths with each other. Rows that share an id are one vector in components. Rows
     without an id link with nothing.
     """
-    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v"))
     rows = rows.withColumn("ok", F.col("vec_id").isNotNull() & _valid("v"))
-    rows = written(rows.withColumn("cls", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("v")).cast("binary"), 256))), "vectors")
-    classes = written(rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("head"), F.count("*").alias("n"), F.first("v").alias("v")).select("head", "n", "v", F.size("v").alias("dim")), "classes")
+    rows = rows.withColumn("cls", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)))
+    named = written(rows.select("vec_id", "ok", F.unhex("cls").alias("cls")), "vectors")
+    classes = rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("head"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # rows that share an id are one vector: their classes are linked, and each has a number of its own
+    classes = written(classes.select(F.monotonically_increasing_id().alias("num"), "head", "n", "v", F.size("v").alias("dim"), F.unhex("cls").alias("cls")), "classes")
     n = classes.count()
     bits, tables = plan(n, cosine, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(3).to_numpy()
+            dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
-                got = _signatures(_normal(own.column(2).to_pylist()), bits, tables)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(list(got), type=pa.list_(pa.int32()))], names=["head", "n", "v", "dim", "signs"])
-
-    signed = written(classes.mapInArrow(sign, "head long, n long, v array<double>, dim int, signs array<int>"), "signed")
-    # which blocks a bucket has: counts first, then every vector goes to the block pairs of its own block
-    place = signed.select("head", "dim", F.posexplode("signs").alias("tab", "bucket"))
-    sizes = place.groupBy("dim", "tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("head", "tab"), F.col("blocks")).cast("int")
-    full = signed.select("head", "n", "v", "dim", "signs", F.posexplode("signs").alias("tab", "bucket")).join(sizes, ["dim", "tab", "bucket"]).withColumn("block", block)
-    pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as p, greatest(block, k) as q))")
-    dealt = full.withColumn("pair", F.explode(pair)).select("head", "n", "v", "signs", "dim", "tab", "bucket", "block", "pair.p", "pair.q")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, p, q = int(key[1]), int(key[3]), int(key[4])
-        pdf = pdf.sort_values("head", kind="stable")
-        a, b = pdf[pdf.block == p], pdf[pdf.block == q]
-        xa, xb = _normal(a.v.tolist()) if len(a) else np.empty((0, 1)), _normal(b.v.tolist()) if len(b) else np.empty((0, 1))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"head": [], "other": [], "links": []}).astype("int64")
-        sa, sb = np.stack(a.signs.tolist()), np.stack(b.signs.tolist())
-        ha, hb, na, nb = a["head"].to_numpy(), b["head"].to_numpy(), a.n.to_numpy(), b.n.to_numpy()
-        links = dict.fromkeys([*ha.tolist(), *hb.tolist()], 0)
-        parent = {h: h for h in links}
+                buckets, sketch = _signatures(_normal(_vectors(own.column(1), int(dim))), bits, tables)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(buckets), type=pa.list_(pa.int32())), pa.array([x.tobytes() for x in sketch], type=pa.binary())], names=["num", "signs", "sketch"])
+
+    signed = written(classes.select("num", "v", "dim").mapInArrow(sign, "num long, signs array<int>, sketch binary"), "signed")
+    place = signed.select("num", "sketch", F.posexplode("signs").alias("tab", "bucket")).select("num", "sketch", (F.shiftleft(F.col("tab").cast("long"), 32) + F.col("bucket")).alias("key"))
+    hot = written(place.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
+    dealt = place.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("num", "key"), F.col("blocks")).cast("int"))
+    pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(shiftleft(cast(least(block, k) as bigint), 32) + greatest(block, k) as pq, block > k as right))")
+    dealt = dealt.withColumn("x", F.explode(pair)).select("key", "x.pq", "x.right", "num", "sketch")
+    limit, whole = farthest(cosine, min(SKETCH, bits * tables), miss), SKETCH // bits
+    masks = [np.packbits(np.arange(SKETCH) // bits == t, bitorder="little").view(np.uint64) for t in range(min(whole, tables))]
+
+    def candidates(key: tuple, table: pa.Table) -> pa.Table:
+        """The vectors of two blocks that differ in few bits from one of the other block and met in no earlier table."""
+        tab, pq = key[0].as_py() >> 32, key[1].as_py()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64)
+        right = table.column("right").to_numpy()
+        a = np.flatnonzero(~right)
+        b = a if pq >> 32 == pq & 0xFFFFFFFF else np.flatnonzero(right)
+        found = np.zeros(len(right), dtype=bool)
+        for start in range(0, len(a), 256):
+            i = a[start : start + 256]
+            far = np.bitwise_count(sketch[i][:, None, 0] ^ sketch[b][None, :, 0]).astype(np.int16)
+            for w in range(1, SKETCH // 64):
+                far += np.bitwise_count(sketch[i][:, None, w] ^ sketch[b][None, :, w])
+            x, y = np.nonzero(far <= limit)
+            x, y = i[x], b[y]
+            keep = x != y
+            for mask in masks[:tab]:
+                x, y = x[keep], y[keep]
+                keep = (((sketch[x] ^ sketch[y]) & mask) != 0).any(axis=1)
+            found[x[keep]] = found[y[keep]] = True
+        return pa.table({"key": table.column("key"), "pq": table.column("pq"), "num": table.column("num"), "right": table.column("right")}).filter(pa.array(found))
+
+    jobs = dealt.groupBy("key", "pq").applyInArrow(candidates, "key long, pq long, num long, right boolean")
+    full = written(jobs, "jobs").join(classes.select("num", "n", "v", "dim").join(signed.select("num", "signs"), "num"), "num")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        tab, pq = key[0].as_py() >> 32, key[1].as_py()
+        same = pq >> 32 == pq & 0xFFFFFFFF
+        num, size, dims, right = (table.column(c).to_numpy() for c in ("num", "n", "dim", "right"))
+        links: dict[int, int] = {}
+        parent: dict[int, int] = {}
 
         def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
+            while parent.get(x, x) != x:
                 x = parent[x]
             return x
 
-        for start in range(0, len(a), 128):
-            i, j = np.nonzero(xa[start : start + 128] @ xb.T >= cosine - 1e-12)
-            i += start
-            dot = np.einsum("ij,ij->i", xa[i], xb[j])
-            keep = (dot >= cosine) & ((ha[i] < hb[j]) if p == q else True)
-            i, j = i[keep], j[keep]
-            first = _first_met(sa, sb, table, i, j)
-            i, j = i[first], j[first]
-            for h, w in ((ha[i], nb[j]), (hb[j], na[i])):
-                at, where = np.unique(h, return_inverse=True)
-                for x, c in zip(at.tolist(), np.bincount(where, weights=w, minlength=len(at)).tolist(), strict=True):
-                    links[x] += int(c)
-            for x, y in zip(ha[i].tolist(), hb[j].tolist(), strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        out = [(h, root(h), c) for h, c in links.items() if c or root(h) != h]
-        return pd.DataFrame(out, columns=["head", "other", "links"]).astype("int64")
-
-    made = written(dealt.groupBy("dim", "tab", "bucket", "p", "q").applyInPandas(compare, "head long, other long, links long"), "links")
-    named = components(made.select("head", "other"), "head", "other").withColumnRenamed("node", "head")
-    counts = made.groupBy("head").agg(F.sum("links").alias("links"))
-    summary = rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("head"), F.count("*").alias("n")).join(counts, "head", "left").join(named, "head", "left")
-    summary = summary.select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
-    out = rows.select("vec_id", "cls").join(summary, "cls", "left")
+        for dim in np.unique(dims):
+            of = np.flatnonzero(dims == dim)
+            own = table.filter(pa.array(dims == dim))
+            x = _normal(_vectors(own.column("v").combine_chunks(), int(dim)))
+            signs = _vectors(own.column("signs").combine_chunks(), tables).astype(np.int32)
+            left = np.flatnonzero(~right[of])
+            other = left if same else np.flatnonzero(right[of])
+            for start in range(0, len(left), 128):
+                some = left[start : start + 128]
+                i, j = np.nonzero(x[some] @ x[other].T >= cosine - 1e-12)
+                i, j = some[i], other[j]
+                keep = (np.einsum("ij,ij->i", x[i], x[j]) >= cosine) & ((num[of][i] < num[of][j]) if same else True)
+                i, j = i[keep], j[keep]
+                first = _first_met(signs, signs, tab, i, j)
+                i, j = of[i[first]], of[j[first]]
+                for h, w in ((num[i], size[j]), (num[j], size[i])):
+                    at, where = np.unique(h, return_inverse=True)
+                    for y, c in zip(at.tolist(), np.bincount(where, weights=w, minlength=len(at)).tolist(), strict=True):
+                        links[y] = links.get(y, 0) + int(c)
+                for y, z in zip(num[i].tolist(), num[j].tolist(), strict=True):
+                    y, z = root(y), root(z)
+                    if y != z:
+                        parent[max(y, z)] = min(y, z)
+        out = [(h, root(h), c) for h, c in links.items()]
+        return pa.table({"num": pa.array([x[0] for x in out], type=pa.int64()), "other": pa.array([x[1] for x in out], type=pa.int64()), "links": pa.array([x[2] for x in out], type=pa.int64())})
+
+    made = written(full.groupBy("key", "pq").applyInArrow(compare, "num long, other long, links long"), "links")
+    one_id = named.where("ok").join(classes.select("cls", "num"), "cls").groupBy("vec_id").agg(F.min("num").alias("num"), F.max("num").alias("other")).where("num <> other")
+    several = named.where("ok").join(one_id.select("vec_id", F.col("num").alias("other")), "vec_id").join(classes.select("cls", "num"), "cls").select("num", "other")
+    found = components(made.select("num", "other").union(several), "num", "other").withColumnRenamed("node", "num").join(classes.select("num", "head"), "num")
+    smallest = found.groupBy("component").agg(F.min("head").alias("component_id"))
+    counts = made.groupBy("num").agg(F.sum("links").alias("links"))
+    summary = classes.select("cls", "num", "head", "n").join(counts, "num", "left").join(found.join(smallest, "component").select("num", "component_id"), "num", "left")
+    summary = summary.select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "head").alias("component_id"))
+    out = named.join(summary, "cls", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -487,6 +487,25 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_extreme_components_and_of_one_id(spark):
+    x = np.random.default_rng(2).normal(size=6)
+    y = np.random.default_rng(3).normal(size=6)
+    rows = [(1, x * 1e-300), (2, x * 1e200), (3, (x + 0.01) * 1e-170), (4, y * 1e-320), (5, y * 1e300), (6, y), (6, -x), (7, -x * 3), (8, x * 5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 8)} == dict.fromkeys((1, 2, 3, 8), (3, 1))
+    assert got[5][1] == got[7][1] == got[6][1] and got[7][0] == 1
+
+
+def test_recall_on_the_given_vectors(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = data.collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    n = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(data).collect()}
+    assert sum(got.values()) >= 0.9999 * n.sum() and all(got[r.vec_id] <= c + 1 for r, c in zip(rows, n.tolist(), strict=True))
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------
 
 def brute_lines(rows, min_docs=3):
