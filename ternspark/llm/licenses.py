@@ -48,6 +48,65 @@ _BSD_DISCLAIMER = (
     "whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use "
     "of this software, even if advised of the possibility of such damage."
 )
+_APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+    "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+    "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+    "governing permissions and limitations under the License."
+)
+_GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License "
+    "as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies. The software is provided "
+    "\"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of "
+    "merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential "
+    "damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, "
+    "negligence or other tortious action, arising out of or in connection with the use or performance of this software."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+    "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+    "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+    "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+    "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+    "original software. 3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+    "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+    "Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire "
+    "statement, including the above license grant, this restriction and the following disclaimer, must be included in all "
+    "copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative "
+    "works are solely in the form of machine-executable object code generated by a source language processor. The software is "
+    "provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of "
+    "merchantability, fitness for a particular purpose, title and non-infringement. In no event shall the copyright holders or "
+    "anyone distributing the software be liable for any damages or other liability, whether in contract, tort or otherwise, "
+    "arising from, out of or in connection with the software or the use or other dealings in the software."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+    "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+    "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of "
+    "this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for "
+    "the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+    "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. The "
+    "software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the "
+    "warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors be "
+    "liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out "
+    "of or in connection with the software or the use or other dealings in the software."
+)
 _CC = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
 _GNU = {
     "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3"),
@@ -62,6 +121,13 @@ TEMPLATES = {
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
     **{f"CC-{x}-4.0": f"Licensed under CC {x} 4.0." for x in _CC},
     **{name: f"This work is licensed under the GNU {kind} Public License, version {v}." for name, (kind, v) in _GNU.items()},
+    "Apache-2.0-header": _APACHE_HEADER,
+    **{f"{name}-header": _GNU_HEADER.format(kind=kind, v=v) for name, (kind, v) in _GNU.items()},
+    "MPL-2.0-header": _MPL_HEADER,
+    "ISC": _ISC,
+    "Zlib": _ZLIB,
+    "BSL-1.0": _BOOST,
+    "Unlicense": _UNLICENSE,
     "MIT-grant": _MIT_GRANT,
     "MIT-text": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
     "BSD-2-Clause-conditions": _BSD_TWO,
@@ -82,6 +148,13 @@ REQUIRED = {
     "BSD-3-Clause-notice": ["3-clause"],
     **{f"CC-{x}-4.0": [x.lower(), f"{x.lower()} 4"] for x in _CC},
     **{name: [f"gnu {kind.lower()} public license", f"version {v}|license {v}"] for name, (kind, v) in _GNU.items()},
+    "Apache-2.0-header": ["you may not use this file|unless required by applicable law", "apache license"],
+    **{f"{name}-header": ["redistribute it and/or modify it|in the hope that it will be useful", f"gnu {kind.lower()} public license", f"version {v}"] for name, (kind, v) in _GNU.items()},
+    "MPL-2.0-header": ["mozilla public license", "v 2|version 2|license 2"],
+    "ISC": ["purpose with or without fee|permission notice appear in all copies"],
+    "Zlib": ["origin of this software must not|altered source versions must be|this notice may not be removed"],
+    "BSL-1.0": ["person or organization obtaining|reproduce display distribute execute|machine-executable object code"],
+    "Unlicense": ["free and unencumbered software|jurisdictions that recognize copyright|overt act of relinquishment"],
     "MIT-grant": _MIT_PHRASES,
     "MIT-text": _MIT_PHRASES,
     "BSD-2-Clause-conditions": _BSD_PHRASES,
@@ -277,18 +350,20 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
     ``notices`` holds every notice of the text in the order of their places, copies included: license,
     coverage, first word, last word + 1. The other columns state the one with most coverage, among equals the
     alphabetically first, then the first, and the number of different licenses. Coverage is the share of the
-    template's words aligned. Texts without a notice, empty and null ones have null, 0 and an empty array.
-    Columns of those names are replaced. Rows are independent: no shuffle.
+    template's words aligned. Around a phrase, a template of n words is aligned with the words up to n + 8 beyond where
+    the phrase puts its ends, so up to about as many words as the template has may be inserted. Texts without a notice,
+    empty and null ones have null, 0 and an empty array. Columns of those names are replaced; bytes that aren't UTF-8 are
+    words of their own. Rows are independent: no shuffle.
     """
     names = ["license", "coverage", "first_word", "last_word", "n_licenses", "notices"]
     columns = [c for c in docs.columns if c not in (text, *names)]
-    rows = docs.select(*columns, F.col(text).alias("__text"))
+    rows = docs.select(*columns, F.col(text).cast("binary").alias("__text"))
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
         for batch in batches:
-            got = [scanner.find(x) if x else [] for x in batch.column(len(columns)).to_pylist()]
+            got = [scanner.find(x.decode("utf-8", "replace")) if x else [] for x in batch.column(len(columns)).to_pylist()]
             top = [min(g, key=lambda x: (-x[1], x[0], x[2])) if g else (None, 0.0, None, None) for g in got]
             every = [[dict(zip(("license", "coverage", "first_word", "last_word"), x, strict=True)) for x in g] for g in got]
             yield pa.RecordBatch.from_arrays(

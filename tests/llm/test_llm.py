@@ -673,6 +673,80 @@ def test_license_relatives_and_copies(spark):
     assert all(len(scanner.keys[x]) == len(scanner.required[x][0]) for x in t)
 
 
+def test_notices_with_insertions_and_of_odd_bytes(spark):
+    words = licenses.TEMPLATES["BSD-3-Clause"].split()
+    far = " ".join([*words[:60], *["inserted"] * 120, *words[60:]])
+    long = "word " * 400_000 + licenses.TEMPLATES["ISC"] + " tail" * 100_000
+    made = [far, long, "the GNU General Public License " * 3000]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["BSD-3-Clause", "ISC", None] and got[1].first_word == 400_000 and got[1].coverage == 1.0
+    odd = spark.range(1).select(F.expr("cast(concat(unhex('FFC3'), cast(' Released under the MIT License. ' as binary), unhex('80')) as string)").alias("text"))
+    assert licenses.scan(odd).first().license == "MIT"
+
+
+def plain_patience(text, template):
+    """Patience alignment by its definition: equal ends, then words single in both, the longest increasing run, recursion.
+
+    None where a longest run isn't the only one.
+    """
+    from itertools import combinations
+
+    def align(a, b):
+        if not a or not b:
+            return []
+        if a[0][1] == b[0][1]:
+            rest = align(a[1:], b[1:])
+            return None if rest is None else [(a[0][0], b[0][0]), *rest]
+        if a[-1][1] == b[-1][1]:
+            rest = align(a[:-1], b[:-1])
+            return None if rest is None else [*rest, (a[-1][0], b[-1][0])]
+        single = lambda x: {w: i for i, w in x if sum(v == w for _, v in x) == 1}
+        one, two = single(a), single(b)
+        both = sorted((one[w], two[w]) for w in one.keys() & two.keys())
+        for size in range(len(both), 0, -1):
+            runs = [c for c in combinations(both, size) if all(x[1] < y[1] for x, y in zip(c, c[1:], strict=False))]
+            if len(runs) > 1:
+                return None
+            if runs:
+                out, i, j = [], -1, -1
+                for x, y in [*runs[0], (10**9, 10**9)]:
+                    part = align([p for p in a if i < p[0] < x], [p for p in b if j < p[0] < y])
+                    if part is None:
+                        return None
+                    out += part + ([(x, y)] if x < 10**9 else [])
+                    i, j = x, y
+                return out
+        return []
+
+    return align(list(enumerate(text)), list(enumerate(template)))
+
+
+def test_patience_is_that_of_the_definition():
+    rng, seen = random.Random(4), 0
+    for _ in range(400):
+        template = [rng.choice("abcdefghij") for _ in range(rng.randint(0, 9))]
+        text = [w for w in template if rng.random() > 0.2]
+        for _ in range(rng.randint(0, 4)):
+            text.insert(rng.randint(0, len(text)), rng.choice("abcxyz"))
+        want = plain_patience(text, template)
+        if want is not None:
+            seen += 1
+            assert licenses.patience(text, template) == sorted(want)
+    assert seen > 200
+
+
+def test_increasing_runs_are_longest():
+    from itertools import combinations
+
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randint(0, 9)
+        pairs = list(zip(sorted(rng.sample(range(30), n)), rng.sample(range(30), n), strict=True))
+        got = licenses._increasing(pairs)
+        best = max((size for size in range(n + 1) for c in combinations(pairs, size) if all(x[1] < y[1] for x, y in zip(c, c[1:], strict=False))), default=0)
+        assert len(got) == best and set(got) <= set(pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_patience():
     a, b = "a x b c d y e".split(), "a b c z d e".split()
     assert [a[i] for i, _ in licenses.patience(a, b)] == ["a", "b", "c", "d", "e"]
