@@ -7,18 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
 
 #: Bytes of a repeated string, of the grams whose hashes stand for it, and of a chunk on average.
 LENGTH, GRAM, CHUNK = 50, 16, 128
-#: Bytes of text hashed at once (a longer text is hashed alone), hashes that a filter for them may have.
-PIECE, FILTER_HASHES = 1 << 20, 4_000_000
+#: Bytes of text hashed at once (a longer text is hashed alone).
+PIECE = 1 << 20
+#: Bits of a Bloom filter for each hash, and at most in all (64 MB): what it lets through beyond is sorted out later.
+FILTER_BITS, FILTER_MOST = 16, 1 << 29
 #: Contexts with one least hash beyond which they are dealt out string by string: a two-thousandth of all, within
-#: these limits (so a group is never over some 8 MB). Bytes of a suffix array.
-HOT, HOT_MOST, SHARD_BYTES = 4_000, 100_000, 1 << 19
+#: these limits (so a group is never over some 8 MB). Bytes of a task's stretches.
+HOT, HOT_MOST, SHARD_BYTES = 4_000, 100_000, 1 << 20
+#: Symbols of a text whose suffixes are sorted step by step together with those of other texts, and the fewest texts.
+TOGETHER, FEWEST = 4_096, 24
 #: Bytes of a list that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing id: larger than all others.
@@ -98,7 +102,8 @@ def suffix_array(text: list[int]) -> list[int]:
     previous suffixes leave their groups: the ones met l times form a new group right above their old one, more
     meetings higher up. At the end a group holds the suffixes that begin with the same longest Lyndon word.
     Phase 2 emits suffixes in ascending order: each puts the suffix before it, and the chain of that one's
-    previous pointers, at the front of what is left of their groups. No symbols are renamed, nothing recurs.
+    previous pointers, at the front of what is left of their groups. No symbols are renamed, nothing recurs. Time is
+    linear but for the sorting of a group's members by place.
     """
     n = len(text)
     first: dict[int, list[int]] = {}
@@ -198,6 +203,93 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The suffix arrays of many short texts: each row of ``text`` holds ``size`` symbols > 0, the rest is ignored.
+
+    The construction of `suffix_array`, a step for every row at once. A group is known by the first place of its
+    suffixes in the result; suffixes that leave it take the last places. Places behind a row's end hold no sense.
+    """
+    rows, width = text.shape
+    row_begin = np.arange(rows) * width
+    x = np.where(np.arange(width)[None, :] < size[:, None], text, np.iinfo(text.dtype).max)
+    order = np.argsort(x, axis=1, kind="stable")
+    value = np.take_along_axis(x, order, axis=1)
+    new = np.ones((rows, width), dtype=bool)
+    new[:, 1:] = value[:, 1:] != value[:, :-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(width)[None, :], 0), axis=1).astype(np.int16)
+    groups = np.empty((rows, width), dtype=np.int16)  # the first place of each suffix's group
+    np.put_along_axis(groups, order, start, axis=1)
+    group = groups.reshape(-1)
+    count = np.zeros(rows * width, dtype=np.int64)  # by first place
+    np.add.at(count, (row_begin[:, None] + start).reshape(-1), 1)
+    ends_at = np.zeros(rows * width, dtype=np.int64)  # the first place of the group that ends at a place
+    first = np.flatnonzero(count)
+    ends_at[first + count[first] - 1] = first
+    done = np.zeros(rows * width, dtype=bool)
+    prev = np.full(rows * width, -1, dtype=np.int64)
+    end = size.astype(np.int64) - 1
+    while True:
+        live = np.flatnonzero(end >= 0)
+        if not len(live):
+            break
+        now = np.full(rows, -1, dtype=np.int16)
+        now[live] = ends_at[row_begin[live] + end[live]] - row_begin[live]
+        m = np.flatnonzero(groups == now[:, None])
+        done[m] = True
+        p = np.where(m % width == 0, -1, m - 1)
+        prev[m] = p
+        while True:
+            more = p >= 0
+            more[more] = done[p[more]]
+            if not more.any():
+                break
+            p[more] = prev[p[more]]
+            prev[m] = p
+        p = p[p >= 0]
+        if len(p):
+            u, k = np.unique(p, return_counts=True)
+            old = u - u % width + group[u]
+            by = np.lexsort((-k, old))
+            u, k, old = u[by], k[by], old[by]
+            cut = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])]))  # suffixes that leave a group together
+            c, of = np.diff(np.append(cut, len(u))), old[cut]
+            fresh = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            upto = np.cumsum(c)
+            upto -= np.repeat(np.append(0, upto)[fresh], np.diff(np.append(fresh, len(of))))
+            was = count[of]
+            to = of + was - upto
+            group[u] = np.repeat(to, c) - (u - u % width)
+            count[to] = c
+            ends_at[to + c - 1] = to
+            last = np.append(fresh[1:], len(of)) - 1
+            left = was[last] - upto[last]
+            stay = left > 0
+            count[of[last][stay]] = left[stay]
+            ends_at[(of[last] + left - 1)[stay]] = of[last][stay]
+        end[live] = now[live] - 1
+    front = np.arange(rows * width)
+    out = np.full(rows * width, -1, dtype=np.int64)
+    placed = np.zeros(rows * width, dtype=bool)
+
+    def chain(p: np.ndarray) -> None:
+        while True:
+            p = p[p >= 0]
+            p = p[~placed[p]]
+            if not len(p):
+                return
+            placed[p] = True
+            g = p - p % width + group[p]
+            out[front[g]] = p
+            front[g] += 1
+            p = prev[p]
+
+    chain((row_begin + size - 1)[size > 0])  # the empty suffix comes before all
+    for i in range(int(size.max(initial=0))):
+        s = out[row_begin[size > i] + i]
+        chain(np.where(s % width == 0, -1, s - 1))
+    return np.where(out >= 0, out % width, -1).reshape(rows, width)
+
+
 def _pieces(bodies: list[bytes]) -> Iterator[tuple[int, Text]]:
     """Neighbouring texts of about `PIECE` bytes at a time, with the number of the first."""
     at = 0
@@ -248,8 +340,7 @@ def _chunk_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at, text in _pieces(_bodies(batch.column(2))):
                 own, a, b = text.chunks()
-                view = memoryview(text.raw)
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), (b + LENGTH - 1).tolist(), strict=True)]), dtype="<i8").reshape(-1, 2)
+                digests = _digests(text, a, b)
                 number = np.arange(len(own)) - np.searchsorted(own, own)
                 which = pa.array(own + at)
                 yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), batch.column(0).take(which), batch.column(1).take(which), pa.array(number.astype(np.int32))], names=["hi", "lo", "doc", "th", "number"])
@@ -317,136 +408,186 @@ def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
     return base.mapInArrow(pack, "bucket long, h binary, d binary, n binary").groupBy("bucket").applyInArrow(count, "h long, n long")
 
 
-def _context_rows(base: DataFrame, wanted: np.ndarray | None, hot: np.ndarray) -> DataFrame:
-    """(key, doc, th, start, n, ctx): the n strings from ``start`` that share a least hash, as one stretch of bytes.
+class Bloom:
+    """A set of 64-bit hashes that may hold others too, in at most `FILTER_MOST` bits; built in pieces by low bits."""
+
+    PIECES = 64
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    @staticmethod
+    def _places(h: np.ndarray, bits: int) -> np.ndarray:
+        """Places of each hash in its piece of ``bits`` bits."""
+        x = h.view(np.uint64)
+        return np.stack([_mixed(x + _LEVELS[k]) & np.uint64(bits - 1) for k in range(3)])
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int) -> Bloom:
+        """The filter of the column ``h`` of n rows; its pieces, 1 MB at most each, reach the driver."""
+        bits = 1 << 10
+        while bits * cls.PIECES < min(n * FILTER_BITS, FILTER_MOST):
+            bits *= 2
+
+        def build(key: tuple, table: pa.Table) -> pa.Table:
+            held = np.zeros(bits, dtype=bool)
+            held[cls._places(table.column("h").to_numpy(), bits).ravel()] = True
+            return pa.table({"piece": [key[0].as_py()], "data": [np.packbits(held, bitorder="little").tobytes()]})
+
+        data = np.zeros((cls.PIECES, bits // 8), dtype=np.uint8)
+        small = hashes.select(F.col("h").bitwiseAND(F.lit(cls.PIECES - 1).cast("long")).alias("piece"), F.floor(F.pmod(F.xxhash64("h"), F.lit(16))).alias("part"), "h")
+        rows = small.groupBy("piece", "part").applyInArrow(build, "piece long, data binary").toArrow()
+        for piece, part in zip(rows.column("piece").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            data[piece] |= np.frombuffer(part, dtype=np.uint8)
+        return cls(bits, data.reshape(-1))
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        piece = (h & np.int64(self.PIECES - 1)).astype(np.uint64) * np.uint64(self.bits)
+        out = np.ones(len(h), dtype=bool)
+        for place in self._places(h, self.bits):
+            at = piece + place
+            out &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _context_rows(base: DataFrame, wanted: Bloom, hot: Bloom) -> DataFrame:
+    """(key, ch, doc, th, start, n, ctx, chunk): stretches of n strings, from ``start``, that may be repeated.
 
-    ``wanted`` are the sorted hashes to look for (None: all); those in ``hot`` give a row per string, keyed by
-    the string's own hash, so that a very common hash isn't one group.
+    Those of strings that share a least hash among ``wanted`` are keyed by it; with one in ``hot`` there is a row per
+    string, keyed by the string's own hash, so that a very common hash isn't one group (a hash that a filter holds wrongly
+    costs work, no result: all texts do the same). Chunks that later documents have too (of which this is the first one)
+    are keyed by their digest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            repeated = batch.column(3).to_pylist()
+            repeated, firsts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for at, text in _pieces(_bodies(batch.column(2))):
                 h, own, start, n = _runs(text, _fresh(text, repeated[at : at + len(text.sizes)]))
-                if wanted is not None:
-                    ok = _among(h, wanted)
-                    h, own, start, n = h[ok], own[ok], start[ok], n[ok]
-                single = _among(h, hot)
+                ok = wanted.holds(h)
+                h, own, start, n = h[ok], own[ok], start[ok], n[ok]
+                single = hot.holds(h)
                 each = np.where(single, n, 1)
                 number = _ranges(np.zeros(len(each), dtype=np.int64), each)
                 h, own, start, n = np.repeat(h, each), np.repeat(own, each), np.repeat(start, each) + number, np.repeat(np.where(single, 1, n), each)
                 alone = np.repeat(single, each)
                 h = h.copy()
                 h[alone] = text.strings(start[alone]).view(np.int64)
+                ch = np.zeros(len(h), dtype=np.int64)
+                few = [k for k in range(len(text.sizes)) if firsts[at + k]]
+                if few:
+                    c_own, a, b = text.chunks()
+                    begin = np.searchsorted(c_own, np.arange(len(text.sizes)))
+                    which = np.concatenate([begin[k] + np.array(firsts[at + k]) for k in few])
+                    digest = _digests(text, a[which], b[which])
+                    h, ch = np.concatenate([h, digest[:, 0]]), np.concatenate([ch, digest[:, 1]])
+                    own, start, n = np.concatenate([own, c_own[which]]), np.concatenate([start, a[which]]), np.concatenate([n, (b - a)[which]])
+                plain = len(alone)
                 for k in range(0, len(h), 20_000):
                     s = slice(k, k + 20_000)
                     which = pa.array(own[s] + at)
                     ctx = [text.raw[x:y] for x, y in zip(start[s].tolist(), (start + n + LENGTH - 1)[s].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s]), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[s] - text.begins[own[s]]), pa.array(n[s]), pa.array(ctx, type=pa.binary())], names=["key", "doc", "th", "start", "n", "ctx"])
+                    chunk = np.arange(k, k + len(ctx)) >= plain
+                    code = ch[s].copy()
+                    code[~chunk] = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, c in zip(ctx, chunk.tolist(), strict=True) if not c]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[s]), pa.array(code), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[s] - text.begins[own[s]]), pa.array(n[s]), pa.array(ctx, type=pa.binary()), pa.array(chunk)],
+                        names=["key", "ch", "doc", "th", "start", "n", "ctx", "chunk"])
 
-    return base.mapInArrow(run, "key long, doc long, th long, start long, n long, ctx binary")
+    return base.mapInArrow(run, "key long, ch long, doc long, th long, start long, n long, ctx binary, chunk boolean")
 
 
-def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(keys) or not len(x):
-        return np.zeros(len(x), dtype=bool)
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+def _digests(text: Text, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """128-bit digests of the chunks of starts [a, b), with all the bytes that their strings reach, as two columns."""
+    view = memoryview(text.raw)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), (b + LENGTH - 1).tolist(), strict=True)]), dtype="<i8").reshape(-1, 2)
 
 
-def smaller_holders(stretches: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """For every string of `LENGTH` bytes in every stretch, the smallest of ``docs`` whose stretch holds it."""
-    symbols: list[int] = []
-    starts, owner = [], []
-    for k, s in enumerate(stretches):
-        starts.append(np.arange(len(symbols), len(symbols) + len(s) - LENGTH + 1))
-        owner.append(np.full(len(s) - LENGTH + 1, k))
-        symbols += [c + 2 for c in s]
-        symbols.append(1)  # a separator, smaller than all bytes
-    starts, owner = np.concatenate(starts), np.concatenate(owner)
-    order = np.array(suffix_array(symbols), dtype=np.int64)
-    place = np.full(len(symbols), -1, dtype=np.int64)
-    place[starts] = np.arange(len(starts))
-    order = place[order]
-    order = order[order >= 0]  # whole strings, in lexical order
-    data = np.array(symbols, dtype=np.uint16).astype(np.uint8)
-    same = np.ones(len(order) - 1, dtype=bool)
-    for k in range(LENGTH):
-        same &= data[starts[order[1:]] + k] == data[starts[order[:-1]] + k]
-    begin = np.flatnonzero(np.concatenate([[True], ~same]))
-    low = np.minimum.reduceat(np.array(docs, dtype=np.int64)[owner[order]], begin)
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.repeat(low, np.diff(np.append(begin, len(order))))
-    return np.split(out, np.cumsum([len(s) - LENGTH + 1 for s in stretches])[:-1])
+def smallest_holders(stretches: list[bytes], low: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For every string of `LENGTH` bytes of every stretch, in order, the smallest ``low`` of the stretches of its group
+    that hold it, by the suffix order of the group's stretches laid end to end.
 
-
-def _holders(stretches: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """`smaller_holders` of different stretches; strings whose hash only one of them has are its own document's."""
-    text = Text(stretches)
-    starts = _ranges(text.begins, text.begins + text.starts())
-    own = np.searchsorted(text.ends, starts, side="right")
-    _, kind, n = np.unique(text.strings(starts), return_inverse=True, return_counts=True)
-    out = docs[own]
-    s = np.flatnonzero((n > 1)[kind])
-    if len(s):
-        new = np.flatnonzero(np.concatenate([[True], (starts[s][1:] != starts[s][:-1] + 1) | (own[s][1:] != own[s][:-1])]))
-        size = np.diff(np.append(new, len(s)))
-        bodies = [text.raw[a : a + k + LENGTH - 1] for a, k in zip(starts[s][new].tolist(), size.tolist(), strict=True)]
-        first: dict[bytes, int] = {}
-        for b, d in zip(bodies, docs[own[s][new]].tolist(), strict=True):
-            if first.get(b, NO_ID) >= d:
-                first[b] = d
-        found = dict(zip(first, smaller_holders(list(first), list(first.values())), strict=True))
-        out[s] = np.concatenate([found[b] for b in bodies])
-    return np.split(out, np.cumsum(text.starts())[:-1])
-
-
-def _compare(contexts: list[bytes], low: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each context, held first by document ``low``, the ranges of its strings that a smaller document's holds.
-
-    Strings whose hash occurs in one context only are left out; equal stretches of the others are one stretch of
-    the suffix array, held first by the smallest of their documents.
+    ``group`` is ascending. Short groups are sorted together, long ones one by one; equal strings stand side by side in
+    the order and are told by their bytes.
     """
-    text = Text(contexts)
-    starts = _ranges(text.begins, text.begins + text.starts())
-    own = np.searchsorted(text.ends, starts, side="right")
-    _, kind = np.unique(text.strings(starts), return_inverse=True)
-    least, most = np.full(kind.max() + 1, NO_ID), np.full(kind.max() + 1, -NO_ID)
-    np.minimum.at(least, kind, low[own])
-    np.maximum.at(most, kind, low[own])
-    shared = (least != most)[kind]
-    s, o = starts[shared], own[shared]
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if not len(s):
-        return out
-    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (o[1:] != o[:-1])]))
-    n = np.diff(np.append(new, len(s)))
-    begin, owner = s[new].tolist(), o[new]
-    bodies = [text.raw[a : a + k + LENGTH - 1] for a, k in zip(begin, n.tolist(), strict=True)]
-    first: dict[bytes, int] = {}
-    for b, d in zip(bodies, low[owner].tolist(), strict=True):
-        if first.get(b, NO_ID) >= d:
-            first[b] = d
-    holders = dict(zip(first, _holders(list(first), np.array(list(first.values()), dtype=np.int64)), strict=True))
-    for b, a, k in zip(bodies, begin, owner.tolist(), strict=True):
-        hit = np.flatnonzero(np.diff(np.concatenate([[0], holders[b] < low[k], [0]])))
-        base = a - int(text.begins[k])
-        out[k] += [(base + x, base + y) for x, y in hit.reshape(-1, 2).tolist()]
+    size = np.array([len(s) for s in stretches], dtype=np.int64)
+    begin_of = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    members = np.diff(np.append(begin_of, len(group)))
+    length = np.add.reduceat(size + 1, begin_of) if len(begin_of) else np.zeros(0, dtype=np.int64)
+    raw = np.frombuffer(b"\0".join(stretches) + b"\0" * 9, dtype=np.uint8)  # a separator after each, and room to read 8 bytes anywhere
+    total = int(length.sum())
+    symbols = raw[:total].astype(np.int16) + 2
+    ends = np.cumsum(size + 1)
+    symbols[ends - 1] = 1  # smaller than all bytes
+    offset = np.cumsum(length) - length
+    starts = np.concatenate([np.zeros(0, dtype=np.int64), _ranges(ends - size - 1, ends - LENGTH)])
+    owner = np.repeat(np.arange(len(stretches)), np.maximum(size - LENGTH + 1, 0))
+    place = np.full(total, -1, dtype=np.int64)
+    place[starts] = np.arange(len(starts))
+    order = []
+    by = np.argsort(length, kind="stable")
+    k = 0
+    while k < len(by):
+        end, width = k, 0
+        while end < len(by) and length[by[end]] <= TOGETHER and (end - k + 1) * length[by[end]] <= SHARD_BYTES:
+            width = int(length[by[end]])
+            end += 1
+        if end - k >= FEWEST:
+            own = by[k:end]
+            at = np.minimum(np.arange(width)[None, :] + offset[own][:, None], total - 1)
+            found = suffix_arrays(symbols[at], length[own])
+            some = found >= 0
+            order.append((found + offset[own][:, None])[some])
+        else:
+            end = max(end, k + 1)
+            for g in by[k:end].tolist():
+                order.append(np.array(suffix_array(symbols[offset[g] : offset[g] + length[g]].tolist()), dtype=np.int64) + offset[g])
+        k = end
+    order = place[np.concatenate(order)] if order else np.zeros(0, dtype=np.int64)
+    order = order[order >= 0]  # whole strings, in lexical order inside each group
+    word = np.ndarray(total + 1, dtype="<u8", buffer=raw.data, strides=(1,))
+    here = starts[order]
+    same = np.repeat(np.arange(len(begin_of)), members)[owner[order]]
+    same = same[1:] == same[:-1]
+    for j in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        same &= word[here[1:] + j] == word[here[:-1] + j]
+    begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, dtype=np.int64)
+    out = np.empty(len(order), dtype=np.int64)
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(low[owner[order]], begin), np.diff(np.append(begin, len(order))))
     return out
 
 
 def _answers(contexts: DataFrame) -> DataFrame:
-    """(key, ch, low, runs) of the distinct contexts that some later document has or of which strings are held earlier."""
+    """(key, ch, low, runs) of the distinct stretches that some later document has or of which strings are held earlier:
+    the suffix order gives the smallest document of every string, ``runs`` are those it has before ``low`` has them."""
     total = contexts.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        low = table.column("low").to_numpy()
-        runs = _compare(table.column("ctx").to_pylist(), low)
-        keep = pa.array((table.column("high").to_numpy() > low) | np.array([bool(r) for r in runs], dtype=bool))
-        flat = pa.array([[{"a": a, "b": b} for a, b in r] for r in runs], type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-        return pa.table({"key": table.column("key"), "ch": table.column("ch"), "low": table.column("low"), "runs": flat}).filter(keep)
-
-    distinct = contexts.groupBy("key", "ch", "ctx").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        table = table.sort_by("key")
+        keys, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
+        later = high > low
+        alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
+        table, low, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, later))
+        stretches = table.column("ctx").to_pylist()
+        holder = smallest_holders(stretches, low, table.column("key").to_numpy())
+        n = np.array([len(s) - LENGTH + 1 for s in stretches], dtype=np.int64)
+        begins = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(n)), n)
+        hit = np.concatenate([[False], holder < low[own], [False]])
+        edge = np.zeros(len(hit), dtype=bool)
+        edge[begins + 1] = True  # runs end with their stretch
+        a = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
+        b = np.flatnonzero(hit[1:-1] & (~hit[2:] | np.append(edge[2:-1], True))) + 1
+        of = own[a]
+        flat = pa.StructArray.from_arrays([pa.array(a - begins[of]), pa.array(b - begins[of])], names=["a", "b"])
+        runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), flat)
+        keep = pa.array(later | np.isin(np.arange(len(n)), of))
+        return pa.table({"key": table.column("key"), "ch": table.column("ch"), "low": table.column("low"), "runs": runs}).filter(keep)
+
+    # what later documents have of a chunk isn't among the stretches, but its first document knows of them
+    high = F.greatest(F.max("doc"), F.max(F.when(F.col("chunk"), F.lit(NO_ID))))
+    distinct = contexts.groupBy("key", "ch", "ctx").agg(F.min("doc").alias("low"), high.alias("high"))
     shard = F.pmod("key", F.lit(shards)).alias("shard")
     return distinct.select(shard, "key", "ch", "ctx", "low", "high").groupBy("shard").applyInArrow(run, "key long, ch long, low long, runs array<struct<a:long,b:long>>")
 
@@ -459,20 +600,22 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     judged on the input, overlaps count, and nothing matches across documents. A null text is empty. Rows that
     share an id don't remove from each other. A missing id is larger than all others.
 
-    1. Texts are cut into chunks by content; a chunk that a smaller document has too is repeated as a whole.
+    1. Texts are cut into chunks by content; equal chunks are ordered once, for the first document that has them.
     2. The least gram hash of every string in the other chunks is counted; what may repeat shares one.
-    3. Strings with such a hash are gathered by it, equal stretches once, and sorted by suffix arrays; strings
-       that stand side by side are compared byte for byte.
+    3. Strings with such a hash are gathered by it, equal stretches once, and sorted by suffix arrays, as are the chunks
+       of 1. The order gives the smallest document of every string (equal strings stand side by side and are compared
+       byte for byte); what a document has of a stretch goes if that one is smaller.
+    Hashes are filters, and tell which stretches are equal: 64 bits beside a 64-bit key, 128 bits for chunks. A text is
+    hashed whole, at some 30 bytes of memory for each of its bytes.
     """
     source = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.withColumn("th", F.xxhash64("text"))
     chunks = written(_chunk_rows(source), "chunks", "zstd")
     several = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
-    again = chunks.join(several, ["hi", "lo"]).where("doc > low").select("doc", "th", "number").distinct().groupBy("doc", "th").agg(F.collect_list("number").alias("again"))
-    again = written(again, "again", "zstd")
-    n_again = again.agg(F.sum(F.size("again") + 4)).first()[0] or 0
+    shared = written(chunks.join(several, ["hi", "lo"]).select("hi", "lo", "doc", "th", "number", (F.col("doc") > F.col("low")).alias("later")).distinct(), "shared", "zstd")
+    lists = shared.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("later"), F.col("number"))).alias("again"), F.collect_list(F.when(~F.col("later"), F.col("number"))).alias("firsts"))
     # four bytes for each repeated chunk: small lists go to all executors, longer ones meet the texts in a shuffle
-    base = source.join(F.broadcast(again) if n_again * 4 <= BROADCAST_BYTES else again, ["doc", "th"], "left").select("doc", "th", "text", "again")
+    base = source.join(_sent(written(lists, "lists", "zstd"), F.size("again") + F.size("firsts"), 4), ["doc", "th"], "left").select("doc", "th", "text", "again", "firsts")
 
     runs = chunks.count() * CHUNK // 18  # about as many as least hashes
     buckets = 256
@@ -481,14 +624,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     most = max(HOT, min(HOT_MOST, runs // 2_000))
     hashes = written(_shared_hashes(base, buckets).select("h", (F.col("n") > most).alias("hot")), "hashes")
     n_hot, n = hashes.agg(F.count_if("hot"), F.count("*")).first()
-    few = n <= FILTER_HASHES
-    hot = np.sort(np.array([r.h for r in hashes.where("hot").collect()], dtype=np.int64))  # a hash for every HOT contexts
-    wanted = np.sort(hashes.select("h").toArrow().column(0).to_numpy()) if few else None
-    contexts = _context_rows(base, wanted, hot).withColumn("ch", F.xxhash64("ctx"))
-    if not few:
-        strings = F.col("n") == 1
-        contexts = contexts.join(hashes.select(F.col("h").alias("key")), "key", "left_semi").union(contexts.where(strings).join(hashes.select(F.col("h").alias("key")), "key", "left_anti")) if n_hot else contexts.join(hashes.select(F.col("h").alias("key")), "key", "left_semi")
-    contexts = written(contexts, "contexts", "zstd")
+    contexts = written(_context_rows(base, Bloom.of(hashes, n), Bloom.of(hashes.where("hot"), n_hot)), "contexts", "zstd")
     answers = written(_answers(contexts), "answers")
     held = contexts.select("key", "ch", "doc", "th", "start", "n").join(answers, ["key", "ch"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
@@ -496,12 +632,19 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     runs = runs.select("doc", "th", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
     marks = runs.groupBy("doc", "th").agg(F.collect_list("r").alias("runs"))  # bounded by the document's length
     marks = written(_joined_up(marks), "marks", "zstd")
-    n_marks = marks.agg(F.sum(F.size("runs") + 4)).first()[0] or 0
-    marks = F.broadcast(marks) if n_marks * 16 <= BROADCAST_BYTES else marks
-    out = _cut(base.join(marks, ["doc", "th"], "left").select("doc", "text", "again", "runs"))
+    copies = shared.where("later").join(answers.select(F.col("key").alias("hi"), F.col("ch").alias("lo"), "low"), ["hi", "lo"]).where("doc > low")
+    copies = written(copies.groupBy("doc", "th").agg(F.collect_set("number").alias("again")), "copies", "zstd")
+    rows = source.join(_sent(copies, F.size("again"), 4), ["doc", "th"], "left").join(_sent(marks, F.size("runs"), 16), ["doc", "th"], "left")
+    out = _cut(rows.select("doc", "text", "again", "runs"))
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
+def _sent(lists: DataFrame, size: Column, each: int) -> DataFrame:
+    """Lists by document, broadcast where their entries of so many bytes are few."""
+    entries = lists.agg(F.sum(size + 4)).first()[0] or 0
+    return F.broadcast(lists) if entries * each <= BROADCAST_BYTES else lists
+
+
 def _joined_up(marks: DataFrame) -> DataFrame:
     """(doc, th, runs) with ranges that meet or overlap as one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -617,8 +617,9 @@ def test_repeated_spans(spark, docs, empty, monkeypatch, hot):
     assert suffix.repeated_spans(empty).count() == 0
 
 
-def test_repeated_spans_without_filter(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "FILTER_HASHES", -1)
+def test_repeated_spans_with_full_filters(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "FILTER_MOST", 64)
+    monkeypatch.setattr(suffix, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(suffix, "HOT", 1)
     t = "".join(random.Random(5).choice("abcd") for _ in range(400))
     rows = [(1, t), (2, t[100:300]), (3, "zz" + t[:200] + "zz"), (4, "q" * 120), (5, "q" * 90)]
@@ -640,6 +641,38 @@ def test_suffix_array():
         assert suffix.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_arrays_of_many_texts():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [[rng.randint(1, rng.choice([1, 2, 3, 5, 200])) for _ in range(rng.choice([0, 1, 2, 9, 40, 90]))] for _ in range(rng.randint(1, 30))]
+        width = max(1, *map(len, texts))
+        x = np.full((len(texts), width), 7, dtype=np.int16)
+        for k, t in enumerate(texts):
+            x[k, : len(t)] = t
+        got = suffix.suffix_arrays(x, np.array([len(t) for t in texts]))
+        for row, t in zip(got.tolist(), texts, strict=True):
+            assert row[: len(t)] == sorted(range(len(t)), key=lambda i: t[i:]) and set(row[len(t) :]) <= {-1}
+
+
+@pytest.mark.parametrize("fewest", [1, 10**6])
+def test_smallest_holders(monkeypatch, fewest):
+    monkeypatch.setattr(suffix, "FEWEST", fewest)
+    rng = random.Random(fewest)
+    for _ in range(20):
+        base = bytes(rng.choice(b"ab\x00\xff") for _ in range(200))
+        group, stretches = [], []
+        for g in range(rng.randint(1, 12)):
+            for _ in range(rng.randint(1, 5)):
+                a = rng.randint(0, 140)
+                stretches.append(base[a : a + rng.randint(50, 60)])
+                group.append(g)
+        low = np.array([rng.randint(0, 9) for _ in stretches])
+        got = suffix.smallest_holders(stretches, low, np.array(group)).tolist()
+        want = [min(d for s, d, h in zip(stretches, low.tolist(), group, strict=True) if h == g and t[i : i + 50] in s) for t, g in zip(stretches, group, strict=True) for i in range(len(t) - 49)]
+        assert got == want
+    assert len(suffix.smallest_holders([], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))) == 0
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------
 
 def test_license_scan(spark):
