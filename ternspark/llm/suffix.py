@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 #: Bytes of a repeated string, of the grams whose hashes stand for it, and of a chunk on average.
-LENGTH, GRAM, CHUNK = 50, 16, 128
+LENGTH, GRAM, CHUNK = 50, 24, 128
 #: Bytes of text hashed at once (a longer text is hashed alone).
 PIECE = 1 << 20
 #: Bits of a Bloom filter for each hash, and at most in all (64 MB): what it lets through beyond is sorted out later.
@@ -48,14 +48,17 @@ class Text:
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
         g = _VALUE[np.frombuffer(self.raw, dtype=np.uint8)]
-        step = 1
+        step, eight = 1, g
         for c in _LEVELS:  # 2, 4, 8, 16 bytes
             if len(g) <= step:
                 g = g[:0]
                 break
             g = g[:-step] * c + g[step:]
             step *= 2
-        self.grams = _mixed(g)
+            eight = g if step == 8 else eight
+        more = GRAM - 16
+        g = g[: max(0, len(self.raw) - GRAM + 1)]
+        self.grams = _mixed(g * _LEVELS[0] + eight[16 : 16 + len(g)]) if more == 8 and len(g) else _mixed(g)
 
     def least(self) -> np.ndarray:
         """For every start, the least gram hash of the `LENGTH` bytes from there (also across texts: skip those)."""
@@ -69,7 +72,7 @@ class Text:
     def strings(self, starts: np.ndarray) -> np.ndarray:
         """Hashes of the strings of `LENGTH` bytes at ``starts``."""
         g = self.grams
-        return _mixed(g[starts] * _LEVELS[0] + g[starts + GRAM] * _LEVELS[1] + g[starts + 2 * GRAM] * _LEVELS[2] + g[starts + LENGTH - GRAM] * _LEVELS[3])
+        return _mixed(g[starts] * _LEVELS[0] + g[starts + GRAM] * _LEVELS[1] + g[starts + LENGTH - GRAM] * _LEVELS[2])
 
     def starts(self) -> np.ndarray:
         """How many strings of `LENGTH` bytes start in each text."""
@@ -557,6 +560,19 @@ def smallest_holders(stretches: list[bytes], low: np.ndarray, group: np.ndarray)
     return out
 
 
+def _may_repeat(bodies: list[bytes], low: np.ndarray, later: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which strings of the stretches to sort: those of stretches that later documents have, and those whose hash
+    stretches of different documents have."""
+    if not len(own):
+        return np.zeros(0, dtype=bool)
+    text = Text(bodies)
+    kind = np.unique(text.strings(_ranges(text.begins, text.begins + text.starts())), return_inverse=True)[1]
+    least, most = np.full(kind.max() + 1, NO_ID), np.full(kind.max() + 1, -NO_ID)
+    np.minimum.at(least, kind, low[own])
+    np.maximum.at(most, kind, low[own])
+    return later[own] | (least != most)[kind]
+
+
 def _answers(contexts: DataFrame) -> DataFrame:
     """(key, ch, low, runs) of the distinct stretches that some later document has or of which strings are held earlier:
     the suffix order gives the smallest document of every string, ``runs`` are those it has before ``low`` has them."""
@@ -569,11 +585,27 @@ def _answers(contexts: DataFrame) -> DataFrame:
         later = high > low
         alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
         table, low, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, later))
-        stretches = table.column("ctx").to_pylist()
-        holder = smallest_holders(stretches, low, table.column("key").to_numpy())
-        n = np.array([len(s) - LENGTH + 1 for s in stretches], dtype=np.int64)
+        bodies, keys = table.column("ctx").to_pylist(), table.column("key").to_numpy()
+        n = np.array([len(s) - LENGTH + 1 for s in bodies], dtype=np.int64)
         begins = np.cumsum(n) - n
         own = np.repeat(np.arange(len(n)), n)
+        holder = low[own]
+        some = _may_repeat(bodies, low, later, own)
+        new = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], own[1:] == own[:-1]])) if len(some) else some)
+        count = np.diff(np.append(np.searchsorted(np.flatnonzero(some), new), int(some.sum())))
+        first: dict[tuple[int, bytes], int] = {}  # equal stretches of a group, once: the smallest document of each
+        parts = []
+        for k, x, m in zip(own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True):
+            part = int(keys[k]), bodies[k][x : x + m + LENGTH - 1]
+            parts.append(part)
+            if first.get(part, NO_ID) >= low[k]:
+                first[part] = int(low[k])
+        by = sorted(first, key=lambda p: p[0])
+        found = smallest_holders([p[1] for p in by], np.array([first[p] for p in by], dtype=np.int64), np.array([p[0] for p in by], dtype=np.int64))
+        cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p in by)])
+        at = {p: k for k, p in enumerate(by)}
+        if parts:
+            holder[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
         hit = np.concatenate([[False], holder < low[own], [False]])
         edge = np.zeros(len(hit), dtype=bool)
         edge[begins + 1] = True  # runs end with their stretch
@@ -602,8 +634,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
     1. Texts are cut into chunks by content; equal chunks are ordered once, for the first document that has them.
     2. The least gram hash of every string in the other chunks is counted; what may repeat shares one.
-    3. Strings with such a hash are gathered by it, equal stretches once, and sorted by suffix arrays, as are the chunks
-       of 1. The order gives the smallest document of every string (equal strings stand side by side and are compared
+    3. Strings with such a hash are gathered by it; those whose own hash occurs again are sorted by suffix arrays, equal
+       stretches once, as are the chunks of 1. The order gives the smallest document of every string (equal strings stand side by side and are compared
        byte for byte); what a document has of a stretch goes if that one is smaller.
     Hashes are filters, and tell which stretches are equal: 64 bits beside a 64-bit key, 128 bits for chunks. A text is
     hashed whole, at some 30 bytes of memory for each of its bytes.
@@ -612,9 +644,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     source = source.withColumn("th", F.xxhash64("text"))
     chunks = written(_chunk_rows(source), "chunks", "zstd")
     several = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("hi", "lo", "low")
-    shared = written(chunks.join(several, ["hi", "lo"]).select("hi", "lo", "doc", "th", "number", (F.col("doc") > F.col("low")).alias("later")).distinct(), "shared", "zstd")
-    lists = shared.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("later"), F.col("number"))).alias("again"), F.collect_list(F.when(~F.col("later"), F.col("number"))).alias("firsts"))
-    # four bytes for each repeated chunk: small lists go to all executors, longer ones meet the texts in a shuffle
+    shared = written(chunks.join(several, ["hi", "lo"]).select("hi", "lo", "doc", "th", "number", (F.col("doc") > F.col("low")).alias("later")), "shared", "zstd")
+    lists = shared.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("later"), F.col("number"))).alias("again"), F.collect_set(F.when(~F.col("later"), F.col("number"))).alias("firsts"))
+    # rows that share id and text have the same lists; four bytes for each repeated chunk: small lists go to all executors, longer ones meet the texts in a shuffle
     base = source.join(_sent(written(lists, "lists", "zstd"), F.size("again") + F.size("firsts"), 4), ["doc", "th"], "left").select("doc", "th", "text", "again", "firsts")
 
     runs = chunks.count() * CHUNK // 18  # about as many as least hashes
