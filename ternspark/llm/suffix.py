@@ -20,9 +20,10 @@ PIECE = 1 << 20
 FILTER_BITS, FILTER_MOST = 16, 1 << 29
 #: Contexts with one least hash beyond which they are dealt out string by string: a two-thousandth of all, within
 #: these limits (so a group is never over some 8 MB). Bytes of a task's stretches.
-HOT, HOT_MOST, SHARD_BYTES = 4_000, 100_000, 1 << 20
-#: Symbols of a text whose suffixes are sorted step by step together with those of other texts, and the fewest texts.
-TOGETHER, FEWEST = 4_096, 24
+HOT, HOT_MOST, SHARD_BYTES = 4_000, 100_000, 4 << 20
+#: Symbols of a text whose suffixes are sorted step by step together with those of others, the fewest texts, and the most
+#: symbols of all.
+TOGETHER, FEWEST, BATCH = 4_096, 24, 2 << 20
 #: Bytes of a list that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing id: larger than all others.
@@ -42,11 +43,13 @@ _LEVELS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA076
 class Text:
     """Texts laid end to end, with the hashes of all their grams and the least hash of every string of `LENGTH`."""
 
-    def __init__(self, bodies: list[bytes]):
+    def __init__(self, bodies: list[bytes], hashed: bool = True):
         self.raw = b"".join(bodies)
         self.sizes = np.array([len(b) for b in bodies], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
+        if not hashed:
+            return
         g = _VALUE[np.frombuffer(self.raw, dtype=np.uint8)]
         step, eight = 1, g
         for c in _LEVELS:  # 2, 4, 8, 16 bytes
@@ -219,39 +222,37 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     value = np.take_along_axis(x, order, axis=1)
     new = np.ones((rows, width), dtype=bool)
     new[:, 1:] = value[:, 1:] != value[:, :-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(width)[None, :], 0), axis=1).astype(np.int16)
-    groups = np.empty((rows, width), dtype=np.int16)  # the first place of each suffix's group
-    np.put_along_axis(groups, order, start, axis=1)
-    group = groups.reshape(-1)
-    count = np.zeros(rows * width, dtype=np.int64)  # by first place
-    np.add.at(count, (row_begin[:, None] + start).reshape(-1), 1)
+    first = np.flatnonzero(new.reshape(-1))
+    held = (order + row_begin[:, None]).reshape(-1)  # the suffixes, group after group, and where each stands
+    at = np.empty(rows * width, dtype=np.int64)
+    at[held] = np.arange(rows * width)
+    count = np.zeros(rows * width, dtype=np.int64)  # by a group's first place
+    count[first] = np.diff(np.append(first, rows * width))
+    group = np.empty(rows * width, dtype=np.int64)  # the first place of each suffix's group
+    group[held] = np.repeat(first, count[first])
     ends_at = np.zeros(rows * width, dtype=np.int64)  # the first place of the group that ends at a place
-    first = np.flatnonzero(count)
     ends_at[first + count[first] - 1] = first
-    done = np.zeros(rows * width, dtype=bool)
+    done, leaves = np.zeros(rows * width, dtype=bool), np.zeros(rows * width, dtype=bool)
     prev = np.full(rows * width, -1, dtype=np.int64)
-    end = size.astype(np.int64) - 1
-    while True:
-        live = np.flatnonzero(end >= 0)
-        if not len(live):
-            break
-        now = np.full(rows, -1, dtype=np.int16)
-        now[live] = ends_at[row_begin[live] + end[live]] - row_begin[live]
-        m = np.flatnonzero(groups == now[:, None])
+    begin, end = row_begin[size > 0], (row_begin + size - 1)[size > 0]
+    while len(end):
+        now = ends_at[end]
+        m = held[_ranges(now, end + 1)]
         done[m] = True
         p = np.where(m % width == 0, -1, m - 1)
         prev[m] = p
-        while True:
-            more = p >= 0
-            more[more] = done[p[more]]
-            if not more.any():
-                break
-            p[more] = prev[p[more]]
-            prev[m] = p
+        more = np.flatnonzero(p >= 0)
+        more = more[done[p[more]]]
+        while len(more):
+            q = prev[p[more]]
+            p[more] = q
+            prev[m[more]] = q
+            more = more[q >= 0]
+            more = more[done[p[more]]]
         p = p[p >= 0]
         if len(p):
             u, k = np.unique(p, return_counts=True)
-            old = u - u % width + group[u]
+            old = group[u]
             by = np.lexsort((-k, old))
             u, k, old = u[by], k[by], old[by]
             cut = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])]))  # suffixes that leave a group together
@@ -261,15 +262,28 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
             upto -= np.repeat(np.append(0, upto)[fresh], np.diff(np.append(fresh, len(of))))
             was = count[of]
             to = of + was - upto
-            group[u] = np.repeat(to, c) - (u - u % width)
+            # they change places with those that stay at the end of the group
+            last = np.append(fresh[1:], len(of)) - 1
+            leaves[u] = True
+            tail = held[_ranges(to[last], of[last] + was[last])]
+            holes = at[u]
+            holes = holes[holes < np.repeat(to[last], np.diff(np.append(cut[fresh], len(u))))]
+            stay = tail[~leaves[tail]]
+            held[holes] = stay
+            at[stay] = holes
+            leaves[u] = False
+            place = _ranges(to, to + c)
+            held[place] = u
+            at[u] = place
+            group[u] = np.repeat(to, c)
             count[to] = c
             ends_at[to + c - 1] = to
-            last = np.append(fresh[1:], len(of)) - 1
             left = was[last] - upto[last]
-            stay = left > 0
-            count[of[last][stay]] = left[stay]
-            ends_at[(of[last] + left - 1)[stay]] = of[last][stay]
-        end[live] = now[live] - 1
+            some = left > 0
+            count[of[last][some]] = left[some]
+            ends_at[(of[last] + left - 1)[some]] = of[last][some]
+        some = now > begin
+        begin, end = begin[some], now[some] - 1
     front = np.arange(rows * width)
     out = np.full(rows * width, -1, dtype=np.int64)
     placed = np.zeros(rows * width, dtype=bool)
@@ -281,7 +295,7 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
             if not len(p):
                 return
             placed[p] = True
-            g = p - p % width + group[p]
+            g = group[p]
             out[front[g]] = p
             front[g] += 1
             p = prev[p]
@@ -293,7 +307,7 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(out >= 0, out % width, -1).reshape(rows, width)
 
 
-def _pieces(bodies: list[bytes]) -> Iterator[tuple[int, Text]]:
+def _pieces(bodies: list[bytes], hashed: bool = True) -> Iterator[tuple[int, Text]]:
     """Neighbouring texts of about `PIECE` bytes at a time, with the number of the first."""
     at = 0
     while at < len(bodies):
@@ -301,7 +315,7 @@ def _pieces(bodies: list[bytes]) -> Iterator[tuple[int, Text]]:
         while end < len(bodies) and (end == at or size + len(bodies[end]) < PIECE):
             size += len(bodies[end])
             end += 1
-        yield at, Text(bodies[at:end])
+        yield at, Text(bodies[at:end], hashed)
         at = end
 
 
@@ -369,16 +383,15 @@ def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
             if not sum(map(len, hs)):
                 continue
             h, d = np.concatenate(hs), np.concatenate(ds)
-            by = np.lexsort((d, h))
+            by = np.argsort(h)
             h, d = h[by], d[by]
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
-            begin = np.flatnonzero(new)
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n = np.diff(np.append(begin, len(h)))
-            end = begin + n - 1
-            twice = d[begin] != d[end]
+            low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+            twice = low != high
             # a hash with more than one document stands twice, its runs counted once
-            h2 = np.concatenate([h[begin], h[end][twice]])
-            d2 = np.concatenate([d[begin], d[end][twice]])
+            h2 = np.concatenate([h[begin], h[begin][twice]])
+            d2 = np.concatenate([low, high[twice]])
             n2 = np.concatenate([n, np.zeros(int(twice.sum()), dtype=np.int64)])
             bucket = h2 & (buckets - 1)
             by = np.lexsort((d2, bucket))
@@ -438,7 +451,8 @@ class Bloom:
             return pa.table({"piece": [key[0].as_py()], "data": [np.packbits(held, bitorder="little").tobytes()]})
 
         data = np.zeros((cls.PIECES, bits // 8), dtype=np.uint8)
-        small = hashes.select(F.col("h").bitwiseAND(F.lit(cls.PIECES - 1).cast("long")).alias("piece"), F.floor(F.pmod(F.xxhash64("h"), F.lit(16))).alias("part"), "h")
+        parts = max(1, n // cls.PIECES // 4_000_000)
+        small = hashes.select(F.col("h").bitwiseAND(F.lit(cls.PIECES - 1).cast("long")).alias("piece"), F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "h")
         rows = small.groupBy("piece", "part").applyInArrow(build, "piece long, data binary").toArrow()
         for piece, part in zip(rows.column("piece").to_pylist(), rows.column("data").to_pylist(), strict=True):
             data[piece] |= np.frombuffer(part, dtype=np.uint8)
@@ -476,14 +490,11 @@ def _context_rows(base: DataFrame, wanted: Bloom, hot: Bloom) -> DataFrame:
                 h = h.copy()
                 h[alone] = text.strings(start[alone]).view(np.int64)
                 ch = np.zeros(len(h), dtype=np.int64)
-                few = [k for k in range(len(text.sizes)) if firsts[at + k]]
-                if few:
-                    c_own, a, b = text.chunks()
-                    begin = np.searchsorted(c_own, np.arange(len(text.sizes)))
-                    which = np.concatenate([begin[k] + np.array(firsts[at + k]) for k in few])
-                    digest = _digests(text, a[which], b[which])
+                a, b = _chunks_of(text, firsts[at : at + len(text.sizes)])
+                if len(a):
+                    digest = _digests(text, a, b)
                     h, ch = np.concatenate([h, digest[:, 0]]), np.concatenate([ch, digest[:, 1]])
-                    own, start, n = np.concatenate([own, c_own[which]]), np.concatenate([start, a[which]]), np.concatenate([n, (b - a)[which]])
+                    own, start, n = np.concatenate([own, np.searchsorted(text.ends, a, side="right")]), np.concatenate([start, a]), np.concatenate([n, b - a])
                 plain = len(alone)
                 for k in range(0, len(h), 20_000):
                     s = slice(k, k + 20_000)
@@ -531,7 +542,7 @@ def smallest_holders(stretches: list[bytes], low: np.ndarray, group: np.ndarray)
     k = 0
     while k < len(by):
         end, width = k, 0
-        while end < len(by) and length[by[end]] <= TOGETHER and (end - k + 1) * length[by[end]] <= SHARD_BYTES:
+        while end < len(by) and length[by[end]] <= TOGETHER and (end - k + 1) * length[by[end]] <= BATCH:
             width = int(length[by[end]])
             end += 1
         if end - k >= FEWEST:
@@ -573,6 +584,46 @@ def _may_repeat(bodies: list[bytes], low: np.ndarray, later: np.ndarray, own: np
     return later[own] | (least != most)[kind]
 
 
+def _sorted_out(table: pa.Table) -> pa.Table:
+    """`_answers` of the stretches (key, ch, ctx, low, high) of a shard."""
+    table = table.sort_by("key")
+    keys, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
+    later = high > low
+    alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
+    table, low, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, later))
+    bodies, keys = table.column("ctx").to_pylist(), table.column("key").to_numpy()
+    n = np.array([len(s) - LENGTH + 1 for s in bodies], dtype=np.int64)
+    begins = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(n)), n)
+    holder = low[own]
+    some = _may_repeat(bodies, low, later, own)
+    new = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], own[1:] == own[:-1]])) if len(some) else some)
+    count = np.diff(np.append(np.searchsorted(np.flatnonzero(some), new), int(some.sum())))
+    first: dict[tuple[int, bytes], int] = {}  # equal stretches of a group, once: the smallest document of each
+    parts = []
+    for k, x, m in zip(own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True):
+        part = int(keys[k]), bodies[k][x : x + m + LENGTH - 1]
+        parts.append(part)
+        if first.get(part, NO_ID) >= low[k]:
+            first[part] = int(low[k])
+    by = sorted(first, key=lambda p: p[0])
+    found = smallest_holders([p[1] for p in by], np.array([first[p] for p in by], dtype=np.int64), np.array([p[0] for p in by], dtype=np.int64))
+    cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p in by)])
+    at = {p: k for k, p in enumerate(by)}
+    if parts:
+        holder[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
+    hit = np.concatenate([[False], holder < low[own], [False]])
+    edge = np.zeros(len(hit), dtype=bool)
+    edge[begins + 1] = True  # runs end with their stretch
+    a = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
+    b = np.flatnonzero(hit[1:-1] & (~hit[2:] | np.append(edge[2:-1], True))) + 1
+    of = own[a]
+    flat = pa.StructArray.from_arrays([pa.array(a - begins[of]), pa.array(b - begins[of])], names=["a", "b"])
+    runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), flat)
+    keep = pa.array(later | np.isin(np.arange(len(n)), of))
+    return pa.table({"key": table.column("key"), "ch": table.column("ch"), "low": table.column("low"), "runs": runs}).filter(keep)
+
+
 def _answers(contexts: DataFrame) -> DataFrame:
     """(key, ch, low, runs) of the distinct stretches that some later document has or of which strings are held earlier:
     the suffix order gives the smallest document of every string, ``runs`` are those it has before ``low`` has them."""
@@ -580,42 +631,7 @@ def _answers(contexts: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD_BYTES))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
-        later = high > low
-        alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
-        table, low, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, later))
-        bodies, keys = table.column("ctx").to_pylist(), table.column("key").to_numpy()
-        n = np.array([len(s) - LENGTH + 1 for s in bodies], dtype=np.int64)
-        begins = np.cumsum(n) - n
-        own = np.repeat(np.arange(len(n)), n)
-        holder = low[own]
-        some = _may_repeat(bodies, low, later, own)
-        new = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], own[1:] == own[:-1]])) if len(some) else some)
-        count = np.diff(np.append(np.searchsorted(np.flatnonzero(some), new), int(some.sum())))
-        first: dict[tuple[int, bytes], int] = {}  # equal stretches of a group, once: the smallest document of each
-        parts = []
-        for k, x, m in zip(own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True):
-            part = int(keys[k]), bodies[k][x : x + m + LENGTH - 1]
-            parts.append(part)
-            if first.get(part, NO_ID) >= low[k]:
-                first[part] = int(low[k])
-        by = sorted(first, key=lambda p: p[0])
-        found = smallest_holders([p[1] for p in by], np.array([first[p] for p in by], dtype=np.int64), np.array([p[0] for p in by], dtype=np.int64))
-        cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p in by)])
-        at = {p: k for k, p in enumerate(by)}
-        if parts:
-            holder[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
-        hit = np.concatenate([[False], holder < low[own], [False]])
-        edge = np.zeros(len(hit), dtype=bool)
-        edge[begins + 1] = True  # runs end with their stretch
-        a = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
-        b = np.flatnonzero(hit[1:-1] & (~hit[2:] | np.append(edge[2:-1], True))) + 1
-        of = own[a]
-        flat = pa.StructArray.from_arrays([pa.array(a - begins[of]), pa.array(b - begins[of])], names=["a", "b"])
-        runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), flat)
-        keep = pa.array(later | np.isin(np.arange(len(n)), of))
-        return pa.table({"key": table.column("key"), "ch": table.column("ch"), "low": table.column("low"), "runs": runs}).filter(keep)
+        return _sorted_out(table)
 
     # what later documents have of a chunk isn't among the stretches, but its first document knows of them
     high = F.greatest(F.max("doc"), F.max(F.when(F.col("chunk"), F.lit(NO_ID))))
@@ -698,6 +714,20 @@ def _joined_up(marks: DataFrame) -> DataFrame:
     return marks.select("doc", "th", "runs").mapInArrow(run, "doc long, th long, runs array<struct<a:long,b:long>>")
 
 
+def _chunks_of(text: Text, numbers: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of these numbers of each text start and where their starts end."""
+    has = [k for k, x in enumerate(numbers) if x]
+    if not has:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    some = Text([text.raw[text.begins[k] : text.ends[k]] for k in has])
+    own, a, b = some.chunks()
+    first = np.searchsorted(own, np.arange(len(has)))
+    which = np.concatenate([first[i] + np.array(numbers[k]) for i, k in enumerate(has)])
+    shift = (text.begins[has] - some.begins)[own[which]]
+    return a[which] + shift, b[which] + shift
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -708,17 +738,14 @@ def _cut(rows: DataFrame) -> DataFrame:
             a = flat.field(0).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, dtype=np.int64)
             b = flat.field(1).to_numpy(zero_copy_only=False) if len(flat) else a
             upto = np.concatenate([[0], np.cumsum(size)])
-            for at, text in _pieces(_bodies(batch.column(1))):
+            for at, text in _pieces(_bodies(batch.column(1)), hashed=False):
                 n = len(text.sizes)
                 delta = np.zeros(len(text.raw) + LENGTH + 1, dtype=np.int32)
-                own, x, y = text.chunks()
-                first = np.searchsorted(own, np.arange(n))
-                which = [first[k] + np.array(again[at + k]) for k in range(n) if again[at + k]]
-                which = np.concatenate(which) if which else np.zeros(0, dtype=np.int64)
+                x, y = _chunks_of(text, again[at : at + n])
                 s = slice(upto[at], upto[at + n])
                 shift = np.repeat(text.begins, size[at : at + n])
-                np.add.at(delta, np.concatenate([x[which], a[s] + shift]), 1)
-                np.add.at(delta, np.concatenate([y[which], b[s] + shift]) + LENGTH - 1, -1)
+                np.add.at(delta, np.concatenate([x, a[s] + shift]), 1)
+                np.add.at(delta, np.concatenate([y, b[s] + shift]) + LENGTH - 1, -1)
                 gone = np.cumsum(delta[: len(text.raw)]) > 0
                 edges = np.zeros(len(text.raw) + 1, dtype=bool)  # runs end with their text
                 edges[text.begins] = True
