@@ -13,8 +13,8 @@ from .cols import c, num, tidy
 
 #: Columns up to which a covariance matrix is written out as expressions; more are summed as matrices.
 EXPRESSION_COLUMNS = 30
-#: Distinct values that one task may number.
-ONE_RANGE = 200_000
+#: Ranges of values that ranks are counted in (a power of two).
+RANGES = 1024
 
 
 def complete(names: Sequence[str]) -> Column:
@@ -88,22 +88,24 @@ def correlation_table(df: DataFrame, names: Sequence[str], pairwise: bool = Fals
     return tidy(rows.agg(*aggs), [], entries, "pair").drop("pair")
 
 
-def average_ranks(df: DataFrame, name: str, out: str, source: DataFrame | None = None) -> DataFrame:
-    """``df`` with the rank of a column among all its values (of ``source``, if ``df`` is derived from it), ties
-    averaged, without a global sort in one task.
+def average_ranks(df: DataFrame, names: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """``df`` with the rank of each column's value among all its values, ties averaged, without a sort in one task.
 
-    Values are counted; many are dealt into ranges, numbered inside their range, and ranges' totals added up.
+    Values are counted, dealt into ranges by approximate quantiles (found in one pass for all columns), numbered inside
+    their range, and ranges' totals added up.
     """
-    source = df if source is None else source
-    counts = source.where(num(name).isNotNull()).groupBy(num(name).alias("__x")).count()
-    many = counts.limit(ONE_RANGE + 1).count() > ONE_RANGE
-    edges = counts.approxQuantile("__x", [k / 256 for k in range(1, 256)], 0.001) if many else []
-    cell = F.lit(0)
-    for e in sorted(set(edges)):
-        cell = cell + F.when(F.col("__x") >= e, 1).otherwise(0)
-    counts = counts.withColumn("__cell", cell)
-    totals = counts.groupBy("__cell").agg(F.sum("count").alias("__t"))
-    before = totals.select("__cell", F.expr("coalesce(sum(__t) over (order by __cell rows between unbounded preceding and 1 preceding), 0)").alias("__base"))  # a row per range
-    inside = F.expr("coalesce(sum(count) over (partition by __cell order by __x rows between unbounded preceding and 1 preceding), 0)")
-    ranks = counts.withColumn("__in", inside).join(F.broadcast(before), "__cell").select("__x", (F.col("__base") + F.col("__in") + (F.col("count") + 1) / 2).alias(out))
-    return df.withColumn("__x", num(name)).join(ranks, "__x", "left").drop("__x")
+    probs = [k / RANGES for k in range(1, RANGES)]
+    found = df.agg(*[F.percentile_approx(num(n), probs, 10 * RANGES).alias(f"e{k}") for k, n in enumerate(names)]).first()
+    out_df = df
+    for k, (name, out) in enumerate(zip(names, outs, strict=True)):
+        edges = ",".join(map(repr, found[f"e{k}"] or [0.0] * len(probs)))
+        steps = ",".join(str(RANGES >> i) for i in range(1, RANGES.bit_length()))
+        # the number of edges up to the value, by bisection
+        cell = F.expr(f"aggregate(array({steps}), 0, (i, s) -> if(__x >= cast(split('{edges}', ',') as array<double>)[i + s - 1], i + s, i))")
+        counts = df.where(num(name).isNotNull()).groupBy(num(name).alias("__x")).count().withColumn("__cell", cell)
+        totals = counts.groupBy("__cell").agg(F.sum("count").alias("__t"))
+        before = totals.select("__cell", F.expr("coalesce(sum(__t) over (order by __cell rows between unbounded preceding and 1 preceding), 0)").alias("__base"))  # a row per range
+        inside = F.expr("coalesce(sum(count) over (partition by __cell order by __x rows between unbounded preceding and 1 preceding), 0)")
+        ranks = counts.withColumn("__in", inside).join(F.broadcast(before), "__cell").select("__x", (F.col("__base") + F.col("__in") + (F.col("count") + 1) / 2).alias(out))
+        out_df = out_df.withColumn("__x", num(name)).join(ranks, "__x", "left").drop("__x")
+    return out_df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +15,22 @@ from .cols import c, num, tidy
 DIRECT_ROWS = 5_000_000
 #: Half the width of a bracket, in probability, and the accuracy that finds its ends.
 BRACKET, ACCURACY = 0.002, 10_000
+#: Values of a bracket that may reach the driver; wider ones are narrowed again.
+MOST = 10_000
 
 
 def exact_quantiles(df: DataFrame, names: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """(by..., column, prob, value), one row per group, column and probability; null for columns without values.
 
-    Small inputs use ``percentile``, which keeps a map of all distinct values per group. Larger ones take three
-    passes: approximate brackets around each quantile, ranks below them, and the few values inside. Both give
+    Without groups, brackets around each quantile are narrowed until few values are left (see `quantile_values`). With
+    groups, small inputs use ``percentile``, which keeps a map of all distinct values per group; larger ones take three
+    passes: approximate brackets around each quantile, ranks below them, and the few values inside. All give
     the same numbers: the value at rank (n - 1) p, interpolated.
     """
+    if not by:
+        found = quantile_values(df, names, probs)
+        rows = [F.struct(F.lit(n).alias("column"), F.lit(float(p)).alias("prob"), F.lit(v).cast("double").alias("value")) for n in names for p, v in zip(probs, found[n], strict=True)]
+        return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
     if df.count() <= direct_rows:
         aggs = [F.percentile(num(n), [float(p) for p in probs]).alias(f"q{k}") for k, n in enumerate(names)]
         wide = df.groupBy(*[c(b) for b in by]).agg(*aggs)
@@ -50,7 +59,7 @@ def _bracketed(df: DataFrame, names: Sequence[str], probs: Sequence[float], by:
     values = tidy(df.select(*keys, *[num(n).alias(n) for n in names]), by, {n: {"x": n} for n in names}).where("x is not null")
     same = _same(values, wanted, [*by, "column"])
     # a row per group, column and probability: counts below the bracket, and the values inside by count
-    joined = values.alias("v").join(F.broadcast(wanted.alias("w")), same).select(*[F.col(f"w.`{b}`") for b in by], F.col("w.column"), "prob", "n", "lo", "hi", "x")
+    joined = values.alias("v").join(wanted.alias("w"), same).select(*[F.col(f"w.`{b}`") for b in by], F.col("w.column"), "prob", "n", "lo", "hi", "x")
     cell = F.when(F.col("x") < F.col("lo"), F.lit(float("-inf"))).when(F.col("x") <= F.col("hi"), F.col("x"))
     counted = joined.where("x <= hi").groupBy(*keys, "column", "prob", "n", cell.alias("x")).count()
     run = Window.partitionBy(*keys, "column", "prob").orderBy("x")
@@ -80,14 +89,85 @@ def _same2(a: str, b: str, names: Sequence[str]) -> Column:
     return out
 
 
-def quantile_values(df: DataFrame, names: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
-    """Global quantiles as scalars: a few numbers per column."""
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    for r in exact_quantiles(df, names, probs, direct_rows=direct_rows).collect():
-        for k, p in enumerate(probs):
-            if abs(r["prob"] - p) < 1e-12:
-                out[r["column"]][k] = r["value"]
-    return out
+@dataclass
+class _Target:
+    """A quantile on its way: column x, ranks wanted, and the bracket that holds them."""
+
+    x: int
+    low: int
+    high: int
+    part: float
+    lo: float = -math.inf
+    hi: float = math.inf
+    below: int = 0
+    inside: int = 0
+
+    def holds(self) -> Column:
+        return (F.col(f"x{self.x}") >= self.lo) & (F.col(f"x{self.x}") <= self.hi)
+
+
+def quantile_values(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Global quantiles as scalars.
+
+    A first pass counts and finds approximate brackets, the next ones count what is below and inside; a bracket with over
+    `MOST` values is narrowed to the part of it that holds the ranks, by about 1 / (2 `BRACKET`) times a pass. The few
+    values left reach the driver, so no task or group holds a share of the rows.
+    """
+    rows = df.select(*[num(n).alias(f"x{k}") for k, n in enumerate(names)])
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
+    aggs = [f(F.col(f"x{k}")).alias(f"{a}{k}") for k in range(len(names)) for a, f in (("n", F.count), ("a", F.min), ("b", F.max))]
+    first = rows.agg(*aggs, *[F.percentile_approx(f"x{k}", [float(e) for e in ends], ACCURACY).alias(f"e{k}") for k in range(len(names))]).first()
+    targets: dict[tuple[int, int], _Target] = {}
+    for k in range(len(names)):
+        n = first[f"n{k}"]
+        for j, p in enumerate(probs if n else []):
+            h = (n - 1) * p
+            t = targets[k, j] = _Target(k, math.floor(h), math.ceil(h), h - math.floor(h), inside=n)
+            if n > MOST:
+                lo, hi = (ends.index(min(1.0, max(0.0, p + d))) for d in (-BRACKET, BRACKET))
+                t.lo = first[f"e{k}"][lo] if p > BRACKET else first[f"a{k}"]
+                t.hi = first[f"e{k}"][hi] if p < 1 - BRACKET else first[f"b{k}"]
+    todo = [t for t in targets.values() if t.lo > -math.inf]
+    while todo:
+        counts = rows.agg(*[F.count_if(c).alias(f"{a}{i}") for i, t in enumerate(todo) for a, c in (("below", F.col(f"x{t.x}") < t.lo), ("inside", t.holds()))],
+                          *[F.percentile_approx(F.when(t.holds(), F.col(f"x{t.x}")), [float(e) for e in _GRID], ACCURACY).alias(f"g{i}") for i, t in enumerate(todo)]).first()
+        again = []
+        for i, t in enumerate(todo):
+            t.below, t.inside, grid = counts[f"below{i}"], counts[f"inside{i}"], counts[f"g{i}"]
+            if not (t.below <= t.low and t.high < t.below + t.inside):  # an end was too far off: take all on that side
+                t.lo, t.hi = (first[f"a{t.x}"] if t.below > t.low else t.lo), (first[f"b{t.x}"] if t.high >= t.below + t.inside else t.hi)
+                again.append(t)
+            elif t.inside > MOST and t.lo < t.hi:
+                at = [(r - t.below) / t.inside for r in (t.low, t.high)]
+                lo = max([g for g, e in zip(grid, _GRID, strict=True) if e <= at[0] - BRACKET], default=t.lo)
+                hi = min([g for g, e in zip(grid, _GRID, strict=True) if e >= at[1] + BRACKET], default=t.hi)
+                if (lo, hi) != (t.lo, t.hi):
+                    t.lo, t.hi = lo, hi
+                    again.append(t)
+        todo = again
+    open_ = [t for t in targets.values() if t.lo < t.hi]
+    found: dict[int, list[tuple[float, int]]] = {}
+    if open_:
+        each = F.array(*[F.when(t.holds(), F.struct(F.lit(i).alias("t"), F.col(f"x{t.x}").alias("x"))) for i, t in enumerate(open_)])
+        values = rows.select(F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).groupBy("s.t", "s.x").count().orderBy("t", "x")
+        for r in values.collect():
+            found.setdefault(r["t"], []).append((r["x"], r["count"]))
+
+    def value(t: _Target) -> float:
+        if t.lo == t.hi:
+            return float(t.lo)
+        upto, got = t.below, []
+        for x, n in found[open_.index(t)]:
+            upto += n
+            while len(got) < 2 and upto > (t.low, t.high)[len(got)]:
+                got.append(float(x))
+        return got[0] if t.low == t.high else got[0] + t.part * (got[1] - got[0])
+
+    return {n: [value(targets[k, j]) if (k, j) in targets else None for j in range(len(probs))] for k, n in enumerate(names)}
+
+
+#: Parts of a bracket at which it may be narrowed.
+_GRID = [k / 256 for k in range(257)]
 
 
 def cut(x: Column, breaks: Sequence[float]) -> Column:

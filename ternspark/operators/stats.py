@@ -63,9 +63,7 @@ def correlations(df: DataFrame, names: Sequence[str] | None = None, pairwise: bo
     if method == "spearman":
         rows = df.select(*[num(n).alias(n) for n in names])
         if not pairwise:
-            rows = plain = rows.dropna()
-            for k, n in enumerate(names):
-                rows = average_ranks(rows, n, f"__r{k}", plain)
+            rows = average_ranks(rows.dropna(), names, [f"__r{k}" for k in range(len(names))])
             table = correlation_table(rows, [f"__r{k}" for k in range(len(names))])
             back = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (f"__r{k}", n)])
             return table.select(back[F.col("var1")].alias("var1"), back[F.col("var2")].alias("var2"), "r", "n")

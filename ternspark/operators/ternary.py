@@ -140,10 +140,16 @@ def aspect_bins(df: DataFrame, name: str = "Aspect.Ratio", out: str = "aspect_bi
     return cut_labels(df, name, ASPECT_BREAKS, out)
 
 
-def group_colours(df: DataFrame, name: str) -> DataFrame:
-    """(group, samples, colour_index): the index follows the count, descending, then the name."""
+def group_colours(df: DataFrame, name: str, palette: int = 1000) -> DataFrame:
+    """(group, samples, colour_index): the index follows the count, descending, then the name.
+
+    The ``palette`` largest groups are numbered; all smaller ones share the index after them, so no sort sees them all.
+    """
     counts = df.groupBy(c(name).alias("group")).agg(F.count("*").alias("samples"))
-    return counts.withColumn("colour_index", F.row_number().over(Window.orderBy(F.desc("samples"), "group")))  # a row per group
+    top = counts.orderBy(F.desc("samples"), "group").limit(palette).agg(F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("s"), F.col("group").isNotNull().alias("named"), F.col("group").alias("g")))).alias("all"))
+    top = top.select(F.posexplode("all").alias("at", "x")).select((F.col("at") + 1).alias("colour_index"), F.col("x.g").alias("__g"))
+    table = counts.join(F.broadcast(top), F.col("group").eqNullSafe(F.col("__g")), "left")
+    return table.select("group", "samples", F.coalesce("colour_index", F.lit(palette + 1)).alias("colour_index"))
 
 
 def colour_rows(df: DataFrame, name: str, out: str = "colour_index") -> DataFrame:
@@ -153,12 +159,15 @@ def colour_rows(df: DataFrame, name: str, out: str = "colour_index") -> DataFram
 
 
 def group_summary(df: DataFrame, name: str, top: int = 10, other: str = "(other)") -> DataFrame:
-    """(rank, group, samples, percent): the largest groups, and one row for all others."""
+    """(rank, group, samples, percent): the ``top`` largest groups, and one row for all others."""
     counts = df.groupBy(c(name).cast("string").alias("group")).agg(F.count("*").alias("samples"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("samples"), "group")))
-    folded = ranked.groupBy(F.least("rank", F.lit(top + 1)).alias("rank")).agg(F.max(F.when(F.col("rank") <= top, F.col("group"))).alias("group"), F.sum("samples").alias("samples"))
-    folded = folded.withColumn("group", F.when(F.col("rank") > top, F.lit(other)).otherwise(F.col("group")))
-    return folded.select("rank", "group", "samples", F.bround(100.0 * F.col("samples") / F.sum("samples").over(Window.partitionBy()), 1).alias("percent"))
+    first = counts.orderBy(F.desc("samples"), "group").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("s"), F.col("group").isNotNull().alias("named"), F.col("group").alias("g")))).alias("all"))
+    total = counts.agg(F.sum("samples").alias("total"))
+    both = first.crossJoin(total).withColumn("rest", F.col("total") - F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a - x.s))
+    rows = F.concat(
+        F.transform("all", lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x.g.alias("group"), (-x.s).alias("samples"))),
+        F.filter(F.array(F.struct(F.lit(top + 1).alias("rank"), F.lit(other).alias("group"), F.col("rest").alias("samples"))), lambda x: x.samples > 0))
+    return both.select("total", F.inline(rows)).select("rank", "group", "samples", F.bround(100.0 * F.col("samples") / F.col("total"), 1).alias("percent"))
 
 
 def size_legend(df: DataFrame, name: str, n: int = 5) -> DataFrame:

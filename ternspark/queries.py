@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -547,9 +550,9 @@ def _(spark, d):
     return rounded(stats.kendall(table(spark, d, "lineitem"), "l_quantity", "l_discount"))
 
 
-@register("a08_high_correlations", "{base} SELECT * FROM (" + _corr(["disc_amt", "l_discount", "base", "qty_c"], "t") + ") WHERE var1 <> var2 AND abs(r) > 0.7")
+@register("a08_high_correlations", "{base} SELECT * FROM (" + _corr(["disc_amt", "l_discount", "base", "qty_c"], "t") + ") WHERE var1 <> var2 AND abs(r) > 0.5")
 def _(spark, d):
-    return rounded(stats.high_correlations(stats.correlations(comp(spark, d), ["disc_amt", "l_discount", "base", "qty_c"]), 0.7))
+    return rounded(stats.high_correlations(stats.correlations(comp(spark, d), ["disc_amt", "l_discount", "base", "qty_c"]), 0.5))
 
 
 @register("a09_correlation_difference", "{base}, a AS (" + _corr(_COR, "(SELECT * FROM t WHERE l_linestatus = 'F')") + "), b AS (" + _corr(_COR, "(SELECT * FROM t WHERE l_linestatus = 'O')") + ") SELECT var1, var2, a.r AS r1, b.r AS r2, round(a.r - b.r, 4) AS difference, abs(a.r - b.r) > 0.3 AS is_large FROM a JOIN b USING (var1, var2)")
@@ -918,3 +921,111 @@ def _(spark, d):
 def _(spark, d):
     _, _, cov = moments._gram(comp(spark, d), _COR)
     return rounded(spark.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(_COR) for j, b in enumerate(_COR)], "var1 string, var2 string, cov double"), 2)
+
+
+# ---- writing, names, checks and every table of the jobs --------------------------------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, on a single machine a temporary one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/ternspark-{uuid.uuid4().hex}"
+
+
+@register("s05_write_table", "SELECT 'csv' AS kind, s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'parquet', s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'json', s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'orc', s_nationkey, s_suppkey, s_name FROM supplier")
+def _(spark, d):
+    t, out = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name"), None
+    for kind in ("csv", "parquet", "json", "orc"):
+        path = f"{_folder(spark)}.{kind}"
+        files.write_table(t, path, kind)
+        back = files.read_table(spark, path).select(F.lit(kind).alias("kind"), *[F.col(n).cast(k).alias(n) for n, k in t.dtypes])
+        out = back if out is None else out.union(back)
+    return out
+
+
+@register("s06_export_tables", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'empty', 1 UNION ALL SELECT 'region x', count(*) FROM region")
+def _(spark, d):
+    tables = {"nation": table(spark, d, "nation"), "empty": table(spark, d, "nation").where("n_nationkey < 0"), "region x": table(spark, d, "region")}
+    out = None
+    for name, path in zip(tables, files.export_tables(tables, _folder(spark), spark), strict=True):
+        part = spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@register("n01_clean_names", "SELECT round(sum(l_tax), 4) AS \"SiO2\", round(sum(l_discount), 4) AS \"Al2O3\", count(*) AS n FROM lineitem")
+def _(spark, d):
+    t = cols.rename_clean(table(spark, d, "lineitem").select(F.col("l_tax").alias("SiO2.(Wt%)"), F.col("l_discount").alias("Al2O3.(Wt%)")))
+    return rounded(t.agg(F.sum("SiO2").alias("SiO2"), F.sum("Al2O3").alias("Al2O3"), F.count("*").alias("n")), 4)
+
+
+@register("n02_safe_names", "SELECT o_orderstatus AS order_status, round(sum(o_totalprice), 2) AS total_price FROM orders GROUP BY 1")
+def _(spark, d):
+    t = cols.rename_safe(table(spark, d, "orders").select(F.col("o_orderstatus").alias("order status"), F.col("o_totalprice").alias("total price")))
+    return rounded(t.groupBy("order_status").agg(F.sum("total_price").alias("total_price")), 2)
+
+
+@register("n03_categorical_columns", "SELECT \"column\" FROM (SELECT 'o_orderdate' AS \"column\", count(DISTINCT o_orderdate) AS k FROM orders UNION ALL SELECT 'year', count(DISTINCT date_trunc('year', o_orderdate)) FROM orders) WHERE k <= 50 UNION ALL SELECT 'o_orderstatus' FROM orders GROUP BY 1")
+def _(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.trunc("o_orderdate", "year").alias("year"), "o_orderstatus")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, cols.categorical_columns(t)))).alias("column"))
+
+
+@register("f13_pick_method", ORACLE["f11_iqr_drop"])
+def _(spark, d):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        method = outliers.pick_method(["mad", "zscore", "iqr"])  # of several the first rule wins
+    return QUERIES[f"f11_{method}_drop"](spark, d)
+
+
+@register("m01_checked_distances", ORACLE["m06_distance_summary"])
+def _(spark, d):
+    for names, lam in ((["disc_amt"], 1.0), (AMOUNTS, -1.0)):
+        try:
+            mahalanobis.check_inputs(names, lam)
+        except ValueError:
+            continue
+        raise AssertionError("bad inputs were let through")
+    mahalanobis.check_inputs(AMOUNTS)
+    return QUERIES["m06_distance_summary"](spark, d)
+
+
+def _halved(sql: str) -> str:
+    return "{base}, f AS (SELECT * FROM t WHERE l_linestatus = 'F'), o AS (SELECT * FROM t WHERE l_linestatus = 'O') " + sql
+
+
+_DESCRIBE = "round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS sd"
+_TRIPLE = ["disc_amt", "tax_amt", "l_quantity"]
+
+
+def _both(kind: str, spark, d) -> DataFrame:
+    """The tables that the whole job makes of this kind, one for each dataset."""
+    first, second = (h.select(*_TRIPLE) for h in halves(spark, d))
+    made = jobs.comprehensive_analysis(first, second, forest=False)
+    return rounded(made[f"{kind}1"].withColumn("dataset", F.lit(1)).unionByName(made[f"{kind}2"].withColumn("dataset", F.lit(2))), 4)
+
+
+@register("w02_statistics", _halved("SELECT 1 AS dataset, * FROM (" + _each(_TRIPLE, _DESCRIBE, "f") + ") UNION ALL SELECT 2, * FROM (" + _each(_TRIPLE, _DESCRIBE, "o") + ")"))
+def _(spark, d):
+    return _both("statistics", spark, d)
+
+
+@register("w02_correlations", _halved("SELECT 1 AS dataset, * FROM (" + _corr(_TRIPLE, "f").replace(", 6) AS r", ", 4) AS r") + ") UNION ALL SELECT 2, * FROM (" + _corr(_TRIPLE, "o").replace(", 6) AS r", ", 4) AS r") + ")"))
+def _(spark, d):
+    return _both("correlation", spark, d)
+
+
+@register("w03_statistics2", _halved(_each(AMOUNTS, _DESCRIBE, "o")))
+def _(spark, d):
+    first, second = halves(spark, d)
+    return rounded(jobs.quick_analysis(first.select(*AMOUNTS), second.select(*AMOUNTS))["statistics2"], 4)
+
+
+@register("w05_correlation_difference", ORACLE["a09_correlation_difference"])
+def _(spark, d):
+    first, second = halves(spark, d)
+    return rounded(jobs.compare_job(first.select(*_COR), second.select(*_COR))["correlation_difference"], difference=4)
+
+
+@register("a13_correlations", "{base} " + _corr(_COR, "t"))
+def _(spark, d):
+    return rounded(jobs.analyze_data(comp(spark, d), [*_COR, "not_there"])["correlations"])

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ternspark.functions import cols, moments, tails
+from ternspark.functions import cols, moments, quantiles, tails
 from ternspark.functions.quantiles import exact_quantiles, quantile_values
 
 NAMES = ["SiO2.(Wt%)", "Al2O3.(Wt%)", "Fe2O3.(Wt%)"]
@@ -41,11 +41,12 @@ def test_min_max_of_a_constant_is_null(spark):
     assert [(r.x_norm, r.k_norm) for r in cols.min_max(df, ["x", "k"]).orderBy("x").collect()] == [(0.0, None), (1.0, None)]
 
 
-@pytest.mark.parametrize("direct", [10**9, 0])
-def test_quantiles_both_ways(spark, direct):
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_quantiles_of_few_values(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "MOST", most)
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 100, 5, 6, 7, 8, 9, 10)], "x double")
-    assert quantile_values(df, ["x"], [0.25, 0.5, 0.75], direct)["x"] == pytest.approx([3.5, 6.5, 8.75])
-    assert quantile_values(df, ["x"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], direct)["x"] == pytest.approx([1, 2.8, 5.6, 7.4, 9.2, 100])
+    assert quantile_values(df, ["x"], [0.25, 0.5, 0.75])["x"] == pytest.approx([3.5, 6.5, 8.75])
+    assert quantile_values(df, ["x"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])["x"] == pytest.approx([1, 2.8, 5.6, 7.4, 9.2, 100])
 
 
 def test_bracketed_quantiles_by_group(spark):
@@ -58,6 +59,17 @@ def test_bracketed_quantiles_by_group(spark):
     assert a.keys() == b.keys() and all(b[k] == pytest.approx(v) for k, v in a.items())
 
 
+def test_quantiles_are_narrowed_until_few_values_are_left(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST", 50)
+    monkeypatch.setattr(quantiles, "BRACKET", 0.02)
+    df = spark.range(30_000).select(F.rand(5).alias("x"), F.floor(F.rand(6) * 40).cast("double").alias("y"), F.exp(F.randn(7) * 4).alias("z")).cache()
+    probs = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    got = quantile_values(df, ["x", "y", "z"], probs)
+    want = df.agg(*[F.percentile(n, probs).alias(n) for n in "xyz"]).first()
+    assert all(got[n] == pytest.approx(want[n]) for n in "xyz")
+    df.unpersist()
+
+
 def test_quantile_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantile_values(df, ["x"], [0.5]) == {"x": [None]}
@@ -81,7 +93,7 @@ def test_tails():
 
 def test_ranks_in_ranges(spark, monkeypatch):
     df = spark.range(2000).select((F.col("id") * 7919 % 501).cast("double").alias("x"))
-    one = sorted(map(tuple, moments.average_ranks(df, "x", "r").collect()))
-    monkeypatch.setattr(moments, "ONE_RANGE", 10)
-    assert sorted(map(tuple, moments.average_ranks(df, "x", "r").collect())) == one
+    one = sorted(map(tuple, moments.average_ranks(df, ["x"], ["r"]).collect()))
+    monkeypatch.setattr(moments, "RANGES", 8)
+    assert sorted(map(tuple, moments.average_ranks(df, ["x"], ["r"]).collect())) == one
     assert one[0][1] == pytest.approx((1 + sum(1 for v in one if v[0] == 0)) / 2)
