@@ -108,26 +108,29 @@ def check_data_quality(first: DataFrame, second: DataFrame, names: Sequence[str]
     distributions and scores."""
     names = list(names) if names else common_numeric(first, second)
     both = {"Dataset 1": first, "Dataset 2": second}
+    columns = {k: column_quality(d, names) for k, d in both.items()}  # its quantiles are found here, once for all tables
 
     def stacked(make) -> DataFrame:
-        parts = [make(d).withColumn("dataset", F.lit(k)) for k, d in both.items()]
+        parts = [make(k).withColumn("dataset", F.lit(k)) for k in both]
         return parts[0].unionByName(parts[1])
 
     return {
-        "quality": stacked(lambda d: column_quality(d, names)),
-        "correlations": stacked(lambda d: correlation_table(d, names, pairwise=True)),
-        "high_correlations": stacked(lambda d: high_correlations(correlation_table(d, names, pairwise=True))),
-        "distributions": stacked(lambda d: distribution(d, names)),
-        "scores": stacked(lambda d: quality_score(d, names)),
+        "quality": stacked(lambda k: columns[k]),
+        "correlations": stacked(lambda k: correlation_table(both[k], names, pairwise=True)),
+        "high_correlations": stacked(lambda k: high_correlations(correlation_table(both[k], names, pairwise=True))),
+        "distributions": stacked(lambda k: distribution(both[k], names)),
+        "scores": stacked(lambda k: score_of(columns[k])),
     }
 
 
-def quality_summary(first: DataFrame, second: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(metric, Dataset 1, Dataset 2): missing, infinite, zero variance and outliers of the common columns."""
+def quality_summary(first: DataFrame, second: DataFrame, names: Sequence[str] | None = None, quality: DataFrame | None = None) -> DataFrame:
+    """(metric, Dataset 1, Dataset 2): missing, infinite, zero variance and outliers of the common columns; ``quality``
+    is the table of that name from `check_data_quality`, if it is at hand."""
     names = list(names) if names else common_numeric(first, second)
     parts = []
     for label, d in (("Dataset 1", first), ("Dataset 2", second)):
-        t = column_quality(d, names).agg(F.sum("missing").alias("missing"), F.sum("infinite").alias("infinite"), F.count_if(F.coalesce("zero_variance", F.lit(False))).alias("zero_variance"), F.sum("outliers").alias("outliers"))
+        columns = column_quality(d, names) if quality is None else quality.where(F.col("dataset") == label)
+        t = columns.agg(F.sum("missing").alias("missing"), F.sum("infinite").alias("infinite"), F.count_if(F.coalesce("zero_variance", F.lit(False))).alias("zero_variance"), F.sum("outliers").alias("outliers"))
         parts.append(tidy(t, [], {k: {"value": k} for k in ("missing", "infinite", "zero_variance", "outliers")}, "metric").withColumn("dataset", F.lit(label)))
     return parts[0].unionByName(parts[1]).groupBy("metric").pivot("dataset", ["Dataset 1", "Dataset 2"]).agg(F.first("value"))
 

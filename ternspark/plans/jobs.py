@@ -96,7 +96,7 @@ def comprehensive_analysis(first: DataFrame, second: DataFrame, folder: str | No
     and reported."""
     names = common_numeric(first, second)
     out = quality.check_data_quality(first, second, names)
-    out["quality_summary"] = quality.quality_summary(first, second, names)
+    out["quality_summary"] = quality.quality_summary(first, second, names, out["quality"])
     for k, d in (("1", first), ("2", second)):
         out |= {f"heatmap{k}": charts.heatmap(d, names), f"overview{k}": charts.overview(d, names), f"statistics{k}": stats.describe(d, names), f"correlation{k}": correlation_table(d, names)}
     some = names[:5]
@@ -138,4 +138,5 @@ def compare_job(first: DataFrame, second: DataFrame, key: Sequence[str] | None =
 def analyze_data(df: DataFrame, names: Sequence[str]) -> dict[str, DataFrame]:
     """Statistics, correlations, issues and quality of the named columns that exist."""
     use = [n for n in dict.fromkeys(names) if n in numeric_columns(df)]
-    return {"statistics": stats.describe(df, use), "correlations": correlation_table(df, use), "issues": quality.issues(df, use), "quality": quality.column_quality(df, use), "score": quality.quality_score(df, use)}
+    columns = quality.column_quality(df, use)
+    return {"statistics": stats.describe(df, use), "correlations": correlation_table(df, use), "issues": quality.issues(df, use), "quality": columns, "score": quality.score_of(columns)}
