@@ -407,19 +407,25 @@ def plain_kneser_ney(texts, order):
     for k in range(order - 1, 0, -1):
         grams[k] = Counter(g[1:] for g in grams[k + 1])
     size = len({x for g in grams[order] for x in g}) + 1
+    totals, kinds, ones, twos = ({k: Counter() for k in grams} for _ in range(4))
+    for k, seen in grams.items():
+        for g, n in seen.items():
+            totals[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+            ones[k][0] += n == 1
+            twos[k][0] += n == 2
 
     def p(symbol, context):
         k = len(context) + 1
         if k == 0 or not grams.get(k):
             return 1 / size
         lower = p(symbol, context[1:]) if k > 1 else 1 / size
-        total = sum(n for g, n in grams[k].items() if g[:-1] == context)
+        total = totals[k][context]
         if not total:
             return lower
-        n1, n2 = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        n1, n2 = ones[k][0], twos[k][0]
         d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + n2 else 0.5
-        kinds = sum(g[:-1] == context for g in grams[k])
-        return max(grams[k][(*context, symbol)] - d, 0) / total + d * kinds / total * lower
+        return max(grams[k][(*context, symbol)] - d, 0) / total + d * kinds[k][context] / total * lower
 
     return p, size
 
