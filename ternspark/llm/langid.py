@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +34,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """The symbol of every code point."""
-    table = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
-    for cp in range(sys.maxunicode + 1):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()
-            table[cp] = ord(low) if len(low) == 1 else cp
-    return table
+def _symbol(point: int) -> int:
+    """The symbol of a code point."""
+    c = chr(point)
+    low = c.lower()
+    return (ord(low) if len(low) == 1 else point) if c.isalpha() else GAP
 
 
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, runs of gaps as one and a gap after each text that has letters; and each text's bounds."""
     points = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    raw = _letters()[np.minimum(points, sys.maxunicode)]
+    there = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
+    there[points] = True
+    table = np.zeros(len(there), dtype=np.uint32)
+    for point in np.flatnonzero(there).tolist():
+        table[point] = _symbol(point)
+    raw = table[points]
     keep = raw != GAP
     keep[1:] |= raw[:-1] != GAP
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
@@ -181,13 +179,14 @@ class Identifier:
         """
         columns = [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
         rows, body = docs.select(*columns, F.col(text).cast("binary").alias("__body")), len(columns)
-        shared = docs.sparkSession.sparkContext.broadcast(self)  # bounded by the sample
+        shared = docs.sparkSession.sparkContext.broadcast(_plain(self))  # bounded by the sample
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _from_plain(shared.value)
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
-                    made = shared.value.score(_decoded(part.column(body)))
+                    made = found.score(_decoded(part.column(body)))
                     yield pa.RecordBatch.from_arrays([*part.columns[:body], *made], names=[*columns, "lang_pred", "score", "cross_entropy", "rejected"])
 
         schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
@@ -242,6 +241,16 @@ class Identifier:
         return over / np.sqrt(self.within / np.maximum(n, 1) + self.between)
 
 
+def _plain(found: Identifier) -> tuple:
+    """The parts of fitted models without their classes: a broadcast names classes, which executors may not have."""
+    models = {name: (m.keys, m.logp, m.contexts, m.back, m.base, m.mean) for name, m in found.models.items()}
+    return models, found.order, found.within, found.between, found.limit
+
+
+def _from_plain(parts: tuple) -> Identifier:
+    return Identifier({name: Model(*m) for name, m in parts[0].items()}, *parts[1:])
+
+
 def _decoded(column: pa.Array) -> list[str]:
     return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -282,12 +291,13 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 def _calibrated(found: Identifier, sample: DataFrame, rejected: float) -> Identifier:
     """Means, variance and limit from the documents kept apart; all but a share ``rejected`` of them lie inside."""
-    shared = sample.sparkSession.sparkContext.broadcast(found)
+    shared = sample.sparkSession.sparkContext.broadcast(_plain(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = _from_plain(shared.value)
         for batch in batches:
-            names = list(shared.value.models)
-            entropy, n = shared.value.entropies(_decoded(batch.column(1)))
+            names = list(fitted.models)
+            entropy, n = fitted.entropies(_decoded(batch.column(1)))
             own = [names.index(x) if x in names else -1 for x in batch.column(0).to_pylist()]
             mine = np.array([entropy[k, j] if j >= 0 else 0.0 for k, j in enumerate(own)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
