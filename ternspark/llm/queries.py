@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, langid, licenses, lines, minhash, mixing, packing, suffix, urls
+from . import alignment, collocations, embeddings, fingerprints, langid, licenses, lines, minhash, mixing, packing, suffix, toxicity, urls
 from .scratch import written
 
 
@@ -73,6 +73,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by how exclusively their words occur together."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens align in every document, and how common their links are."""
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
+    "op13_alignment": op13_alignment,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -217,5 +235,29 @@ WITH RECURSIVE d AS (
     greatest(1, {packing.TOKEN_BUDGET} // b.padded_len) AS each FROM b JOIN bounds USING (padded_len)
 )
 SELECT doc_id, n_tokens, bucket::BIGINT AS bucket, padded_len, (rank // each)::BIGINT AS batch, (rank % each)::BIGINT AS place FROM r
+""",
+    "op11_collocations": f"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate({_LOWER.format("coalesce(text, '')")}, '.,;:!?' || chr(11) || chr(12) || chr(13), repeat(chr(10), 9)), chr(10))) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), g AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w
+), f AS (SELECT lang, size, phrase, lang || chr(9) || phrase AS key, count(*)::BIGINT AS f FROM g GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= {collocations.LEAST}
+), cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c
+), s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.key = cuts.lang || chr(9) || array_to_string(w[1:k], ' ') JOIN f y ON y.key = cuts.lang || chr(9) || array_to_string(w[k + 1:], ' ')
+), best AS (
+  SELECT lang, phrase, any_value(a) AS a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM s GROUP BY lang, phrase
+), around AS (
+  SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE size = 3) GROUP BY lang, part
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN around ON around.lang = best.lang AND around.part = best.phrase WHERE coalesce(100 * most, 0) < {collocations.COVER} * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM ranked JOIN n USING (lang) WHERE rank <= {collocations.TOP}
 """,
 }
