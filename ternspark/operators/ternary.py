@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import c, num, require
 from ..functions.quantiles import cut, exact_quantiles, quantile_values
+from ..functions.ranges import numbered
 from .filters import Element, element_sum, value_of
 from .outliers import _join_small
 
@@ -140,16 +141,11 @@ def aspect_bins(df: DataFrame, name: str = "Aspect.Ratio", out: str = "aspect_bi
     return cut_labels(df, name, ASPECT_BREAKS, out)
 
 
-def group_colours(df: DataFrame, name: str, palette: int = 1000) -> DataFrame:
-    """(group, samples, colour_index): the index follows the count, descending, then the name.
-
-    The ``palette`` largest groups are numbered; all smaller ones share the index after them, so no sort sees them all.
-    """
+def group_colours(df: DataFrame, name: str) -> DataFrame:
+    """(group, samples, colour_index): the index follows the count, descending, then the name (null first); every group has
+    its own. Groups are numbered in ranges of counts and names, so no sort sees them all."""
     counts = df.groupBy(c(name).alias("group")).agg(F.count("*").alias("samples"))
-    top = counts.orderBy(F.desc("samples"), "group").limit(palette).agg(F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("s"), F.col("group").isNotNull().alias("named"), F.col("group").alias("g")))).alias("all"))
-    top = top.select(F.posexplode("all").alias("at", "x")).select((F.col("at") + 1).alias("colour_index"), F.col("x.g").alias("__g"))
-    table = counts.join(F.broadcast(top), F.col("group").eqNullSafe(F.col("__g")), "left")
-    return table.select("group", "samples", F.coalesce("colour_index", F.lit(palette + 1)).alias("colour_index"))
+    return numbered(counts, [-F.col("samples"), F.col("group")], "colour_index").select("group", "samples", F.col("colour_index").cast("int").alias("colour_index"))
 
 
 def colour_rows(df: DataFrame, name: str, out: str = "colour_index") -> DataFrame:
