@@ -113,3 +113,60 @@ def test_paired_by_position_in_ranges(spark, monkeypatch):
     two = stats.paired_by_position(spark.createDataFrame(a), spark.createDataFrame(b), ["v"], ["k"]).first()
     want = np.corrcoef(a.sort_values("k")["v"], b.sort_values("k")["v"])[0, 1]
     assert one["r"] == pytest.approx(want) and two["r"] == pytest.approx(want) and two["n"] == 500
+
+
+def values_with(kind, n=4000):
+    rng = np.random.default_rng(11)
+    x = rng.lognormal(sigma=3, size=n) if kind != "steps" else np.repeat(rng.integers(0, 7, n // 8).astype(float), 8)
+    if kind == "infinite":
+        x[:40], x[40:90] = -np.inf, np.inf
+    if kind == "spike":
+        x[: n // 2] = 2.0
+    if kind == "far":
+        x[:3] = [-1.7e308, 1.7e308, 1e-300]
+    return x
+
+
+def type7(x, p):
+    x = np.sort(x)
+    h = (len(x) - 1) * p
+    a, b = x[math.floor(h)], x[math.ceil(h)]
+    return a if a == b else a + (h - math.floor(h)) * (b - a)
+
+
+@pytest.mark.parametrize("kind", ["plain", "steps", "infinite", "spike", "far"])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_narrowed_quantiles(spark, monkeypatch, kind, grouped):
+    from ternspark.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "MOST", 20)
+    probs = [0.0, 0.001, 0.2, 0.25, 0.5, 0.75, 0.999, 1.0]
+    x = values_with(kind)
+    g = ["hot" if k % 10 else [None, "b"][k // 10 % 2] for k in range(len(x))]  # one group holds nine tenths
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": -x})).union(spark.createDataFrame([("hot", None, float("nan")), ("empty", None, None)], "g string, x double, y double")).repartition(3)
+    if not grouped:
+        got = quantiles.quantile_values(df, ["x", "y"], probs)
+        for n, v in (("x", x), ("y", -x)):
+            assert got[n] == pytest.approx([type7(v, p) for p in probs], rel=1e-12)
+        return
+    rows = quantiles.exact_quantiles(df, ["x", "y"], probs, ["g"], direct_rows=1000).collect()
+    found = {(r["g"], r["column"], r["prob"]): r["value"] for r in rows}
+    assert len(rows) == len(found) == 4 * 2 * len(probs) and found["empty", "x", 0.5] is None
+    names = np.array([k or "" for k in g])
+    for key in ("hot", None, "b"):
+        for n, v in (("x", x), ("y", -x)):
+            for p in probs:
+                want = type7(v[names == (key or "")], p)
+                assert found[key, n, p] == want or found[key, n, p] == pytest.approx(want, rel=1e-12)
+
+
+def test_few_values_reach_the_driver(spark, monkeypatch):
+    from ternspark.functions import quantiles
+
+    df = spark.range(200_000).select(F.when(F.col("id") == 5, -math.inf).when(F.col("id") == 6, math.inf).otherwise(F.col("id") * 1.0).alias("x"))
+    met = []
+    settle = quantiles._Target.settle
+    monkeypatch.setattr(quantiles._Target, "settle", lambda self, values: (met.append(len(values)), settle(self, values))[1])
+    monkeypatch.setattr(quantiles, "MOST", 300)
+    got = quantiles.quantile_values(df, ["x"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])["x"]
+    assert got[0] == -math.inf and got[-1] == math.inf and max(met) <= 300
