@@ -20,7 +20,7 @@ LEAST, LONGEST, TOP, COVER = 10, 3, 2000, 50
 #: pair for every SPARSE cells at least.
 TILE_BITS, HEAD_TILES, SPARSE = 9, 16, 8
 #: Pairs that a task counts at once, and words that it keeps the ids of.
-FLUSH, KEPT_WORDS = 1 << 22, 1 << 20
+FLUSH, KEPT_WORDS = 1 << 20, 1 << 18
 #: Frequent words and phrases that are sent to the tasks (16 bytes each). Beyond, see `mine`.
 SENT = 1 << 21
 #: Bytes of a text that are split at once.
@@ -57,8 +57,8 @@ class Vocabulary(dict):
 
     def numbers(self, text: bytes) -> np.ndarray:
         """The number of each word of a text and of each end of a piece, and one more of these at the end."""
-        parts = [np.fromiter((self[w] for w in part), dtype=np.int64, count=len(part)) for part in tokens(text)]
-        out = np.concatenate([*parts, np.ones(1, dtype=np.int64)])
+        parts = [np.fromiter(map(self.__getitem__, part), dtype=np.int32, count=len(part)) for part in tokens(text)]
+        out = np.concatenate([*parts, np.ones(1, dtype=np.int32)])
         return out[out != 0]
 
     def hashed(self) -> np.ndarray:
