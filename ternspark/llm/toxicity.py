@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: The bounded sample of labelled rows that the lexicon is learned from: rows and characters of each class, picked by a
-#: hash of the text, each text once.
+#: The bounded sample of labelled rows that the lexicon is learned from: rows and characters of each class, picked by
+#: hashes of id and text, each text once.
 SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 40_000_000
 #: Letters of the word beginnings that are tried beside whole words.
 SHORTEST, LONGEST = 4, 12
@@ -145,9 +145,21 @@ def _sample(labelled: DataFrame, text: str, label: str, rows: int, chars: int) -
     known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("text"), F.col(label).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r for r in known.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).collect()}  # two rows at most
     rates = {k: min(1.0, rows / r["n"], chars / max(1, r["chars"])) for k, r in sizes.items()}
-    place = F.pmod(F.xxhash64(F.lit(12), "text"), F.lit(1_000_000))
-    wanted = F.when(F.col("toxic") == 1, rates.get(1, 0.0)).otherwise(rates.get(0, 0.0))
-    return written(known.where(place < wanted * 1_000_000).dropDuplicates(["text", "toxic"]), "sample")
+    return written(known.where(_picked(F.xxhash64(F.lit(12), "text"), "toxic", rates)).dropDuplicates(["text", "toxic"]), "sample", "zstd")
+
+
+def _picked(hashed: Column, label: str, rates: dict[int, float]) -> Column:
+    """Whether a hash lies in the share of its class that is wanted."""
+    return F.pmod(hashed, F.lit(1_000_000)) < F.when(F.col(label) == 1, rates.get(1, 0.0)).otherwise(rates.get(0, 0.0)) * 1_000_000
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, label) of about ``rows`` labelled documents of each class, picked by a hash of the id: only so many ids go to
+    all executors, and no text is shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("__id"), F.col(label).cast("int").alias(label))
+    rates = {r[0]: min(1.0, rows / r["count"]) for r in known.groupBy(label).count().collect()}  # two rows at most
+    wanted = known.where(_picked(F.xxhash64(F.lit(13), "__id"), label, rates))
+    return docs.select(id, text).join(F.broadcast(wanted), F.col(id) == F.col("__id")).select(text, label)  # some 2 * ``rows`` ids
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Lexicon:
@@ -277,5 +289,5 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     have none. Repeated rows score alike; other columns don't matter.
     """
     light = docs.select(id, text)
-    train = light.where(~is_held_out(id)).join(labels.select(id, label).where(~is_held_out(id)), id)
+    train = labelled_texts(light.where(~is_held_out(id)), labels.where(~is_held_out(id)), id, text, label)
     return fit(train, text, label).predict(light, text).select(id, is_held_out(id).alias("held_out"), "score", "predicted")
