@@ -10,12 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..functions.cols import c, common_numeric, num
 from ..functions.moments import complete
 from ..functions.quantiles import quantile_values
 
 CONTAMINATION, TREES, SAMPLE, SEED = 0.1, 200, 256, 42
+#: Rows that all trees choose from, as a multiple of what they take together, and rows that are walked down at once.
+POOL, WALKED = 1, 256
 
 
 @dataclass(frozen=True)
@@ -54,38 +57,68 @@ def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarr
     return column, value, length
 
 
-def train(ref: DataFrame, names: Sequence[str], trees: int = TREES, sample_size: int = SAMPLE, seed: int = SEED) -> Forest:
-    """A forest of the complete reference rows. Each tree sees its own ``sample_size`` rows, picked by a hash of
-    the row and the tree, so the result doesn't depend on partitions; ``trees * sample_size`` rows leave Spark."""
-    rows = ref.where(complete(names)).select(*[num(n).alias(f"x{k}") for k, n in enumerate(names)])
+def train(ref: DataFrame, names: Sequence[str], trees: int = TREES, sample_size: int = SAMPLE, seed: int = SEED, key: Sequence[str] | None = None) -> Forest:
+    """A forest of the complete reference rows. Each tree sees its own ``sample_size`` rows, those of lowest hash of the row
+    and the tree, so the result doesn't depend on partitions.
+
+    A hash of the row picks the rows (some `POOL` times ``trees * sample_size`` of them, or all) from which the trees
+    take theirs; trees grow on executors, and only they reach the driver. Rows that are equal in ``key`` (default: all
+    columns that can be hashed) stand or fall together; name a key to read fewer columns.
+    """
+    use = list(key) if key else [f.name for f in ref.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = ref.where(complete(names)).select(*[num(n).alias(f"x{k}") for k, n in enumerate(names)], F.xxhash64(*map(c, use)).alias("row"))
     n = rows.count()
     if n == 0:
         raise ValueError("the reference has no complete row")
     size = min(sample_size, n)
-    pool = rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns).limit(min(n, trees * size)).toPandas().to_numpy(dtype=np.float64)
+    columns = [f"x{k}" for k in range(len(names))]
     depth = max(1, math.ceil(math.log2(max(2, size))))
-    built = []
-    for t in range(trees):
-        rng = np.random.default_rng(seed + t)
-        built.append(_grow(pool[rng.choice(len(pool), size=size, replace=False)], depth, rng))
-    return Forest(tuple(names), *[np.stack([b[k] for b in built]) for k in range(3)], _mean_path(size) or 1.0)
+    wanted = min(n, POOL * trees * size + 10 * math.isqrt(POOL * trees * size))
+    pool = rows.where(_share(F.xxhash64(F.lit(seed), "row"), wanted / n))
+    # of equal rows no tree can take more than its size
+    pool = pool.groupBy(*columns, "row").count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("count"), F.lit(size)).cast("int")))).drop("count")
+    some = min(1.0, (size + 8 * math.sqrt(size) + 8) / wanted)
+    own = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("place", F.xxhash64(F.lit(seed), "tree", "row", "copy")).where(_share(F.col("place"), some))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        tree = int(part["tree"].iloc[0])
+        x = part.sort_values(["place", *columns]).head(size)[columns].to_numpy(dtype=np.float64)
+        column, value, length = _grow(x, depth, np.random.default_rng(seed + tree))
+        return pd.DataFrame({"tree": [tree], "split": [column.tolist()], "value": [value.tolist()], "length": [length.tolist()]})
+
+    built = own.groupBy("tree").applyInPandas(grow, "tree int, split array<long>, value array<double>, length array<double>").orderBy("tree").collect()  # ``trees`` rows
+    return Forest(tuple(names), *[np.array([r[k] for r in built]) for k in ("split", "value", "length")], _mean_path(size) or 1.0)
+
+
+def _share(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest share of all."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(hashed, 11) < int(share * (1 << 53))
 
 
 def score_batch(forest: Forest, x: np.ndarray) -> np.ndarray:
-    """Scores of rows, level by level over all trees."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for column, value, length in zip(forest.column, forest.value, forest.length, strict=True):
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            k = column[node]
-            inner = k >= 0
-            if not inner.any():
-                break
-            right = x[rows, np.maximum(k, 0)] >= value[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
-        total += length[node]
-    return np.power(2.0, -total / len(forest.column) / forest.norm)
+    """Scores of rows: all trees are walked together, a level at a time, as one matrix of rows by trees."""
+    trees, size = forest.column.shape
+    base = np.arange(trees) * size
+    inner = forest.column >= 0
+    column = np.where(inner, forest.column, 0).ravel()
+    value = forest.value.ravel()
+    node = np.arange(size)
+    # a leaf is its own child, so all walks take the same number of steps
+    child = np.where(inner[:, :, None], (2 * node + 1)[None, :, None] + np.arange(2)[None, None, :], node[None, :, None]) + base[:, None, None]
+    child = child.reshape(-1)
+    length = forest.length.ravel()
+    steps = int(math.log2(size + 1)) - 1
+    out = np.empty(len(x))
+    p = x.shape[1]
+    for start in range(0, len(x), WALKED):
+        part = np.ascontiguousarray(x[start : start + WALKED])
+        flat, row = part.ravel(), (np.arange(len(part)) * p)[:, None]
+        at = np.broadcast_to(base, (len(part), trees))
+        for _ in range(steps):
+            right = flat[row + column[at]] >= value[at]
+            at = child[2 * at + right]
+        out[start : start + WALKED] = length[at].sum(axis=1)
+    return np.power(2.0, -out / trees / forest.norm)
 
 
 def score(forest: Forest) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import c, common_numeric, num, numeric_columns, require
 from ..functions.moments import complete, correlation_table, covariance
 from ..functions.quantiles import quantile_values
-from ..functions.tails import chi_square_quantile, chi_square_upper
+from ..functions.tails import chi_square_quantile, chi_square_upper, chi_square_upper_column
 
 #: Added to the diagonal of a singular covariance matrix, and the reciprocal condition that counts as singular.
 RIDGE, SINGULAR = 1e-6, 2.2e-16
@@ -196,47 +196,103 @@ def by_group(data: DataFrame, names: Sequence[str], by: str, lam: float = 1.0, o
 
 def with_p_value(marked: DataFrame, p: int, distance: str = "md2", out: str = "p_value") -> DataFrame:
     """Add the chi-square tail of each squared distance."""
-    @F.pandas_udf("double")
-    def tail(d: pd.Series) -> pd.Series:
-        return d.map(lambda v: None if pd.isna(v) else chi_square_upper(v, p))
+    return marked.withColumn(out, chi_square_upper_column(num(distance), p))
 
-    return marked.withColumn(out, tail(c(distance)))
 
+def robust_centre(ref: DataFrame, names: Sequence[str], support: float = 0.75, key: Sequence[str] | None = None, subsets: int = 5, subset_rows: int = 300, starts: int = 500, steps: int = 100) -> Centre:
+    """Minimum covariance determinant by FAST-MCD (Rousseeuw and Van Driessen 1999).
 
-def robust_centre(ref: DataFrame, names: Sequence[str], support: float = 0.75, key: Sequence[str] | None = None, starts: int = 20, start_rows: int = 600, steps: int = 20) -> Centre:
-    """Minimum covariance determinant by FAST-MCD: starts on a bounded sample, then concentration steps on all rows.
-
-    A step keeps the share ``support`` of rows nearest to the centre and recomputes it, until the determinant
-    stops falling. The covariance is scaled to agree with normal data.
+    A concentration step keeps the ``support`` share of rows nearest to a centre and takes their mean and covariance. A
+    sample of ``subsets * subset_rows`` rows, picked by a hash of ``key`` (default: the columns; equal rows once), is
+    dealt to disjoint subsets; ``starts`` random starts take two steps in their subset, the ten best of each subset two
+    steps in the whole sample, the ten best of those a step over all rows, all ten in one pass, and the best is stepped
+    until its determinant stops falling. A limit of a step is an exact quantile of the distances. Up to as many rows as
+    the sample holds are worked on whole, on the driver. The covariance is scaled to agree with normal data.
     """
-    rows = ref.where(complete(names)).select(*[num(n).alias(n) for n in names])
+    rows = ref.where(complete(names)).select(*[num(n).alias(n) for n in names], F.xxhash64(*map(c, key or names)).alias("__row"))
     n, p = rows.count(), len(names)
     if n < 3 * p:
         raise ValueError("a robust distance takes three rows per column or more")
-    picked = rows.orderBy(F.xxhash64(*map(c, names)), *map(c, names)).limit(start_rows).toPandas().to_numpy(dtype=np.float64)
+    most = subsets * subset_rows
+    if n <= most:
+        picked = rows.drop("__row").toPandas().to_numpy(dtype=np.float64)  # at most subsets * subset_rows rows
+        picked = picked[np.lexsort(picked.T)]
+    else:
+        share = min(1.0, (most + 8 * math.sqrt(most)) / n)
+        light = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(42), "__row"), 11) < int(share * (1 << 53))) if share < 1 else rows
+        light = light.dropDuplicates(["__row"]).orderBy(F.xxhash64(F.lit(43), "__row"), *map(c, names)).limit(most)
+        picked = light.drop("__row").toPandas().to_numpy(dtype=np.float64)
     rng = np.random.default_rng(42)
-    best = (math.inf, None, None)
-    for _ in range(starts):
-        own = picked[rng.choice(len(picked), size=min(len(picked), p + 1), replace=False)]
-        for _ in range(10):
-            cov = np.atleast_2d(np.cov(own.T))
-            d = np.einsum("ij,jk,ik->i", picked - own.mean(0), _inverse(cov), picked - own.mean(0))
-            own = picked[np.argsort(d, kind="stable")[: max(p + 1, int(support * len(picked)))]]
-        det = np.linalg.det(np.atleast_2d(np.cov(own.T)))
-        if det < best[0]:
-            best = (det, own.mean(0), np.atleast_2d(np.cov(own.T)))
-    centre, last = Centre(tuple(names), best[1], _inverse(best[2]), n), math.inf
-    for _ in range(steps):
-        marked = rows.withColumn("__d", distance(centre))
-        limit = quantile_values(marked, ["__d"], [support])["__d"][0]
-        _, mean, cov = covariance(marked.where(F.col("__d") <= limit), names)
-        det = float(np.linalg.det(cov))
-        centre = Centre(tuple(names), mean, _inverse(cov), n)
-        if det >= last * (1 - 1e-9):
-            break
-        last = det
+    deal = np.array_split(rng.permutation(len(picked)), subsets if n > most else 1)
+    found: list[_Fit] = []
+    for own in deal:
+        part = picked[own]
+        if len(part) > p:
+            tried = [_steps(part, _start(part, p, rng), support, 2 if n > most else steps) for _ in range(max(10, starts // len(deal)))]
+            found += sorted(tried, key=lambda f: f[0])[:10]
+    if n <= most:
+        best = min(found, key=lambda f: f[0])
+    else:
+        found = sorted((_steps(picked, f, support, 2) for f in found), key=lambda f: f[0])
+        best = _concentrated(rows, names, found[:10], support, n)
+        for _ in range(steps):
+            better = _concentrated(rows, names, [best], support, n)
+            if better[0] >= best[0] * (1 - 1e-9):
+                break
+            best = better
     scale = support / (1 - chi_square_upper(chi_square_quantile(support, p), p + 2))
-    return Centre(centre.names, centre.mean, centre.inverse / scale, n)
+    return Centre(tuple(names), best[1], _inverse(best[2]) / scale, n)
+
+
+_Fit = tuple[float, np.ndarray, np.ndarray]  # determinant, mean, covariance
+
+
+def _fit(x: np.ndarray) -> _Fit:
+    cov = np.atleast_2d(np.cov(x.T))
+    return float(np.linalg.det(cov)), x.mean(axis=0), cov
+
+
+def _start(x: np.ndarray, p: int, rng: np.random.Generator) -> _Fit:
+    """Mean and covariance of p + 1 random rows, more where these are singular."""
+    order = rng.permutation(len(x))
+    size = p + 1
+    while size < len(x) and np.linalg.matrix_rank(np.cov(x[order[:size]].T)) < p:
+        size += 1
+    return _fit(x[order[:size]])
+
+
+def _kept(n: int, p: int, support: float) -> int:
+    return min(n, max(p + 1, int(support * n)))
+
+
+def _steps(x: np.ndarray, f: _Fit, support: float, steps: int) -> _Fit:
+    h = _kept(len(x), x.shape[1], support)
+    for k in range(steps):
+        away = x - f[1]
+        d = np.einsum("ij,jk,ik->i", away, _inverse(f[2]), away)
+        new = _fit(x[np.argpartition(d, h - 1)[:h]])
+        if k and new[0] >= f[0] * (1 - 1e-12):
+            return new if new[0] < f[0] else f
+        f = new
+    return f
+
+
+def _concentrated(rows: DataFrame, names: Sequence[str], fits: Sequence[_Fit], support: float, n: int) -> _Fit:
+    """A step over all rows for several centres at once; the one of least determinant."""
+    p = len(names)
+    marked = rows.select(*map(c, names), *[distance(Centre(tuple(names), f[1], _inverse(f[2]), n)).alias(f"__d{k}") for k, f in enumerate(fits)])
+    share = (_kept(n, p, support) - 1) / (n - 1)
+    limits = quantile_values(marked, [f"__d{k}" for k in range(len(fits))], [share])
+    aggs = []
+    for k in range(len(fits)):
+        near = [F.when(F.col(f"__d{k}") <= limits[f"__d{k}"][0], c(x)) for x in names]
+        aggs += [F.avg(x).alias(f"m{k}_{i}") for i, x in enumerate(near)] + [F.covar_samp(near[i], near[j]).alias(f"c{k}_{i}_{j}") for i in range(p) for j in range(i, p)]
+    r = marked.agg(*aggs).first()
+    out = []
+    for k in range(len(fits)):
+        cov = np.array([[r[f"c{k}_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
+        out.append((float(np.linalg.det(cov)), np.array([r[f"m{k}_{i}"] for i in range(p)]), cov))
+    return min(out, key=lambda f: f[0])
 
 
 def robust_flag(data: DataFrame, names: Sequence[str], ref: DataFrame | None = None, prob: float = 0.975, out: str = "robust_md2", flag: str = "is_outlier", **kw) -> DataFrame:

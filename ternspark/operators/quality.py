@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import c, common_numeric, num, numeric_columns, require, tidy
 from ..functions.moments import correlation_table
 from ..functions.quantiles import exact_quantiles
-from ..functions.tails import chi_square_upper, shapiro_wilk
+from ..functions.tails import chi_square_upper, chi_square_upper_column, shapiro_wilk
 from .filters import complete_cases
 from .stats import high_correlations
 
@@ -171,6 +172,42 @@ def normality(df: DataFrame, names: Sequence[str] | None = None, alpha: float =
     return df.sparkSession.createDataFrame(pd.DataFrame(out, columns=list("abcdefgh")).astype(object).where(lambda d: d.notna(), None).values.tolist(), "column string, n long, statistic double, p_value double, normal boolean, status string, jarque_bera double, jb_p double")
 
 
+def normality_by_group(df: DataFrame, by: Sequence[str], names: Sequence[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """(by..., column, n, statistic, p_value, normal, status, jarque_bera, jb_p): `normality` of every group.
+
+    Moments come from one aggregation; Shapiro-Wilk from a sorted array of a group's values, which only groups of 4 to
+    5000 values that vary are gathered for.
+    """
+    names = list(names) if names else [n for n in numeric_columns(df) if n not in by]
+    require(df, [*names, *by])
+    kinds = (("n", F.count), ("lo", F.min), ("hi", F.max), ("sk", F.skewness), ("ku", F.kurtosis))
+    shape = tidy(df.groupBy(*map(c, by)).agg(*[f(num(n)).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in kinds]), by, {n: {k: f"{k}{i}" for k, _ in kinds} for i, n in enumerate(names)})
+    jb = F.when(~F.isnan("sk"), F.col("n") / 6 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4))
+    status = F.when(F.col("n") < 4, "too few values").when(F.col("n") > SHAPIRO_ROWS, "too many values").when(F.col("lo") == F.col("hi"), "constant").otherwise("ok")
+    facts = shape.select(*map(c, by), "column", "n", status.alias("status"), jb.alias("jarque_bera"), chi_square_upper_column(jb, 2).alias("jb_p"))
+    same = F.col("v.column") == F.col("f.column")
+    for b in by:
+        same = same & F.col(f"v.`{b}`").eqNullSafe(F.col(f"f.`{b}`"))
+    values = tidy(df.select(*map(c, by), *[num(n).alias(n) for n in names]), by, {n: {"x": n} for n in names}).where("x is not null")
+    small = values.alias("v").join(facts.where("status = 'ok'").alias("f"), same, "left_semi")
+    arrays = small.groupBy(*map(c, by), "column").agg(F.sort_array(F.collect_list("x")).alias("x"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1)
+            found = [shapiro_wilk(v.values.to_numpy()) for v in x]
+            parts = [*batch.columns[:-1], pa.array([f[0] for f in found], type=pa.float64()), pa.array([f[1] for f in found], type=pa.float64())]
+            yield pa.RecordBatch.from_arrays(parts, names=[*batch.schema.names[:-1], "statistic", "p_value"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrays.schema.fields[:-1])
+    tested = arrays.mapInArrow(test, f"{schema}, statistic double, p_value double")
+    on = F.col("f.column") == F.col("t.column")
+    for b in by:
+        on = on & F.col(f"f.`{b}`").eqNullSafe(F.col(f"t.`{b}`"))
+    return facts.alias("f").join(tested.alias("t"), on, "left").select(
+        *[F.col(f"f.`{b}`") for b in by], "f.column", "n", "statistic", "p_value", (F.col("p_value") > alpha).alias("normal"), "status", "jarque_bera", "jb_p")
+
+
 def duplicates(df: DataFrame) -> DataFrame:
     """(rows, duplicates, percent): rows that repeat an earlier one in all columns. Only counts are shuffled after
     equal rows are combined."""

@@ -170,3 +170,96 @@ def test_few_values_reach_the_driver(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "MOST", 300)
     got = quantiles.quantile_values(df, ["x"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])["x"]
     assert got[0] == -math.inf and got[-1] == math.inf and max(met) <= 300
+
+
+# forest, robust distance, tails, normality
+
+
+def test_chi_square_tails_as_columns(spark):
+    from ternspark.functions import tails
+
+    x = [0.0, 1e-9, 0.3, 1.0, 3.9, 4.1, 7.9, 8.1, 20.0, 90.0, 700.0, 5000.0, math.inf, None, float("nan"), -1.0]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for p in (1, 2, 3, 4, 5, 8, 13, 40):
+        got = [r[0] for r in df.select(tails.chi_square_upper_column(F.col("x"), p)).collect()]
+        for v, g in zip(x, got, strict=True):
+            if v is None or v != v:
+                assert g is None
+            else:
+                want = 0.0 if v == math.inf else tails.chi_square_upper(v, p)
+                assert g == pytest.approx(want, rel=1e-9, abs=1e-300 if v < 700 else 1e-150)
+
+
+def test_forest_is_grown_on_executors_and_walked_as_one(spark):
+    from ternspark.operators import iforest
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(3000, 2)), np.repeat([[0.5, 0.5]], 2000, axis=0), [[9.0, 9.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    forest = iforest.train(df, ["a", "b"], trees=40, sample_size=64)
+    assert forest.column.shape == (40, 127) and (forest.column[:, 0] >= 0).all()
+    again = iforest.train(df.repartition(7), ["a", "b"], trees=40, sample_size=64)
+    assert (again.column == forest.column).all() and (again.value == forest.value).all()
+    assert len({tuple(v) for v in forest.value}) == 40  # every tree has rows of its own
+    got = iforest.score_batch(forest, x)
+
+    def walk(row):
+        total = 0.0
+        for c, v, n in zip(forest.column, forest.value, forest.length, strict=True):
+            at = 0
+            while c[at] >= 0:
+                at = 2 * at + 1 + int(row[c[at]] >= v[at])
+            total += n[at]
+        return 2 ** (-total / 40 / forest.norm)
+
+    assert got[::97] == pytest.approx([walk(r) for r in x[::97]])
+    assert got.argmax() == len(x) - 1
+    few = iforest.train(df.limit(3), ["a", "b"], trees=5)
+    assert few.column.shape[0] == 5
+    same = iforest.train(spark.createDataFrame([(1.0, 2.0)] * 5000, "a double, b double"), ["a", "b"], trees=5, sample_size=32)
+    assert (same.column == -1).all()
+
+
+def test_robust_centre_is_the_best_of_all_subsets(spark):
+    from itertools import combinations
+
+    from ternspark.operators import mahalanobis
+
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(12, 2))
+        x[:3] += 6
+        got = mahalanobis.robust_centre(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), ["a", "b"])
+        best = min(combinations(range(12), 9), key=lambda k: np.linalg.det(np.cov(x[list(k)].T)))
+        assert got.mean == pytest.approx(x[list(best)].mean(axis=0), abs=1e-9)
+
+
+def test_robust_centre_of_many_rows(spark):
+    from ternspark.operators import mahalanobis
+
+    n = 1_000_000
+    df = spark.range(n).select(*[(F.randn(k) + F.when(F.col("id") % 10 < 3, 7.0 if k < 2 else 0.0).otherwise(0.0)).alias(c) for k, c in enumerate("abc")])
+    centre = mahalanobis.robust_centre(df, ["a", "b", "c"], support=0.6)
+    assert np.abs(centre.mean).max() < 0.05
+    flagged = df.withColumn("bad", (F.col("a") + F.col("b")) / 2 > 3.5).withColumn("d", mahalanobis.distance(centre))
+    rates = flagged.groupBy("bad").agg(F.avg((F.col("d") > 9.35).cast("int")).alias("r")).collect()  # the 97.5 % quantile
+    assert {r["bad"]: r["r"] > 0.9 for r in rates} == {True: True, False: False}
+
+
+def test_normality_by_group(spark):
+    from ternspark.functions import tails
+    from ternspark.operators import quality
+
+    rng = np.random.default_rng(3)
+    parts = {"normal": rng.normal(5, 2, 800), "skewed": rng.lognormal(size=800), "few": np.array([1.0, 2.0]), "flat": np.full(50, 3.0), "many": rng.normal(size=5001), None: rng.normal(size=60)}
+    frame = pd.concat([pd.DataFrame({"g": [k] * len(v), "x": v, "y": -v}) for k, v in parts.items()])
+    frame["g"] = frame["g"].astype(object).where(frame["g"].notna(), None)
+    df = spark.createDataFrame(frame.values.tolist(), "g string, x double, y double").union(spark.createDataFrame([("normal", None, float("nan"))], "g string, x double, y double"))
+    got = {(r["g"], r["column"]): r for r in quality.normality_by_group(df, ["g"]).collect()}
+    assert len(got) == 12
+    assert {k: got[k, "x"]["status"] for k in parts} == {"normal": "ok", "skewed": "ok", "few": "too few values", "flat": "constant", "many": "too many values", None: "ok"}
+    assert got["normal", "x"]["normal"] and not got["skewed", "x"]["normal"] and got["many", "x"]["normal"] is None
+    for k in ("normal", "skewed", None):
+        assert (got[k, "x"]["statistic"], got[k, "x"]["p_value"]) == pytest.approx(tails.shapiro_wilk(parts[k]))
+    whole = quality.normality(df.where("g = 'skewed'"), ["x"]).first()
+    assert (got["skewed", "x"]["jarque_bera"], got["skewed", "x"]["jb_p"]) == pytest.approx((whole["jarque_bera"], whole["jb_p"]))
