@@ -47,29 +47,29 @@ def chi_square_upper(x: float, df: int) -> float:
 def chi_square_upper_column(x: Column, df: int) -> Column:
     """`chi_square_upper` of each value as an expression: a finite sum of exponential terms, and for odd ``df`` also the
     tail of the normal distribution. Null for null and NaN."""
-    h = F.when(F.isnan(x), None).otherwise(x / 2)
-    if df % 2 == 0:
-        term, total = F.lit(1.0), F.lit(1.0)
-        for k in range(1, df // 2):
-            term = term * h / k
-            total = total + term
-    else:
-        term, total = F.sqrt(h) * (2 / math.sqrt(math.pi)), F.lit(0.0)
-        for k in range(1, (df + 1) // 2):
+
+    def tail(h: Column) -> Column:
+        odd = df % 2
+        term, total = (F.sqrt(h) * (2 / math.sqrt(math.pi)), F.lit(0.0)) if odd else (F.lit(1.0), F.lit(0.0))
+        for k in range((df - 1) // 2 if odd else df // 2):
             total = total + term
-            term = term * h / (k + 0.5)
-    tail = F.exp(-h) * total if df % 2 == 0 else erfc_column(F.sqrt(h)) + F.exp(-h) * total
-    # from 1500 on a tail is under the smallest double for any df that is written out like this
-    return F.when(h.isNull(), None).when(h <= 0, 1.0).when(h > 1500 + df, 0.0).otherwise(F.least(F.lit(1.0), tail))
+            term = term * h / (k + 1.5 if odd else k + 1)
+        whole = F.exp(-h) * total
+        # from 1500 on a tail is under the smallest double for any df that is written out like this
+        return F.when(h <= 0, 1.0).when(h > 1500 + df, 0.0).otherwise(F.least(F.lit(1.0), erfc_column(F.sqrt(h)) + whole if odd else whole))
+
+    # as the element of an array the value is computed once, however often the formula names it
+    h = F.when(~F.isnan(x), x / 2)
+    return F.get(F.transform(F.array(h), lambda v: F.when(v.isNotNull(), tail(v))), F.lit(0))
 
 
 def erfc_column(z: Column) -> Column:
     """erfc of values from 0 on, as an expression: 1 less a series below 2, a continued fraction above."""
     series = F.lit(1.0)
-    for n in range(45, 0, -1):
+    for n in range(34, 0, -1):
         series = F.lit(1.0) + series * z * z * (2 / (2 * n + 1))
     fraction = z
-    for n in range(60, 0, -1):
+    for n in range(44, 0, -1):
         fraction = z + F.lit(n / 2) / fraction
     return F.when(z < 2, F.lit(1.0) - F.exp(-z * z) * z * series * (2 / math.sqrt(math.pi))).otherwise(F.exp(-z * z) / (fraction * math.sqrt(math.pi)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.cols import c
+from ..functions.cols import c, num
 
 MAX_ROWS, PREVIEW_ROWS, CHUNK_ROWS, SEED = 100_000, 20_000, 10_000, 42
 
@@ -53,3 +53,18 @@ def map_chunks(df: DataFrame, operation: Callable[[pd.DataFrame], pd.DataFrame],
 def map_groups(df: DataFrame, by: Sequence[str], operation: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
     """A function of each group's rows; a group must fit one worker."""
     return df.groupBy(*map(c, by)).applyInPandas(operation, schema)
+
+
+def top_groups(df: DataFrame, name: str, n: int = 10) -> DataFrame:
+    """(group, n): the most frequent values, ties by value (null first); groups are counted before they are sorted."""
+    return df.groupBy(c(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c(name)).limit(n)
+
+
+def partition_sum(df: DataFrame, value: str, by: Sequence[str], out: str = "total") -> DataFrame:
+    """Add to each row the sum of a column over its group. Sums are made per group and joined back, so that no task holds
+    the rows of a group."""
+    sums = df.groupBy(*[c(b).alias(f"__by{k}") for k, b in enumerate(by)]).agg(F.sum(num(value)).alias(out))
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & c(b).eqNullSafe(F.col(f"__by{k}"))
+    return df.join(sums, same, "left").drop(*[f"__by{k}" for k in range(len(by))])

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import c, num, require
+from ..functions.cols import c, num, require, tidy
 from ..functions.quantiles import cut, exact_quantiles, quantile_values
 from ..functions.ranges import numbered
 from .filters import Element, element_sum, value_of
@@ -186,23 +186,37 @@ def styled(df: DataFrame, size: str | None = None, kind: str | None = None, colo
     return df.withColumns({"point_size": pick(size, F.lit(DEFAULT_SIZE)), "point_type": pick(kind, F.lit(DEFAULT_TYPE)), "colour": pick(colour, F.lit(DEFAULT_COLOUR))})
 
 
-def plot_notes(points: DataFrame, elements: dict[str, Element], notes: dict[str, float | str | None] | None = None) -> DataFrame:
-    """(note, value): number of points, columns and filters of the axes, and further notes as text."""
+def plot_notes(points: DataFrame, elements: dict[str, Element], notes: dict[str, float | str | None] | None = None, distance: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(note, value): number of points, columns and filters of the axes, of a column of ``distance`` its mean (MDmean) and
+    standard deviation (stdMD) to four digits and the ``threshold`` (MDthresh), and further notes as text."""
     fixed: list[tuple[str, str]] = []
     for axis, e in elements.items():
         fixed.append((f"{axis} columns", " + ".join(e.cols)))
         texts = [f"{n} {f}" for n, f in e.filters.items() if f] or ([e.filter] if e.filter else [])
         if texts:
             fixed.append((f"{axis} filter", "; ".join(texts)))
+    if threshold is not None:
+        fixed.append(("MDthresh", f"{threshold:.4f}"))
     fixed += [(k, str(v)) for k, v in (notes or {}).items() if v is not None]
-    rows = F.array(F.struct(F.lit("points").alias("note"), F.col("n").cast("string").alias("value")), *[F.struct(F.lit(k).alias("note"), F.lit(v).alias("value")) for k, v in fixed])
-    return points.agg(F.count("*").alias("n")).select(F.inline(rows))
+    measured = {"MDmean": F.avg(num(distance)), "stdMD": F.stddev_samp(num(distance))} if distance else {}
+    rows = F.array(
+        F.struct(F.lit("points").alias("note"), F.col("n").cast("string").alias("value")), *[F.struct(F.lit(k).alias("note"), F.lit(v).alias("value")) for k, v in fixed],
+        *[F.struct(F.lit(k).alias("note"), F.format_string("%.4f", F.col(k)).alias("value")) for k in measured])
+    return points.agg(F.count("*").alias("n"), *[v.alias(k) for k, v in measured.items()]).select(F.inline(rows))
 
 
-def worked_example(df: DataFrame, a: Sequence[str], b: Sequence[str], cc: Sequence[str], key: Sequence[str], n: int = 10) -> DataFrame:
-    """The first rows by key with the sums and coordinates of their axes (0 where the total is 0)."""
+def worked_example(df: DataFrame, a: Sequence[str], b: Sequence[str], cc: Sequence[str], key: Sequence[str], n: int = 10, distance: str | None = None) -> DataFrame:
+    """The first rows by key with the sums and coordinates of their axes (0 where the total is 0), and a column of
+    ``distance`` if one is named (see `mahalanobis.with_distance`)."""
     first = df.orderBy(*map(c, key)).limit(n)
     sums = {"sum_A": element_sum(df, a), "sum_B": element_sum(df, b), "sum_C": element_sum(df, cc)}
     out = first.withColumns(sums)
     total = F.col("sum_A") + F.col("sum_B") + F.col("sum_C")
-    return out.withColumns({x: F.coalesce(F.try_divide(F.col(f"sum_{x}"), total), F.lit(0.0)) for x in "ABC"}).select(*map(c, key), *sums, "A", "B", "C")
+    return out.withColumns({x: F.coalesce(F.try_divide(F.col(f"sum_{x}"), total), F.lit(0.0)) for x in "ABC"}).select(*map(c, key), *sums, "A", "B", "C", *([c(distance)] if distance else []))
+
+
+def example_statistics(example: DataFrame, names: Sequence[str] = ("A", "B", "C")) -> DataFrame:
+    """(column, mean, sd, min, max) of the rows of a worked example."""
+    kinds = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = example.agg(*[f(num(x)).alias(f"{k}{i}") for i, x in enumerate(names) for k, f in kinds.items()])
+    return tidy(wide, [], {x: {k: f"{k}{i}" for k in kinds} for i, x in enumerate(names)})

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cols import c, common_numeric, numeric_columns, require
 from ..functions.moments import correlation_table
 from ..operators import charts, iforest, mahalanobis, outliers, quality, stats, ternary
 from ..operators.filters import Element, filter_elements, filter_optional
-from ..sources.files import export_tables
+from ..sources.files import export_tables, scan_files
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,17 @@ def batch_ternary(df: DataFrame, s: Settings, label: str = "file_source") -> tup
     return points, status
 
 
+def batch_files(spark: SparkSession, paths: Sequence[str], s: Settings, label: str = "file_source") -> tuple[DataFrame, DataFrame]:
+    """`batch_ternary` of many files, read together; a file that can't be used is ``failed: ...`` in the status, and the
+    others go on."""
+    needed = list(dict.fromkeys([*s.a.cols, *s.b.cols, *s.c.cols, *s.method_columns, *s.size_by, *([s.colour_by] if s.colour_by else [])]))
+    rows, read = scan_files(spark, paths, needed, label)
+    points, made = batch_ternary(rows, s, label)
+    status = read.alias("r").join(made.alias("m"), "file", "left").select(
+        "file", "r.rows", F.coalesce("points", F.lit(0)).alias("points"), F.when(F.col("r.status") == "ok", F.coalesce("m.status", F.lit("no points"))).otherwise(F.col("r.status")).alias("status"))
+    return points, status
+
+
 def hex_ternary(df: DataFrame, elements: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The six panels of a hexagon with their places."""
     return ternary.place_hexagon(ternary.hexagon(df, elements, keep))

@@ -7,6 +7,7 @@ import uuid
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,9 +133,11 @@ def _(spark, d):
     return rounded(cols.min_max(table(spark, d, "events").select("event_id", "value"), ["value"]).select("event_id", "value_norm"))
 
 
-@register("n08_label_range", "SELECT round(min(value), 6) AS low, round(max(value), 6) AS high FROM events")
+@register("n08_label_range", """WITH e AS (SELECT unnest([min(value), max(value), avg(value)]) AS value, unnest(['low', 'high', 'mean']) AS label FROM events)
+SELECT label, round(value, 6) AS value, CASE WHEN value = 0 THEN 0 ELSE round(round(value / pow(10, floor(log10(abs(value))) - 2)) * pow(10, floor(log10(abs(value))) - 2), 9) END AS shown FROM e""")
 def _(spark, d):
-    return rounded(table(spark, d, "events").agg(F.min(cols.num("value")).alias("low"), F.max(cols.num("value")).alias("high")))
+    r = table(spark, d, "events").agg(F.min(cols.num("value")).alias("low"), F.max(cols.num("value")).alias("high"), F.avg(cols.num("value")).alias("mean")).first()
+    return rounded(spark.createDataFrame([(k, r[k], cols.signif(r[k])) for k in ("low", "high", "mean")], "label string, value double, shown double"), shown=9)
 
 
 # ---- filters -------------------------------------------------------------------------------------------------
@@ -306,8 +309,8 @@ def _(spark, d):
 
 @register("t09_fixed_bins", "{base} SELECT CASE WHEN x < 1 OR x > 1e5 THEN NULL WHEN x <= 1.5 THEN '(1, 1.5]' WHEN x <= 3 THEN '(1.5, 3]' WHEN x <= 5 THEN '(3, 5]' WHEN x <= 10 THEN '(5, 10]' ELSE '(10, 100000]' END AS aspect_bin, count(*) AS n FROM (SELECT l_quantity / 4 AS x FROM t) GROUP BY 1")
 def _(spark, d):
-    t = comp(spark, d).select((F.col("l_quantity") / 4).alias("Aspect.Ratio"))
-    return count_by(ternary.cut_labels(t, "Aspect.Ratio", ternary.ASPECT_BREAKS, "aspect_bin", ["(1, 1.5]", "(1.5, 3]", "(3, 5]", "(5, 10]", "(10, 100000]"]), "aspect_bin")
+    binned = ternary.aspect_bins(comp(spark, d).select((F.col("l_quantity") / 4).alias("Aspect.Ratio")))
+    return count_by(binned.withColumn("aspect_bin", F.when(F.col("aspect_bin") == "(10, 1e+05]", "(10, 100000]").otherwise(F.col("aspect_bin"))), "aspect_bin")
 
 
 @register("t10_group_colours", 'SELECT event_type AS "group", count(*) AS samples, row_number() OVER (ORDER BY count(*) DESC, event_type)::INT AS colour_index FROM events GROUP BY 1')
@@ -315,6 +318,11 @@ def _(spark, d):
     return ternary.group_colours(table(spark, d, "events"), "event_type")
 
 
+@register("t10_group_colours_many", 'SELECT l_orderkey AS "group", count(*) AS samples, row_number() OVER (ORDER BY count(*) DESC, l_orderkey)::INT AS colour_index FROM lineitem GROUP BY 1')
+def _(spark, d):
+    return ternary.group_colours(table(spark, d, "lineitem"), "l_orderkey")
+
+
 @register("t11_group_summary", """WITH g AS (SELECT user_id::VARCHAR AS g, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, g) AS k FROM g)
 SELECT least(k, 11)::INT AS rank, CASE WHEN k > 10 THEN '(other)' ELSE g END AS "group", sum(n)::BIGINT AS samples, round_even(100.0 * sum(n) / (SELECT count(*) FROM events), 1)::DOUBLE AS percent FROM r GROUP BY 1, 2""")
 def _(spark, d):
@@ -348,6 +356,12 @@ def _(spark, d):
     return rounded(ternary.worked_example(t, ["o_totalprice"], ["o_custkey"], ["k"], ["o_orderkey"]))
 
 
+@register("t15_example_statistics", "WITH e AS (SELECT o_totalprice / (o_totalprice + o_custkey + 1000) AS a, o_custkey / (o_totalprice + o_custkey + 1000) AS b, 1000 / (o_totalprice + o_custkey + 1000) AS c, m.d FROM orders JOIN (SELECT o_orderkey AS k, (pow(o_totalprice - mx, 2) * vy - 2 * (o_totalprice - mx) * (o_custkey - my) * v + pow(o_custkey - my, 2) * vx) / (vx * vy - v * v) AS d FROM orders, (SELECT avg(o_totalprice) AS mx, avg(o_custkey) AS my, var_samp(o_totalprice) AS vx, var_samp(o_custkey) AS vy, covar_samp(o_totalprice, o_custkey) AS v FROM orders)) m ON k = o_orderkey ORDER BY o_orderkey LIMIT 10) " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS sd, round(min({x}), 6) AS min, round(max({x}), 6) AS max FROM e" for n, x in (("A", "a"), ("B", "b"), ("C", "c"), ("md2", "d"))))
+def _(spark, d):
+    t = mahalanobis.with_distance(table(spark, d, "orders").withColumn("k", F.lit(1000.0)), ["o_totalprice", "o_custkey"])
+    return rounded(ternary.example_statistics(ternary.worked_example(t, ["o_totalprice"], ["o_custkey"], ["k"], ["o_orderkey"], distance="md2"), ["A", "B", "C", "md2"]))
+
+
 # ---- multivariate --------------------------------------------------------------------------------------------
 
 def _md(t: str, ref: str, out: str = "d") -> str:
@@ -431,6 +445,21 @@ def _(spark, d):
     return count_by(iforest.isolation_forest(first, second, ["disc_amt", "tax_amt", "l_quantity"]), "l_returnflag", "is_outlier")
 
 
+#: A forest of three small trees with given splits: column, value, path length; the children of node k are 2 k + 1 and 2 k + 2.
+_FIXED = iforest.Forest(
+    ("disc_amt", "tax_amt", "l_quantity"), np.array([[0, 1, 2, -1, -1, -1, -1], [2, -1, 0, -1, -1, -1, -1], [1, 0, -1, -1, -1, -1, -1]]),
+    np.array([[3000.0, 900.0, 25.0, 0, 0, 0, 0], [10.0, 0, 5000.0, 0, 0, 0, 0], [2500.0, 1200.0, 0, 0, 0, 0, 0]]),
+    np.array([[0, 0, 0, 4.0, 3.0, 2.5, 2.0], [0, 3.5, 0, 0, 0, 3.0, 1.5], [0, 0, 1.0, 4.5, 3.0, 0, 0]]), iforest._mean_path(256))
+
+
+@register("m10_fixed_forest", """{base}, p AS (SELECT *, CASE WHEN disc_amt < 3000 THEN CASE WHEN tax_amt < 900 THEN 4.0 ELSE 3.0 END WHEN l_quantity < 25 THEN 2.5 ELSE 2.0 END
+  + CASE WHEN l_quantity < 10 THEN 3.5 WHEN disc_amt < 5000 THEN 3.0 ELSE 1.5 END + CASE WHEN tax_amt < 2500 THEN CASE WHEN disc_amt < 1200 THEN 4.5 ELSE 3.0 END ELSE 1.0 END AS path FROM t)
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(pow(2, -path / 3 / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0::DOUBLE))), 6) AS score FROM p GROUP BY ALL""")
+def _(spark, d):
+    marked = comp(spark, d).withColumn("s", iforest.score(_FIXED))
+    return rounded(marked.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("s").alias("score")))
+
+
 def _flags(spark, d):
     t = outliers.outlier_flag(comp(spark, d), AMOUNTS, "iqr", flag="f_iqr")
     return outliers.outlier_flag(t, AMOUNTS, "mad", flag="f_mad"), {"iqr": "f_iqr", "mad": "f_mad"}
@@ -473,6 +502,18 @@ def _(spark, d):
     return rounded(mahalanobis.with_p_value(mahalanobis.with_distance(comp(spark, d), AMOUNTS), 2).select("l_orderkey", "l_linenumber", "p_value"), 4)
 
 
+@register("t14_plot_notes_distance", f"{{base}}, {_md('t', 't')}, s AS (SELECT count(*) AS n, avg(md2) AS m, stddev_samp(md2) AS v FROM d) SELECT unnest(['points', 'A columns', 'B columns', 'C columns', 'MDthresh', 'MDmean', 'stdMD']) AS note, unnest([n::VARCHAR, 'disc_amt', 'tax_amt', 'qty_c + base', format('{{:.4f}}', m + sqrt(100 / 101.0::DOUBLE) * v), format('{{:.4f}}', m), format('{{:.4f}}', v)]) AS value FROM s")
+def _(spark, d):
+    marked, facts = mahalanobis.mahalanobis(comp(spark, d), AMOUNTS)
+    return ternary.plot_notes(marked, dict(zip("ABC", AXES, strict=True)), distance="md2", threshold=facts["threshold"])
+
+
+@register("m16_p_values_odd", f"{{base}}, {_md('t', 't')} SELECT l_returnflag, count(*) FILTER (md2 > {chi_square_quantile(0.95, 3)!r}) AS under_5, count(*) FILTER (md2 > {chi_square_quantile(0.5, 3)!r}) AS under_50 FROM d GROUP BY 1")
+def _(spark, d):
+    marked = mahalanobis.with_p_value(mahalanobis.with_distance(comp(spark, d), AMOUNTS), 3)
+    return marked.groupBy("l_returnflag").agg(F.count_if(F.col("p_value") < 0.05).alias("under_5"), F.count_if(F.col("p_value") < 0.5).alias("under_50"))
+
+
 @register("m17_robust_distance")
 def _(spark, d):
     return count_by(mahalanobis.robust_flag(comp(spark, d), AMOUNTS), "l_returnflag", "is_outlier")
@@ -550,6 +591,11 @@ def _(spark, d):
     return rounded(stats.kendall(table(spark, d, "lineitem"), "l_quantity", "l_discount"))
 
 
+@register("a07_kendall_amounts", "WITH p AS (SELECT value AS x, user_id AS y, count(*)::DOUBLE AS k FROM events GROUP BY 1, 2) SELECT 'value' AS var1, 'user_id' AS var2, round(sum(a.k * b.k * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(a.k * b.k * abs(sign(a.x - b.x))) * sum(a.k * b.k * abs(sign(a.y - b.y)))), 6) AS r, (SELECT sum(k) FROM p)::BIGINT AS n FROM p a, p b")
+def _(spark, d):
+    return rounded(stats.kendall(table(spark, d, "events"), "value", "user_id"))
+
+
 @register("a08_high_correlations", "{base} SELECT * FROM (" + _corr(["disc_amt", "l_discount", "base", "qty_c"], "t") + ") WHERE var1 <> var2 AND abs(r) > 0.5")
 def _(spark, d):
     return rounded(stats.high_correlations(stats.correlations(comp(spark, d), ["disc_amt", "l_discount", "base", "qty_c"]), 0.5))
@@ -579,6 +625,13 @@ def _(spark, d):
     return rounded(stats.paired_summary(stats.paired_correlation(*_shifted(spark, d), ["p"], ["k"])))
 
 
+@register("a10_paired_by_position", "WITH a AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_custkey DESC) AS k FROM customer) SELECT 'x' AS \"column\", round(corr(a.x, b.x), 6) AS r, count(*) AS n FROM a JOIN b USING (k)")
+def _(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_totalprice").alias("x"), F.col("o_orderkey").alias("at"))
+    b = table(spark, d, "customer").select(F.col("c_acctbal").alias("x"), (-F.col("c_custkey")).alias("at"))
+    return rounded(stats.paired_by_position(a, b, ["x"], ["at"]))
+
+
 @register("a11_dataset_summary", "{base} SELECT count(*) AS rows, 4::BIGINT AS columns, 3::BIGINT AS numeric_columns, count(*) FILTER (disc_null IS NULL) + count(*) FILTER (tax_null IS NULL) AS missing FROM t")
 def _(spark, d):
     return stats.dataset_summary(comp(spark, d).select("l_returnflag", "disc_null", "tax_null", "l_quantity"))
@@ -682,6 +735,16 @@ def _(spark, d):
     return quality.normality(comp(spark, d), ["disc_amt", "l_quantity"])
 
 
+@register("q13_normality_by_group")
+def _(spark, d):
+    return quality.normality_by_group(comp(spark, d).select("l_suppkey", "disc_amt", "l_quantity"), ["l_suppkey"])
+
+
+@register("q13_jarque_bera_by_group", "{base}, m AS (SELECT l_returnflag, avg(disc_amt) AS m FROM t GROUP BY 1), k AS (SELECT l_returnflag, count(*) AS n, avg(pow(disc_amt - m, 2)) AS k2, avg(pow(disc_amt - m, 3)) AS k3, avg(pow(disc_amt - m, 4)) AS k4 FROM t JOIN m USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, 'disc_amt' AS \"column\", n, CASE WHEN n > 5000 THEN 'too many values' ELSE 'ok' END AS status, round(n / 6.0 * (pow(k3 / pow(k2, 1.5), 2) + pow(k4 / (k2 * k2) - 3, 2) / 4), 3) AS jarque_bera FROM k")
+def _(spark, d):
+    return rounded(quality.normality_by_group(comp(spark, d), ["l_returnflag"], ["disc_amt"]).select("l_returnflag", "column", "n", "status", "jarque_bera"), 3)
+
+
 @register("q14_duplicates", "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicates, round_even(100.0 * sum(n - 1) / sum(n), 2)::DOUBLE AS percent FROM g")
 def _(spark, d):
     return quality.duplicates(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
@@ -761,9 +824,15 @@ def _(spark, d):
     return rounded(stats.linear_trend(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), slope=4, intercept=4, residual_se=3)
 
 
-@register("c07_loess")
+@register("c07_loess", """
+WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), e AS (SELECT min(x) AS lo, max(x) AS hi, floor(0.75 * count(*) + 1e-9)::BIGINT AS k FROM r),
+g AS (SELECT lo + (hi - lo) * i / 79 AS g, k FROM e, range(80) AS t(i)), c AS (SELECT g, k, abs(x - g) AS d, count(*) AS n FROM g, r GROUP BY ALL),
+h AS (SELECT g, min(d) AS h FROM (SELECT g, k, d, sum(n) OVER (PARTITION BY g ORDER BY d) AS upto FROM c) WHERE upto >= k GROUP BY g),
+w AS (SELECT g, (x - g) / h AS u, y, pow(1 - pow(abs((x - g) / h), 3), 3) AS w FROM h, r WHERE abs(x - g) < h),
+m AS (SELECT g, sum(w) AS a, sum(w * u) AS b, sum(w * u * u) AS c, sum(w * u * u * u) AS d, sum(w * u * u * u * u) AS e, sum(w * y) AS p, sum(w * u * y) AS q, sum(w * u * u * y) AS s FROM w GROUP BY g)
+SELECT round(g, 6) AS x, round((p * (c * e - d * d) - b * (q * e - d * s) + c * (q * d - c * s)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)), 4) AS fit FROM m""")
 def _(spark, d):
-    return stats.loess(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return rounded(stats.loess(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), fit=4)
 
 
 @register("c08_connected", "SELECT o_orderstatus, row_number() OVER w::INT AS place, o_totalprice AS x, o_custkey::DOUBLE AS y, lead(o_totalprice) OVER w AS next_x, lead(o_custkey::DOUBLE) OVER w AS next_y FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")
@@ -848,12 +917,12 @@ def _(spark, d):
 
 @register("u05_top_groups", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
 def _(spark, d):
-    return count_by(table(spark, d, "events"), "user_id").orderBy(F.desc("n"), "user_id").limit(10)
+    return sampling.top_groups(table(spark, d, "events"), "user_id")
 
 
 @register("u06_partition_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders")
 def _(spark, d):
-    return rounded(table(spark, d, "orders").selectExpr("o_orderkey", "sum(o_totalprice) over (partition by o_custkey) as total"), 2)
+    return rounded(sampling.partition_sum(table(spark, d, "orders"), "o_totalprice", ["o_custkey"]).select("o_orderkey", "total"), 2)
 
 
 @register("u07_union_distinct", "SELECT DISTINCT nation FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
@@ -896,6 +965,20 @@ def _(spark, d):
     return jobs.batch_ternary(comp(spark, d), jobs.Settings(*AXES, methods=["iqr"], method_columns=AMOUNTS), "l_returnflag")[1]
 
 
+@register("w04_failing_files", "{base}, b AS (SELECT l_returnflag AS g, quantile_cont(disc_amt, 0.75) + 1.5 * (quantile_cont(disc_amt, 0.75) - quantile_cont(disc_amt, 0.25)) AS h1, quantile_cont(tax_amt, 0.75) + 1.5 * (quantile_cont(tax_amt, 0.75) - quantile_cont(tax_amt, 0.25)) AS h2 FROM t GROUP BY 1) SELECT l_returnflag AS file, count(*) AS rows, count(*) FILTER (disc_amt <= h1 AND tax_amt <= h2) AS points, 'ok' AS status FROM t JOIN b ON g = l_returnflag GROUP BY 1 UNION ALL SELECT 'columnless', 0, 0, 'failed: no column tax_amt' UNION ALL SELECT 'broken', 0, 0, 'failed: unreadable' UNION ALL SELECT 'garbled', 0, 0, 'failed: no column disc_amt, tax_amt, qty_c, base'")
+def _(spark, d):
+    t, folder = comp(spark, d).select("l_returnflag", *AMOUNTS, "qty_c", "base"), _folder(spark)
+    paths = []
+    for flag, kind in (("A", "parquet"), ("N", "csv"), ("R", "csv")):
+        paths.append(f"{folder}/{flag}.{kind}")
+        files.write_table(t.where(F.col("l_returnflag") == flag).drop("l_returnflag"), paths[-1], kind)
+    paths += [f"{folder}/columnless.csv", f"{folder}/broken.parquet", f"{folder}/garbled.csv"]
+    files.write_table(t.drop("tax_amt"), paths[3], "csv")
+    for path in paths[4:]:
+        table(spark, d, "region").select("r_name").write.text(path)
+    return jobs.batch_files(spark, paths, jobs.Settings(*AXES, methods=["iqr"], method_columns=AMOUNTS))[1]
+
+
 @register("w05_compare_datasets", f"WITH {_ORD} SELECT 'p' AS \"column\", round(corr(a.p, b.p), 6) AS r, count(*) AS n FROM a JOIN b USING (k)")
 def _(spark, d):
     return rounded(jobs.compare_job(*_shifted(spark, d), ["k"])["paired"])
@@ -906,10 +989,11 @@ def _(spark, d):
     return rounded(jobs.hex_ternary(comp(spark, d), _HEX, ["l_orderkey"]).groupBy("panel").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
 
 
-@register("m04_singular_covariance")
+@register("m04_singular_covariance", f"""{{base}}, c AS (SELECT avg(base) AS m, var_samp(base) AS v FROM t), k AS (SELECT m, v + {mahalanobis.RIDGE} AS a, 2 * v AS b, 4 * v + {mahalanobis.RIDGE} AS c, {mahalanobis.RIDGE} * (5 * v + {mahalanobis.RIDGE}) AS det FROM c)
+SELECT l_returnflag, count(*) AS n, round(avg((base - m) * (base - m) * (c - 4 * b + 4 * a) / det), 2) AS md2 FROM t, k GROUP BY 1""")
 def _(spark, d):
-    t = comp(spark, d).select("l_orderkey", "l_linenumber", "base", (F.col("base") * 2).alias("twice"))
-    return mahalanobis.with_distance(t, ["base", "twice"]).select("l_orderkey", "l_linenumber", "md2")
+    t = comp(spark, d).select("l_returnflag", "base", (F.col("base") * 2).alias("twice"))
+    return rounded(mahalanobis.with_distance(t, ["base", "twice"]).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("md2").alias("md2")), 2)
 
 
 @register("quantiles_by_file", "{base} " + " UNION ALL ".join(f"SELECT l_returnflag, '{n}' AS \"column\", {p}::DOUBLE AS prob, round(quantile_cont({n}, {p}), 6) AS value FROM t GROUP BY 1" for n in AMOUNTS for p in (0.1, 0.5, 0.99)))
@@ -927,7 +1011,10 @@ def _(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share: under ``spark.checkpoint.dir``, on a single machine a temporary one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/ternspark-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir()}/ternspark-{uuid.uuid4().hex}"
 
 
 @register("s05_write_table", "SELECT 'csv' AS kind, s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'parquet', s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'json', s_nationkey, s_suppkey, s_name FROM supplier UNION ALL SELECT 'orc', s_nationkey, s_suppkey, s_name FROM supplier")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.cols import c, require
+from ..functions.cols import c, num, require, to_number
 
 READERS = {
     "csv": lambda spark, path: spark.read.csv(path, header=True, inferSchema=True),
@@ -48,6 +50,99 @@ def read_many(spark: SparkSession, paths: Iterable[str], needed: Sequence[str] =
     return union_labelled([(label_of(p), t) for p, t in tables if t is not None], needed, label)
 
 
+def scan_files(spark: SparkSession, paths: Sequence[str], needed: Sequence[str], label: str = "file_source") -> tuple[DataFrame, DataFrame]:
+    """The needed columns of many files, numbers as doubles, with the file's label; and (file, rows, status).
+
+    Files of a kind are read together: text files a scan for each different header line, which one scan over all of them
+    finds, others one scan. A file that can't be read, lacks a column (or has no value in it) or has no good record is
+    ``failed: ...`` and gives no rows; records that don't fit the header are left out and counted in the status. Two files of one name are told apart
+    by their paths.
+    """
+    names = [label_of(p) for p in paths]
+    labels = {_plain(spark, p): (n if names.count(n) == 1 else p) for p, n in zip(paths, names, strict=True)}
+    kinds: dict[str, list[str]] = {}
+    for path in paths:
+        kinds.setdefault(os.path.splitext(path.rstrip("/"))[1].lower().lstrip("."), []).append(path)
+    parts: list[DataFrame] = []
+    failed: dict[str, str] = {}
+    for kind, own in kinds.items():
+        if kind == "csv":
+            headers = _headers(spark, own, labels)
+            failed |= {labels[_plain(spark, p)]: "failed: empty" for p in own if labels[_plain(spark, p)] not in {n for h in headers.values() for n in h}}
+            by_label = {labels[_plain(spark, p)]: p for p in own}
+            for header, members in headers.items():
+                columns = next(csv.reader([header]))
+                missing = [n for n in needed if n not in columns]
+                if missing:
+                    failed |= dict.fromkeys(members, f"failed: no column {', '.join(missing)}")
+                    continue
+                schema = StructType([*[StructField(n, StringType()) for n in columns], StructField(_BROKEN, StringType())])
+                rows = spark.read.schema(schema).csv([by_label[m] for m in members], header=True, columnNameOfCorruptRecord=_BROKEN)
+                seen = F.coalesce(c(needed[0] if needed else columns[0]), F.lit(""))  # Spark reads the record's text beside other columns only
+                parts.append(_labelled(rows, labels, needed, F.concat(seen, F.coalesce(c(_BROKEN), F.lit(""))) != seen))
+        elif kind in READERS:
+            try:
+                rows = spark.read.format(kind).option("mergeSchema", True).option("ignoreCorruptFiles", True).load(own)
+            except AnalysisException:
+                continue  # none of them can be read
+            there = [n for n in needed if n in rows.columns]
+            rows = rows.select(*map(c, there), F.col("_metadata.file_path").alias(_PATH)).withColumns({n: F.lit(None).cast("double") for n in needed if n not in there})
+            parts.append(_labelled(rows, labels, needed, F.lit(False)))
+        else:
+            failed |= {labels[_plain(spark, p)]: f"failed: unsupported file type {kind!r}" for p in own}
+    every = spark.createDataFrame([(n, failed.get(n)) for n in labels.values()], "file string, told string")
+    if not parts:
+        empty = spark.createDataFrame([], ", ".join(f"`{n}` double" for n in needed) + f", `{label}` string")
+        return empty, every.select("file", F.lit(0).cast("long").alias("rows"), F.coalesce("told", F.lit("failed: unreadable")).alias("status"))
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [F.count(F.when(~c(_BROKEN), c(n))).alias(f"v{k}") for k, n in enumerate(needed)]
+    met = rows.groupBy(c(_LABEL).alias("file")).agg(F.count("*").alias("all"), F.count_if(c(_BROKEN)).alias("broken"), *values)
+    without = F.concat_ws(", ", *[F.when(F.col(f"v{k}") == 0, F.lit(n)) for k, n in enumerate(needed)])
+    told = (
+        F.when(F.col("told").isNotNull(), F.col("told")).when(F.col("all").isNull(), "failed: unreadable").when(F.col("all") == F.col("broken"), "failed: no good record")
+        .when(without != "", F.concat(F.lit("failed: no value in "), without)).when(F.col("broken") > 0, F.concat(F.lit("ok, without "), F.col("broken"), F.lit(" broken records"))).otherwise("ok")
+    )
+    status = every.join(met, "file", "left").select("file", F.coalesce(F.col("all") - F.col("broken"), F.lit(0)).alias("rows"), told.alias("status"))
+    fine = F.broadcast(status.where(F.col("status").startswith("ok")).select(F.col("file").alias(_LABEL)))  # a row for each path given
+    good = rows.where(~c(_BROKEN)).join(fine, _LABEL)
+    return good.select(*map(c, needed), c(_LABEL).alias(label)), status
+
+
+_PATH, _LABEL, _BROKEN = "__path", "__label", "__broken"
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as files' metadata name it, slashes after the scheme as one."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(made).toString()
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", full)
+
+
+def _label_column(labels: dict[str, str]) -> Column:
+    """The label of the given path that a file is, or lies in."""
+    path = F.regexp_replace(F.url_decode(F.regexp_replace(c(_PATH), r"\+", "%2B")), r"^([a-z0-9]+):/+", "$1:/")
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(known[path], known[F.regexp_replace(path, "/[^/]*$", "")])
+
+
+def _labelled(rows: DataFrame, labels: dict[str, str], needed: Sequence[str], broken: Column) -> DataFrame:
+    if _PATH not in rows.columns:
+        rows = rows.withColumn(_PATH, F.col("_metadata.file_path"))
+    kinds = dict(rows.dtypes)
+    return rows.select(*[(to_number(n) if kinds[n] == "string" else num(n)).alias(n) for n in needed], _label_column(labels).alias(_LABEL), broken.alias(_BROKEN))
+
+
+def _headers(spark: SparkSession, paths: Sequence[str], labels: dict[str, str]) -> dict[str, list[str]]:
+    """The different header lines and the labels of the files that have them; a folder's files share the first."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(list(paths)).where("_metadata.file_block_start = 0")
+    first = lines.select("value", F.col("_metadata.file_path").alias(_PATH), F.monotonically_increasing_id().alias("at")).groupBy(_PATH).agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy(_label_column(labels).alias("label")).agg(F.min_by("header", _PATH).alias("header")).collect()  # a row for each path given
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["label"]):
+        out.setdefault(r["header"].rstrip("\r"), []).append(r["label"])
+    return out
+
+
 def union_labelled(tables: Sequence[tuple[str, DataFrame]], needed: Sequence[str] = (), label: str = "file_source") -> DataFrame:
     """Tables one under the other, each row with its table's label; tables without the needed columns are skipped."""
     fit = [t.withColumn(label, F.lit(name)) for name, t in tables if set(needed) <= set(t.columns)]
