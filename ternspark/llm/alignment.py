@@ -18,8 +18,9 @@ from .scratch import written
 TOKENIZERS, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Documents of a block, each a bit of its bitmaps, and postings from which on a block is closed.
 BLOCK_BITS, POSTINGS = 12, 1 << 21
-#: Characters from which on a text is cut where a lone blank stands between two letters, and of the texts encoded at once.
-CHUNK = 1 << 18
+#: Characters of the texts that are worked on at once (a longer text is cut), of the longest segments that a task keeps
+#: the alignment of, and segments kept (some 400 bytes each).
+CHUNK, KEPT_CHARS, KEPT = 1 << 18, 64, 1 << 18
 #: Distinct pairs up to which their counts are sent to all executors (some 40 bytes each).
 SENT = 1 << 21
 #: Pieces that each of the pairs' counts is dealt to otherwise.
@@ -27,7 +28,8 @@ SALT = 16
 
 _BITSET = (1 << BLOCK_BITS) // 8  # bytes of a bitmap; fewer than half as many documents are a list of two-byte numbers
 _B_BITS = 16  # of a pair's code, for the second id
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+_PLAIN = re.compile(r"\A[^\s▁](?s:.*[^\s▁])?\Z")
 
 
 class Tokenizers:
@@ -48,8 +50,13 @@ class Tokenizers:
         # an id with what follows it: in A `,` or `|`, in B `,` or `;` or nothing
         self.written = [f"{i}{s}".encode() for s in ",|" for i in range(len(self.len_a))] + [f"{i}{s}".encode() for s in (",", ";", "") for i in range(len(self.len_b))]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """A's ids of a blank and the text, B's of the text."""
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+
+    def covers(self, a: list[int], b: list[int], body: bytes) -> bool:
+        """Whether the tokens of both sides are these bytes."""
+        return b"".join(map(self.bytes_a.__getitem__, a)) == body and b"".join(map(self.bytes_b.__getitem__, b)) == body
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,7 +78,7 @@ def _piece_bytes(piece: str) -> bytes:
 
 
 def chunks(text: str) -> Iterator[str]:
-    """A text cut, the blank left out, where it is safe: no token of either side holds a blank behind a letter."""
+    """A text in parts of some `CHUNK` characters, cut where `segments` may cut it."""
     at = 0
     while len(text) - at > CHUNK:
         cut = _CUT.search(text, at + CHUNK)
@@ -82,33 +89,78 @@ def chunks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-class Aligned:
-    """Alignment of many texts at once; their bytes stand one behind the other."""
-
-    def __init__(self, t: Tokenizers, a: list[list[int]], b: list[list[int]]) -> None:
-        self.n_a, self.n_b = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
-        ids_a = np.fromiter((i for x in a for i in x), dtype=np.int64, count=int(self.n_a.sum()))
-        ids_b = np.fromiter((i for x in b for i in x), dtype=np.int64, count=int(self.n_b.sum()))
-        end_a, end_b = np.cumsum(t.len_a[ids_a]), np.cumsum(t.len_b[ids_b])
-        ends = np.union1d(end_a, end_b)  # each stretch between two neighbours is one link
-        of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        both = (end_a[of_a] == ends) & (end_b[of_b] == ends) if len(ends) else np.zeros(0, dtype=bool)
-        text_end = end_a[np.cumsum(self.n_a) - 1]  # each text has a token
-        self.text = np.searchsorted(text_end, ends)
-        self.code = ids_a[of_a] << _B_BITS | ids_b[of_b]
-        self.n_links = np.bincount(self.text, minlength=len(a))
-        self.n_groups = np.bincount(self.text[both], minlength=len(a))
-        # groups as text: A's ids, then B's; a token's place is its rank and what of the other side comes before it
-        group_a, group_b = np.searchsorted(ends[both], end_a), np.searchsorted(ends[both], end_b)
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(group_a)], np.append(group_b[1:] != group_b[:-1], True)[: len(group_b)]
-        order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
-        order[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")] = ids_a + len(t.len_a) * last_a
-        mark = last_b.astype(np.int64)
-        mark[np.cumsum(self.n_b) - 1] = 2
-        order[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(t.len_a) + ids_b + len(t.len_b) * mark
-        parts = list(map(t.written.__getitem__, order.tolist()))
-        bounds = [0, *np.cumsum(self.n_a + self.n_b).tolist()]
-        self.groups = [b"".join(parts[x:y]) for x, y in zip(bounds, bounds[1:])]
+def segments(text: str) -> list[str]:
+    """A text cut at its lone blanks, these left out.
+
+    A blank between two characters that aren't white space begins a token on both sides: A splits texts there before it
+    merges bytes, and no piece of B holds a blank behind another character. So segments align on their own.
+    """
+    return _CUT.split(text)
+
+
+#: Of a segment: tokens of A and of B, groups, the groups as text, and the codes of its links as bytes.
+Alignment = tuple[int, int, int, bytes, bytes]
+
+
+def aligned(t: Tokenizers, texts: list[str]) -> list[Alignment | None]:
+    """The alignment of each segment; None where the tokens of one side aren't its bytes.
+
+    They are encoded as one text. If that isn't covered, each is on its own.
+    """
+    bodies = [b" " + x.encode("utf-8", "replace") for x in texts]
+    a, b = t.encode(" ".join(texts))
+    if not t.covers(a, b, b"".join(bodies)):
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return aligned(t, texts[:half]) + aligned(t, texts[half:])
+    ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    end_a, end_b = np.cumsum(t.len_a[ids_a]), np.cumsum(t.len_b[ids_b])
+    text_end = np.cumsum([len(x) for x in bodies])
+    n_a, n_b = (np.diff(np.searchsorted(e, text_end) + 1, prepend=0) for e in (end_a, end_b))
+    ends = np.union1d(end_a, end_b)  # each stretch between two neighbours is one link
+    of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    both = (end_a[of_a] == ends) & (end_b[of_b] == ends)
+    code = (ids_a[of_a] << _B_BITS | ids_b[of_b]).tobytes()
+    link_to = (8 * (np.searchsorted(ends, text_end) + 1)).tolist()
+    n_groups = np.diff(np.searchsorted(ends[both], text_end) + 1, prepend=0)
+    # groups as text: A's ids, then B's; a token's place is its rank and what of the other side comes before it
+    group_a, group_b = np.searchsorted(ends[both], end_a), np.searchsorted(ends[both], end_b)
+    order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    order[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")] = ids_a + len(t.len_a) * np.append(group_a[1:] != group_a[:-1], True)
+    mark = np.append(group_b[1:] != group_b[:-1], True).astype(np.int64)
+    mark[np.cumsum(n_b) - 1] = 2
+    order[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = 2 * len(t.len_a) + ids_b + len(t.len_b) * mark
+    parts = list(map(t.written.__getitem__, order.tolist()))
+    bounds = [0, *np.cumsum(n_a + n_b).tolist()]
+    said = [b"".join(parts[x:y]) for x, y in zip(bounds, bounds[1:])]
+    return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), said, [code[x:y] for x, y in zip([0, *link_to], link_to)]))
+
+
+class Known(dict):
+    """Alignments of segments, those of short ones kept for later texts."""
+
+    def __init__(self, t: Tokenizers) -> None:
+        super().__init__()
+        self.t = t
+
+    def of(self, texts: list[list[str]]) -> list[list[Alignment | None]]:
+        """The alignments of all segments of some texts."""
+        if len(self) > KEPT:
+            self.clear()
+        fresh = list({x for text in texts for x in text if x not in self})
+        # white space at a segment's end (so at its text's) would join the blank of the next one
+        plain = [x for x in fresh if _PLAIN.search(x)]
+        if plain:
+            self.update(zip(plain, aligned(self.t, plain)))
+        for x in fresh:
+            if x not in self:
+                self[x] = aligned(self.t, [x])[0]
+        out = [[self[x] for x in text] for text in texts]
+        for x in fresh:
+            if len(x) > KEPT_CHARS:
+                del self[x]
+        return out
 
 
 def bitmaps(code: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -205,27 +257,28 @@ class _Block:
         self.fine.append(True)
         return len(self.ids) - 1
 
-    def add(self, t: Tokenizers, parts: list[tuple[int, str, bytes]]) -> None:
-        """Texts (document, text, bytes) of this block, in order."""
-        a, b = t.encode([text for _, text, _ in parts])
-        fine = []
-        for k, (doc, _, body) in enumerate(parts):
-            if b"".join(map(t.bytes_a.__getitem__, a[k])) == body and b"".join(map(t.bytes_b.__getitem__, b[k])) == body:
-                fine.append(k)
-            else:
+    def add(self, known: Known, parts: list[tuple[int, str]]) -> None:
+        """Texts (document, text) of this block, in order."""
+        codes, docs = [], []
+        for (doc, _), found in zip(parts, known.of([segments(text) for _, text in parts]), strict=True):
+            if None in found:
                 self.fine[doc] = False
-        if not fine:
-            return
-        found = Aligned(t, [a[k] for k in fine], [b[k] for k in fine])
-        doc_of = np.array([parts[k][0] for k in fine], dtype=np.int64)
-        for k, doc in enumerate(doc_of.tolist()):
-            for j, n in enumerate((found.n_a[k], found.n_b[k], found.n_groups[k], found.n_links[k])):
-                self.rows[doc][j] += int(n)
+            if not self.fine[doc]:
+                continue
+            said, code = b";".join([f[3] for f in found]), b"".join([f[4] for f in found])
+            for j in range(3):
+                self.rows[doc][j] += sum([f[j] for f in found])
+            self.rows[doc][3] += len(code) // 8
             if self.hashes[doc] is None:
-                self.hashes[doc] = hashlib.sha256(found.groups[k])
+                self.hashes[doc] = hashlib.sha256(said)
             else:
-                self.hashes[doc].update(b";" + found.groups[k])
-        key, n = np.unique(doc_of[found.text] << 2 * _B_BITS | found.code, return_counts=True)
+                self.hashes[doc].update(b";" + said)
+            codes.append(code)
+            docs.append((doc, len(code) // 8))
+        if not codes:
+            return
+        doc_of = np.repeat([d for d, _ in docs], [n for _, n in docs])
+        key, n = np.unique(doc_of << 2 * _B_BITS | np.frombuffer(b"".join(codes), dtype=np.int64), return_counts=True)
         self.code.append(key & (1 << 2 * _B_BITS) - 1)
         self.doc.append(key >> 2 * _B_BITS)
         self.times.append(n)
@@ -262,41 +315,31 @@ def encoded(docs: DataFrame, id: str = "doc_id", text: str = "text", folder: str
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizers(folder)
-        number = TaskContext.get().partitionId() << 32
-        block = _Block(number)
-        waiting: list[tuple[int, str, bytes]] = []
+        known = Known(Tokenizers(folder))
+        block = _Block(TaskContext.get().partitionId() << 32)
+        waiting: list[tuple[int, str]] = []
         size = 0
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc = block.open(name)
-                if body:
-                    decoded = body.decode("utf-8", "replace")
-                    if len(decoded) <= CHUNK:
-                        waiting.append((doc, decoded, b" " + body))
-                        size += len(decoded)
-                    else:
-                        if decoded.encode() != body:
-                            block.fine[doc] = False
-                        for part in chunks(decoded):
-                            waiting.append((doc, part, b" " + part.encode()))
-                            size += len(part)
-                            if size > CHUNK:
-                                block.add(t, waiting)
-                                waiting, size = [], 0
-                if size > CHUNK:
-                    block.add(t, waiting)
-                    waiting, size = [], 0
+                text = body.decode("utf-8", "replace") if body else ""
+                block.fine[doc] = text.encode("utf-8", "replace") == (body or b"")
+                for part in chunks(text) if text and block.fine[doc] else ():
+                    waiting.append((doc, part))
+                    size += len(part)
+                    if size > CHUNK:
+                        block.add(known, waiting)
+                        waiting, size = [], 0
                 if len(block.ids) == 1 << BLOCK_BITS or block.size > POSTINGS:
                     if waiting:
-                        block.add(t, waiting)
+                        block.add(known, waiting)
                         waiting, size = [], 0
                     yield from block.emitted(id_type)
                     block = _Block(block.number + 1)
         if waiting:
-            block.add(t, waiting)
+            block.add(known, waiting)
         if block.ids:
             yield from block.emitted(id_type)
 
@@ -376,8 +419,8 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", folder: str =
     the documents whose number of links has bit 0, 1, ... set. Their bits add up to the pair's counts; then each bitmap
     hands its pair's count back to its documents. Pairs occur at most once in a block, so no pair makes a hot group.
     The counts are sent to all executors for up to ``sent`` pairs, otherwise joined by a shuffle. Repeated rows and ids
-    count each; other columns don't matter. A text of over `CHUNK` characters is encoded in parts, cut at a lone blank
-    between two letters; one without these, whole.
+    count each; other columns don't matter. Texts are aligned segment by segment (see `segments`), and a task aligns a
+    short segment once; a long text is worked on in parts, but a stretch without lone blanks whole.
     """
     index = written(encoded(docs, id, text, folder), "pair-index", "zstd")
     scores = _scores(index, written(pair_counts(index), "pair-counts"), sent)

@@ -234,11 +234,15 @@ TEXTS = [
 ]
 
 
+def whole(t, text):
+    """Both sides' ids of a whole text."""
+    return t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
+
+
 def brute_alignment(t, texts):
     tokens = []
     for text in texts:
-        a, b = t.encode([text]) if text else ([[]], [[]])
-        a, b = a[0], b[0]
+        a, b = whole(t, text) if text else ([], [])
         body = b" " + (text or "").encode()
         if not text or b"".join(t.bytes_a[i] for i in a) != body or b"".join(t.bytes_b[i] for i in b) != body:
             tokens.append(([], [], [], []))
@@ -333,17 +337,31 @@ def test_pair_counts(spark, tokenizers):
     rows = alignment.pair_counts(alignment.encoded(docs)).collect()
     links, held = Counter(), defaultdict(set)
     for k, text in enumerate(texts):
-        if text and alignment.align is not None:
-            a, b = tokenizers.encode([text])
-            body = b" " + text.encode()
-            if b"".join(tokenizers.bytes_b[i] for i in b[0]) == body and b"".join(tokenizers.bytes_a[i] for i in a[0]) == body:
-                found = alignment.Aligned(tokenizers, a, b)
-                for c in found.code.tolist():
+        if text and t_covers(tokenizers, text):
+            for x in alignment.aligned(tokenizers, [text]):
+                for c in np.frombuffer(x[4], dtype=np.int64).tolist():
                     links[c] += 1
                     held[c].add(k)
     assert {(r.a << 16 | r.b): (r.n, r.n_docs) for r in rows} == {c: (n, len(held[c])) for c, n in links.items()}
 
 
+def t_covers(t, text):
+    return t.covers(*whole(t, text), b" " + text.encode())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_are_encoded_as_the_whole_text_is(tokenizers, seed):
+    rng = random.Random(seed)
+    letters = ["a", "B", "é", "'s", "'", "1", "42", ",", "...", "\u0301", "東", "\t", "\n", "\u00a0", "\u2009", "\x1c", "\x85", "▁", "🙂", "_", "\u200b", "ﬁ", "½", "ß", "</s>", "\u3000"]
+    for _ in range(300):
+        text = "".join(rng.choice([rng.choice(letters), rng.choice(letters), " ", "  " if rng.random() < 0.2 else " "]) for _ in range(rng.randrange(1, 60)))
+        parts = [whole(tokenizers, x) for x in alignment.segments(text)]
+        if t_covers(tokenizers, text):
+            assert tuple([i for p in parts for i in p[k]] for k in (0, 1)) == whole(tokenizers, text), repr(text)
+        else:
+            assert not all(t_covers(tokenizers, x) for x in alignment.segments(text)), repr(text)
+
+
 # all operators where executors have no copy of the package
 
 
