@@ -20,7 +20,7 @@ LEAST, LONGEST, TOP, COVER = 10, 3, 2000, 50
 #: pair for every SPARSE cells at least.
 TILE_BITS, HEAD_TILES, SPARSE = 9, 16, 8
 #: Pairs that a task counts at once, and words that it keeps the ids of.
-FLUSH, KEPT_WORDS = 1 << 20, 1 << 18
+FLUSH, KEPT_WORDS = 1 << 19, 1 << 17
 #: Frequent words and phrases that are sent to the tasks (16 bytes each). Beyond, see `mine`.
 SENT = 1 << 21
 #: Bytes of a text that are split at once.
