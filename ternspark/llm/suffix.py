@@ -590,43 +590,45 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     keys, low, high = (table.column(c).to_numpy() for c in ("key", "low", "high"))
     later = high > low
     alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
-    table, low, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, later))
+    table, low, high, later = (x.filter(pa.array(later | ~alone)) if isinstance(x, pa.Table) else x[later | ~alone] for x in (table, low, high, later))
     bodies, keys = table.column("ctx").to_pylist(), table.column("key").to_numpy()
     n = np.array([len(s) - LENGTH + 1 for s in bodies], dtype=np.int64)
     begins = np.cumsum(n) - n
     own = np.repeat(np.arange(len(n)), n)
-    holder = low[own]
     some = _may_repeat(bodies, low, later, own)
     new = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], own[1:] == own[:-1]])) if len(some) else some)
     count = np.diff(np.append(np.searchsorted(np.flatnonzero(some), new), int(some.sum())))
-    first: dict[tuple[int, bytes], int] = {}  # equal stretches of a group, once: the smallest document of each
+    # equal stretches of a group stand in the order twice at most: for the first and for the last document that has them
+    first: dict[tuple[int, bytes], int] = {}
+    last: dict[tuple[int, bytes], int] = {}
     parts = []
     for k, x, m in zip(own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True):
         part = int(keys[k]), bodies[k][x : x + m + LENGTH - 1]
         parts.append(part)
-        if first.get(part, NO_ID) >= low[k]:
-            first[part] = int(low[k])
-    by = sorted(first, key=lambda p: p[0])
-    found = smallest_holders([p[1] for p in by], np.array([first[p] for p in by], dtype=np.int64), np.array([p[0] for p in by], dtype=np.int64))
-    cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p in by)])
-    at = {p: k for k, p in enumerate(by)}
+        first[part] = min(int(low[k]), first.get(part, NO_ID))
+        last[part] = max(int(high[k]), last.get(part, -NO_ID))
+    by = sorted([(p, d) for p, d in first.items()] + [(p, d) for p, d in last.items() if d > first[p]], key=lambda m: m[0][0])
+    found = smallest_holders([p[1] for p, _ in by], np.array([d for _, d in by], dtype=np.int64), np.array([p[0] for p, _ in by], dtype=np.int64))
+    cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p, _ in by)])
+    # what the order says of the last document's copy holds for all documents after the owners that it names
+    at = {p: k for k, (p, d) in enumerate(by) if d == last[p]}
+    owner = high[own]
     if parts:
-        holder[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
-    hit = np.concatenate([[False], holder < low[own], [False]])
-    edge = np.zeros(len(hit), dtype=bool)
-    edge[begins + 1] = True  # runs end with their stretch
-    a = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
-    b = np.flatnonzero(hit[1:-1] & (~hit[2:] | np.append(edge[2:-1], True))) + 1
+        owner[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
+    hit = owner < high[own]
+    edge = np.ones(len(hit) + 1, dtype=bool)  # runs end with their stretch, and where the owner changes
+    edge[1:-1] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
+    a = np.flatnonzero(hit & edge[:-1])
+    b = np.flatnonzero(hit & edge[1:]) + 1
     of = own[a]
-    flat = pa.StructArray.from_arrays([pa.array(a - begins[of]), pa.array(b - begins[of])], names=["a", "b"])
+    flat = pa.StructArray.from_arrays([pa.array(a - begins[of]), pa.array(b - begins[of]), pa.array(owner[a])], names=["a", "b", "owner"])
     runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), flat)
-    keep = pa.array(later | np.isin(np.arange(len(n)), of))
-    return pa.table({"key": table.column("key"), "ch": table.column("ch"), "low": table.column("low"), "runs": runs}).filter(keep)
+    return pa.table({"key": table.column("key"), "ch": table.column("ch"), "n": pa.array(n), "runs": runs}).filter(pa.array(np.isin(np.arange(len(n)), of)))
 
 
 def _answers(contexts: DataFrame) -> DataFrame:
-    """(key, ch, low, runs) of the distinct stretches that some later document has or of which strings are held earlier:
-    the suffix order gives the smallest document of every string, ``runs`` are those it has before ``low`` has them."""
+    """(key, ch, n, runs) of the distinct stretches, of n strings, that hold strings which some earlier document has: the
+    suffix order names the smallest document, the ``owner``, of every string; runs are of one owner."""
     total = contexts.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
@@ -637,7 +639,7 @@ def _answers(contexts: DataFrame) -> DataFrame:
     high = F.greatest(F.max("doc"), F.max(F.when(F.col("chunk"), F.lit(NO_ID))))
     distinct = contexts.groupBy("key", "ch", "ctx").agg(F.min("doc").alias("low"), high.alias("high"))
     shard = F.pmod("key", F.lit(shards)).alias("shard")
-    return distinct.select(shard, "key", "ch", "ctx", "low", "high").groupBy("shard").applyInArrow(run, "key long, ch long, low long, runs array<struct<a:long,b:long>>")
+    return distinct.select(shard, "key", "ch", "ctx", "low", "high").groupBy("shard").applyInArrow(run, "key long, ch long, n long, runs array<struct<a:long,b:long,owner:long>>")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -648,12 +650,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     judged on the input, overlaps count, and nothing matches across documents. A null text is empty. Rows that
     share an id don't remove from each other. A missing id is larger than all others.
 
-    1. Texts are cut into chunks by content; equal chunks are ordered once, for the first document that has them.
+    1. Texts are cut into chunks by content; equal chunks are ordered once.
     2. The least gram hash of every string in the other chunks is counted; what may repeat shares one.
-    3. Strings with such a hash are gathered by it; those whose own hash occurs again are sorted by suffix arrays, equal
-       stretches once, as are the chunks of 1. The order gives the smallest document of every string (equal strings stand side by side and are compared
-       byte for byte); what a document has of a stretch goes if that one is smaller.
-    Hashes are filters, and tell which stretches are equal: 64 bits beside a 64-bit key, 128 bits for chunks. A text is
+    3. Strings with such a hash are gathered by it; those whose own hash occurs again, and the chunks of 1, are sorted by
+       suffix arrays, equal stretches for the first and the last document that has them. Equal strings stand side by side
+       in the order and are compared byte for byte; the smallest document among them owns the string. What a document
+       has of a stretch goes where the owner is smaller.
+    Hashes are filters, and tell which documents have a stretch: 64 bits beside a 64-bit key, 128 bits for chunks. A text is
     hashed whole, at some 30 bytes of memory for each of its bytes.
     """
     source = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -674,13 +677,15 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     n_hot, n = hashes.agg(F.count_if("hot"), F.count("*")).first()
     contexts = written(_context_rows(base, Bloom.of(hashes, n), Bloom.of(hashes.where("hot"), n_hot)), "contexts", "zstd")
     answers = written(_answers(contexts), "answers")
-    held = contexts.select("key", "ch", "doc", "th", "start", "n").join(answers, ["key", "ch"])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
-    runs = held.select("doc", "th", "start", F.explode(F.when(F.col("doc") > F.col("low"), whole).otherwise(F.col("runs"))).alias("r"))
+    held = contexts.select("key", "ch", "doc", "th", "start").join(answers, ["key", "ch"])
+    runs = held.select("doc", "th", "start", F.explode("runs").alias("r")).where("r.owner < doc")
     runs = runs.select("doc", "th", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("r"))
     marks = runs.groupBy("doc", "th").agg(F.collect_list("r").alias("runs"))  # bounded by the document's length
     marks = written(_joined_up(marks), "marks", "zstd")
-    copies = shared.where("later").join(answers.select(F.col("key").alias("hi"), F.col("ch").alias("lo"), "low"), ["hi", "lo"]).where("doc > low")
+    # a copy of a chunk goes whole where all its strings have earlier owners
+    chunk = answers.where(F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r.b - r.a) == F.col("n"))
+    chunk = chunk.select(F.col("key").alias("hi"), F.col("ch").alias("lo"), F.array_max(F.transform("runs", lambda r: r.owner)).alias("owner"))
+    copies = shared.where("later").join(chunk, ["hi", "lo"]).where("owner < doc")
     copies = written(copies.groupBy("doc", "th").agg(F.collect_set("number").alias("again")), "copies", "zstd")
     rows = source.join(_sent(copies, F.size("again"), 4), ["doc", "th"], "left").join(_sent(marks, F.size("runs"), 16), ["doc", "th"], "left")
     out = _cut(rows.select("doc", "text", "again", "runs"))

@@ -388,3 +388,17 @@ def test_every_operator_runs_without_the_package_on_executors(tmp_path):
     made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900)
     assert made.returncode == 0, made.stderr[-3000:]
     assert made.stdout.count("done") >= 14
+
+
+def test_the_suffix_order_decides_what_is_removed(spark, monkeypatch):
+    from ternspark.llm import suffix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    real = suffix.repeated_spans(docs).agg(F.sum("n_removed")).first()[0]
+    assert real > 10_000
+
+    def own_document(stretches, low, group):
+        return np.repeat(low, [max(0, len(s) - 49) for s in stretches])
+
+    monkeypatch.setattr(suffix, "smallest_holders", own_document)
+    assert suffix.repeated_spans(docs).agg(F.sum("n_removed")).first()[0] == 0
