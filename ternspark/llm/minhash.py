@@ -292,7 +292,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     found = components(links)
 
     named = lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.mode("component", True).alias("c0"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    # classes without a link are components of their own: they are counted before a list's most frequent one is picked
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("part"))
+    mixed = parts.groupBy("key").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by("component", F.struct("k", -F.col("component"))).alias("c0"), F.sum("k").alias("size"), F.sum("part").alias("total"))
     open_lists = written(named.join(mixed.where("c1 <> c2").select("key", "c0", "size", "total"), "key").select("key", "cls", "n", "component", "c0", "size", "total"), "open")
     short = open_lists.where(f"size <= {SHORT}")
     x = short.where("component <> c0").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
