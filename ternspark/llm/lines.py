@@ -75,9 +75,28 @@ class CuckooFilter:
         fp, a, b = self._places(self.table, hi, lo)
         return (self.table[a] == fp[:, None]).any(axis=1) | (self.table[b] == fp[:, None]).any(axis=1)
 
+    def _placed(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets; which of them found one."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order].astype(np.int64)
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=bool)
+        rank = np.arange(len(bucket)) - np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))
+        free = self.table[bucket] == 0
+        slots = np.argsort(~free, axis=1, kind="stable")  # free ones first
+        fits = rank < free.sum(axis=1)
+        self.table[bucket[fits], slots[fits, rank[fits]]] = fp[order][fits]
+        out = np.zeros(len(fp), dtype=bool)
+        out[order[fits]] = True
+        return out
+
     def insert(self, hi: np.ndarray, lo: np.ndarray, kicks: int = 500) -> bool:
         """False if the table is too full; it then holds only part of the keys."""
         fp, a, b = self._places(self.table, hi, lo)
+        # most keys find a free slot in one of their buckets; the others move fingerprints one by one
+        left = ~self._placed(fp, a)
+        fp, a, b = fp[left], a[left], b[left]
+        left = ~self._placed(fp, b)
+        fp, a, b = fp[left], a[left], b[left]
         mask = len(self.table) - 1
         for f, x, y in zip(fp.tolist(), a.tolist(), b.tolist(), strict=True):
             for at in (x, y):
@@ -173,11 +192,21 @@ class LineIndex:
 def build(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
     held = written(postings(docs, id, text, min_chars), "postings")
     counts = written(reference_counts(held), "counts")
-    n, shards = counts.where(F.col("n_docs") >= min_docs).count(), 1
-    while n > shards * SHARD_KEYS:
-        shards *= 2
+    return _sharded(held, counts, 1, min_chars, min_docs) or LineIndex(held, counts, _all_built(held, counts, 1, min_chars, min_docs), 1, min_chars, min_docs)
+
+
+def _all_built(held: DataFrame, counts: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     index = LineIndex(held, counts, held, shards, min_chars, min_docs)
-    return LineIndex(held, counts, written(_built(index.repeated().select(index.shard(), "hi", "lo")), "filters"), shards, min_chars, min_docs)
+    return written(_built(index.repeated().select(index.shard(), "hi", "lo")), "filters")
+
+
+def _sharded(held: DataFrame, counts: DataFrame, shards: int, min_chars: int, min_docs: int) -> LineIndex | None:
+    """An index with as many shards as the repeated keys now take, its filters built from the exact table; None where
+    ``shards`` are enough."""
+    n, more = counts.where(F.col("n_docs") >= min_docs).count(), shards
+    while n > more * SHARD_KEYS:
+        more *= 2
+    return LineIndex(held, counts, _all_built(held, counts, more, min_chars, min_docs), more, min_chars, min_docs) if more > shards else None
 
 
 def _built(keys: DataFrame) -> DataFrame:
@@ -212,6 +241,9 @@ def _updated(index: LineIndex, held: DataFrame, change: DataFrame) -> LineIndex:
     """The index after ``change``, the changed keys: (hi, lo, before, n_docs, keeper)."""
     same = index.counts.join(change.select("hi", "lo"), ["hi", "lo"], "left_anti")
     counts = written(same.union(change.where("n_docs > 0").select("hi", "lo", "n_docs", "keeper")), "counts")
+    grown = _sharded(held, counts, index.shards, index.min_chars, index.min_docs)
+    if grown:
+        return grown
     crossed = change.withColumn("add", F.col("n_docs") >= index.min_docs).where(F.col("add") != (F.col("before") >= index.min_docs)).select(index.shard(), "hi", "lo", "add")
     touched = crossed.select("shard").distinct()
 
