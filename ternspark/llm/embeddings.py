@@ -20,6 +20,8 @@ BLOCK = 512
 #: Bits of the signature that go with a vector's number to its buckets, and rows of buckets that may be broadcast.
 SKETCH, BROADCAST_BUCKETS = 128, 200_000
 SEED = 20_240_601
+#: Length of the mean of all vectors from which on they are compared by what they have beside it, too.
+LEANING = 0.3
 
 
 def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -58,6 +60,37 @@ def _signatures(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.n
     return (signs.reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2).astype(np.int32), np.packbits(first, axis=1, bitorder="little")
 
 
+def _mean_of(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the vectors, of length 1 each, by their number of components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                x = _normal(_vectors(batch.filter(pa.array(dims == dim)).column(0), dim))
+                n, total = sums.get(dim, (0, np.zeros(dim)))
+                sums[dim] = n + len(x), total + x.sum(axis=0)
+        for dim, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, type=pa.int32()), pa.array(range(dim), type=pa.int32()), pa.array([n] * dim, type=pa.int64()), pa.array(total)], names=["dim", "at", "n", "x"])
+
+    out: dict[int, np.ndarray] = {}
+    for r in classes.select("v", "dim").mapInArrow(run, "dim int, at int, n long, x double").groupBy("dim", "at").agg((F.sum("x") / F.sum("n")).alias("x")).collect():  # a row for each component
+        out.setdefault(r["dim"], np.zeros(r["dim"]))[r["at"]] = r["x"]
+    return out
+
+
+def beside(x: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`SKETCH` signature bits of the vectors less their mean, and the lengths of what is left."""
+    left = x - mean
+    planes = np.random.default_rng(SEED + 1).standard_normal((x.shape[1], SKETCH))
+    return np.packbits(left @ planes >= 0, axis=1, bitorder="little"), np.sqrt((left * left).sum(axis=1))
+
+
+def limits_beside(cosine: float, miss: float) -> np.ndarray:
+    """Bits in which sketches of `beside` may differ, by the cosine of what is left, from -1 on in steps of 1 / 32."""
+    return np.array([farthest(max(-1.0, -1 + k / 32), SKETCH, miss) for k in range(65)], dtype=np.int16)
+
+
 def _valid(vector: str) -> Column:
     ok = F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.coalesce(ok & F.exists(vector, lambda v: v != 0), F.lit(False))
@@ -80,7 +113,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
     Two vectors are linked if they meet in a bucket of some table and their cosine, in double precision, is at
     least ``cosine``; a pair at that cosine is missed with probability ``miss`` or little more at most. Equal vectors form
     a class that is compared once. Numbers and `SKETCH` signature bits go to the buckets, which name the vectors that
-    differ in few bits from another; these alone are fetched and compared. Buckets are cut into blocks, so a bucket with
+    differ in few bits from another; these alone are fetched and compared. Where the vectors' mean is longer than `LEANING`
+    they also have to agree in the signs of what they have beside it. Buckets are cut into blocks, so a bucket with
     a third of all rows is many tasks (its vectors' links have to be counted, so work grows as the square of it); tasks
     return counts and a spanning set of links, not pairs.
 
@@ -99,29 +133,38 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
     classes = written(classes.select(F.monotonically_increasing_id().alias("num"), "head", "n", "v", F.size("v").alias("dim"), F.unhex("cls").alias("cls")), "classes")
     n = classes.count()
     bits, tables = plan(n, cosine, miss)
+    means = {dim: m for dim, m in _mean_of(classes).items() if np.sqrt((m * m).sum()) > LEANING}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
-                buckets, sketch = _signatures(_normal(_vectors(own.column(1), int(dim))), bits, tables)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(buckets), type=pa.list_(pa.int32())), pa.array([x.tobytes() for x in sketch], type=pa.binary())], names=["num", "signs", "sketch"])
-
-    signed = written(classes.select("num", "v", "dim").mapInArrow(sign, "num long, signs array<int>, sketch binary"), "signed")
-    place = signed.select("num", "sketch", F.posexplode("signs").alias("tab", "bucket")).select("num", "sketch", (F.shiftleft(F.col("tab").cast("long"), 32) + F.col("bucket")).alias("key"))
+                x = _normal(_vectors(own.column(1), int(dim)))
+                buckets, sketch = _signatures(x, bits, tables)
+                length = pa.nulls(len(x), pa.float64())
+                if means:
+                    more, left = beside(x, means.get(int(dim), np.zeros(int(dim))))
+                    sketch, length = np.concatenate([sketch, more], axis=1), pa.array(left)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(buckets), type=pa.list_(pa.int32())), pa.array([x.tobytes() for x in sketch], type=pa.binary()), length], names=["num", "signs", "sketch", "length"])
+
+    signed = written(classes.select("num", "v", "dim").mapInArrow(sign, "num long, signs array<int>, sketch binary, length double"), "signed")
+    place = signed.select("num", "sketch", "length", F.posexplode("signs").alias("tab", "bucket")).select("num", "sketch", "length", (F.shiftleft(F.col("tab").cast("long"), 32) + F.col("bucket")).alias("key"))
     hot = written(place.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "hot")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
     dealt = place.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("num", "key"), F.col("blocks")).cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(shiftleft(cast(least(block, k) as bigint), 32) + greatest(block, k) as pq, block > k as right))")
-    dealt = dealt.withColumn("x", F.explode(pair)).select("key", "x.pq", "x.right", "num", "sketch")
+    dealt = dealt.withColumn("x", F.explode(pair)).select("key", "x.pq", "x.right", "num", "sketch", "length")
     limit, whole = farthest(cosine, min(SKETCH, bits * tables), miss), SKETCH // bits
+    limits = limits_beside(cosine, miss)
     masks = [np.packbits(np.arange(SKETCH) // bits == t, bitorder="little").view(np.uint64) for t in range(min(whole, tables))]
 
     def candidates(key: tuple, table: pa.Table) -> pa.Table:
         """The vectors of two blocks that differ in few bits from one of the other block and met in no earlier table."""
         tab, pq = key[0].as_py() >> 32, key[1].as_py()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+        sketch, more = sketch[:, : SKETCH // 64], sketch[:, SKETCH // 64 :]
+        length = table.column("length").to_numpy()
         right = table.column("right").to_numpy()
         a = np.flatnonzero(~right)
         b = a if pq >> 32 == pq & 0xFFFFFFFF else np.flatnonzero(right)
@@ -134,6 +177,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
             x, y = np.nonzero(far <= limit)
             x, y = i[x], b[y]
             keep = x != y
+            if means:
+                # the distance of two vectors at the cosine, seen from the mean: their cosine there is this at least
+                x, y = x[keep], y[keep]
+                least = 1 - (1 - cosine) / np.maximum(length[x] * length[y], 1e-12)
+                far = np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int16)
+                keep = far <= limits[np.floor((np.maximum(least, -1.0) + 1) * 32).astype(np.int64)]
             for mask in masks[:tab]:
                 x, y = x[keep], y[keep]
                 keep = (((sketch[x] ^ sketch[y]) & mask) != 0).any(axis=1)

@@ -402,3 +402,54 @@ def test_the_suffix_order_decides_what_is_removed(spark, monkeypatch):
 
     monkeypatch.setattr(suffix, "smallest_holders", own_document)
     assert suffix.repeated_spans(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_a_growing_line_index_gets_more_shards(spark, monkeypatch):
+    from ternspark.llm import lines
+
+    monkeypatch.setattr(lines, "SHARD_KEYS", 20)
+    text = [f"a line of text that several documents hold, number {k}" for k in range(200)]
+    few = spark.createDataFrame([(d, text[0]) for d in range(3)], "doc_id long, text string")
+    more = spark.createDataFrame([(10 + d, "\n".join(text[1 : 200 - d])) for d in range(3)], "doc_id long, text string")
+    index = lines.build(few)
+    assert index.shards == 1
+    grown = lines.insert(index, more)
+    whole = lines.build(few.union(more))
+    assert grown.shards == whole.shards == 16 and grown.filters.count() == 16
+    read = lambda x: {r.shard: lines.CuckooFilter.read(r.filter).entries() for r in x.filters.collect()}
+    assert read(grown) == read(whole)
+    assert sorted(map(tuple, lines.drop_repeated_lines(few.union(more), grown).collect())) == sorted(map(tuple, lines.drop_repeated_lines(few.union(more)).collect()))
+    less = lines.remove(grown, more)
+    assert sum(len(v) for v in read(less).values()) == 1 and less.shards == 16
+
+
+def test_cuckoo_filters_take_keys_together():
+    from ternspark.llm.lines import CuckooFilter
+
+    rng = np.random.default_rng(3)
+    hi, lo = (rng.integers(-(2**62), 2**62, 50_000) for _ in range(2))
+    held = CuckooFilter.of(hi[:40_000], lo[:40_000])
+    assert held.insert(hi[40_000:], lo[40_000:]) and held.contains(hi, lo).all()
+    held.delete(hi[:30_000], lo[:30_000])
+    assert held.contains(hi[30_000:], lo[30_000:]).all() and (held.table != 0).sum() == 20_000
+    full = CuckooFilter(4)
+    assert not full.insert(hi[:40], lo[:40])
+
+
+def test_vectors_with_a_common_part(spark):
+    from ternspark.llm import embeddings
+
+    rng = np.random.default_rng(2)
+    n = 3000
+    x = rng.normal(size=(n, 32)) / np.sqrt(32) + 2.0 * np.eye(32)[0]
+    near = x[:300] + rng.normal(size=(300, 32)) * 0.09
+    x = np.concatenate([x, near, np.repeat(x[5:6], 30, axis=0) * 2])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert np.linalg.norm(unit.mean(axis=0)) > 0.8
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.9999 * want.sum() and want.sum() > 500
+    means = embeddings._mean_of(df.select(F.col("embedding").alias("v"), F.lit(32).alias("dim")))
+    assert np.abs(means[32] - unit.mean(axis=0)).max() < 1e-12
