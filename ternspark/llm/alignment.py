@@ -148,7 +148,7 @@ class Known(dict):
         """The alignments of all segments of some texts."""
         if len(self) > KEPT:
             self.clear()
-        fresh = list({x for text in texts for x in text if x not in self})
+        fresh = list(set().union(*texts).difference(self))
         # white space at a segment's end (so at its text's) would join the blank of the next one
         plain = [x for x in fresh if _PLAIN.search(x)]
         if plain:
@@ -156,7 +156,7 @@ class Known(dict):
         for x in fresh:
             if x not in self:
                 self[x] = aligned(self.t, [x])[0]
-        out = [[self[x] for x in text] for text in texts]
+        out = [list(map(self.__getitem__, text)) for text in texts]
         for x in fresh:
             if len(x) > KEPT_CHARS:
                 del self[x]
@@ -265,9 +265,10 @@ class _Block:
                 self.fine[doc] = False
             if not self.fine[doc]:
                 continue
-            said, code = b";".join([f[3] for f in found]), b"".join([f[4] for f in found])
-            for j in range(3):
-                self.rows[doc][j] += sum([f[j] for f in found])
+            *numbers, groups, links = zip(*found, strict=True)
+            said, code = b";".join(groups), b"".join(links)
+            for j, n in enumerate(numbers):
+                self.rows[doc][j] += sum(n)
             self.rows[doc][3] += len(code) // 8
             if self.hashes[doc] is None:
                 self.hashes[doc] = hashlib.sha256(said)
