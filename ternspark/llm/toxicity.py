@@ -22,8 +22,10 @@ from .scratch import written
 SAMPLE_ROWS, SAMPLE_CHARS = 20_000, 40_000_000
 #: Letters of the word beginnings that are tried beside whole words.
 SHORTEST, LONGEST = 4, 12
-#: What an entry takes: toxic rows, different neighbours in them, log odds, and twice the log likelihood ratio.
-LEAST_ROWS, LEAST_PLACES, LEAST_ODDS, LEAST_RATIO = 5, 4, 2.0, 30.0
+#: What an entry takes: toxic rows, log odds, and twice the log likelihood ratio.
+LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 5, 2.0, 30.0
+#: Different neighbours that it takes for each toxic row, and so many in any case (copies of a text share theirs).
+PLACES_A_ROW, PLACES_ENOUGH = 1.2, 50
 #: Log odds from which on an entry is looked at, as exceptions may raise them; and the clean rows that make an exception
 #: and the probability of so many by chance.
 SUSPECT_ODDS, EXCEPTION_ROWS, EXCEPTION_CHANCE = 0.3, 3, 1e-4
@@ -166,7 +168,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_ro
     """The lexicon of rows labelled 1 against rows labelled 0 (others, and null texts, don't count).
 
     Whole words and word beginnings are entries if they occur in at least `LEAST_ROWS` different toxic texts, beside
-    `LEAST_PLACES` different words (so that copies of one text don't make entries) and far more often than in clean ones
+    different words (`PLACES_A_ROW`, `PLACES_ENOUGH`, so that copies of one text don't make entries) and far more often than in clean ones
     (`LEAST_ODDS`, `LEAST_RATIO`); the weight is the log odds. Of entries that begin alike and occur in the same texts
     the longest counts. A phrase of such a word and the word beside it that `EXCEPTION_ROWS` clean texts hold, and no
     toxic one, is an exception, if that is unlikely by chance (`EXCEPTION_CHANCE`). Two coefficients for the weight of a text's matches, as it is and by length, and a
@@ -227,7 +229,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_ro
     for e, (t, c) in suspects.items():
         left = max(0, c - around[e])
         odds_left = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((left + 0.5) / (n_clean - left + 0.5))
-        if odds_left >= LEAST_ODDS and _ratio(t, left, n_toxic, n_clean) >= LEAST_RATIO and places.get(e, 0) >= 2 * LEAST_PLACES:
+        if odds_left >= LEAST_ODDS and _ratio(t, left, n_toxic, n_clean) >= LEAST_RATIO and places.get(e, 0) >= min(PLACES_A_ROW * t, PLACES_ENOUGH):
             weights[e] = odds_left
     kept = _closed(weights, {e: suspects[e][0] for e in weights})
     found = Lexicon({e: weights[e] for e in kept}, sorted({(r["entry"], r["phrase"], r["at"]) for r in spared if r["entry"] in kept}))
