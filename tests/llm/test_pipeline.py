@@ -46,7 +46,7 @@ def test_weights_decide_which_documents_share_a_batch(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 # ---- every stage against brute force -----------------------------------------------------------------------------
