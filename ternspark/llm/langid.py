@@ -188,6 +188,7 @@ class Identifier:
                     part = batch.slice(start, 512)
                     made = found.score(_decoded(part.column(body)))
                     yield pa.RecordBatch.from_arrays([*part.columns[:body], *made], names=[*columns, "lang_pred", "score", "cross_entropy", "rejected"])
+            _let_go(shared)
 
         schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
         return rows.mapInArrow(run, f"{schema}lang_pred string, score double, cross_entropy double, rejected boolean")
@@ -251,6 +252,11 @@ def _from_plain(parts: tuple) -> Identifier:
     return Identifier({name: Model(*m) for name, m in parts[0].items()}, *parts[1:])
 
 
+def _let_go(shared: object) -> None:
+    """Free a broadcast's value in a worker, which would hold it while it waits for other tasks; the next one reads it again."""
+    vars(shared).pop("_value", None)
+
+
 def _decoded(column: pa.Array) -> list[str]:
     return [(x or b"").decode("utf-8", "replace") for x in column.to_pylist()]
 
@@ -301,6 +307,7 @@ def _calibrated(found: Identifier, sample: DataFrame, rejected: float) -> Identi
             own = [names.index(x) if x in names else -1 for x in batch.column(0).to_pylist()]
             mine = np.array([entropy[k, j] if j >= 0 else 0.0 for k, j in enumerate(own)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
+        _let_go(shared)
 
     rows = sample.where("apart").select("lang", "text").mapInArrow(run, "lang string, h double, n long").where("n > 0").toArrow()  # bounded by the sample
     names, h, n = np.array(rows.column("lang").to_pylist(), dtype=object), rows.column("h").to_numpy(), rows.column("n").to_numpy().astype(float)
