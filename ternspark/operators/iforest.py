@@ -86,6 +86,8 @@ def train(ref: DataFrame, names: Sequence[str], trees: int = TREES, sample_size:
         column, value, length = _grow(x, depth, np.random.default_rng(seed + tree))
         return pd.DataFrame({"tree": [tree], "split": [column.tolist()], "value": [value.tolist()], "length": [length.tolist()]})
 
+    # a number of partitions of our own: the rows are few bytes, but growing trees is work that Spark would put in one task
+    own = own.repartition(min(trees, ref.sparkSession.sparkContext.defaultParallelism), "tree")
     built = own.groupBy("tree").applyInPandas(grow, "tree int, split array<long>, value array<double>, length array<double>").orderBy("tree").collect()  # ``trees`` rows
     return Forest(tuple(names), *[np.array([r[k] for r in built]) for k in ("split", "value", "length")], _mean_path(size) or 1.0)
 

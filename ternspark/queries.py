@@ -435,7 +435,7 @@ def _(spark, d):
 @register("m10_isolation_scores")
 def _(spark, d):
     first, second = halves(spark, d)
-    forest = iforest.train(second, ["disc_amt", "tax_amt", "l_quantity"])
+    forest = iforest.train(second, ["disc_amt", "tax_amt", "l_quantity"], key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
     return first.select("l_orderkey", "l_linenumber", iforest.score(forest).alias("if_score"))
 
 
