@@ -344,6 +344,12 @@ def _(spark, d):
     return count_by(rounded(ternary.styled(comp(spark, d), size="disc_null").select("point_size", "point_type", "colour")), "point_size", "point_type", "colour")
 
 
+@register("t13_styled_by_columns", "SELECT l_quantity / 50 AS point_size, CASE WHEN l_returnflag = 'A' THEN 17 ELSE 16 END AS point_type, CASE WHEN l_linestatus = 'O' THEN 'red' ELSE 'black' END AS colour, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_quantity / 50 as s", "case when l_returnflag = 'A' then 17 end as k", "case when l_linestatus = 'O' then 'red' end as c")
+    return count_by(ternary.styled(t, "s", "k", "c"), "point_size", "point_type", "colour")
+
+
 @register("t14_plot_notes", "SELECT 'points' AS note, count(*)::VARCHAR AS value FROM lineitem WHERE l_quantity > 5 UNION ALL SELECT 'A columns', 'disc_amt' UNION ALL SELECT 'B columns', 'tax_amt' UNION ALL SELECT 'C columns', 'qty_c + base' UNION ALL SELECT 'C filter', 'qty_c > 250'")
 def _(spark, d):
     axes = {"A": AXES[0], "B": AXES[1], "C": Element(["qty_c", "base"], filters={"qty_c": "> 250"})}
@@ -370,7 +376,7 @@ def _md(t: str, ref: str, out: str = "d") -> str:
     {out} AS (SELECT {t}.*, (b * (disc_amt - mx) ** 2 - 2 * v * (disc_amt - mx) * (tax_amt - my) + a * (tax_amt - my) ** 2) / (a * b - v * v) AS md2 FROM {t}, c)"""
 
 
-@register("m02_check_data", "SELECT 'correlation' AS \"check\", 'warning' AS severity, 'base and l_extendedprice' AS detail")
+@register("m02_check_data", "{base}, o AS (SELECT * FROM t WHERE l_linestatus = 'O'), r AS (" + " UNION ALL ".join(f"SELECT '{x} and {y}' AS pair, corr({x}, {y}) AS r FROM o" for x, y in (("base", "l_extendedprice"), ("base", "l_tax"), ("l_extendedprice", "l_tax"))) + ") SELECT 'correlation' AS \"check\", 'warning' AS severity, pair AS detail FROM r WHERE abs(r) > 0.9")
 def _(spark, d):
     first, second = halves(spark, d)
     return mahalanobis.check_data(first, second, ["base", "l_extendedprice", "l_tax"]).where("check = 'correlation'")
@@ -486,6 +492,15 @@ def _(spark, d):
     return count_by(marked, *f.values(), "is_outlier")
 
 
+@register("m14_distance_and_rules", f"""{{base}}, {_md('t', 't')}, h AS (SELECT avg(md2) + sqrt(100.0::DOUBLE / 101) * stddev_samp(md2) AS lim FROM d),
+  i AS (WITH {_IQR} SELECT * FROM b), z AS (WITH {_Z} SELECT * FROM b), m AS (WITH {_MAD} SELECT * FROM b),
+  f AS (SELECT md2 > lim AS w, (disc_amt > i.a3 + 2.5 * (i.a3 - i.a1) OR tax_amt > i.b3 + 2.5 * (i.b3 - i.b1)) AS x, (disc_amt > z.am + 3 * z.asd OR tax_amt > z.bm + 3 * z.bsd) AS y, (disc_amt > m.am + m.ad OR tax_amt > m.bm + m.bd) AS u FROM d, h, i, z, m)
+SELECT w AS mahalanobis_outlier, x AS iqr_outlier, y AS zscore_outlier, u AS mad_outlier, (w OR x OR y OR u) AS is_outlier, count(*) AS n FROM f GROUP BY ALL""")
+def _(spark, d):
+    marked, f = combine.multivariate_analysis(comp(spark, d), AMOUNTS, ["mahalanobis", "iqr", "zscore", "mad"], limits={"iqr": 2.5})
+    return count_by(marked, *f.values(), "is_outlier")
+
+
 @register("m15_method_summary", _TWO + " SELECT 'iqr' AS method, count(*) AS points, count(*) FILTER (x) AS outliers, round_even(100.0 * count(*) FILTER (x) / count(*), 2)::DOUBLE AS percent FROM f UNION ALL SELECT 'mad', count(*), count(*) FILTER (y), round_even(100.0 * count(*) FILTER (y) / count(*), 2)::DOUBLE FROM f")
 def _(spark, d):
     t, f = _flags(spark, d)
@@ -689,11 +704,18 @@ def _(spark, d):
     return quality.column_quality(_with_flat(spark, d), _QCOLS, fewest=4).select("column", "outliers")
 
 
-@register("q06_issues", "SELECT 'error' AS severity, 'missing column' AS \"check\", 'nowhere' AS \"column\" UNION ALL SELECT 'warning', 'zero variance', 'flat'")
+@register("q06_issues", f"{_QBASE} SELECT 'error' AS severity, 'missing column' AS \"check\", 'nowhere' AS \"column\" UNION ALL " + " UNION ALL ".join(f"SELECT 'warning', 'zero variance', '{n}' FROM z HAVING min({n}) = max({n})" for n in ("disc_amt", "flat")))
 def _(spark, d):
     return quality.issues(_with_flat(spark, d), ["disc_amt", "flat", "nowhere"])
 
 
+@register("q06_issues_of_values", "WITH z AS (SELECT CASE WHEN l_tax <= 0.02 THEN l_tax END AS sparse, CASE WHEN l_linenumber = 1 THEN 'infinity'::DOUBLE ELSE l_tax END AS endless, l_discount FROM lineitem) "
+          + " UNION ALL ".join(f"SELECT 'warning' AS severity, 'over half missing' AS \"check\", '{n}' AS \"column\" FROM z HAVING count(*) > 2 * count({n}) UNION ALL SELECT 'warning', 'infinite values', '{n}' FROM z HAVING count(*) FILTER (isinf({n})) > 0" for n in ("sparse", "endless", "l_discount")))
+def _(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("case when l_tax <= 0.02D then l_tax end as sparse", "case when l_linenumber = 1 then double('infinity') else l_tax end as endless", "l_discount")
+    return quality.issues(t)
+
+
 @register("q07_missing_summary", f"{_QBASE}, q AS ({_qual()}), k AS (SELECT count(*) FILTER (disc_null IS NOT NULL AND tax_null IS NOT NULL) AS complete, round_even(100.0 * count(*) FILTER (disc_null IS NOT NULL AND tax_null IS NOT NULL) / count(*), 2)::DOUBLE AS percent FROM z) SELECT \"column\", missing, outliers, complete, percent FROM q, k")
 def _(spark, d):
     return quality.missing_summary(_with_flat(spark, d), _QCOLS)
@@ -750,7 +772,7 @@ def _(spark, d):
     return quality.duplicates(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
-@register("q15_empty_columns", "SELECT 'l_tax' AS \"column\", false AS empty, false AS constant UNION ALL SELECT 'none', true, true UNION ALL SELECT 'blank', true, true UNION ALL SELECT 'flat', false, true")
+@register("q15_empty_columns", "WITH z AS (SELECT l_tax, NULL::DOUBLE AS \"none\", '' AS blank, 7 AS flat FROM lineitem) " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) FILTER (\"{n}\" <> {zero}) = 0 AS empty, count(DISTINCT \"{n}\") <= 1 AS constant FROM z" for n, zero in (("l_tax", "0"), ("none", "0"), ("blank", "''"), ("flat", "0"))))
 def _(spark, d):
     t = comp(spark, d).select("l_tax", F.lit(None).cast("double").alias("none"), F.lit("").alias("blank"), F.lit(7).alias("flat"))
     return quality.empty_columns(t)
