@@ -8,17 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from ..functions.cols import c, common_numeric, num
 from ..functions.moments import complete
-from ..functions.quantiles import quantile_values
+from ..functions.quantiles import exact_quantiles, quantile_values
+from .outliers import _join_small
 
 CONTAMINATION, TREES, SAMPLE, SEED = 0.1, 200, 256, 42
 #: Rows that all trees choose from, as a multiple of what they take together, and rows that are walked down at once.
 POOL, WALKED = 1, 256
+#: Points of a group that are scored in one task.
+BLOCK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -163,3 +167,87 @@ def isolation_forest(data: DataFrame, ref: DataFrame | None = None, names: Seque
     limit = quantile_values(base.select(c(out)), [out], [1 - contamination])[out][0]
     beyond = F.col(out) > F.lit(limit) if own_threshold else F.col(out) >= F.lit(limit)
     return scored.withColumn(flag, F.coalesce(beyond, F.lit(False)))
+
+
+def train_by(data: DataFrame, names: Sequence[str], by: str, trees: int = TREES, sample_size: int = SAMPLE, seed: int = SEED, least_rows: int = 1) -> DataFrame:
+    """(group, rows, tree, split, value, length, norm): the forest of every group, the same that `train` grows of the group's
+    rows alone. Groups with fewer than ``least_rows`` complete rows, or in which no column varies, have none.
+
+    One job for all groups: a row takes part by its hash and its group's size, and every tree of every group is a task
+    group of some ``sample_size`` rows, however large its group is.
+    """
+    use = [f.name for f in data.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    x = [f"x{k}" for k in range(len(names))]
+    rows = data.where(complete(names)).select(c(by).alias("group"), *[num(n).alias(k) for n, k in zip(names, x, strict=True)], F.xxhash64(*map(c, use)).alias("row"))
+    varies = [F.coalesce(F.min(k) < F.max(k), F.lit(False)) for k in x]
+    sizes = rows.groupBy("group").agg(F.count("*").alias("rows"), F.greatest(*varies, F.lit(False)).alias("varies")).where(F.col("varies") & (F.col("rows") >= least_rows)).drop("varies")
+    sizes = sizes.withColumn("size", F.least("rows", F.lit(sample_size)))
+    asked = POOL * trees * F.col("size")
+    sizes = sizes.withColumn("wanted", F.least("rows", asked + 10 * F.floor(F.sqrt(asked)))).withColumn("some", (F.col("size") + 8 * F.sqrt("size") + 8) / F.col("wanted"))
+    pool = _join_small(rows, sizes, ["group"]).where("rows is not null")
+    pool = pool.where(_share_of(F.xxhash64(F.lit(seed), "row"), F.col("wanted") / F.col("rows")))
+    pool = pool.groupBy("group", "rows", "size", "some", *x, "row").count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("count", "size").cast("int")))).drop("count")
+    own = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("place", F.xxhash64(F.lit(seed), "tree", "row", "copy")).where(_share_of(F.col("place"), F.col("some")))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        tree, size = int(part["tree"].iloc[0]), int(part["size"].iloc[0])
+        depth = max(1, math.ceil(math.log2(max(2, size))))
+        points = part.sort_values(["place", *x]).head(size)[x].to_numpy(dtype=np.float64)
+        column, value, length = _grow(points, depth, np.random.default_rng(seed + tree))
+        return part.iloc[:1][["group", "rows", "tree"]].assign(split=[column.tolist()], value=[value.tolist()], length=[length.tolist()], norm=_mean_path(size) or 1.0)
+
+    own = own.repartition(data.sparkSession.sparkContext.defaultParallelism, "group", "tree")
+    kind = data.schema[by].dataType.simpleString()
+    forests = own.groupBy("group", "tree").applyInPandas(grow, f"group {kind}, rows long, tree int, split array<long>, value array<double>, length array<double>, norm double")
+    # ``trees`` rows a group, used twice
+    return forests.checkpoint() if data.sparkSession.sparkContext.getCheckpointDir() else forests
+
+
+def _share_of(hashed: Column, share: Column) -> Column:
+    """`_share` of a column."""
+    return (share >= 1) | (F.shiftrightunsigned(hashed, 11) < F.floor(share * float(1 << 53)))
+
+
+def score_by(data: DataFrame, forests: DataFrame, names: Sequence[str], by: str, out: str = "if_score") -> DataFrame:
+    """Add the score by the forest of each row's group (see `train_by`); null for incomplete rows and without a forest.
+
+    A group's different points are dealt to blocks of some `BLOCK_ROWS`, each of which meets its forest in a task; scores
+    are joined to the rows by group and values, one row for each of them.
+    """
+    x = [f"__x{k}" for k in range(len(names))]
+    rows = data.withColumns({k: num(n) for n, k in zip(names, x, strict=True)})
+    parts = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    blocks = forests.groupBy("group").agg(F.max(parts).alias("parts"))
+    points = rows.where(complete(names)).select(c(by).alias("group"), *x).distinct()
+    points = _join_small(points, blocks, ["group"]).where("parts is not null").withColumn("block", F.pmod(F.xxhash64(*x), F.col("parts")).cast("int")).drop("parts")
+    dealt = forests.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trees = right.sort_by("tree")
+        made = [np.array(trees.column(k).to_pylist()) for k in ("split", "value", "length")]
+        scores = np.zeros(0)
+        if left.num_rows:
+            scores = score_batch(Forest(tuple(names), *made, trees.column("norm")[0].as_py()), np.column_stack([left.column(k).to_numpy() for k in x]))
+        return left.drop_columns(["block"]).append_column("score", pa.array(scores, type=pa.float64()))
+
+    kind = data.schema[by].dataType.simpleString()
+    scores = points.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInArrow(run, f"group {kind}, {', '.join(f'{k} double' for k in x)}, score double")
+    scores = scores.select(F.col("group").alias("__group"), *[F.col(k).alias(f"__s{k}") for k in x], F.col("score").alias(out))
+    on = c(by).eqNullSafe(F.col("__group"))
+    for k in x:
+        on = on & (F.col(k) == F.col(f"__s{k}"))
+    return rows.drop(out).join(scores, on, "left").drop("__group", *x, *[f"__s{k}" for k in x])
+
+
+def isolation_forest_by(data: DataFrame, names: Sequence[str], by: str, contamination: float = CONTAMINATION, trees: int = TREES, sample_size: int = SAMPLE, seed: int = SEED,
+                        own_threshold: bool = False, out: str = "if_score", flag: str = "is_outlier") -> DataFrame:
+    """`isolation_forest` of every group against itself, all groups in one job. Groups that it would raise an error for (no
+    column varies; with ``own_threshold``, under ten complete rows) have no scores and no outliers."""
+    if not 0 < contamination < 1:
+        raise ValueError("contamination lies between 0 and 1")
+    forests = train_by(data, names, by, trees, sample_size, seed, 10 if own_threshold else 1)
+    scored = score_by(data, forests, names, by, out)
+    limits = exact_quantiles(scored.select(c(by), c(out)), [out], [1 - contamination], [by]).select(c(by), F.col("value").alias("__limit"))
+    both = _join_small(scored, limits, [by])
+    beyond = F.col(out) > F.col("__limit") if own_threshold else F.col(out) >= F.col("__limit")
+    return both.withColumn(flag, F.coalesce(beyond, F.lit(False))).drop("__limit")

@@ -123,9 +123,9 @@ def quintile_types_by(df: DataFrame, name: str, by: Sequence[str], bin_column: s
     return rows.withColumn("__x", x).withColumn("__inner", inner).withColumn(bin_column, F.when(F.col("__x").isNotNull(), F.size(F.filter("__inner", lambda b: b < F.col("__x"))) + 1)).drop("__breaks", "__inner", "__x")
 
 
-def colour_bins(df: DataFrame, name: str, out: str = "colour") -> DataFrame:
-    """Add the colour of the quintile bin of a column (black where there is none)."""
-    binned = quintile_types(df, name, "__bin", "__type")
+def colour_bins(df: DataFrame, name: str, out: str = "colour", by: Sequence[str] = ()) -> DataFrame:
+    """Add the colour of the quintile bin of a column (black where there is none), with ``by`` of each group's own bins."""
+    binned = quintile_types_by(df, name, by, "__bin") if by else quintile_types(df, name, "__bin", "__type")
     return binned.withColumn(out, F.coalesce(F.get(F.array(*map(F.lit, PALETTE)), F.col("__bin") - 1), F.lit(DEFAULT_COLOUR))).drop("__bin", "__type")
 
 
@@ -148,10 +148,20 @@ def group_colours(df: DataFrame, name: str) -> DataFrame:
     return numbered(counts, [-F.col("samples"), F.col("group")], "colour_index").select("group", "samples", F.col("colour_index").cast("int").alias("colour_index"))
 
 
-def colour_rows(df: DataFrame, name: str, out: str = "colour_index") -> DataFrame:
-    """Add the colour index of each row's group."""
-    table = group_colours(df, name).select(F.col("group").alias(name), F.col("colour_index").alias(out))
-    return _join_small(df, table, [name])
+def group_colours_by(df: DataFrame, name: str, by: str) -> DataFrame:
+    """(by, group, samples, colour_index): `group_colours` of each file, ``by``; files are numbered one after the other, in
+    the same ranges, and each begins anew."""
+    counts = df.groupBy(c(by).alias("__file"), c(name).alias("group")).agg(F.count("*").alias("samples"))
+    placed = numbered(counts, [F.col("__file"), -F.col("samples"), F.col("group")], "__place")
+    first = placed.groupBy("__file").agg(F.min("__place").alias("__first"))
+    return _join_small(placed, first, ["__file"]).select(F.col("__file").alias(by), "group", "samples", (F.col("__place") - F.col("__first") + 1).cast("int").alias("colour_index"))
+
+
+def colour_rows(df: DataFrame, name: str, out: str = "colour_index", by: str | None = None) -> DataFrame:
+    """Add the colour index of each row's group, with ``by`` among those of its file."""
+    table = group_colours_by(df, name, by) if by else group_colours(df, name)
+    keys = [by] if by else []
+    return _join_small(df, table.select(*map(c, keys), F.col("group").alias(name), F.col("colour_index").alias(out)), [*keys, name])
 
 
 def group_summary(df: DataFrame, name: str, top: int = 10, other: str = "(other)") -> DataFrame:

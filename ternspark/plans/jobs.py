@@ -55,6 +55,9 @@ def filtered(df: DataFrame, s: Settings, first: DataFrame | None = None, second:
         ref = mahalanobis.reference_of(s.reference, rows, first, second)
         return rows if ref is None else mahalanobis.mahalanobis_filter(rows, names, s.keep_outliers, ref, lam=s.lam, omega=s.omega)
     if method == "isolation_forest":
+        if by:
+            marked = iforest.isolation_forest_by(rows, names, by, out="__if", flag="__flag", **s.options)
+            return marked.where(F.col("__flag") if s.keep_outliers else ~F.col("__flag")).drop("__if", "__flag")
         ref = mahalanobis.reference_of(s.reference, rows, first, second)
         if ref is None:
             return rows
@@ -70,7 +73,10 @@ def ternary_points(df: DataFrame, s: Settings, first: DataFrame | None = None, s
     if s.size_by:
         points = ternary.point_sizes(points, s.size_by, by=[by] if by else [])
     if s.colour_by:
-        points = ternary.colour_bins(points, s.colour_by) if s.colour_by in numeric_columns(points) else ternary.colour_rows(points, s.colour_by)
+        if s.colour_by in numeric_columns(points):
+            points = ternary.colour_bins(points, s.colour_by, by=[by] if by else [])
+        else:
+            points = ternary.colour_rows(points, s.colour_by, by=by)
     return points
 
 

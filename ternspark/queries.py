@@ -307,6 +307,11 @@ def _(spark, d):
     return count_by(ternary.colour_bins(table(spark, d, "events"), "value"), "colour")
 
 
+@register("t08_colour_bins_by_file", f"{{base}}, q AS (SELECT l_returnflag AS g, quantile_cont(disc_amt, 0.2) AS q1, quantile_cont(disc_amt, 0.4) AS q2, quantile_cont(disc_amt, 0.6) AS q3, quantile_cont(disc_amt, 0.8) AS q4 FROM t GROUP BY 1) SELECT l_returnflag, {list(ternary.PALETTE)}[{_bin('disc_amt')}] AS colour, count(*) AS n FROM t JOIN q ON g = l_returnflag GROUP BY ALL")
+def _(spark, d):
+    return count_by(ternary.colour_bins(comp(spark, d), "disc_amt", by=["l_returnflag"]), "l_returnflag", "colour")
+
+
 @register("t09_fixed_bins", "{base} SELECT CASE WHEN x < 1 OR x > 1e5 THEN NULL WHEN x <= 1.5 THEN '(1, 1.5]' WHEN x <= 3 THEN '(1.5, 3]' WHEN x <= 5 THEN '(3, 5]' WHEN x <= 10 THEN '(5, 10]' ELSE '(10, 100000]' END AS aspect_bin, count(*) AS n FROM (SELECT l_quantity / 4 AS x FROM t) GROUP BY 1")
 def _(spark, d):
     binned = ternary.aspect_bins(comp(spark, d).select((F.col("l_quantity") / 4).alias("Aspect.Ratio")))
@@ -323,6 +328,11 @@ def _(spark, d):
     return ternary.group_colours(table(spark, d, "lineitem"), "l_orderkey")
 
 
+@register("t10_group_colours_by_file", 'SELECT l_returnflag, l_partkey AS "group", count(*) AS samples, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_partkey)::INT AS colour_index FROM lineitem GROUP BY 1, 2')
+def _(spark, d):
+    return ternary.group_colours_by(table(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+
+
 @register("t11_group_summary", """WITH g AS (SELECT user_id::VARCHAR AS g, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, g) AS k FROM g)
 SELECT least(k, 11)::INT AS rank, CASE WHEN k > 10 THEN '(other)' ELSE g END AS "group", sum(n)::BIGINT AS samples, round_even(100.0 * sum(n) / (SELECT count(*) FROM events), 1)::DOUBLE AS percent FROM r GROUP BY 1, 2""")
 def _(spark, d):
@@ -451,6 +461,11 @@ def _(spark, d):
     return count_by(iforest.isolation_forest(first, second, ["disc_amt", "tax_amt", "l_quantity"]), "l_returnflag", "is_outlier")
 
 
+@register("m11_isolation_by_file")
+def _(spark, d):
+    return count_by(iforest.isolation_forest_by(comp(spark, d), ["disc_amt", "tax_amt", "l_quantity"], "l_returnflag"), "l_returnflag", "is_outlier")
+
+
 #: A forest of three small trees with given splits: column, value, path length; the children of node k are 2 k + 1 and 2 k + 2.
 _FIXED = iforest.Forest(
     ("disc_amt", "tax_amt", "l_quantity"), np.array([[0, 1, 2, -1, -1, -1, -1], [2, -1, 0, -1, -1, -1, -1], [1, 0, -1, -1, -1, -1, -1]]),

@@ -263,3 +263,50 @@ def test_normality_by_group(spark):
         assert (got[k, "x"]["statistic"], got[k, "x"]["p_value"]) == pytest.approx(tails.shapiro_wilk(parts[k]))
     whole = quality.normality(df.where("g = 'skewed'"), ["x"]).first()
     assert (got["skewed", "x"]["jarque_bera"], got["skewed", "x"]["jb_p"]) == pytest.approx((whole["jarque_bera"], whole["jb_p"]))
+
+
+def test_forest_of_every_file_is_that_of_the_file_alone(spark):
+    from ternspark.operators import iforest
+
+    names = ["x", "y", "z"]
+    rows = [(f, float(i * 37 % 101 + (500 if i == 7 else 0)), float(i * i % 53), 3.0 if f == "b" else float(i % 7), i) for f, n in (("a", 900), ("b", 300), (None, 60)) for i in range(n)]
+    rows += [("flat", 1.0, 2.0, 3.0, i) for i in range(30)] + [("a", None, 1.0, 1.0, 5000)]
+    df = spark.createDataFrame(rows, "f string, x double, y double, z double, i int")
+    got = {(r.f, r.i): (r.if_score, r.is_outlier) for r in iforest.isolation_forest_by(df, names, "f", trees=20, sample_size=64).collect()}
+    assert len(got) == len(rows)
+    for f in ("a", "b", None):
+        own = df.where(F.col("f").eqNullSafe(F.lit(f)))
+        for r in iforest.isolation_forest(own, own, names, trees=20, sample_size=64).collect():
+            score, flag = got[(f, r.i)]
+            assert flag == r.is_outlier and (score == r.if_score or abs(score - r.if_score) < 1e-12)
+    assert {got[("flat", i)] for i in range(30)} | {got[("a", 5000)]} == {(None, False)}
+    assert iforest.isolation_forest_by(df.limit(0), names, "f", trees=5).isEmpty()
+
+
+def test_points_of_a_file_are_scored_in_blocks(spark, monkeypatch):
+    from ternspark.operators import iforest
+
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as f", "double(id % 211) as x", "double(id % 17) as y")
+    forests = iforest.train_by(df, ["x", "y"], "f", trees=10, sample_size=32)
+    whole = sorted(map(tuple, iforest.score_by(df, forests, ["x", "y"], "f").collect()))
+    monkeypatch.setattr(iforest, "BLOCK_ROWS", 100)
+    assert sorted(map(tuple, iforest.score_by(df, forests, ["x", "y"], "f").collect())) == whole and len(whole) == 3000
+
+
+def test_every_file_of_a_batch_has_its_own_forest_bins_and_colours(spark):
+    from ternspark.operators import ternary
+    from ternspark.operators.filters import Element
+    from ternspark.plans import jobs
+
+    df = spark.range(900).selectExpr("if(id % 3 = 0, 'one', 'two') as f", "1 + double(id * 7 % 89) as p", "1 + double(id % 23) + if(id % 3 = 0, 1000, 0) as q", "2D as r", "string(id % 5) as kind")
+    s = jobs.Settings(Element(["p"]), Element(["q"]), Element(["r"]), colour_by="q", methods=["isolation_forest"], method_columns=["p", "q"], options={"trees": 10, "sample_size": 32})
+    points, status = jobs.batch_ternary(df, s, "f")
+    told = {r.file: r for r in status.collect()}
+    for f in ("one", "two"):
+        alone = jobs.ternary_points(df.where(F.col("f") == f), s)
+        own = points.where(F.col("f") == f)
+        assert sorted(map(tuple, own.select(*df.columns, "A", "colour").collect())) == sorted(map(tuple, alone.select(*df.columns, "A", "colour").collect()))
+        assert told[f].status == "ok" and 0 < told[f].points < told[f].rows
+        assert own.select("colour").distinct().count() == 5
+        index = ternary.colour_rows(df.where("f <> 'two' or kind <> '4'"), "kind", by="f").where(F.col("f") == f)
+        assert sorted(r[0] for r in index.select("colour_index").distinct().collect()) == list(range(1, 6 if f == "one" else 5))
