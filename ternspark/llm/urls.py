@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY, HASHES = 10, 4
 #: The first level lets about as many other keys of the universe through as this times the listed ones.
 PASSED = 1.0
+#: Listed keys that may be broadcast (some 64 MB); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -91,7 +93,7 @@ def cascade(universe: DataFrame, listed: list[str], bits_per_key: float = BITS_P
         return []
     inside = written(listed_keys(spark, listed), "listed")
     n, size = inside.count(), universe.count()
-    levels, encoded, other = [], inside, universe.join(F.broadcast(inside), "key", "left_anti")  # as large as the caller's list
+    levels, encoded, other = [], inside, universe.join(F.broadcast(inside) if n <= BROADCAST_KEYS else inside, "key", "left_anti")
     bits = max(bits_per_key, math.log2(max(2.0, size / (PASSED * n))) / math.log(2))
     while True:
         levels.append(bloom(encoded, len(levels), n, bits))

@@ -266,6 +266,16 @@ def test_cascade_of_a_long_list_and_a_large_universe(spark):
     assert universe.where(urls.member(F.col("key"), levels)).count() == len(listed) == universe.where(urls.member(F.col("key"), levels) & F.col("key").isin(listed)).count()
 
 
+def test_a_long_list_of_hosts_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_KEYS", 10)
+    blocked = tuple(f"b{k}.example.org" for k in range(0, 60_000, 3))
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.b"), "id", F.lit(".example.org/p")).alias("url"))
+    got = urls.judge(pages, {"b3.example.org/p": "allow"}, blocked)
+    wrong = got.where((F.col("verdict") == "block") != ((F.col("page_id") % 3 == 0) & (F.col("page_id") != 3)))
+    assert got.count() == 60_000 and wrong.isEmpty()
+    assert [tuple(r) for r in got.where("rule is not null").select("page_id", "rule", "verdict").collect()] == [(3, "b3.example.org/p", "allow")]
+
+
 # ---- 4 -------------------------------------------------------------------------------------------------------
 
 def shingles(t, n):
