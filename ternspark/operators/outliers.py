@@ -61,11 +61,17 @@ def bounds(df: DataFrame, names: Sequence[str], method: str, limit: float | None
 def _join_small(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     """Statistics of groups beside their rows: a shuffle join unless Spark finds the statistics small."""
     renamed = per_group
-    on = F.lit(True)
     for k, b in enumerate(by):
         renamed = renamed.withColumnRenamed(b, f"__by{k}")
+    return _join_keyed(df, renamed, by)
+
+
+def _join_keyed(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`_join_small` of statistics whose keys are named ``__by0``, ``__by1`` and so on (columns of ``by`` may be the same)."""
+    on = F.lit(True)
+    for k, b in enumerate(by):
         on = on & c(b).eqNullSafe(F.col(f"__by{k}"))
-    return df.join(renamed, on, "left").drop(*[f"__by{k}" for k in range(len(by))])
+    return df.join(per_group, on, "left").drop(*[f"__by{k}" for k in range(len(by))])
 
 
 def outlier_flag(df: DataFrame, names: Sequence[str], method: str, limit: float | None = None, side: str = "high", by: Sequence[str] = (), flag: str = "is_outlier") -> DataFrame:

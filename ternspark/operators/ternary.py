@@ -14,7 +14,7 @@ from ..functions.cols import c, num, require, tidy
 from ..functions.quantiles import cut, exact_quantiles, quantile_values
 from ..functions.ranges import numbered
 from .filters import Element, element_sum, value_of
-from .outliers import _join_small
+from .outliers import _join_keyed, _join_small
 
 #: Point sizes, point types of the five bins, and what stands in where styling is missing. Fixed values.
 SIZES = (0.1, 2.5)
@@ -159,9 +159,10 @@ def group_colours_by(df: DataFrame, name: str, by: str) -> DataFrame:
 
 def colour_rows(df: DataFrame, name: str, out: str = "colour_index", by: str | None = None) -> DataFrame:
     """Add the colour index of each row's group, with ``by`` among those of its file."""
+    keys = [by, name] if by else [name]
     table = group_colours_by(df, name, by) if by else group_colours(df, name)
-    keys = [by] if by else []
-    return _join_small(df, table.select(*map(c, keys), F.col("group").alias(name), F.col("colour_index").alias(out)), [*keys, name])
+    # by place: the file may be the group, or have the name of another column of the table
+    return _join_keyed(df, table.toDF(*[f"__by{k}" for k in range(len(keys))], "__samples", out).drop("__samples"), keys)
 
 
 def group_summary(df: DataFrame, name: str, top: int = 10, other: str = "(other)") -> DataFrame:

@@ -261,6 +261,21 @@ def test_files(spark, tmp_path):
     assert files.bind_datasets(a, a, ["v"]).count() == 2
 
 
+@pytest.mark.parametrize("label", ["f", "group", "samples"])
+def test_colour_rows_where_the_file_is_the_group(spark, label):
+    df = spark.createDataFrame([("p", 1), ("q", 2), ("q", 3), (None, 4)], f"`{label}` string, x long")
+    got = ternary.colour_rows(df, label, by=label)
+    assert got.columns == [label, "x", "colour_index"] and sorted(r.x for r in got.where("colour_index = 1").collect()) == [1, 2, 3, 4]
+    other = ternary.colour_rows(df.withColumn("g", c("x") % 2), "g", by=label)
+    assert {r.x: r.colour_index for r in other.collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
+
+
+def test_batch_coloured_by_a_number_that_labels_the_files(spark, frame):
+    df = frame.withColumn("z", F.lit(3.0)).withColumn("f", F.when(c("y") > 15, 1.0).otherwise(2.0))
+    made, status = jobs.batch_ternary(df, jobs.Settings(Element(["x"]), Element(["y"]), Element(["z"]), colour_by="f"), "f")
+    assert {r.file: r.status for r in status.collect()} == {1.0: "ok", 2.0: "ok"} and made.where("colour is null").count() == 0
+
+
 def test_jobs(spark, frame, tmp_path):
     df = frame.withColumn("z", F.lit(3.0)).withColumn("f", F.when(c("y") > 15, "p").otherwise("q"))
     s = jobs.Settings(Element(["x"]), Element(["y"]), Element(["z"]), size_by=["y"], colour_by="f", methods=["iqr"], method_columns=["x", "y"])
