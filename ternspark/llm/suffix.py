@@ -14,8 +14,8 @@ from .scratch import written
 
 #: Bytes of a repeated string, of the grams whose hashes stand for it, and of a chunk on average.
 LENGTH, GRAM, CHUNK = 50, 24, 128
-#: Bytes of text hashed at once (a longer text is hashed alone).
-PIECE = 1 << 20
+#: Bytes of text hashed at once, so that arrays stay in a core's cache (a longer text is hashed alone).
+PIECE = 1 << 18
 #: Bits of a Bloom filter for each hash, and at most in all (64 MB): what it lets through beyond is sorted out later.
 FILTER_BITS, FILTER_MOST = 16, 1 << 29
 #: Contexts with one least hash beyond which they are dealt out string by string: a two-thousandth of all, within
@@ -212,50 +212,78 @@ def suffix_array(text: list[int]) -> list[int]:
 def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The suffix arrays of many short texts: each row of ``text`` holds ``size`` symbols > 0, the rest is ignored.
 
-    The construction of `suffix_array`, a step for every row at once. A group is known by the first place of its
-    suffixes in the result; suffixes that leave it take the last places. Places behind a row's end hold no sense.
+    Places behind a row's end hold -1.
     """
     rows, width = text.shape
-    row_begin = np.arange(rows) * width
-    x = np.where(np.arange(width)[None, :] < size[:, None], text, np.iinfo(text.dtype).max)
-    order = np.argsort(x, axis=1, kind="stable")
-    value = np.take_along_axis(x, order, axis=1)
-    new = np.ones((rows, width), dtype=bool)
-    new[:, 1:] = value[:, 1:] != value[:, :-1]
-    first = np.flatnonzero(new.reshape(-1))
-    held = (order + row_begin[:, None]).reshape(-1)  # the suffixes, group after group, and where each stands
-    at = np.empty(rows * width, dtype=np.int64)
-    at[held] = np.arange(rows * width)
-    count = np.zeros(rows * width, dtype=np.int64)  # by a group's first place
-    count[first] = np.diff(np.append(first, rows * width))
-    group = np.empty(rows * width, dtype=np.int64)  # the first place of each suffix's group
+    inside = np.arange(width)[None, :] < size[:, None]
+    led = np.zeros(int(size.sum()) + rows, dtype=text.dtype)
+    begin = np.cumsum(size + 1) - size - 1
+    there = _ranges(begin + 1, begin + 1 + size)
+    led[there] = text[inside]
+    out = np.full((rows, width), -1, dtype=np.int64)
+    out[inside] = (suffix_orders(led, size + 1) - np.repeat(begin + 1, size + 1))[there]
+    return out
+
+
+def suffix_orders(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The suffix orders of texts end to end, each of ``size`` symbols: a 0 that leads it, then symbols > 0. The places of a
+    text, but the first, hold where its suffixes begin, in ascending order.
+
+    The construction of `suffix_array`, a step for every text at once. A group is known by the first place of its
+    suffixes in the result; suffixes that leave it take the last places. The leading 0 is never done and has a group of its own,
+    so that all pointers end there.
+    """
+    n, rows = len(text), len(size)
+    row_begin = np.cumsum(size) - size
+    row_end = row_begin + size - 1
+    order = np.argsort(text, kind="stable")
+    row = np.repeat(np.arange(rows, dtype=np.uint16 if rows <= 1 << 16 else np.int64), size)
+    held = order[np.argsort(row[order], kind="stable")]  # the suffixes, group after group, and where each stands
+    value = text[held]
+    new = np.ones(n, dtype=bool)
+    new[1:] = value[1:] != value[:-1]
+    new[row_begin] = True
+    first = np.flatnonzero(new)
+    at = np.empty(n, dtype=np.int64)
+    at[held] = np.arange(n)
+    count = np.zeros(n, dtype=np.int64)  # by a group's first place
+    count[first] = np.diff(np.append(first, n))
+    group = np.empty(n, dtype=np.int64)  # the first place of each suffix's group
     group[held] = np.repeat(first, count[first])
-    ends_at = np.zeros(rows * width, dtype=np.int64)  # the first place of the group that ends at a place
+    ends_at = np.zeros(n, dtype=np.int64)  # the first place of the group that ends at a place
     ends_at[first + count[first] - 1] = first
-    done, leaves = np.zeros(rows * width, dtype=bool), np.zeros(rows * width, dtype=bool)
-    prev = np.full(rows * width, -1, dtype=np.int64)
-    begin, end = row_begin[size > 0], (row_begin + size - 1)[size > 0]
+    done, leaves = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    prev, mark = np.full(n, -1, dtype=np.int64), np.empty(n, dtype=np.int64)
+    some = size > 1
+    begin, end = row_begin[some], row_end[some]
     while len(end):
         now = ends_at[end]
         m = held[_ranges(now, end + 1)]
         done[m] = True
-        p = np.where(m % width == 0, -1, m - 1)
+        p = m - 1
         prev[m] = p
-        more = np.flatnonzero(p >= 0)
-        more = more[done[p[more]]]
+        more = np.flatnonzero(done[p])
         while len(more):
             q = prev[p[more]]
             p[more] = q
             prev[m[more]] = q
-            more = more[q >= 0]
-            more = more[done[p[more]]]
-        p = p[p >= 0]
+            more = more[done[q]]
+        old = group[p]
+        some = count[old] > 1  # a suffix alone in its group stays where it is
+        p, old = p[some], old[some]
         if len(p):
-            u, k = np.unique(p, return_counts=True)
-            old = group[u]
-            by = np.lexsort((-k, old))
-            u, k, old = u[by], k[by], old[by]
-            cut = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])]))  # suffixes that leave a group together
+            number = np.arange(len(p))
+            mark[p] = number
+            if (mark[p] == number).all():
+                by = np.argsort(old)
+                u, old = p[by], old[by]
+                cut = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            else:
+                u, k = np.unique(p, return_counts=True)
+                old = group[u]
+                by = np.lexsort((-k, old))
+                u, k, old = u[by], k[by], old[by]
+                cut = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (k[1:] != k[:-1])]))  # suffixes that leave a group together
             c, of = np.diff(np.append(cut, len(u))), old[cut]
             fresh = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             upto = np.cumsum(c)
@@ -282,29 +310,30 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray) -> np.ndarray:
             some = left > 0
             count[of[last][some]] = left[some]
             ends_at[(of[last] + left - 1)[some]] = of[last][some]
-        some = now > begin
+        some = now > begin + 1
         begin, end = begin[some], now[some] - 1
-    front = np.arange(rows * width)
-    out = np.full(rows * width, -1, dtype=np.int64)
-    placed = np.zeros(rows * width, dtype=bool)
+    front = np.arange(n)
+    out = row_begin.repeat(size)
+    placed = np.zeros(n, dtype=bool)
+    placed[row_begin] = True
 
     def chain(p: np.ndarray) -> None:
-        while True:
-            p = p[p >= 0]
-            p = p[~placed[p]]
-            if not len(p):
-                return
+        p = p[~placed[p]]
+        while len(p):
             placed[p] = True
             g = group[p]
-            out[front[g]] = p
-            front[g] += 1
+            f = front[g]
+            out[f] = p
+            front[g] = f + 1
             p = prev[p]
+            p = p[~placed[p]]
 
-    chain((row_begin + size - 1)[size > 0])  # the empty suffix comes before all
-    for i in range(int(size.max(initial=0))):
-        s = out[row_begin[size > i] + i]
-        chain(np.where(s % width == 0, -1, s - 1))
-    return np.where(out >= 0, out % width, -1).reshape(rows, width)
+    chain(row_end)  # the empty suffix comes before all
+    by = np.argsort(-size, kind="stable")
+    begin, left = row_begin[by], np.searchsorted(-size[by], -np.arange(1, int(size.max(initial=0))), side="left")
+    for i, k in enumerate(left.tolist(), 1):  # the texts with an i-th suffix
+        chain(out[begin[:k] + i] - 1)
+    return out
 
 
 def _pieces(bodies: list[bytes], hashed: bool = True) -> Iterator[tuple[int, Text]]:
@@ -323,15 +352,17 @@ def _bodies(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _fresh(text: Text, repeated: list[list[int] | None]) -> np.ndarray:
-    """Starts of strings in chunks that no smaller document has."""
+def _fresh(text: Text, repeated: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the starts of strings in chunks that no smaller document has, neighbouring chunks as one."""
     own, a, b = text.chunks()
     gone = np.zeros(len(own), dtype=bool)
     first = np.searchsorted(own, np.arange(len(repeated)))
     for k, numbers in enumerate(repeated):
         if numbers:
             gone[first[k] + np.array(numbers)] = True
-    return _ranges(a[~gone], b[~gone])
+    a, b = a[~gone], b[~gone]
+    apart = a[1:] != b[:-1]
+    return (a[np.append(True, apart)], b[np.append(apart, True)]) if len(a) else (a, b)
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -340,15 +371,20 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(n) else np.zeros(0, dtype=np.int64)
 
 
-def _runs(text: Text, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(least hash, text, first start, strings) of neighbouring strings with the same least hash."""
-    if not len(starts):
+def _runs(text: Text, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least hash, text, first start, strings) of neighbouring strings, of the ranges [a, b) of starts, with the same least
+    hash. Texts lie further apart than neighbours do."""
+    if not len(a):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
-    h = text.least()[starts].view(np.int64)
-    own = np.searchsorted(text.ends, starts, side="right")
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (starts[1:] != starts[:-1] + 1) | (own[1:] != own[:-1])]))
-    return h[new], own[new], starts[new], np.diff(np.append(new, len(starts)))
+    h = text.least().view(np.int64)
+    new, inside = np.empty(len(h), dtype=bool), np.zeros(len(h) + 1, dtype=np.int8)
+    new[1:] = h[1:] != h[:-1]
+    new[a] = True
+    inside[a], inside[b] = 1, -1
+    start = np.flatnonzero(new & np.cumsum(inside[:-1], dtype=np.int8).view(bool))
+    end = np.minimum(np.append(start[1:], len(h)), b[np.searchsorted(a, start, side="right") - 1])
+    return h[start], np.searchsorted(text.ends, start, side="right"), start, end - start
 
 
 def _chunk_rows(rows: DataFrame) -> DataFrame:
@@ -373,11 +409,11 @@ def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy()
+            docs, doc = np.unique(batch.column(0).to_numpy(), return_inverse=True)
             repeated = batch.column(3).to_pylist()
             hs, ds = [], []
             for at, text in _pieces(_bodies(batch.column(2))):
-                h, own, _, _ = _runs(text, _fresh(text, repeated[at : at + len(text.sizes)]))
+                h, own, _, _ = _runs(text, *_fresh(text, repeated[at : at + len(text.sizes)]))
                 hs.append(h)
                 ds.append(doc[own + at])
             if not sum(map(len, hs)):
@@ -394,8 +430,8 @@ def _shared_hashes(base: DataFrame, buckets: int) -> DataFrame:
             d2 = np.concatenate([low, high[twice]])
             n2 = np.concatenate([n, np.zeros(int(twice.sum()), dtype=np.int64)])
             bucket = h2 & (buckets - 1)
-            by = np.lexsort((d2, bucket))
-            h2, d2, n2, bucket = h2[by], d2[by], n2[by], bucket[by]
+            by = np.argsort(bucket * len(docs) + d2)
+            h2, d2, n2, bucket = h2[by], docs[d2[by]], n2[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
             rows = [[], [], [], []]
             for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
@@ -479,7 +515,7 @@ def _context_rows(base: DataFrame, wanted: Bloom, hot: Bloom) -> DataFrame:
         for batch in batches:
             repeated, firsts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for at, text in _pieces(_bodies(batch.column(2))):
-                h, own, start, n = _runs(text, _fresh(text, repeated[at : at + len(text.sizes)]))
+                h, own, start, n = _runs(text, *_fresh(text, repeated[at : at + len(text.sizes)]))
                 ok = wanted.holds(h)
                 h, own, start, n = h[ok], own[ok], start[ok], n[ok]
                 single = hot.holds(h)
@@ -521,53 +557,68 @@ def smallest_holders(stretches: list[bytes], low: np.ndarray, group: np.ndarray)
     that hold it, by the suffix order of the group's stretches laid end to end.
 
     ``group`` is ascending. Short groups are sorted together, long ones one by one; equal strings stand side by side in
-    the order and are told by their bytes.
+    the order and are told by their bytes. Equal stretches of a group are sorted once: what follows a separator is no part
+    of a string, so suffixes of copies stand side by side, and each is put beside that of the copy sorted.
     """
-    size = np.array([len(s) for s in stretches], dtype=np.int64)
-    begin_of = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
-    members = np.diff(np.append(begin_of, len(group)))
-    length = np.add.reduceat(size + 1, begin_of) if len(begin_of) else np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer(b"\0".join(stretches) + b"\0" * 9, dtype=np.uint8)  # a separator after each, and room to read 8 bytes anywhere
+    if not stretches:
+        return np.zeros(0, dtype=np.int64)
+    number: dict[tuple[int, bytes], int] = {}
+    which = np.array([number.setdefault(x, len(number)) for x in zip(group.tolist(), stretches, strict=True)], dtype=np.int64)
+    raw = np.frombuffer(b"\0".join([x for _, x in number]) + b"\0" * 9, dtype=np.uint8)  # a separator after each, and room to read 8 bytes anywhere
+    size = np.array([len(x) for _, x in number], dtype=np.int64)
+    of = np.array([g for g, _ in number], dtype=np.int64)
+    begin_of = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    length = np.add.reduceat(size + 1, begin_of)
     total = int(length.sum())
     symbols = raw[:total].astype(np.int16) + 2
     ends = np.cumsum(size + 1)
     symbols[ends - 1] = 1  # smaller than all bytes
     offset = np.cumsum(length) - length
-    starts = np.concatenate([np.zeros(0, dtype=np.int64), _ranges(ends - size - 1, ends - LENGTH)])
-    owner = np.repeat(np.arange(len(stretches)), np.maximum(size - LENGTH + 1, 0))
+    starts = _ranges(ends - size - 1, np.maximum(ends - LENGTH, ends - size - 1))
+    owner = np.repeat(np.arange(len(size)), np.maximum(size - LENGTH + 1, 0))
     place = np.full(total, -1, dtype=np.int64)
     place[starts] = np.arange(len(starts))
-    order = []
+    orders = []
     by = np.argsort(length, kind="stable")
+    upto = np.cumsum(length[by] + 1)
     k = 0
     while k < len(by):
-        end, width = k, 0
-        while end < len(by) and length[by[end]] <= TOGETHER and (end - k + 1) * length[by[end]] <= BATCH:
-            width = int(length[by[end]])
-            end += 1
+        end = int(min(np.searchsorted(upto, BATCH + (upto[k - 1] if k else 0), side="right"), np.searchsorted(length[by], TOGETHER, side="right")))
         if end - k >= FEWEST:
             own = by[k:end]
-            at = np.minimum(np.arange(width)[None, :] + offset[own][:, None], total - 1)
-            found = suffix_arrays(symbols[at], length[own])
-            some = found >= 0
-            order.append((found + offset[own][:, None])[some])
+            a, n = offset[own], length[own] + 1
+            led = symbols[_ranges(a - 1, a + length[own])]
+            begin = np.cumsum(n) - n
+            led[begin] = 0
+            found = suffix_orders(led, n) + np.repeat(a - begin - 1, n)
+            found[begin] = total - 1  # a separator: no string starts there
+            orders.append(found)
         else:
             end = max(end, k + 1)
             for g in by[k:end].tolist():
-                order.append(np.array(suffix_array(symbols[offset[g] : offset[g] + length[g]].tolist()), dtype=np.int64) + offset[g])
+                orders.append(np.array(suffix_array(symbols[offset[g] : offset[g] + length[g]].tolist()), dtype=np.int64) + offset[g])
         k = end
-    order = place[np.concatenate(order)] if order else np.zeros(0, dtype=np.int64)
+    order = place[np.concatenate(orders)]
     order = order[order >= 0]  # whole strings, in lexical order inside each group
+    # each with its copies
+    copies, per = np.argsort(which, kind="stable"), np.bincount(which)
+    base = np.cumsum(np.maximum(size - LENGTH + 1, 0)[which]) - np.maximum(size - LENGTH + 1, 0)[which]
+    mine = owner[order]
+    first = np.cumsum(per) - per
+    holder = copies[_ranges(first[mine], first[mine] + per[mine])]
+    here = np.repeat(starts[order], per[mine])
+    string = base[holder] + here - (ends - size - 1)[which[holder]]
     word = np.ndarray(total + 1, dtype="<u8", buffer=raw.data, strides=(1,))
-    here = starts[order]
-    same = np.repeat(np.arange(len(begin_of)), members)[owner[order]]
-    same = same[1:] == same[:-1]
+    new = np.ones(len(here), dtype=bool)
+    kin = group[holder]
+    new[1:] = kin[1:] != kin[:-1]
     for j in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-        same &= word[here[1:] + j] == word[here[:-1] + j]
-    begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, dtype=np.int64)
-    out = np.empty(len(order), dtype=np.int64)
-    if len(order):
-        out[order] = np.repeat(np.minimum.reduceat(low[owner[order]], begin), np.diff(np.append(begin, len(order))))
+        w = word[here + j]
+        new[1:] |= w[1:] != w[:-1]
+    begin = np.flatnonzero(new)
+    out = np.empty(len(here), dtype=np.int64)
+    if len(here):
+        out[string] = np.repeat(np.minimum.reduceat(low[holder], begin), np.diff(np.append(begin, len(here))))
     return out
 
 
@@ -598,23 +649,24 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     some = _may_repeat(bodies, low, later, own)
     new = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1]]) & np.concatenate([[False], own[1:] == own[:-1]])) if len(some) else some)
     count = np.diff(np.append(np.searchsorted(np.flatnonzero(some), new), int(some.sum())))
+    parts = [(g, bodies[k][x : x + m + LENGTH - 1]) for g, k, x, m in zip(keys[own[new]].tolist(), own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True)]
     # equal stretches of a group stand in the order twice at most: for the first and for the last document that has them
-    first: dict[tuple[int, bytes], int] = {}
-    last: dict[tuple[int, bytes], int] = {}
-    parts = []
-    for k, x, m in zip(own[new].tolist(), (new - begins[own[new]]).tolist(), count.tolist(), strict=True):
-        part = int(keys[k]), bodies[k][x : x + m + LENGTH - 1]
-        parts.append(part)
-        first[part] = min(int(low[k]), first.get(part, NO_ID))
-        last[part] = max(int(high[k]), last.get(part, -NO_ID))
-    by = sorted([(p, d) for p, d in first.items()] + [(p, d) for p, d in last.items() if d > first[p]], key=lambda m: m[0][0])
-    found = smallest_holders([p[1] for p, _ in by], np.array([d for _, d in by], dtype=np.int64), np.array([p[0] for p, _ in by], dtype=np.int64))
-    cut = np.cumsum([0, *(len(p[1]) - LENGTH + 1 for p, _ in by)])
+    number: dict[tuple[int, bytes], int] = {}
+    which = np.array([number.setdefault(p, len(number)) for p in parts], dtype=np.int64)
+    first, last = np.full(len(number), NO_ID), np.full(len(number), -NO_ID)
+    np.minimum.at(first, which, low[own[new]])
+    np.maximum.at(last, which, high[own[new]])
+    copies = np.repeat(np.arange(len(number)), np.where(last > first, 2, 1))
+    end = np.searchsorted(copies, np.arange(len(number)), side="right") - 1
+    doc = first[copies]
+    doc[end] = last
+    names = list(number)
+    stretches = [names[k][1] for k in copies.tolist()]
+    found = smallest_holders(stretches, doc, np.array([g for g, _ in names], dtype=np.int64)[copies])
+    cut = np.cumsum([0, *(len(x) - LENGTH + 1 for x in stretches)])
     # what the order says of the last document's copy holds for all documents after the owners that it names
-    at = {p: k for k, (p, d) in enumerate(by) if d == last[p]}
     owner = high[own]
-    if parts:
-        owner[some] = np.concatenate([found[cut[at[p]] : cut[at[p] + 1]] for p in parts])
+    owner[some] = found[_ranges(cut[end[which]], cut[end[which] + 1])]
     hit = owner < high[own]
     edge = np.ones(len(hit) + 1, dtype=bool)  # runs end with their stretch, and where the owner changes
     edge[1:-1] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])

@@ -689,6 +689,52 @@ def test_smallest_holders(monkeypatch, fewest):
     assert len(suffix.smallest_holders([], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))) == 0
 
 
+@pytest.mark.parametrize("fewest", [1, 10**6])
+def test_copies_of_a_stretch_are_sorted_once(monkeypatch, fewest):
+    monkeypatch.setattr(suffix, "FEWEST", fewest)
+    sorted_symbols = []
+    together, alone = suffix.suffix_orders, suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_orders", lambda x, n: (sorted_symbols.append(len(x) - len(n)), together(x, n))[1])
+    monkeypatch.setattr(suffix, "suffix_array", lambda x: (sorted_symbols.append(len(x)), alone(x))[1])
+    rng = random.Random(7)
+    a, b = (bytes(rng.choice(b"abcd") for _ in range(90)) for _ in range(2))
+    stretches, group = [a, a, b + a, a, b, b], np.array([3, 3, 3, 4, 4, 4])
+    got = suffix.smallest_holders(stretches, np.array([5, 8, 7, 6, 9, 2]), group).tolist()
+    assert sum(sorted_symbols) == (91 + 181) + (91 + 91)  # once a group, with a separator each
+    assert got == [5] * 41 + [5] * 41 + [7] * 90 + [5] * 41 + [6] * 41 + [2] * 41 + [2] * 41
+
+
+def test_suffix_orders_of_ragged_texts():
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [[rng.randint(1, rng.choice([1, 2, 3, 5, 200])) for _ in range(rng.choice([0, 1, 2, 9, 40, 90]))] for _ in range(rng.randint(1, 30))]
+        got = suffix.suffix_orders(np.array([x for t in texts for x in [0, *t]], dtype=np.int16), np.array([len(t) + 1 for t in texts])).tolist()
+        at = 0
+        for t in texts:
+            assert [x - at - 1 for x in got[at + 1 : at + 1 + len(t)]] == sorted(range(len(t)), key=lambda i: t[i:])
+            at += len(t) + 1
+
+
+def test_runs_of_least_hashes():
+    rng = random.Random(9)
+    bodies = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 30, 50, 51, 400]))) + b"q" * rng.choice([0, 0, 70]) for _ in range(60)]
+    text = suffix.Text(bodies)
+    own, a, b = text.chunks()
+    repeated = [[k for k in range(n) if rng.random() < 0.4] for n in np.bincount(own, minlength=len(bodies))]
+    least, want, number = text.least().view(np.int64), [], 0
+    for k in range(len(own)):
+        number = 0 if k == 0 or own[k] != own[k - 1] else number + 1
+        if number in repeated[own[k]]:
+            continue
+        for s in range(a[k], b[k]):
+            if want and want[-1][0] == least[s] and want[-1][1] == own[k] and want[-1][2] + want[-1][3] == s:
+                want[-1][3] += 1
+            else:
+                want.append([least[s], own[k], s, 1])
+    got = suffix._runs(text, *suffix._fresh(text, repeated))
+    assert len(want) > 100 and np.array(want).tolist() == np.stack(got, axis=1).tolist()
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------
 
 def test_license_scan(spark):
