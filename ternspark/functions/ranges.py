@@ -30,7 +30,7 @@ def numbered(df: DataFrame, order: Sequence[Column], out: str, range_rows: int =
     sample = [r[0] for r in rows.where(share).select("__key").orderBy("__key").collect()]  # bounded: SAMPLED for each range
     edges = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
     kind = rows.schema["__key"].dataType
-    rows = rows.withColumn("__range", _range_of(F.col("__key"), F.array(*[_literal(e, kind) for e in edges]), len(edges)) if edges else F.lit(0))
+    rows = rows.withColumn("__range", range_of(F.col("__key"), F.array(*[_literal(e, kind) for e in edges]), len(edges)) if edges else F.lit(0))
     sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
     before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
     place = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
@@ -41,10 +41,19 @@ def _literal(value, kind) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)])
 
 
-def _range_of(key: Column, edges: Column, n: int) -> Column:
-    """How many of ``n`` ascending edges the key reaches, by bisection."""
+def range_of(key: Column, edges: Column, n: int) -> Column:
+    """How many of ``n`` ascending edges the key reaches, by bisection.
+
+    The key is carried in the state: of a table joined with itself Spark infers wrong filters from columns that a lambda
+    names from outside.
+    """
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (key >= F.get(edges, at + s - 1)), at + s).otherwise(at))
+
+    def step(state: Column, s: Column) -> Column:
+        at = state["at"]
+        return F.struct(F.when((at + s <= n) & (state["key"] >= F.get(edges, at + s - 1)), at + s).otherwise(at).alias("at"), state["key"].alias("key"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), key.alias("key")), step, lambda state: state["at"])
 
 
 class Sums:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import c, common_numeric, num, numeric_columns, require, tidy
 from ..functions.moments import average_ranks, correlation_table
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranges import Sums, middles, numbered, range_sums
+from ..functions.ranges import Sums, middles, numbered, range_of, range_sums
 
 #: Distinct value pairs that Kendall's tau counts in one range, and ranges of each column at most.
 KENDALL_CELL, KENDALL_RANGES = 1 << 17, 1024
@@ -96,19 +96,21 @@ def kendall(df: DataFrame, a: str, b: str, cell_pairs: int = KENDALL_CELL) -> Da
     ranges has one of its own, in which nothing is to be counted. No rows are paired by a join.
     """
     pairs = df.select(num(a).alias("x"), num(b).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("w")).persist()
+    cells = pairs
     try:
         size = pairs.agg(F.count("*").alias("pairs"), F.sum("w").alias("n")).first()
         ranges = min(KENDALL_RANGES, -(-size["pairs"] // cell_pairs))
         edges = _pair_edges(pairs, size["pairs"], ranges) if ranges > 1 else ([], [])
-        cells = pairs.withColumn("cx", _cell("x", edges[0])).withColumn("cy", _cell("y", edges[1]))
+        cells = pairs.withColumn("cx", _cell("x", edges[0])).withColumn("cy", _cell("y", edges[1])).persist()  # ranges are searched once
         s = _ordered_in(cells.select("cx", "x", "y", "w"), "cx", "x", "y")
         if ranges > 1:
             grid = cells.groupBy("cx", "cy").agg(F.sum("w").alias("w")).collect()  # at most KENDALL_RANGES squared numbers
             s += _ordered_between(grid)
             s += _ordered_in(cells.groupBy("cy", "y", "cx").agg(F.sum("w").alias("w")), "cy", "y", "cx")
         n = float(size["n"] or 0)
-        tied = {v: pairs.groupBy(v).agg(F.sum("w").cast("double").alias("w")).agg(F.sum(F.col("w") * F.col("w")).alias("t")).first()["t"] or 0.0 for v in "xy"}
+        tied = {v: cells.groupBy(v).agg(F.sum("w").cast("double").alias("w")).agg(F.sum(F.col("w") * F.col("w")).alias("t")).first()["t"] or 0.0 for v in "xy"}
     finally:
+        cells.unpersist()
         pairs.unpersist()
     whole = (n * n - tied["x"]) * (n * n - tied["y"])
     return df.sparkSession.range(1).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.lit(max(-1.0, min(1.0, 2 * s / math.sqrt(whole))) if whole > 0 else None).cast("double").alias("r"), F.lit(size["n"] or 0).cast("long").alias("n"))
@@ -132,9 +134,7 @@ def _cell(name: str, edges: Sequence[float]) -> Column:
     """How many of the ascending edges the value reaches."""
     if not edges:
         return F.lit(0)
-    known = F.array(*[F.lit(float(e)) for e in edges])
-    steps = F.array(*[F.lit(1 << k) for k in range(len(edges).bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= len(edges)) & (F.col(name) >= F.get(known, i + s - 1)), i + s).otherwise(i))
+    return range_of(F.col(name), F.array(*[F.lit(float(e)) for e in edges]), len(edges))
 
 
 def _ordered_in(rows: DataFrame, cell: str, x: str, y: str) -> float:

@@ -1,13 +1,17 @@
 """Operators that must not see all rows, or a group, in one task: forced small bounds against brute force."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import ternspark
 from ternspark.functions import ranges
 from ternspark.operators import stats, ternary
 
@@ -66,6 +70,33 @@ def test_kendall_of_no_rows_and_of_all_pairs(spark):
     assert len(table) == 9 and table["a", "b"] == table["b", "a"] == pytest.approx(1 / 3) and table["a", "a"] == pytest.approx(1)
 
 
+FRESH = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+"""
+
+
+def in_new_session(code):
+    """What ``code`` prints last, with a ``spark`` of its own: its plans depend on the columns that a session has numbered."""
+    root = os.path.dirname(os.path.dirname(ternspark.__file__))
+    done = subprocess.run([sys.executable, "-c", FRESH + code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    return done.stdout.strip().splitlines()[-1]
+
+
+def test_kendall_in_ranges_of_a_new_session():
+    got = in_new_session("""
+from ternspark.operators import stats
+df = spark.range(2000).selectExpr("round(pow(id * 7919 % 2003, 1.3), 1) as a", "id * 31 % 701 as b", "1 as c", "2 as d", "3 as e")  # y is the session's column 7
+print(stats.kendall(df, "a", "b", cell_pairs=300).first()["r"])
+""")
+    n = np.arange(2000)
+    x, y = np.round((n * 7919 % 2003) ** 1.3, 1), n * 31 % 701
+    a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    assert float(got) == pytest.approx((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()), abs=1e-12)
+
+
 def test_concordance_of_many_points():
     rng = np.random.default_rng(5)
     points = np.unique(rng.integers(0, 40, (900, 2)), axis=0)
