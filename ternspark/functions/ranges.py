@@ -13,28 +13,42 @@ from pyspark.sql import functions as F
 RANGE_ROWS, MOST_RANGES, SAMPLED = 1_000_000, 4096, 32
 
 
-def numbered(df: DataFrame, order: Sequence[Column], out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], out: str, range_rows: int = RANGE_ROWS, within: str | None = None) -> DataFrame:
     """``df`` with the place (from 1) of each row in an ascending order, nulls first; rows of equal keys follow a hash of
     the whole row, and rows equal in all columns are interchangeable.
 
     Rows fall into ranges between keys of a sample (picked by hash), are numbered inside their range, and the rows of all
-    ranges before are added. Each range is a function of the row, so recomputed tasks agree.
+    ranges before are added. Each range is a function of the row, so recomputed tasks agree. With ``within``, the column by
+    which the order begins, each of its values begins anew: only one that holds an edge has rows in a range before.
     """
+    taken = {*df.columns, out}
+    key_, range_, at_, own_, size_, before_, place_ = (_free(n, taken) for n in ("__key", "__range", "__at", "__own", "__size", "__before", "__place"))
     key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]).alias("tie"))
-    rows = df.withColumn("__key", key)
+    rows = df.withColumn(key_, key)
+    own = F.col(key_)["k0"] if within else F.lit(0)
     n = df.count()
     ranges = min(MOST_RANGES, -(-n // range_rows))
     if ranges <= 1:
-        return rows.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__key")).cast("long")).drop("__key")  # at most ``range_rows`` rows
-    share = F.pmod(F.xxhash64(F.lit(3), "__key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLED * ranges / n))
-    sample = [r[0] for r in rows.where(share).select("__key").orderBy("__key").collect()]  # bounded: SAMPLED for each range
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(own).orderBy(key_)).cast("long")).drop(key_)  # at most ``range_rows`` rows
+    share = F.pmod(F.xxhash64(F.lit(3), key_), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLED * ranges / n))
+    sample = [r[0] for r in rows.where(share).select(key_).orderBy(key_).collect()]  # bounded: SAMPLED for each range
     edges = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
-    kind = rows.schema["__key"].dataType
-    rows = rows.withColumn("__range", range_of(F.col("__key"), F.array(*[_literal(e, kind) for e in edges]), len(edges)) if edges else F.lit(0))
-    sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
-    before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
-    place = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
-    return rows.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(out, (F.col("__before") + F.col("__place")).cast("long")).drop("__key", "__range", "__place", "__before")
+    kind = rows.schema[key_].dataType
+    rows = rows.withColumn(range_, range_of(F.col(key_), F.array(*[_literal(e, kind) for e in edges]), len(edges)) if edges else F.lit(0))
+    cut = rows.where(own.isin([v for v in {e["k0"] for e in edges} if v is not None]) | (own.isNull() if None in {e["k0"] for e in edges} else F.lit(False))) if within else rows
+    sizes = cut.groupBy(F.col(range_).alias(at_), own.alias(own_)).agg(F.count("*").alias(size_))
+    earlier = Window.partitionBy(own_).orderBy(at_).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.broadcast(sizes.select(at_, own_, F.coalesce(F.sum(size_).over(earlier), F.lit(0)).alias(before_)))  # at most two rows for each range
+    place = F.row_number().over(Window.partitionBy(range_, own).orderBy(key_))
+    placed = rows.withColumn(place_, place).join(before, (F.col(range_) == F.col(at_)) & own.eqNullSafe(F.col(own_)), "left")
+    return placed.withColumn(out, (F.coalesce(before_, F.lit(0)) + F.col(place_)).cast("long")).drop(key_, range_, at_, own_, place_, before_)
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """A name for a column of our own that the table, or the result, doesn't have."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _literal(value, kind) -> Column:

@@ -152,9 +152,9 @@ def group_colours_by(df: DataFrame, name: str, by: str) -> DataFrame:
     """(by, group, samples, colour_index): `group_colours` of each file, ``by``; files are numbered one after the other, in
     the same ranges, and each begins anew."""
     counts = df.groupBy(c(by).alias("__file"), c(name).alias("group")).agg(F.count("*").alias("samples"))
-    placed = numbered(counts, [F.col("__file"), -F.col("samples"), F.col("group")], "__place")
-    first = placed.groupBy("__file").agg(F.min("__place").alias("__first"))
-    return _join_small(placed, first, ["__file"]).select(F.col("__file").alias(by), "group", "samples", (F.col("__place") - F.col("__first") + 1).cast("int").alias("colour_index"))
+    counts = counts.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else counts  # read four times
+    placed = numbered(counts, [F.col("__file"), -F.col("samples"), F.col("group")], "colour_index", within="__file")
+    return placed.select(F.col("__file").alias(by), "group", "samples", F.col("colour_index").cast("int").alias("colour_index"))
 
 
 def colour_rows(df: DataFrame, name: str, out: str = "colour_index", by: str | None = None) -> DataFrame:

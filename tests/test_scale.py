@@ -37,6 +37,28 @@ def test_a_colour_index_for_every_group(spark):
     assert [r["colour_index"] for r in want] == list(range(1, 5001))
 
 
+def test_a_column_of_any_name_may_hold_the_places(spark):
+    df = spark.range(2000).selectExpr("id * 37 % 2000 as __key", "id % 7 as __range", "id as __size")
+    for out in ("__place", "__before", "at"):
+        got = ranges.numbered(df, [F.col("__range"), F.col("__key")], out, range_rows=100).collect()
+        assert set(got[0].asDict()) == {"__key", "__range", "__size", out}
+        assert [r[out] for r in sorted(got, key=lambda r: (r["__range"], r["__key"]))] == list(range(1, 2001))
+
+
+@pytest.mark.parametrize("range_rows", [1 << 20, 300, 40])
+def test_colours_of_many_files_in_ranges(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(ternary, "numbered", lambda df, order, out, **kw: ranges.numbered(df, order, out, range_rows, **kw))
+    df = spark.range(9000).selectExpr("case when id % 10 < 6 then 'big' when id % 10 = 6 then null else concat('f', id % 83) end as f", "if(id % 900 = 0, null, id * id % 1201) as g")
+    got = ternary.group_colours_by(df, "g", "f").collect()
+    files = {}
+    for r in got:
+        files.setdefault(r["f"], []).append(r)
+    assert len(got) == df.distinct().count() > 2000 and len(files) == 85 and len(files["big"]) > 300
+    for own in files.values():
+        want = sorted(own, key=lambda r: (-r["samples"], r["group"] is not None, r["group"] or 0))
+        assert [r["colour_index"] for r in want] == list(range(1, len(own) + 1))
+
+
 def brute_tau(x, y):
     s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(len(x)) for j in range(i))
     tied = [sum(n * n for n in np.unique(v, return_counts=True)[1]) for v in (x, y)]
