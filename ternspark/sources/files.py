@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import os
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,22 +81,22 @@ def scan_files(spark: SparkSession, paths: Sequence[str], needed: Sequence[str],
                 schema = StructType([*[StructField(n, StringType()) for n in columns], StructField(_BROKEN, StringType())])
                 rows = spark.read.schema(schema).csv([by_label[m] for m in members], header=True, columnNameOfCorruptRecord=_BROKEN)
                 seen = F.coalesce(c(needed[0] if needed else columns[0]), F.lit(""))  # Spark reads the record's text beside other columns only
-                parts.append(_labelled(rows, labels, needed, F.concat(seen, F.coalesce(c(_BROKEN), F.lit(""))) != seen))
+                parts.append(_labelled(rows, rows.inputFiles(), labels, needed, F.concat(seen, F.coalesce(c(_BROKEN), F.lit(""))) != seen))
         elif kind in READERS:
             try:
                 rows = spark.read.format(kind).option("mergeSchema", True).option("ignoreCorruptFiles", True).load(own)
             except AnalysisException:
                 continue  # none of them can be read
-            there = [n for n in needed if n in rows.columns]
+            there, own_files = [n for n in needed if n in rows.columns], rows.inputFiles()
             rows = rows.select(*map(c, there), F.col("_metadata.file_path").alias(_PATH)).withColumns({n: F.lit(None).cast("double") for n in needed if n not in there})
-            parts.append(_labelled(rows, labels, needed, F.lit(False)))
+            parts.append(_labelled(rows, own_files, labels, needed, F.lit(False)))
         else:
             failed |= {labels[_plain(spark, p)]: f"failed: unsupported file type {kind!r}" for p in own}
     every = spark.createDataFrame([(n, failed.get(n)) for n in labels.values()], "file string, told string")
     if not parts:
         empty = spark.createDataFrame([], ", ".join(f"`{n}` double" for n in needed) + f", `{label}` string")
         return empty, every.select("file", F.lit(0).cast("long").alias("rows"), F.coalesce("told", F.lit("failed: unreadable")).alias("status"))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = _kept(reduce(DataFrame.unionByName, parts))
     values = [F.count(F.when(~c(_BROKEN), c(n))).alias(f"v{k}") for k, n in enumerate(needed)]
     met = rows.groupBy(c(_LABEL).alias("file")).agg(F.count("*").alias("all"), F.count_if(c(_BROKEN)).alias("broken"), *values)
     without = F.concat_ws(", ", *[F.when(F.col(f"v{k}") == 0, F.lit(n)) for k, n in enumerate(needed)])
@@ -102,9 +104,9 @@ def scan_files(spark: SparkSession, paths: Sequence[str], needed: Sequence[str],
         F.when(F.col("told").isNotNull(), F.col("told")).when(F.col("all").isNull(), "failed: unreadable").when(F.col("all") == F.col("broken"), "failed: no good record")
         .when(without != "", F.concat(F.lit("failed: no value in "), without)).when(F.col("broken") > 0, F.concat(F.lit("ok, without "), F.col("broken"), F.lit(" broken records"))).otherwise("ok")
     )
-    status = every.join(met, "file", "left").select("file", F.coalesce(F.col("all") - F.col("broken"), F.lit(0)).alias("rows"), told.alias("status"))
-    fine = F.broadcast(status.where(F.col("status").startswith("ok")).select(F.col("file").alias(_LABEL)))  # a row for each path given
-    good = rows.where(~c(_BROKEN)).join(fine, _LABEL)
+    found = every.join(met, "file", "left").select("file", F.coalesce(F.col("all") - F.col("broken"), F.lit(0)).alias("rows"), told.alias("status")).collect()  # a row for each path given
+    status = spark.createDataFrame(found, "file string, rows long, status string")
+    good = rows.where(~c(_BROKEN) & c(_LABEL).isin([r["file"] for r in found if r["status"].startswith("ok")]))
     return good.select(*map(c, needed), c(_LABEL).alias(label)), status
 
 
@@ -115,7 +117,22 @@ def _plain(spark: SparkSession, path: str) -> str:
     """A path with its scheme, as files' metadata name it, slashes after the scheme as one."""
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     full = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(made).toString()
-    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", full)
+    return _one_slash(full)
+
+
+def _one_slash(path: str) -> str:
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", path)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows read once for all passes over them, in the checkpoint folder; without one they are read anew each time."""
+    spark = rows.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return rows
+    path = f"{folder}/files-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _label_column(labels: dict[str, str]) -> Column:
@@ -125,11 +142,28 @@ def _label_column(labels: dict[str, str]) -> Column:
     return F.coalesce(known[path], known[F.regexp_replace(path, "/[^/]*$", "")])
 
 
-def _labelled(rows: DataFrame, labels: dict[str, str], needed: Sequence[str], broken: Column) -> DataFrame:
+def _label_of_row(labels: dict[str, str], files: Sequence[str]) -> Column:
+    """`_label_column`, of the named files found by the path as it stands, or its folder's: these are taken apart here, once,
+    with any number of slashes after the scheme, and not in every row."""
+    whole: dict[str, str] = {}
+    folder: dict[str, str] = {}
+    for f in files:
+        path, above = _one_slash(unquote(f)), os.path.dirname(_one_slash(unquote(f)))
+        known, key, label = (whole, f, labels[path]) if path in labels else (folder, f.rpartition("/")[0], labels.get(above))
+        if label is not None:
+            known |= {_one_slash(key).replace(":/", f":{slashes}", 1): label for slashes in ("/", "//", "///")}
+    found = []
+    for known, key in ((whole, c(_PATH)), (folder, F.expr(f"left({_PATH}, length({_PATH}) - length(substring_index({_PATH}, '/', -1)) - 1)"))):
+        if known:
+            found.append(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[key])
+    return F.coalesce(*found, _label_column(labels))
+
+
+def _labelled(rows: DataFrame, files: Sequence[str], labels: dict[str, str], needed: Sequence[str], broken: Column) -> DataFrame:
     if _PATH not in rows.columns:
         rows = rows.withColumn(_PATH, F.col("_metadata.file_path"))
     kinds = dict(rows.dtypes)
-    return rows.select(*[(to_number(n) if kinds[n] == "string" else num(n)).alias(n) for n in needed], _label_column(labels).alias(_LABEL), broken.alias(_BROKEN))
+    return rows.select(*[(to_number(n) if kinds[n] == "string" else num(n)).alias(n) for n in needed], _label_of_row(labels, files).alias(_LABEL), broken.alias(_BROKEN))
 
 
 def _headers(spark: SparkSession, paths: Sequence[str], labels: dict[str, str]) -> dict[str, list[str]]:

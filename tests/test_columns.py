@@ -25,6 +25,13 @@ def test_to_number(spark):
     assert got == [12.0, 1000.0, None, None, None, None, None, -0.5, None]
 
 
+def test_to_number_judges_what_a_cast_would_take(spark):
+    text = ["0x1p3", "-0X1p3", "\t1", "1\t", "1f", "1.", "1.e5", "+.5e-2", "1e400", "-Infinity", "inf", "INF", "+Inf", "NaN", "1_0", "--1", ".", "1e5.", "٣"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, x string")
+    got = [r.x for r in cols.as_numeric(df, ["x"]).orderBy("i").collect()]
+    assert got == [None, None, None, None, None, 1.0, 100000.0, 0.005, math.inf, -math.inf, math.inf, None, math.inf, None, None, None, None, None, None]
+
+
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (float("inf"),)], "`x.y` double")
     assert [r[0] for r in df.select(cols.num("x.y")).collect()] == [1.0, None, None, math.inf]

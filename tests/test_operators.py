@@ -288,3 +288,21 @@ def test_jobs(spark, frame, tmp_path):
     assert set(jobs.compare_job(df, df, ["y"])) >= {"summaries", "paired"}
     with pytest.raises(ValueError):
         jobs.ternary_points(df, jobs.Settings(Element(["nope"]), Element(["y"]), Element(["z"])))
+
+
+def test_files_are_told_apart_once(spark, tmp_path, monkeypatch):
+    for name, text in (("a b%c+d.csv/p 1.csv", "x,y\n1,2\n 3 ,4\n"), ("a b%c+d.csv/p 2.csv", "x,y\n5,0x1p3\n"), ("ü one.csv", "x,y\n7,8\n9,1d\n"), ("gone.csv", "x\n1\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    paths = [f"{tmp_path}/{n}" for n in ("a b%c+d.csv", "ü one.csv", "gone.csv")]
+    rows, status = files.scan_files(spark, paths, ["x", "y"])
+    want = {("a b%c+d", 1.0, 2.0), ("a b%c+d", 3.0, 4.0), ("a b%c+d", 5.0, None), ("ü one", 7.0, 8.0), ("ü one", 9.0, None)}
+    assert {(r.file_source, r.x, r.y) for r in rows.collect()} == want
+    assert {tuple(r) for r in status.collect()} == {("a b%c+d", 3, "ok"), ("ü one", 2, "ok"), ("gone", 0, "failed: no column y")}
+    assert not status.inputFiles()  # found, and not found anew by all that reads the rows
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    read = spark.read.csv(paths[:2], header=True).withColumn(files._PATH, F.col("_metadata.file_path"))
+    labels = {files._plain(spark, p): files.label_of(p) for p in paths}
+    monkeypatch.setattr(files, "_label_column", lambda labels: F.lit(None).cast("string"))  # what rows don't need
+    found = read.select(files._label_of_row(labels, read.inputFiles()).alias("l")).groupBy("l").count().collect()
+    assert {tuple(r) for r in found} == {("a b%c+d", 3), ("ü one", 2)}
