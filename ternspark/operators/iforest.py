@@ -16,6 +16,7 @@ from pyspark.sql.types import MapType, VariantType
 from ..functions.cols import c, common_numeric, num
 from ..functions.moments import complete
 from ..functions.quantiles import exact_quantiles, quantile_values
+from ..sources.files import kept
 from .outliers import _join_small
 
 CONTAMINATION, TREES, SAMPLE, SEED = 0.1, 200, 256, 42
@@ -212,7 +213,7 @@ def score_by(data: DataFrame, forests: DataFrame, names: Sequence[str], by: str,
     """Add the score by the forest of each row's group (see `train_by`); null for incomplete rows and without a forest.
 
     A group's different points are dealt to blocks of some `BLOCK_ROWS`, each of which meets its forest in a task; scores
-    are joined to the rows by group and values, one row for each of them.
+    are joined to the rows by group and values, one row for each of them. With a checkpoint folder points are scored once.
     """
     x = [f"__x{k}" for k in range(len(names))]
     rows = data.withColumns({k: num(n) for n, k in zip(names, x, strict=True)})
@@ -232,7 +233,7 @@ def score_by(data: DataFrame, forests: DataFrame, names: Sequence[str], by: str,
 
     kind = data.schema[by].dataType.simpleString()
     scores = points.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInArrow(run, f"group {kind}, {', '.join(f'{k} double' for k in x)}, score double")
-    scores = scores.select(F.col("group").alias("__group"), *[F.col(k).alias(f"__s{k}") for k in x], F.col("score").alias(out))
+    scores = kept(scores).select(F.col("group").alias("__group"), *[F.col(k).alias(f"__s{k}") for k in x], F.col("score").alias(out))
     on = c(by).eqNullSafe(F.col("__group"))
     for k in x:
         on = on & (F.col(k) == F.col(f"__s{k}"))
@@ -247,7 +248,7 @@ def isolation_forest_by(data: DataFrame, names: Sequence[str], by: str, contamin
         raise ValueError("contamination lies between 0 and 1")
     forests = train_by(data, names, by, trees, sample_size, seed, 10 if own_threshold else 1)
     scored = score_by(data, forests, names, by, out)
-    limits = exact_quantiles(scored.select(c(by), c(out)), [out], [1 - contamination], [by]).select(c(by), F.col("value").alias("__limit"))
+    limits = exact_quantiles(kept(scored.select(c(by), c(out))), [out], [1 - contamination], [by]).select(c(by), F.col("value").alias("__limit"))
     both = _join_small(scored, limits, [by])
     beyond = F.col(out) > F.col("__limit") if own_threshold else F.col(out) >= F.col("__limit")
     return both.withColumn(flag, F.coalesce(beyond, F.lit(False))).drop("__limit")

@@ -96,7 +96,7 @@ def scan_files(spark: SparkSession, paths: Sequence[str], needed: Sequence[str],
     if not parts:
         empty = spark.createDataFrame([], ", ".join(f"`{n}` double" for n in needed) + f", `{label}` string")
         return empty, every.select("file", F.lit(0).cast("long").alias("rows"), F.coalesce("told", F.lit("failed: unreadable")).alias("status"))
-    rows = _kept(reduce(DataFrame.unionByName, parts))
+    rows = kept(reduce(DataFrame.unionByName, parts))
     values = [F.count(F.when(~c(_BROKEN), c(n))).alias(f"v{k}") for k, n in enumerate(needed)]
     met = rows.groupBy(c(_LABEL).alias("file")).agg(F.count("*").alias("all"), F.count_if(c(_BROKEN)).alias("broken"), *values)
     without = F.concat_ws(", ", *[F.when(F.col(f"v{k}") == 0, F.lit(n)) for k, n in enumerate(needed)])
@@ -124,13 +124,13 @@ def _one_slash(path: str) -> str:
     return re.sub(r"^([a-z0-9]+):/+", r"\1:/", path)
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Rows read once for all passes over them, in the checkpoint folder; without one they are read anew each time."""
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows made once for all passes over them, in the checkpoint folder; without one they are made anew each time."""
     spark = rows.sparkSession
     folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         return rows
-    path = f"{folder}/files-{uuid.uuid4().hex}"
+    path = f"{folder}/rows-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -346,6 +346,17 @@ def test_points_of_a_file_are_scored_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, iforest.score_by(df, forests, ["x", "y"], "f").collect())) == whole and len(whole) == 3000
 
 
+def test_points_of_files_are_scored_once(spark, tmp_path):
+    from ternspark.operators import iforest
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', null) as f", "double(id % 211) as x", "double(id % 17) as y")
+    marked = iforest.isolation_forest_by(df, ["x", "y"], "f", trees=10, sample_size=32)
+    assert "CoGroups" not in marked._jdf.queryExecution().executedPlan().toString()  # kept, not made anew by every pass
+    flags = {(r.f, r.is_outlier): r["count"] for r in marked.groupBy("f", "is_outlier").count().collect()}
+    assert sum(flags.values()) == 2000 and 60 <= flags["a", True] <= 110 and 130 <= flags[None, True] <= 220
+
+
 def test_every_file_of_a_batch_has_its_own_forest_bins_and_colours(spark):
     from ternspark.operators import ternary
     from ternspark.operators.filters import Element
